@@ -2,20 +2,46 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 
-from tallymark.llm import quality
+from tallymark.llm import quality, token_counts, token_files, urls
+from tallymark.session import shared_dir
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Place, length and checksum of every document's ids, read back from the packed files."""
+    out = f"{shared_dir(spark)}/tokens-{uuid.uuid4().hex}"
+    token_files.write_tokens(_table(spark, sf_dir, "documents"), out)
+    return token_files.token_digests(spark, out)
+
+
+def op2_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rule and verdict of every page's URL."""
+    pages = _table(spark, sf_dir, "pages")
+    return urls.judge(pages, urls.train(urls.labelled_urls(pages))).select("row.page_id", "host", "path", "rule", "verdict", "score")
+
+
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counts, base rule and adaptive verdict of every document."""
     return quality.quality_report(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op7_quality_rules": op7_quality_rules}
+def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bytes and tokens of every document."""
+    return token_counts.token_counts(_table(spark, sf_dir, "documents"))
+
+
+QUERIES = {
+    "op1_token_files": op1_token_files,
+    "op2_url_filters": op2_url_filters,
+    "op7_quality_rules": op7_quality_rules,
+    "op9_token_counts": op9_token_counts,
+}
 
 ORACLE_SQL: dict[str, str] = {}
