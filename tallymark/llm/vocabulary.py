@@ -108,7 +108,8 @@ class PieceVocabulary:
 
     def spans(self, text: str) -> tuple[np.ndarray, np.ndarray]:
         pieces = self.lib.encode(text, return_type="proto").pieces
-        return np.array([p.begin for p in pieces], np.int64), np.array([p.id for p in pieces], np.int64)
+        ends = np.cumsum([len(p.surface) for p in pieces], dtype=np.int64)  # the library's own offsets are in bytes
+        return np.concatenate([[0], ends[:-1]]).astype(np.int64)[: len(pieces)], np.array([p.id for p in pieces], np.int64)
 
 
 @lru_cache(maxsize=2)
