@@ -5,8 +5,9 @@ from __future__ import annotations
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tallymark.llm import quality, token_counts, token_files, urls
+from tallymark.llm import quality, secrets, token_counts, token_files, urls
 from tallymark.session import shared_dir
 
 
@@ -27,6 +28,13 @@ def op2_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge(pages, urls.train(urls.labelled_urls(pages))).select("row.page_id", "host", "path", "rule", "verdict", "score")
 
 
+def op6_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets of every document: counts, digest of the base spans and all spans."""
+    found = secrets.secret_spans(_table(spark, sf_dir, "documents"))
+    counts = [secrets.of_kind(F.col("base"), k).alias(f"n_{k}") for k in ("assign", "access", "hex")]
+    return found.select("doc_id", *counts, F.sha2(secrets.joined(F.col("base")), 256).alias("base_sha256"), secrets.joined(F.col("spans")).alias("spans"))
+
+
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counts, base rule and adaptive verdict of every document."""
     return quality.quality_report(_table(spark, sf_dir, "documents"))
@@ -40,6 +48,7 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_token_files": op1_token_files,
     "op2_url_filters": op2_url_filters,
+    "op6_secret_scans": op6_secret_scans,
     "op7_quality_rules": op7_quality_rules,
     "op9_token_counts": op9_token_counts,
 }
