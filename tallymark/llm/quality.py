@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from tallymark.llm.common import indices, pick, whole, words
+from tallymark.session import cut
 
 WIDTH, BINS = 5, 400
 #: name: (numerator, denominator, scale, least interquartile range, fences used)
@@ -114,12 +115,12 @@ def quality_report(docs: DataFrame, doc_id="doc_id", text="text", lang="lang", s
     Null language or source is a group of its own; null or empty text has 0 words and fails the base rule; repeated ids
     and rows each get their row; an empty table gives an empty result; further columns are not read.
     """
-    counted = measured(pick(docs, doc_id=doc_id, text=text, lang=lang, source=source), "text")
+    counted = cut(measured(pick(docs, doc_id=doc_id, text=text, lang=lang, source=source), "text").drop("text"))
     return _judged(counted, thresholds(sketches(counted), min_group, reach)).select("doc_id", *COUNTS[:5], "base_failed", "kept", *COUNTS[5:])
 
 
 def keep_quality(docs: DataFrame, doc_id="doc_id", text="text", lang="lang", source="source", min_group=100, reach=3) -> DataFrame:
     """The rows of ``docs`` that pass, with all their columns; cases as in ``quality_report``."""
-    fences = thresholds(sketches(measured(pick(docs, text=text, lang=lang, source=source), "text")), min_group, reach)
     rows = whole(docs, F.col(f"`{text}`").alias("text"), F.col(f"`{lang}`").alias("lang"), F.col(f"`{source}`").alias("source"))
-    return _judged(measured(rows, "text"), fences).filter("kept").select("row.*")
+    counted = cut(measured(rows, "text").drop("text"))
+    return _judged(counted, thresholds(sketches(counted), min_group, reach)).filter("kept").select("row.*")
