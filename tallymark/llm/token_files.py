@@ -24,7 +24,7 @@ from pyspark.sql import Window as W
 from tallymark.llm.common import pick
 from tallymark.llm.vocabulary import default_path, vocabulary
 
-BLOCK = 65_536
+BLOCK, FEW = 65_536, 100_000
 LAYOUT = "shard int, block int, first long, n_ids long, bits int, doc_ids array<{kind}>, starts array<long>, payload binary"
 
 
@@ -98,11 +98,15 @@ def write_tokens(docs: DataFrame, out: str, doc_id="doc_id", text="text", path:
 
 
 def blocks(spark: SparkSession, path: str) -> DataFrame:
-    """The blocks with ``base``, the ids of all shards before their own: a sum over one row per shard."""
+    """The blocks with ``base``, the ids of all shards before their own: a sum over one row per shard.
+
+    Up to ``FEW`` shards this table is sent to every task, so that payloads don't move; beyond that it is a plain join.
+    """
     found = spark.read.parquet(path)
     shards = found.groupBy("shard").agg(F.sum("n_ids").alias("n"))
     before = F.sum("n").over(W.orderBy("shard").rowsBetween(W.unboundedPreceding, -1))
-    return found.join(shards.select("shard", F.coalesce(before, F.lit(0)).alias("base")), "shard")
+    bases = shards.select("shard", F.coalesce(before, F.lit(0)).alias("base"))
+    return found.join(F.broadcast(bases) if shards.count() <= FEW else bases, "shard")
 
 
 def read_tokens(spark: SparkSession, path: str) -> DataFrame:

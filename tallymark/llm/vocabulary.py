@@ -11,9 +11,9 @@ import numpy as np
 #: In texts of these characters alone the byte-level pattern splits exactly as ``_PIECES`` does (tests hold both together).
 _LETTERS = "A-Za-zÀ-ÖØ-öø-ÿ"
 _PLAIN = re.compile(rf"[\n -~{_LETTERS}]*").fullmatch
-_PIECES = re.compile(rf"'(?:[sdmt]|ll|ve|re)| ?[{_LETTERS}]+| ?[0-9]+| ?[!-/:-@\[-`{{-~]+|[ \n]+(?![^ \n])|[ \n]+").findall
+_PIECES = re.compile(rf" ?[{_LETTERS}]+| ?[0-9]+|'(?:[sdmt]|ll|ve|re)| ?[!-/:-@\[-`{{-~]+|[ \n]+(?![^ \n])|[ \n]+").findall
 _WORD = re.compile(rf" [{_LETTERS}]+").fullmatch
-STORE, JOINED = 700_000, 200
+STORE, JOINED, PART = 700_000, 200, 1 << 20
 
 
 def default_path(name: str = "byte_bpe_50k.json") -> str:
@@ -69,6 +69,19 @@ class JsonVocabulary:
             self.store[p] = np.array(e.ids, "<u4").tobytes()
 
     def ids(self, texts: list[str]) -> list[bytes]:
+        """In parts of about ``PART`` code points: the pieces of a whole batch would need much memory."""
+        out: list[bytes] = []
+        part: list[str] = []
+        held = 0
+        for t in texts:
+            part.append(t)
+            held += len(t)
+            if held >= PART:
+                out += self._ids(part)
+                part, held = [], 0
+        return out + self._ids(part)
+
+    def _ids(self, texts: list[str]) -> list[bytes]:
         out: list = [None] * len(texts)
         easy = [i for i, t in enumerate(texts) if self.plain and _PLAIN(t) and not any(s in t for s in self.special)]
         hard = sorted(set(range(len(texts))).difference(easy))
