@@ -25,7 +25,10 @@ def indices(n: Column) -> Column:
 
 
 def shingles(w: Column, k: int) -> Column:
-    """64-bit hashes of the k-word shingles of a word array in text order; with fewer words the whole sequence is one, no words give none."""
+    """64-bit hashes of the k-word shingles of a word array in text order; with fewer words the whole sequence is one, no words give none.
+
+    ``w`` must be a column that is there already: it is looked up for each shingle.
+    """
     n = F.size(w)
     return (
         F.when(n == 0, F.array().cast("array<bigint>"))

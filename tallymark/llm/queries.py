@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallymark.llm import quality, secrets, token_counts, token_files, urls
+from tallymark.llm import near_dedup, quality, secrets, token_counts, token_files, urls
 from tallymark.session import shared_dir
 
 
@@ -28,6 +28,11 @@ def op2_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge(pages, urls.train(urls.labelled_urls(pages))).select("row.page_id", "host", "path", "rule", "verdict", "score")
 
 
+def op4_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Component of every document under 2-word shingles at 0.8."""
+    return near_dedup.near_duplicates(_table(spark, sf_dir, "documents"), k=2).drop("tie")
+
+
 def op6_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Secrets of every document: counts, digest of the base spans and all spans."""
     found = secrets.secret_spans(_table(spark, sf_dir, "documents"))
@@ -48,6 +53,7 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_token_files": op1_token_files,
     "op2_url_filters": op2_url_filters,
+    "op4_near_dedup": op4_near_dedup,
     "op6_secret_scans": op6_secret_scans,
     "op7_quality_rules": op7_quality_rules,
     "op9_token_counts": op9_token_counts,
