@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallymark.llm import near_dedup, quality, secrets, token_counts, token_files, urls
+from tallymark.llm import decontamination, near_dedup, quality, secrets, token_counts, token_files, urls
 from tallymark.session import shared_dir
 
 
@@ -50,8 +50,14 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(_table(spark, sf_dir, "documents"))
 
 
+def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Windows of documents that repeat a benchmark item."""
+    return decontamination.contaminated(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 QUERIES = {
     "op1_token_files": op1_token_files,
+    "op10_decontamination": op10_decontamination,
     "op2_url_filters": op2_url_filters,
     "op4_near_dedup": op4_near_dedup,
     "op6_secret_scans": op6_secret_scans,
