@@ -24,17 +24,23 @@ def indices(n: Column) -> Column:
     return F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
 
 
+def let(value: Column, body) -> Column:
+    """``body(value)`` with ``value`` computed once, wherever the optimizer moves or copies the expression."""
+    return F.get(F.transform(F.array(value), body), 0)
+
+
 def shingles(w: Column, k: int) -> Column:
-    """64-bit hashes of the k-word shingles of a word array in text order; with fewer words the whole sequence is one, no words give none.
-
-    ``w`` must be a column that is there already: it is looked up for each shingle.
-    """
-    n = F.size(w)
-    return (
-        F.when(n == 0, F.array().cast("array<bigint>"))
-        .when(n < k, F.array(F.xxhash64(w)))
-        .otherwise(F.transform(indices(n - (k - 1)), lambda i: F.xxhash64(*[F.get(w, i + j) for j in range(k)])))
-    )
+    """64-bit hashes of the k-word shingles of a word array in text order; with fewer words the whole sequence is one, no words give none."""
+
+    def of(x: Column) -> Column:
+        n = F.size(x)
+        return (
+            F.when(n == 0, F.array().cast("array<bigint>"))
+            .when(n < k, F.array(F.xxhash64(x)))
+            .otherwise(F.transform(indices(n - (k - 1)), lambda i: F.xxhash64(*[F.get(x, i + j) for j in range(k)])))
+        )
+
+    return let(w, of)
 
 
 def pick(df: DataFrame, **columns: str) -> DataFrame:
