@@ -28,6 +28,8 @@ from tallymark.llm.components import components
 from tallymark.session import cut
 
 HASHES, PART = 64, 4096
+#: Classes in candidate pairs that are sent to every task at most, about 50 MB; beyond that they are joined by shuffle.
+FEW = 1_000_000
 _RNG = np.random.default_rng(20240607)
 _MUL = _RNG.integers(1, 2**63, HASHES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _ADD = _RNG.integers(0, 2**63, HASHES, dtype=np.uint64)
@@ -73,12 +75,23 @@ def _pairs(left: DataFrame, right: DataFrame, on: Column, most: int) -> DataFram
     return met.select(F.least(a, b).alias("a"), F.greatest(a, b).alias("b"))
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    joined = pairs.distinct().join(sets.select(F.col("cls").alias("a"), F.col("set").alias("sa")), "a").join(sets.select(F.col("cls").alias("b"), F.col("set").alias("sb")), "b")
+def _verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, k: int, percent: int) -> DataFrame:
+    """The pairs whose full sets are similar enough. Sets are made anew for just the classes in ``pairs``, from a document of each."""
+    ends = pairs.select(F.col("a").alias("cls")).union(pairs.select("b")).distinct()
+    wanted = cut(classes.join(ends, "cls", "left_semi").select(F.col("doc_id").alias("d"), F.col("tie").alias("t")))
+    wanted = F.broadcast(wanted) if wanted.count() <= FEW else wanted
+    own = docs.withColumn("tie", F.xxhash64("text")).join(wanted, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("tie") == F.col("t")), "left_semi")
+    sets = cut(_sets(own.select("doc_id", "text"), k).select("cls", "set").dropDuplicates(["cls"]))
+    joined = pairs.join(sets.select(F.col("cls").alias("a"), F.col("set").alias("sa")), "a").join(sets.select(F.col("cls").alias("b"), F.col("set").alias("sb")), "b")
     both = F.size(F.array_intersect("sa", "sb"))
     return cut(joined.filter(both * 100 >= (F.size("sa") + F.size("sb") - both) * percent).select("a", "b"))
 
 
+def _with_component(nodes: DataFrame, roots: DataFrame) -> DataFrame:
+    found = nodes.join(roots.select(F.col("v").alias("cls"), "root"), "cls", "left")
+    return found.withColumn("component", F.coalesce("root", "cls")).drop("root")
+
+
 def _branches(node: Column) -> Column:
     """Numbers of the tokens by which a node's classes go on: one, and with a chance of a quarter a second."""
     one, two = F.pmod(F.xxhash64(node, F.lit(1)), F.lit(HASHES)).cast("int"), F.pmod(F.xxhash64(node, F.lit(2)), F.lit(HASHES)).cast("int")
@@ -95,44 +108,42 @@ def _linked(docs: DataFrame, k: int, percent: int, trees: int, small: int, depth
 
     start = F.explode(F.transform(F.sequence(F.lit(0), F.lit(trees - 1)), lambda t: F.xxhash64(t, F.get(F.col("tokens"), t))))
     nodes = _counted(classes.select(start.alias("node"), "cls", "b0", "b1")).withColumn("component", F.col("cls"))
-    links, sets = None, None
+    links = roots = None
     for level in range(1, depth + 1):
         little, large = nodes.filter(F.col("size") <= small), nodes.filter(F.col("size") > small)
         apart = F.col("a.component") != F.col("b.component")
         pairs = _pairs(little, little, (F.col("a.cls") < F.col("b.cls")) & apart, most)
         centre = large.groupBy("node").agg(F.min(F.struct(F.xxhash64("cls").alias("h"), "cls", "b0", "b1", "component")).alias("c")).select("node", "c.*")
         pairs = cut(pairs.unionByName(_pairs(large, centre, (F.col("a.cls") != F.col("b.cls")) & apart, most)).distinct())
-        if sets is None:  # whatever later levels compare is in a large node now
-            wanted = pairs.select(F.col("a").alias("cls")).union(pairs.select("b")).union(large.select("cls")).distinct()
-            wanted = classes.join(wanted, "cls", "left_semi").select(F.col("doc_id").alias("d"), F.col("tie").alias("t"), F.col("cls").alias("c"))
-            own = docs.withColumn("t0", F.xxhash64("text")).join(wanted, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("t0") == F.col("t"))).select("doc_id", "text").dropDuplicates()
-            sets = cut(_sets(own, k).select("cls", "set").dropDuplicates(["cls"]))
-        found = _verified(pairs, sets, percent)
-        links = found if links is None else links.unionByName(found)
-        roots = components(links)
+        if links is None:
+            links = _verified(pairs, docs, classes, k, percent)
+            roots = components(links)
+        elif not pairs.isEmpty():
+            links = links.unionByName(_verified(pairs, docs, classes, k, percent))
+            roots = components(links)
         if large.isEmpty():
             break
-        mine = large.drop("component").join(roots.select(F.col("v").alias("cls"), "root"), "cls", "left").withColumn("component", F.coalesce("root", "cls")).drop("root")
+        mine = _with_component(large.drop("component"), roots)
         shares = mine.groupBy("node", "component").agg(F.count("*").alias("n"))
         main = shares.groupBy("node").agg(F.max(F.struct("n", "component")).alias("m"), F.sum("n").alias("all")).select("node", F.col("m.component").alias("main"), (F.col("all") - F.col("m.n")).alias("outside"))
         mine = cut(mine.join(main.filter("outside > 0"), "node"))
         few = mine if level == depth else mine.filter(F.col("outside") <= small)
-        more = _pairs(few.filter(F.col("component") != F.col("main")), few, apart, most).distinct()
-        links = links.unionByName(_verified(more, sets, percent))
-        roots = components(links)
+        more = cut(_pairs(few.filter(F.col("component") != F.col("main")), few, apart, most).distinct())
+        if not more.isEmpty():
+            links = links.unionByName(_verified(more, docs, classes, k, percent))
+            roots = components(links)
         going = mine.filter(F.col("outside") > small)
         if level == depth or going.isEmpty():
             break
         own = going.select("node", "cls").join(classes.select("cls", "tokens", "b0", "b1"), "cls")
         child = own.select("cls", "b0", "b1", "tokens", "node", F.explode(_branches(F.col("node"))).alias("i"))
-        nodes = _counted(child.select(F.xxhash64("node", "i", F.get("tokens", F.col("i"))).alias("node"), "cls", "b0", "b1"))
-        nodes = nodes.join(roots.select(F.col("v").alias("cls"), "root"), "cls", "left").withColumn("component", F.coalesce("root", "cls")).drop("root")
+        nodes = _with_component(_counted(child.select(F.xxhash64("node", "i", F.get("tokens", F.col("i"))).alias("node"), "cls", "b0", "b1")), roots)
     in_one = classes.select("cls", "doc_id").join(roots.select(F.col("v").alias("cls"), "root"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
     least = in_one.groupBy("root").agg(F.min("doc_id").alias("component_id"))
     return rows.select("doc_id", "tie", "cls", "n_shingles"), cut(in_one.join(least, "root").select("cls", "component_id"))
 
 
-def near_duplicates(docs: DataFrame, doc_id="doc_id", text="text", k: int = 5, percent: int = 80, trees: int = 20, small: int = 48, depth: int = 8) -> DataFrame:
+def near_duplicates(docs: DataFrame, doc_id="doc_id", text="text", k: int = 5, percent: int = 80, trees: int = 20, small: int = 256, depth: int = 8) -> DataFrame:
     """One row per input row: doc_id, n_shingles, component_id, kept, and ``tie``, a hash of the text.
 
     Documents are linked at a similarity of ``percent`` / 100 or more; ``component_id`` is the least doc_id reachable.
