@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallymark.llm import decontamination, near_dedup, quality, secrets, token_counts, token_files, urls
+from tallymark.llm import decontamination, line_templates, mixing, near_dedup, quality, secrets, token_counts, token_files, urls
 from tallymark.session import shared_dir
 
 
@@ -28,6 +28,12 @@ def op2_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge(pages, urls.train(urls.labelled_urls(pages))).select("row.page_id", "host", "path", "rule", "verdict", "score")
 
 
+def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without the lines whose template recurs: their numbers, and what is left."""
+    found = line_templates.drop_templates(_table(spark, sf_dir, "documents"))
+    return found.select("row.doc_id", "n_lines", F.size("dropped").alias("n_dropped"), "dropped", F.length("text").alias("n_chars"), F.sha2("text", 256).alias("text_sha256"))
+
+
 def op4_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Component of every document under 2-word shingles at 0.8."""
     return near_dedup.near_duplicates(_table(spark, sf_dir, "documents"), k=2).drop("tie")
@@ -45,6 +51,12 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_report(_table(spark, sf_dir, "documents"))
 
 
+def op8_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Copies of every document when sources are mixed by the square root of their size."""
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "source")
+    return mixing.mix(docs, mixing.tempered(docs)).select("row.doc_id", "row.source", "copy", "place")
+
+
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bytes and tokens of every document."""
     return token_counts.token_counts(_table(spark, sf_dir, "documents"))
@@ -59,10 +71,29 @@ QUERIES = {
     "op1_token_files": op1_token_files,
     "op10_decontamination": op10_decontamination,
     "op2_url_filters": op2_url_filters,
+    "op3_line_dedup": op3_line_dedup,
     "op4_near_dedup": op4_near_dedup,
     "op6_secret_scans": op6_secret_scans,
     "op7_quality_rules": op7_quality_rules,
+    "op8_source_mixing": op8_source_mixing,
     "op9_token_counts": op9_token_counts,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+#: Poisson copies: the cumulative probabilities of each source's rate, counted below each document's uniform number.
+_MIXING_SQL = """
+WITH counts AS (SELECT source, count(*) AS n FROM documents GROUP BY source),
+totals AS (SELECT sum(n) AS docs, sum(pow(n::DOUBLE, 0.5)) AS weights FROM counts),
+rates AS (SELECT source, docs * pow(n::DOUBLE, 0.5) / weights / n AS rate FROM counts, totals),
+terms AS (
+  SELECT source, k, sum(CASE WHEN k = 0 THEN exp(-rate) ELSE exp(-rate + k * ln(rate) - lgamma(k + 1)) END)
+    OVER (PARTITION BY source ORDER BY k) AS c
+  FROM rates, range(0, 123) r(k)),
+drawn AS (SELECT doc_id, source, ('0x' || substr(md5(doc_id::VARCHAR || ':mix'), 1, 13))::BIGINT / 4503599627370496.0 AS u FROM documents),
+copies AS (
+  SELECT d.doc_id, d.source, count(*) AS n
+  FROM drawn d JOIN terms t ON d.source IS NOT DISTINCT FROM t.source AND t.c <= d.u GROUP BY ALL)
+SELECT doc_id, source, copy::INTEGER AS copy, md5(doc_id::VARCHAR || ':' || copy::VARCHAR || ':mix order') AS place
+FROM (SELECT doc_id, source, unnest(range(1, n + 1)) AS copy FROM copies)
+"""
+
+ORACLE_SQL: dict[str, str] = {"op8_source_mixing": _MIXING_SQL}
