@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallymark.llm import decontamination, line_templates, mixing, near_dedup, quality, secrets, token_counts, token_files, urls
+from tallymark.llm import decontamination, line_templates, mixing, near_dedup, passages, quality, secrets, token_counts, token_files, urls
 from tallymark.session import shared_dir
 
 
@@ -39,6 +39,11 @@ def op4_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(_table(spark, sf_dir, "documents"), k=2).drop("tie")
 
 
+def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Passages of 50 words or more that documents share."""
+    return passages.repeated_passages(_table(spark, sf_dir, "documents"))
+
+
 def op6_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Secrets of every document: counts, digest of the base spans and all spans."""
     found = secrets.secret_spans(_table(spark, sf_dir, "documents"))
@@ -73,6 +78,7 @@ QUERIES = {
     "op2_url_filters": op2_url_filters,
     "op3_line_dedup": op3_line_dedup,
     "op4_near_dedup": op4_near_dedup,
+    "op5_substring_dedup": op5_substring_dedup,
     "op6_secret_scans": op6_secret_scans,
     "op7_quality_rules": op7_quality_rules,
     "op8_source_mixing": op8_source_mixing,
