@@ -24,7 +24,7 @@ from pyspark.sql import Window as W
 from tallymark.llm.common import pick
 from tallymark.llm.vocabulary import default_path, vocabulary
 
-BLOCK, FEW = 65_536, 100_000
+BLOCK, FEW = 1 << 18, 100_000
 LAYOUT = "shard int, block int, first long, n_ids long, bits int, doc_ids array<{kind}>, starts array<long>, payload binary"
 
 
@@ -111,12 +111,12 @@ def blocks(spark: SparkSession, path: str) -> DataFrame:
 
 def read_tokens(spark: SparkSession, path: str) -> DataFrame:
     """One row per document from the files: doc_id, start, n_tokens, ids (little-endian unsigned 32-bit)."""
-    return _per_document(blocks(spark, path), "ids binary", lambda ids: ids.astype("<u4").tobytes())
+    return _per_document(blocks(spark, path), "ids binary", lambda ids: ids.tobytes())
 
 
 def token_digests(spark: SparkSession, path: str) -> DataFrame:
     """As ``read_tokens``, with the ids' unsigned crc32 in their place."""
-    return _per_document(blocks(spark, path), "ids_crc32 long", lambda ids: zlib.crc32(ids.astype("<u4").tobytes()))
+    return _per_document(blocks(spark, path), "ids_crc32 long", lambda ids: zlib.crc32(ids))
 
 
 def read_range(spark: SparkSession, path: str, begin: int, end: int) -> DataFrame:
@@ -140,9 +140,10 @@ def _per_document(found: DataFrame, column: str, digest) -> DataFrame:
     def documents(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             for r in b.itertuples():
-                cuts = [*np.asarray(r.starts).tolist(), int(r.n_ids)]
-                ids = unpack(r.payload, r.bits, 0, int(r.n_ids))
+                starts = np.append(np.asarray(r.starts, np.int64), r.n_ids)
+                ids = unpack(r.payload, r.bits, 0, int(r.n_ids)).astype("<u4")
+                cuts = starts.tolist()
                 own = [digest(ids[a:z]) for a, z in zip(cuts, cuts[1:])]
-                yield pd.DataFrame({"doc_id": list(r.doc_ids), "start": np.array(cuts[:-1], np.int64) + r.base + r.first, "n_tokens": np.diff(cuts).astype(np.int64), name: own})
+                yield pd.DataFrame({"doc_id": list(r.doc_ids), "start": starts[:-1] + (r.base + r.first), "n_tokens": np.diff(starts), name: own})
 
     return found.select("base", "first", "n_ids", "bits", "doc_ids", "starts", "payload").mapInPandas(documents, f"doc_id {kind}, start long, n_tokens long, {column}")

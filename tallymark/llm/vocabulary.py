@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import re
 from functools import lru_cache
+from itertools import chain, filterfalse
 
 import numpy as np
 
@@ -12,7 +13,6 @@ import numpy as np
 _LETTERS = "A-Za-zÀ-ÖØ-öø-ÿ"
 _PLAIN = re.compile(rf"[\n -~{_LETTERS}]*").fullmatch
 _PIECES = re.compile(rf" ?[{_LETTERS}]+| ?[0-9]+|'(?:[sdmt]|ll|ve|re)| ?[!-/:-@\[-`{{-~]+|[ \n]+(?![^ \n])|[ \n]+").findall
-_WORD = re.compile(rf" [{_LETTERS}]+").fullmatch
 STORE, JOINED, PART = 700_000, 200, 1 << 20
 
 
@@ -52,19 +52,17 @@ class JsonVocabulary:
             for token, i in self.lib.get_vocab().items():
                 self.width[i] = len(token)  # byte-level tokens have a character a byte
 
-    def _learn(self, pieces: set[str]) -> None:
-        if len(self.store) > STORE:
-            self.store.clear()
-        new = pieces - self.store.keys()
-        spaced = [p for p in new if _WORD(p)]
+    def _learn(self, new: set[str]) -> None:
+        spaced = [p for p in new if p[0] == " " and p[1:].isalpha()]
+        other = list(new.difference(spaced))
         groups = [spaced[i : i + JOINED] for i in range(0, len(spaced), JOINED)]
-        for group, e in zip(groups, self.lib.encode_batch_fast(["".join(g) for g in groups], add_special_tokens=False), strict=True):
-            ids = np.array(e.ids, "<u4")
-            ends = np.cumsum([len(p.encode()) for p in group])
-            cuts = [0, *(4 * (np.searchsorted(np.cumsum(self.width[ids]), ends) + 1)).tolist()]
+        if groups:
+            found = [np.array(e.ids, "<u4") for e in self.lib.encode_batch_fast(["".join(g) for g in groups], add_special_tokens=False)]
+            ids = np.concatenate(found)
+            ends = np.cumsum(np.fromiter((len(p.encode()) for p in spaced), np.int64, len(spaced)))
+            cuts = (4 * (np.searchsorted(np.cumsum(self.width[ids]), ends) + 1)).tolist()
             data = ids.tobytes()
-            self.store.update((p, data[a:b]) for p, a, b in zip(group, cuts, cuts[1:]))
-        other = list(new.difference(spaced))
+            self.store.update(zip(spaced, map(data.__getitem__, map(slice, [0, *cuts], cuts)), strict=True))
         for p, e in zip(other, self.lib.encode_batch_fast(other, add_special_tokens=False), strict=True):
             self.store[p] = np.array(e.ids, "<u4").tobytes()
 
@@ -88,8 +86,9 @@ class JsonVocabulary:
         for i, e in zip(hard, self.lib.encode_batch_fast([texts[i] for i in hard], add_special_tokens=False), strict=True):
             out[i] = np.array(e.ids, "<u4").tobytes()
         pieces = {i: _PIECES(texts[i]) for i in easy}
-        if pieces:
-            self._learn(set().union(*pieces.values()))
+        if len(self.store) > STORE:  # short pieces are the frequent ones
+            self.store = {p: v for p, v in self.store.items() if len(p) <= 8}
+        self._learn(set(filterfalse(self.store.__contains__, chain.from_iterable(pieces.values()))))
         get = self.store.get
         for i, own in pieces.items():
             out[i] = b"".join(map(get, own))
