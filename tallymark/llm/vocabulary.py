@@ -13,7 +13,7 @@ import numpy as np
 _LETTERS = "A-Za-zÀ-ÖØ-öø-ÿ"
 _PLAIN = re.compile(rf"[\n -~{_LETTERS}]*").fullmatch
 _PIECES = re.compile(rf" ?[{_LETTERS}]+| ?[0-9]+|'(?:[sdmt]|ll|ve|re)| ?[!-/:-@\[-`{{-~]+|[ \n]+(?![^ \n])|[ \n]+").findall
-STORE, JOINED, PART = 700_000, 200, 1 << 20
+STORE, JOINED, PART = 1_000_000, 200, 1 << 20
 
 
 def default_path(name: str = "byte_bpe_50k.json") -> str:
@@ -86,8 +86,8 @@ class JsonVocabulary:
         for i, e in zip(hard, self.lib.encode_batch_fast([texts[i] for i in hard], add_special_tokens=False), strict=True):
             out[i] = np.array(e.ids, "<u4").tobytes()
         pieces = {i: _PIECES(texts[i]) for i in easy}
-        if len(self.store) > STORE:  # short pieces are the frequent ones
-            self.store = {p: v for p, v in self.store.items() if len(p) <= 8}
+        if len(self.store) > STORE:
+            self.store = {}
         self._learn(set(filterfalse(self.store.__contains__, chain.from_iterable(pieces.values()))))
         get = self.store.get
         for i, own in pieces.items():
