@@ -1,12 +1,19 @@
-"""Corpus preparation: five stages over ``documents``, each one operator of ``tallymark.llm``."""
+"""Corpus preparation: five stages over ``documents``, each one operator of ``tallymark.llm``.
+
+Every stage takes (spark, docs, sf_dir) and works on all that its predecessor kept; all but the last return the columns of
+their input. Nulls, empty texts, repeated rows, empty tables and further columns: as each operator's docstring says.
+"""
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 
-from tallymark.llm import quality
+from tallymark.llm import decontamination, mixing, near_dedup, quality, token_files
+from tallymark.session import cut, shared_dir
 
-#: Stages are held against brute force in tests/llm; SQL can't express all of them.
+#: SQL can't express the joins by hashed paths and the packed files; tests/llm holds each stage against brute force.
 ORACLE_SQL = None
 
 
@@ -15,12 +22,40 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return quality.keep_quality(docs)
 
 
-STAGES = [("quality rules", quality_rules)]
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """4: of each group of near-duplicates (five-word shingles, similarity 0.8 or more) the document with the least id stays."""
+    return near_dedup.keep_one(docs)
+
+
+def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """10: documents with a passage of ``benchmark`` go."""
+    return decontamination.drop_contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """8: each document is repeated by its Poisson count, sources weighted by the square root of their size; in shuffled order."""
+    return mixing.mix(docs, mixing.tempered(docs)).select("row.*")
+
+
+def token_output(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """1: the packed files' content per document: doc_id, start, n_tokens, ids_crc32. Repeats of a document stand together."""
+    out = f"{shared_dir(spark)}/tokens-{uuid.uuid4().hex}"
+    token_files.write_tokens(docs, out)
+    return token_files.token_digests(spark, out)
+
+
+STAGES = [
+    ("quality rules", quality_rules),
+    ("near-duplicates", near_duplicates),
+    ("benchmark decontamination", benchmark_decontamination),
+    ("source mixing", source_mixing),
+    ("token output", token_output),
+]
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents`` of ``sf_dir``."""
+    """All stages over ``documents`` of ``sf_dir``, each one's result written and read again."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    for _, stage in STAGES[:-1]:
+        docs = cut(stage(spark, docs, sf_dir))
+    return STAGES[-1][1](spark, docs, sf_dir)
