@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from tallymark.plans import linkage
+
+QUERIES: dict = dict(linkage.QUERIES)
+ORACLE_SQL: dict = dict(linkage.ORACLE_SQL)
