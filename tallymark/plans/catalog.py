@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tallymark.plans import linkage
+from tallymark.plans import evidence, linkage
 
-QUERIES: dict = dict(linkage.QUERIES)
-ORACLE_SQL: dict = dict(linkage.ORACLE_SQL)
+QUERIES: dict = linkage.QUERIES | evidence.QUERIES
+ORACLE_SQL: dict = linkage.ORACLE_SQL | evidence.ORACLE_SQL

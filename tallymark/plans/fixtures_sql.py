@@ -29,7 +29,7 @@ shown AS (
   SELECT *, event_id % 13 AS k, to_timestamp(CASE WHEN event_id % 13 = 5 THEN secs - 18000 WHEN event_id % 13 = 4 THEN secs - 86400 ELSE secs END) AT TIME ZONE 'UTC' AS s,
     'user' || user_id || '@example.com' AS own
   FROM e WHERE event_type = 'purchase'),
-receipts AS (
+r0 AS (
   SELECT 'r_' || event_id AS receipt_id, event_id, k::INTEGER AS k,
     CASE WHEN k IN (0, 4, 5, 6, 8, 9, 10, 12) THEN own WHEN k IN (2, 7) THEN 'x' || own END AS email,
     round(value)::BIGINT * 100 + 100 + CASE WHEN k = 10 THEN 1 ELSE 0 END AS amount,
@@ -41,7 +41,8 @@ receipts AS (
     k = 12 AS relative_today, secs + CASE WHEN k = 8 THEN 7200 ELSE 600 END AS received_at,
     'g' || (user_id % 5) AS group_id,
     sha256('img' || CASE WHEN k = 8 THEN user_id ELSE event_id END) AS sha256
-  FROM shown)"""
+  FROM shown),
+receipts AS (SELECT * FROM r0 UNION ALL SELECT * REPLACE ('d_' || event_id AS receipt_id, received_at + 7200 AS received_at, sha256('again' || event_id) AS sha256) FROM r0 WHERE k = 9)"""
 
 TEXTS = """
 texts AS (
@@ -59,7 +60,7 @@ texts AS (
 MESSAGES = """
 m1 AS (
   SELECT 'm_' || event_id AS message_id, 'g' || (user_id % 5) AS group_id, 'u' || user_id AS sender, secs AS received_at,
-    event_type = 'view' AS is_image, CASE WHEN event_type = 'click' THEN 'User' || user_id || ' @example com' ELSE '' END AS body, event_id
+    event_type = 'view' AS is_image, CASE WHEN event_type = 'click' THEN 'User' || user_id || '@example com' ELSE '' END AS body, event_id
   FROM e WHERE event_type IN ('view', 'click')),
 messages AS (SELECT * FROM m1 UNION ALL SELECT * FROM m1 WHERE event_id % 10 = 0)"""
 

@@ -62,13 +62,13 @@ def customers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def receipts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One perturbed receipt per purchase; ``k = event_id % 13`` says how."""
+    """A perturbed receipt per purchase, ``k = event_id % 13`` says how; those of k = 9 come again two hours later as another image."""
     e = events(spark, sf_dir).filter("event_type = 'purchase'")
     n, k = F.col("event_id"), F.col("event_id") % 13
     shown = F.timestamp_seconds(F.when(k == 5, F.col("at") - 18000).when(k == 4, F.col("at") - 86400).otherwise(F.col("at")))
     clock = k.isin(0, 2, 5, 8, 9)
     own = _address(F.col("user_id"))
-    return e.select(
+    one = e.select(
         F.concat(F.lit("r_"), n.cast("string")).alias("receipt_id"),
         n.alias("event_id"),
         k.cast("int").alias("k"),
@@ -84,6 +84,8 @@ def receipts(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.concat(F.lit("g"), (F.col("user_id") % 5).cast("string")).alias("group_id"),
         F.sha2(F.when(k == 8, F.concat(F.lit("img"), F.col("user_id").cast("string"))).otherwise(F.concat(F.lit("img"), n.cast("string"))), 256).alias("sha256"),
     )
+    again = one.filter("k = 9").withColumns({"receipt_id": F.concat(F.lit("d_"), n.cast("string")), "received_at": F.col("received_at") + 7200, "sha256": F.sha2(F.concat(F.lit("again"), n.cast("string")), 256)})
+    return one.unionByName(again)
 
 
 def receipt_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -111,7 +113,7 @@ def messages(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.concat(F.lit("u"), F.col("user_id").cast("string")).alias("sender"),
         F.col("at").alias("received_at"),
         (F.col("event_type") == "view").alias("is_image"),
-        F.when(F.col("event_type") == "click", F.concat(F.lit("User"), F.col("user_id").cast("string"), F.lit(" @example com"))).otherwise("").alias("body"),
+        F.when(F.col("event_type") == "click", F.concat(F.lit("User"), F.col("user_id").cast("string"), F.lit("@example com"))).otherwise("").alias("body"),
         n.alias("event_id"),
     )
     return one.unionByName(one.filter("event_id % 10 = 0"))
