@@ -3,12 +3,12 @@
 Equal sets are one class from the start. A class has ``HASHES`` minwise tokens of its set. Each of ``trees`` independent
 trees puts classes into nodes by one of these tokens; a node is a set of classes that agree on a chosen path of tokens.
 
-* A node of up to ``small`` classes is compared exhaustively.
-* In a larger node each class is compared with the node's least one (a star), which settles groups of near copies: what
-  the star joins is one component, and only comparisons across components can still matter.
-* If a few classes lie outside a node's main component, they are compared with the whole node. If many do, every class of
-  the node goes on into child nodes by further tokens, 1.25 of them on average, so that a pair at the threshold is
-  expected to meet in each tree however deep it grows. At ``depth`` whatever is left is compared across components.
+* In every node each class is compared with the node's least one (a star), which settles groups of near copies without
+  all their pairs: what stars join is one component, and only comparisons across components can still matter.
+* In a node of up to ``small`` classes, or with as few outside its main component, those outside are compared with the
+  whole node: with the star that is exhaustive. From other nodes every class goes on into child nodes by further tokens,
+  1.25 of them on average, so that a pair at the threshold is expected to meet in each tree however deep it grows. At
+  ``depth`` whatever is left is compared across components.
 
 Comparisons first hold two bits of each minwise token against each other (a pair at 0.8 fails this about once in a
 million), then the full sets: a link is exact. Trees miss a pair at 0.8 with a chance below 0.5 ** trees.
@@ -107,37 +107,31 @@ def _linked(docs: DataFrame, k: int, percent: int, trees: int, small: int, depth
     classes = cut(rows.filter("n_shingles > 0").groupBy("cls").agg(first, F.min(F.struct("b0", "b1", "tokens")).alias("s")).select("cls", "first.doc_id", "first.tie", "s.*"))
 
     start = F.explode(F.transform(F.sequence(F.lit(0), F.lit(trees - 1)), lambda t: F.xxhash64(t, F.get(F.col("tokens"), t))))
-    nodes = _counted(classes.select(start.alias("node"), "cls", "b0", "b1")).withColumn("component", F.col("cls"))
+    nodes = _counted(classes.select(start.alias("node"), "cls", "b0", "b1"))
     links = roots = None
     for level in range(1, depth + 1):
-        little, large = nodes.filter(F.col("size") <= small), nodes.filter(F.col("size") > small)
-        apart = F.col("a.component") != F.col("b.component")
-        pairs = _pairs(little, little, (F.col("a.cls") < F.col("b.cls")) & apart, most)
-        centre = large.groupBy("node").agg(F.min(F.struct(F.xxhash64("cls").alias("h"), "cls", "b0", "b1", "component")).alias("c")).select("node", "c.*")
-        pairs = cut(pairs.unionByName(_pairs(large, centre, (F.col("a.cls") != F.col("b.cls")) & apart, most)).distinct())
-        if links is None:
-            links = _verified(pairs, docs, classes, k, percent)
-            roots = components(links)
-        elif not pairs.isEmpty():
-            links = links.unionByName(_verified(pairs, docs, classes, k, percent))
-            roots = components(links)
-        if large.isEmpty():
-            break
-        mine = _with_component(large.drop("component"), roots)
+        centre = nodes.groupBy("node").agg(F.min(F.struct(F.xxhash64("cls").alias("h"), "cls", "b0", "b1")).alias("c")).select("node", "c.cls", "c.b0", "c.b1")
+        stars = cut(_pairs(nodes, centre, F.col("a.cls") != F.col("b.cls"), most).distinct())
+        found = _verified(stars, docs, classes, k, percent)
+        links = found if links is None else links.unionByName(found)
+        roots = components(links)
+        mine = _with_component(nodes, roots)
         shares = mine.groupBy("node", "component").agg(F.count("*").alias("n"))
         main = shares.groupBy("node").agg(F.max(F.struct("n", "component")).alias("m"), F.sum("n").alias("all")).select("node", F.col("m.component").alias("main"), (F.col("all") - F.col("m.n")).alias("outside"))
         mine = cut(mine.join(main.filter("outside > 0"), "node"))
-        few = mine if level == depth else mine.filter(F.col("outside") <= small)
-        more = cut(_pairs(few.filter(F.col("component") != F.col("main")), few, apart, most).distinct())
+        small_now = (F.col("size") <= small) | (F.col("outside") <= small) | F.lit(level == depth)
+        near = mine.filter(small_now)
+        apart = F.col("a.component") != F.col("b.component")
+        more = cut(_pairs(near.filter(F.col("component") != F.col("main")), near, apart, most).distinct())
         if not more.isEmpty():
             links = links.unionByName(_verified(more, docs, classes, k, percent))
             roots = components(links)
-        going = mine.filter(F.col("outside") > small)
+        going = mine.filter(~small_now)
         if level == depth or going.isEmpty():
             break
         own = going.select("node", "cls").join(classes.select("cls", "tokens", "b0", "b1"), "cls")
         child = own.select("cls", "b0", "b1", "tokens", "node", F.explode(_branches(F.col("node"))).alias("i"))
-        nodes = _with_component(_counted(child.select(F.xxhash64("node", "i", F.get("tokens", F.col("i"))).alias("node"), "cls", "b0", "b1")), roots)
+        nodes = _counted(child.select(F.xxhash64("node", "i", F.get("tokens", F.col("i"))).alias("node"), "cls", "b0", "b1"))
     in_one = classes.select("cls", "doc_id").join(roots.select(F.col("v").alias("cls"), "root"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
     least = in_one.groupBy("root").agg(F.min("doc_id").alias("component_id"))
     return rows.select("doc_id", "tie", "cls", "n_shingles"), cut(in_one.join(least, "root").select("cls", "component_id"))
