@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tallymark.plans import evidence, linkage, streams
+from tallymark.plans import bursts, evidence, linkage, streams
 
-QUERIES: dict = linkage.QUERIES | evidence.QUERIES | streams.QUERIES
-ORACLE_SQL: dict = linkage.ORACLE_SQL | evidence.ORACLE_SQL | streams.ORACLE_SQL
+QUERIES: dict = linkage.QUERIES | evidence.QUERIES | bursts.QUERIES | streams.QUERIES
+ORACLE_SQL: dict = linkage.ORACLE_SQL | evidence.ORACLE_SQL | bursts.ORACLE_SQL | streams.ORACLE_SQL
