@@ -14,7 +14,7 @@ from pyspark.sql import Window as W
 #: The widest gap between two time zones with a margin, and the days a search looks back.
 WINDOW_SECONDS, LOOKBACK_DAYS = 93_900, 90
 METHOD = "cashapp"
-TIERS = ("strict", "zone_boundary", "day_requery", "identity_minute", "identity_only", "customer_minute", "broad", "identifier", "date_boundary", "identity_recovery", "date_name", "canonical")
+TIERS = ("strict", "zone_boundary", "day_requery", "identity_minute", "identity_only", "customer_minute", "broad", "broad_boundary", "broad_identity", "identifier", "date_boundary", "identity_recovery", "date_name", "canonical")
 
 
 def charge_email() -> Column:
@@ -88,6 +88,7 @@ def flagged(found: DataFrame) -> DataFrame:
     boundary = boundary_runs & who & (c("clock_gap") <= WINDOW_SECONDS) & c("minute_ok") & (~named_only | c("same_name"))
     no_key = ~c("has_customer") & ~c("any_id") & dated & c("in_day")
     later = c("visible") | (~c("any_id") & (dated | minute | c("transaction_id").isNotNull()))
+    wide = later & ~c("any_id") & (dated | minute | c("transaction_id").isNotNull())
     agrees = F.when(c("has_email") | c("transaction_id").isNotNull() | c("customer_name").isNotNull(), c("identity") | c("id_hit") | c("same_name")).otherwise(minute)
     near = F.when(c("clock_gap").isNotNull(), c("clock_gap") <= WINDOW_SECONDS).when(dated, F.abs("day_gap") <= 1).when(c("relative_today"), F.abs(c("created") - c("received_at")) <= WINDOW_SECONDS).otherwise(F.lit(False))
     counted = constraints()
@@ -98,7 +99,9 @@ def flagged(found: DataFrame) -> DataFrame:
         "identity_minute": c("visible") & c("has_email") & ~dated & who & c("minute_ok"),
         "identity_only": c("visible") & c("has_email") & ~dated & who,
         "customer_minute": c("customer_hit") & ~dated & who & c("minute_ok"),
-        "broad": later & ~c("any_id") & (dated | minute | c("transaction_id").isNotNull()) & (strict | boundary | (c("has_email") & ~dated & who)),
+        "broad": wide & strict,
+        "broad_boundary": wide & boundary,
+        "broad_identity": wide & c("has_email") & ~dated & who,
         "identifier": c("id_hit"),
         "date_boundary": later & dated & (c("has_email") | c("transaction_id").isNotNull() | c("customer_name").isNotNull() | minute) & agrees & (F.abs("day_gap") == 1) & c("minute_ok"),
         "identity_recovery": later & c("has_email") & (counted >= 2) & c("minute_ok") & c("date_ok"),
@@ -114,7 +117,7 @@ def tier(found: DataFrame, name: str) -> DataFrame:
 
 
 #: Reasons for one survivor and for several, by tier.
-ONE = {"strict": "EXACT_SINGLE_MATCH", "zone_boundary": "TIMEZONE_BOUNDARY_SINGLE_MATCH", "day_requery": "EXACT_SINGLE_MATCH", "identity_minute": "EXACT_SINGLE_MATCH", "identity_only": "EMAIL_SINGLE_MATCH", "customer_minute": "EXACT_SINGLE_MATCH", "broad": "EXACT_SINGLE_MATCH", "identifier": "TRANSACTION_ID_MATCH", "date_boundary": "DATE_BOUNDARY_SINGLE_MATCH", "identity_recovery": "IDENTITY_RECOVERED_FROM_STRIPE", "date_name": "CAPTIONLESS_DATE_NAME_SINGLE_MATCH", "canonical": "STRIPE_CANONICAL_RECOVERY_SINGLE_MATCH"}
+ONE = {"strict": "EXACT_SINGLE_MATCH", "zone_boundary": "TIMEZONE_BOUNDARY_SINGLE_MATCH", "day_requery": "EXACT_SINGLE_MATCH", "identity_minute": "EXACT_SINGLE_MATCH", "identity_only": "EMAIL_SINGLE_MATCH", "customer_minute": "EXACT_SINGLE_MATCH", "broad": "EXACT_SINGLE_MATCH", "broad_boundary": "TIMEZONE_BOUNDARY_SINGLE_MATCH", "broad_identity": "EMAIL_SINGLE_MATCH", "identifier": "TRANSACTION_ID_MATCH", "date_boundary": "DATE_BOUNDARY_SINGLE_MATCH", "identity_recovery": "IDENTITY_RECOVERED_FROM_STRIPE", "date_name": "CAPTIONLESS_DATE_NAME_SINGLE_MATCH", "canonical": "STRIPE_CANONICAL_RECOVERY_SINGLE_MATCH"}
 SEVERAL = {"identifier": "MULTIPLE_TRANSACTION_ID_MATCHES", "date_boundary": "MULTIPLE_DATE_BOUNDARY_MATCHES", "identity_recovery": "MULTIPLE_IDENTITY_RECOVERY_MATCHES", "date_name": "MULTIPLE_DATE_NAME_MATCHES", "canonical": "MULTIPLE_STRIPE_CANONICAL_MATCHES"}
 
 

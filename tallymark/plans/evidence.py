@@ -12,7 +12,11 @@ from tallymark.plans import linkage as L
 from tallymark.sources import fixtures as X
 
 AS_OF = X.AS_OF
-raw = F.col("raw_text")
+
+
+def raw():
+    """The receipt's text; a column needs a running session, so it is not made at import."""
+    return F.col("raw_text")
 
 
 def _texts(spark, sf_dir):
@@ -20,11 +24,11 @@ def _texts(spark, sf_dir):
 
 
 def _extracted(spark, sf_dir):
-    hour, minute = T.clock(raw)
-    iso, month, day = T.calendar(raw)
+    hour, minute = T.clock(raw())
+    iso, month, day = T.calendar(raw())
     return _texts(spark, sf_dir).select(
-        "receipt_id", F.lower(T.found(raw, T.EMAIL_INSIDE, 0)).alias("email"), T.amount_cents(raw).alias("amount_cents"), hour.alias("payment_hour"), minute.alias("minutes"),
-        iso.alias("payment_date"), month.alias("payment_month"), day.alias("payment_day"), T.status(raw).alias("status"), T.transaction_id(raw).alias("transaction_id"), T.customer_name(raw).alias("customer_name"),
+        "receipt_id", F.lower(T.found(raw(), T.EMAIL_INSIDE, 0)).alias("email"), T.amount_cents(raw()).alias("amount_cents"), hour.alias("payment_hour"), minute.alias("minutes"),
+        iso.alias("payment_date"), month.alias("payment_month"), day.alias("payment_day"), T.status(raw()).alias("status"), T.transaction_id(raw()).alias("transaction_id"), T.customer_name(raw()).alias("customer_name"),
     )
 
 
@@ -63,7 +67,7 @@ def field_confidence(spark, sf_dir):
 
 def text_field_quality(spark, sf_dir):
     shapes = [r"@", r"\$", r"[0-9]:[0-5][0-9]", T.ISO_DATE, T.IDENTIFIER_LABEL, T.PAYER_LABEL, r"(?i)\bcompleted\b"]
-    return _texts(spark, sf_dir).select("receipt_id", sum((raw.rlike(p).cast("long") for p in shapes[1:]), raw.rlike(shapes[0]).cast("long")).alias("quality"))
+    return _texts(spark, sf_dir).select("receipt_id", sum((raw().rlike(p).cast("long") for p in shapes[1:]), raw().rlike(shapes[0]).cast("long")).alias("quality"))
 
 
 def _expected(spark, sf_dir):
@@ -118,7 +122,7 @@ def fuse_extractions(spark, sf_dir):
 
 def fill_from_raw_text(spark, sf_dir):
     r = X.receipts(spark, sf_dir).select("receipt_id", "email", "minutes")
-    return r.join(_texts(spark, sf_dir), "receipt_id").select("receipt_id", F.coalesce(F.nullif("email", F.lit("")), F.lower(T.found(raw, T.EMAIL_INSIDE, 0))).alias("email"), F.coalesce("minutes", T.clock(raw)[1]).alias("minutes"))
+    return r.join(_texts(spark, sf_dir), "receipt_id").select("receipt_id", F.coalesce(F.nullif("email", F.lit("")), F.lower(T.found(raw(), T.EMAIL_INSIDE, 0))).alias("email"), F.coalesce("minutes", T.clock(raw())[1]).alias("minutes"))
 
 
 def _score(r):

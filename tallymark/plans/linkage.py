@@ -256,17 +256,18 @@ f2 AS (
     visible OR (NOT any_id AND (dated OR timed OR transaction_id IS NOT NULL)) AS later,
     CASE WHEN has_email OR transaction_id IS NOT NULL OR customer_name IS NOT NULL THEN identity OR id_hit OR same_name ELSE timed END AS agrees,
     CASE WHEN clock_gap IS NOT NULL THEN clock_gap <= 93900 WHEN dated THEN abs(day_gap) <= 1 WHEN relative_today THEN abs(created - received_at) <= 93900 ELSE false END AS near0 FROM f1),
+f3 AS (SELECT *, later AND NOT any_id AND (dated OR timed OR transaction_id IS NOT NULL) AS wide FROM f2),
 flags AS (
   SELECT *, visible AND strict0 AND (counted >= 2 OR has_email OR transaction_id IS NOT NULL) AS t_strict, visible AND boundary0 AS t_zone_boundary,
     NOT has_customer AND NOT any_id AND dated AND in_search AND who AND minute_ok AND (has_email OR date_ok) AS t_day_requery,
     visible AND has_email AND NOT dated AND who AND minute_ok AS t_identity_minute, visible AND has_email AND NOT dated AND who AS t_identity_only,
     customer_hit AND NOT dated AND who AND minute_ok AS t_customer_minute,
-    later AND NOT any_id AND (dated OR timed OR transaction_id IS NOT NULL) AND (strict0 OR boundary0 OR (has_email AND NOT dated AND who)) AS t_broad,
+    wide AND strict0 AS t_broad, wide AND boundary0 AS t_broad_boundary, wide AND has_email AND NOT dated AND who AS t_broad_identity,
     id_hit AS t_identifier,
     later AND dated AND (has_email OR transaction_id IS NOT NULL OR customer_name IS NOT NULL OR timed) AND agrees AND abs(day_gap) = 1 AND minute_ok AS t_date_boundary,
     later AND has_email AND counted >= 2 AND minute_ok AND date_ok AS t_identity_recovery,
     later AND customer_name IS NOT NULL AND dated AND same_name AND date_ok AND who AS t_date_name,
-    later AND (id_hit OR identity OR same_name) AND near0 AS t_canonical FROM f2)""",
+    later AND (id_hit OR identity OR same_name) AND near0 AS t_canonical FROM f3)""",
 ).rstrip()
 
 _ORDER = ["identifier", *[t for t in cascade.TIERS if t != "identifier"]]
@@ -324,7 +325,7 @@ _PLAIN = {
     explain_verdict: _VERDICTS + " SELECT receipt_id, reason_code, CASE WHEN starts_with(reason_code, 'MULTIPLE') THEN 'Several payments fit; a person must choose.' WHEN reason_code = 'NO_EXACT_MATCH' THEN 'No payment fits.' WHEN reason_code = 'INSUFFICIENT_STRIPE_EVIDENCE' THEN 'The receipt shows too little.' ELSE 'One payment fits.' END AS explanation FROM verdicts",
 }
 #: Operator names of section 2.3 by tier flag.
-_TIERS = {"tier_strict": "strict", "tier_timezone_boundary": "zone_boundary", "tier_day_requery": "day_requery", "tier_identity_minute": "identity_minute", "tier_identity_only": "identity_only", "tier_customer_minute": "customer_minute", "tier_broad_amount": "broad", "tier_transaction_id": "identifier", "tier_date_boundary": "date_boundary", "tier_identity_recovery": "identity_recovery", "tier_date_name": "date_name", "tier_canonical": "canonical"}
+_TIERS = {"tier_strict": "strict", "tier_timezone_boundary": "zone_boundary", "tier_day_requery": "day_requery", "tier_identity_minute": "identity_minute", "tier_identity_only": "identity_only", "tier_customer_minute": "customer_minute", "tier_broad_amount": "broad", "tier_broad_boundary": "broad_boundary", "tier_broad_identity": "broad_identity", "tier_transaction_id": "identifier", "tier_date_boundary": "date_boundary", "tier_identity_recovery": "identity_recovery", "tier_date_name": "date_name", "tier_canonical": "canonical"}
 _SETS = {"cand_by_identifier": "id_hit", "cand_by_customer": "customer_hit", "cand_by_amount": "in_search"}
 
 QUERIES = {f.__name__: f for f in _PLAIN} | {k: partial(_tier, v) for k, v in _TIERS.items()} | {k: partial(_by, v) for k, v in _SETS.items()} | {"verdict_cascade": _verdicts}
