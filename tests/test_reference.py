@@ -113,7 +113,8 @@ def test_gray_hash(spark):
     d = spark.createDataFrame([(i, p.ravel().tolist()) for i, p in enumerate(pixels)] + [(9, [1.0])], "i long, g array<double>")
     got = {r.i: r.phash for r in burst.gray_hashes(d, "i", "g").collect()}
     for i, p in enumerate(pixels):
-        c = [sum(p[y, x] * np.cos(np.pi * (2 * x + 1) * u / 64) * np.cos(np.pi * (2 * y + 1) * v / 64) for y in range(32) for x in range(32)) for u in range(8) for v in range(8)]
+        scale = lambda k: 0.5**0.5 if k == 0 else 1.0
+        c = [scale(u) * scale(v) * sum(p[a, b] * np.cos(np.pi * (2 * a + 1) * u / 64) * np.cos(np.pi * (2 * b + 1) * v / 64) for a in range(32) for b in range(32)) for u in range(8) for v in range(8)]
         middle = sorted(c[1:])[31]
         assert got[i] == f"{sum(1 << k for k in range(64) if c[k] > middle):016x}"
     assert got[9] is None
