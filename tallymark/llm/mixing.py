@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallymark.llm.common import whole
+from tallymark.llm.common import let, whole
 
 
 def uniform(key: Column, seed: str) -> Column:
@@ -25,21 +25,25 @@ def poisson(u: Column, rate: Column) -> Column:
     A mean above 30 is a sum of independent parts of 30 or less each, with u for the first and its hashes for the rest,
     so that no term underflows.
     """
-    parts = F.greatest(F.ceil(rate / 30), F.lit(1)).cast("int")
-    mean = rate / parts
+    most = F.lit(30 + 12 * 6 + 20)
 
-    def one(i: Column) -> Column:
-        v = F.when(i == 1, u).otherwise(uniform(F.concat_ws("/", u.cast("string"), i.cast("string")), "part"))
-        start = F.struct(F.exp(-mean).alias("p"), F.exp(-mean).alias("c"), F.lit(0).alias("k"), F.lit(0).alias("out"))
-        most = F.lit(30 + 12 * 6 + 20)
+    def one(x: Column) -> Column:
+        start = F.struct(x["e"].alias("p"), x["e"].alias("c"), F.lit(0).alias("out"))
 
         def step(acc: Column, k: Column) -> Column:
-            p = acc["p"] * mean / k
-            return F.struct(p.alias("p"), (acc["c"] + p).alias("c"), k.alias("k"), F.when(acc["c"] <= v, k).otherwise(acc["out"]).alias("out"))
+            p = acc["p"] * x["mean"] / k
+            return F.struct(p.alias("p"), (acc["c"] + p).alias("c"), F.when(acc["c"] <= x["v"], k).otherwise(acc["out"]).alias("out"))
 
         return F.aggregate(F.sequence(F.lit(1), most), start, step, lambda acc: acc["out"])
 
-    return F.when(rate > 0, F.aggregate(F.sequence(F.lit(1), parts), F.lit(0), lambda a, i: a + one(i))).otherwise(F.lit(0))
+    def part(x: Column, i: Column) -> Column:
+        v = F.when(i == 1, x["u"]).otherwise(uniform(F.concat_ws("/", x["u"].cast("string"), i.cast("string")), "part"))
+        mean = x["rate"] / x["parts"]
+        return let(F.struct(v.alias("v"), mean.alias("mean"), F.exp(-mean).alias("e")), one)
+
+    given = F.struct(u.alias("u"), rate.alias("rate"), F.greatest(F.ceil(rate / 30), F.lit(1)).cast("int").alias("parts"))
+    drawn = let(given, lambda x: F.aggregate(F.sequence(F.lit(1), x["parts"]), F.lit(0), lambda a, i: a + part(x, i)))
+    return F.when(rate > 0, drawn).otherwise(F.lit(0))
 
 
 def tempered(docs: DataFrame, source="source", power: float = 0.5) -> DataFrame:
