@@ -154,6 +154,27 @@ def test_repeated_passages(spark, sf, docs):
         assert sum((a & b).values()) >= 0.6 * sum((a | b).values())
 
 
+def test_two_passages_at_near_offsets(spark):
+    """Exact passages whose offsets differ by 6 to 15 words are both found, each where it is."""
+    rng = np.random.default_rng(5)
+    some = lambda n: [f"w{i}" for i in rng.integers(0, 1 << 40, n)]
+    rows, want = [], {}
+    for case, d in enumerate((6, 8, 10, 12, 15) * 4):
+        first, second = some(60), some(60)
+        for i, gap in ((2 * case, 20), (2 * case + 1, 20 + d)):
+            rows.append((i, " ".join(some(30) + first + some(gap) + second + some(30))))
+            want[i] = [(30, 90), (90 + gap, 150 + gap)]
+    got = defaultdict(list)
+    for r in passages.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect():
+        assert r.doc_id // 2 == r.other_id // 2
+        for i, a, z in ((r.doc_id, r.start, r.end), (r.other_id, r.other_start, r.other_end)):
+            got[i].append((a, z))
+    for i, both in want.items():
+        for a, z in both:
+            # Six functions may miss one now and then; a passage found is where it was planted, up to the tolerance at its ends.
+            assert any(s <= a + 6 and z - 6 <= e for s, e in got[i]), (i, both, got[i])
+
+
 def test_secrets(spark, sf, docs):
     for r in run(spark, sf, "op6_secret_scans"):
         t = docs[r.doc_id]
