@@ -8,7 +8,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pytest
 
-from tallymark.llm import line_templates, mixing, passages, secrets, token_counts, token_files, urls, vocabulary
+from tallymark.llm import decontamination, line_templates, mixing, passages, secrets, token_counts, token_files, urls, vocabulary
 from tallymark.llm.queries import QUERIES, ORACLE_SQL
 from tallymark.session import shared_dir
 
@@ -253,6 +253,31 @@ def test_contamination(spark, sf, docs):
         assert 100 * best >= 80 * (2 * (len(b) - 4) - best)
 
 
+def test_contamination_at_edges_and_at_the_limit(spark):
+    """All windows by brute force: items cut at a text's edge, texts shorter than the item, short items, an item's end replaced."""
+    rng = np.random.default_rng(10)
+    some = lambda n: [f"w{i}" for i in rng.integers(0, 1 << 40, n)]
+    items = {i: some(n) for i, n in enumerate([3, 4, 13, 20, 38, 45, *[59] * 12])}
+    texts = []
+    for w in items.values():
+        n = len(w)
+        e = max(e for e in range(n) if e == 0 or (n - 4 - e) * 100 >= 80 * (n - 4 + e))
+        texts += [w[1:] + some(30), some(30) + w[:-1], w[1:], w[:-1], some(9) + w + some(9), some(20) + w[: n - e] + some(e + 20), some(200)]
+    grams = lambda w: Counter(tuple(w[a : a + 5]) for a in range(max(1, len(w) - 4)))
+    want = set()
+    for d, t in enumerate(texts):
+        for i, w in items.items():
+            for a in range(max(1, len(t) - len(w) + 1)):
+                x, y = grams(t[a : a + len(w)]), grams(w)
+                if sum((x & y).values()) * 100 >= 80 * sum((x | y).values()):
+                    want.add((d, i))
+    docs = spark.createDataFrame([(d, " ".join(t)) for d, t in enumerate(texts)], "doc_id long, text string")
+    bench = spark.createDataFrame([(i, " ".join(w)) for i, w in items.items()], "item_id long, text string")
+    got = decontamination.contaminated(docs, bench).collect()
+    assert {(r.doc_id, r.item_id) for r in got} == want
+    assert all(r.start >= 0 and r.start + r.n_words <= len(texts[r.doc_id]) for r in got)
+
+
 def test_sql_of_mixing(spark, sf):
     import duckdb
 
