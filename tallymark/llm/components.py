@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallymark.session import cut
+from tallymark.session import cut, free
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -13,7 +13,8 @@ def components(links: DataFrame) -> DataFrame:
 
     Each round hangs a vertex's larger neighbours, then itself and its smaller ones, on the least neighbour; rounds grow
     with the logarithm of a component's diameter. Minima meet as one row per vertex and task, so a hub is no large group.
-    Links of a vertex to itself and nulls are ignored; an empty table gives an empty result.
+    Links of a vertex to itself and nulls are ignored; an empty table gives an empty result. The result is a table in the
+    shared folder, for the caller to ``free``.
     """
     now = cut(links.filter(F.col("a") != F.col("b")).select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
     seen = None
@@ -24,8 +25,12 @@ def components(links: DataFrame) -> DataFrame:
         large = cut(large)
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").filter(F.col("v") != F.col("m")).select(F.col("v").alias("u"), F.col("m").alias("v"))
-        now = cut(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct())
+        after = cut(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct())
+        free(now, large)
+        now = after
         mark = now.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()
         if mark == seen:
-            return now.select(F.col("u").alias("v"), F.col("v").alias("root"))
+            found = now.select(F.col("u").alias("v"), F.col("v").alias("root"))
+            found.scratch_path = now.scratch_path
+            return found
         seen = mark

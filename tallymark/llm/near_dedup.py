@@ -1,17 +1,22 @@
 """4. Near-duplicates by a chosen-path set similarity join over word shingles.
 
-Equal sets are one class from the start. A class has ``HASHES`` minwise tokens of its set. Each of ``trees`` independent
-trees puts classes into nodes by one of these tokens; a node is a set of classes that agree on a chosen path of tokens.
-
-* In every node each class is compared with the node's least one (a star), which settles groups of near copies without
-  all their pairs: what stars join is one component, and only comparisons across components can still matter.
-* In a node of up to ``small`` classes, or with as few outside its main component, those outside are compared with the
-  whole node: with the star that is exhaustive. From other nodes every class goes on into child nodes by further tokens,
-  1.25 of them on average, so that a pair at the threshold is expected to meet in each tree however deep it grows. At
-  ``depth`` whatever is left is compared across components.
-
-Comparisons first hold two bits of each minwise token against each other (a pair at 0.8 fails this about once in a
-million), then the full sets: a link is exact. Trees miss a pair at 0.8 with a chance below 0.5 ** trees.
+Equal sets are one class from the start. A class has ``HASHES`` minwise tokens of its set (16 bits each). Each of ``trees``
+independent trees puts classes into nodes by a path of tokens; its first ``PATH`` steps are taken at once. A pair at the
+threshold shares such a path with a chance of 0.8 ** 3, and misses all of 16 trees with one of 1 in 100 000. In a level:
+
+1. Twice, every class of a node is compared with the others there (in a large node with those of its own block, at random
+   and anew in each tree) and takes the most alike that isn't in its component yet. The best of these over all trees is
+   confirmed on full sets (in the second round the best 8), and components are made. This joins groups of copies with a
+   few pairs for each class.
+2. Then only classes outside a node's main component matter. Nodes with few of these, or of few tiles, are compared
+   exhaustively: the outside ones with the whole node, in tiles. From other nodes classes go on into child nodes by
+   further tokens, 1.25 of them on average, so that a pair at the threshold is expected to meet again however deep it
+   grows. At ``depth`` all that is left is compared.
+
+A comparison holds set sizes (exact: 100 * smaller >= percent * larger) and the equal tokens against each other: the first
+``SHORT`` in step 1, in step 2 those and a byte of each of the others (three standard deviations below the threshold, so
+that a pair right at it fails about once in 700 and one at 0.82 hardly ever); a pair is passed on by the first tree where it meets. Links are confirmed on full sets, which meet in cells of at
+most ``CELL`` sets of either component, not once for each pair.
 """
 
 from __future__ import annotations
@@ -25,28 +30,32 @@ from pyspark.sql import functions as F
 
 from tallymark.llm.common import lower_ascii, pick, shingles, whole, words
 from tallymark.llm.components import components
-from tallymark.session import cut
-
-HASHES, PART = 64, 4096
-#: Classes in candidate pairs that are sent to every task at most, about 50 MB; beyond that they are joined by shuffle.
+from tallymark.session import cut, free
+
+HASHES, SHORT, PATH, PART, CELL = 512, 64, 3, 128, 64
+#: Tiles of ``small`` by ``small`` classes up to which a node is compared rather than branched, however many are outside.
+WORK = 256
+#: Most alike classes of others that each class is held against, in the two rounds of step 1.
+ASKED = (1, 8)
+#: Classes whose sets are wanted that are sent to every task at most, about 50 MB; beyond that they are joined by shuffle.
 FEW = 1_000_000
 _RNG = np.random.default_rng(20240607)
 _MUL = _RNG.integers(1, 2**63, HASHES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _ADD = _RNG.integers(0, 2**63, HASHES, dtype=np.uint64)
-_BIT = np.uint64(1) << np.arange(HASHES, dtype=np.uint64)
 
 
 def _minwise(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Replaces ``set`` by its minwise tokens and two 64-bit words of their lowest bits."""
+    """Replaces ``set`` by its size and its minwise tokens: 16 bits of the first ``SHORT``, 8 bits of the others in ``more``."""
     for b in batches:
-        found = np.full((len(b), HASHES), np.iinfo(np.uint64).max, np.uint64)
+        least = np.full((len(b), HASHES), np.iinfo(np.uint64).max, np.uint64)
         for row, own in enumerate(b["set"]):
             own = np.asarray(own, np.int64).view(np.uint64)
             for i in range(0, len(own), PART):
-                np.minimum(found[row], (own[i : i + PART, None] * _MUL + _ADD).min(0), out=found[row])
-        found >>= np.uint64(32)
-        bits = [((found >> np.uint64(k)) & np.uint64(1)) @ _BIT for k in (0, 1)]
-        yield b.drop(columns="set").assign(n_shingles=[len(x) for x in b["set"]], tokens=list(found.astype(np.uint32).view(np.int32)), b0=bits[0].view(np.int64), b1=bits[1].view(np.int64))
+                np.minimum(least[row], (own[i : i + PART, None] * _MUL + _ADD).min(0), out=least[row])
+        least ^= least >> np.uint64(29)
+        tokens = (least * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(48)).astype("<u2")
+        short, more = tokens[:, :SHORT], tokens[:, SHORT:].astype(np.uint8)
+        yield b.drop(columns="set").assign(n_shingles=[len(x) for x in b["set"]], tokens=[x.tobytes() for x in short], more=[x.tobytes() for x in more])
 
 
 def _sets(docs: DataFrame, k: int) -> DataFrame:
@@ -58,86 +67,285 @@ def _sets(docs: DataFrame, k: int) -> DataFrame:
     return found.withColumn("cls", F.unhex(F.concat(*halves)))
 
 
-def _alike(a: str, b: str, most: int) -> Column:
-    x = lambda w: F.col(f"{a}.{w}").bitwiseXOR(F.col(f"{b}.{w}"))
-    return F.bit_count(x("b0").bitwiseOR(x("b1"))) <= most
+def whole_groups(batches: Iterator[pd.DataFrame], *key: str) -> Iterator[tuple[pd.DataFrame, list[tuple[int, int]]]]:
+    """Frames of whole groups and the groups' row ranges, from batches where a group's rows stand together."""
+    rest = None
+    for b in batches:
+        b = b if rest is None else pd.concat([rest, b], ignore_index=True)
+        if not len(b):
+            continue
+        last = np.ones(len(b), bool)
+        for k in key:
+            last &= (b[k] == b[k].iloc[-1]).to_numpy()
+        at = 0 if last.all() else len(b) - int(np.argmin(last[::-1]))
+        if at:
+            yield b.iloc[:at].reset_index(drop=True), _ranges(b.iloc[:at], key)
+        rest = b.iloc[at:].reset_index(drop=True)
+    if rest is not None and len(rest):
+        yield rest, _ranges(rest, key)
+
+
+def _ranges(b: pd.DataFrame, key: tuple[str, ...]) -> list[tuple[int, int]]:
+    edge = np.zeros(len(b) - 1, bool)
+    for k in key:
+        v = b[k].to_numpy()
+        edge |= v[1:] != v[:-1]
+    cuts = [0, *(np.flatnonzero(edge) + 1).tolist(), len(b)]
+    return list(zip(cuts, cuts[1:]))
+
+
+class _Compare:
+    """What two lots of rows of one frame have in common."""
+
+    def __init__(self, b: pd.DataFrame, percent: int):
+        self.tokens = np.frombuffer(b"".join(b["tokens"]), "<u2").reshape(len(b), SHORT)
+        self.more = np.frombuffer(b"".join(b["more"]), np.uint8).reshape(len(b), HASHES - SHORT) if "more" in b else None
+        self.n, self.percent = b["n_shingles"].to_numpy(), percent
+        self.component = pd.factorize(b["component"])[0]
+        share = percent / 100
+        least = lambda n: int(np.ceil(n * (share - 3 * (share * (1 - share) / n) ** 0.5)))
+        self.least, self.least_of_all = least(SHORT), least(HASHES)
+
+    def alike(self, x, y) -> np.ndarray:
+        """Equal tokens of each of ``x`` with each of ``y``, -1 where the two can't be linked or are in one component."""
+        same = (self.tokens[x][:, None] == self.tokens[y][None]).sum(2, dtype=np.int16)
+        a, b = self.n[x][:, None], self.n[y][None]
+        can = same >= self.least
+        if self.more is not None and can.any():
+            i, j = np.nonzero(can)
+            for at in range(0, len(i), 1 << 14):
+                part = slice(at, at + (1 << 14))
+                can[i[part], j[part]] = same[i[part], j[part]] + (self.more[x][i[part]] == self.more[y][j[part]]).sum(1) >= self.least_of_all
+        can &= (100 * np.minimum(a, b) >= self.percent * np.maximum(a, b)) & (self.component[x][:, None] != self.component[y][None])
+        return np.where(can, same, -1)
+
+
+def _best(percent: int, small: int):
+    def best(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """Rows (node, tree, size, a, b, alike): each class's most alike one of its tile; in large nodes also those without one."""
+        for b, groups in whole_groups(batches, "node", "tile"):
+            held = _Compare(b, percent)
+            other, most = np.full(len(b), -1), np.full(len(b), -1, np.int32)
+            for a, z in groups:
+                if z - a > 1:
+                    alike = held.alike(slice(a, z), slice(a, z))
+                    other[a:z], most[a:z] = alike.argmax(1) + a, alike.max(1)
+            cls = b["cls"].to_numpy()
+            found = b[["node", "tree", "size"]].assign(a=cls, b=np.where(most >= 0, cls[other], None), alike=most)
+            yield found[(most >= 0) | (b["size"].to_numpy() > small)]
+
+    return best
+
+
+def _across(percent: int, trees: int):
+    def across(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """Rows (a, b, a_chunk, b_chunk): the pairs of a tile's visitors and members that may be linked, unless an earlier tree has them."""
+        for b, groups in whole_groups(batches, "node", "tile"):
+            held = _Compare(b, percent)
+            path = held.tokens[:, : PATH * trees].reshape(len(b), trees, PATH)
+            role, outside, cls, chunk = (b[c].to_numpy() for c in ("role", "outside", "cls", "chunk"))
+            for a, z in groups:
+                x, y = np.flatnonzero(role[a:z] & 1) + a, np.flatnonzero(role[a:z] & 2) + a
+                if not len(x) or not len(y):
+                    continue
+                i, j = np.nonzero(held.alike(x, y) >= 0)
+                x, y = x[i], y[j]
+                once = ~outside[y] | np.array([p < q for p, q in zip(cls[x], cls[y])], bool)
+                x, y = x[once], y[once]
+                tree, later = int(b["tree"].iat[a]), int(b["later"].iat[a])
+                if tree >= 0 and len(x):
+                    earlier = [t for t in range(tree) if not later >> t & 1]
+                    first = ~(path[x][:, earlier] == path[y][:, earlier]).all(2).any(1)
+                    x, y = x[first], y[first]
+                if len(x):
+                    low = np.array([p < q for p, q in zip(cls[x], cls[y])], bool)
+                    one, two = np.where(low, x, y), np.where(low, y, x)
+                    yield pd.DataFrame({"a": cls[one], "b": cls[two], "a_chunk": chunk[one], "b_chunk": chunk[two]})
+
+    return across
+
+
+def _linked_in_cells(percent: int):
+    def linked(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """Rows (a, b): those pairs of a cell whose full sets are similar enough."""
+        for b, groups in whole_groups(batches, "cell"):
+            found = []
+            for at, z in groups:
+                part = b.iloc[at:z]
+                is_set = part["b"].isna().to_numpy()
+                own = {c: np.sort(np.asarray(s, np.int64)) for c, s in zip(part["a"][is_set], part["set"][is_set], strict=True)}
+                for a, c in zip(part["a"][~is_set], part["b"][~is_set], strict=True):
+                    x, y = own[a], own[c]
+                    place = np.minimum(np.searchsorted(y, x), len(y) - 1)
+                    both = int((y[place] == x).sum())
+                    if both * 100 >= (len(x) + len(y) - both) * percent:
+                        found.append((a, c))
+            yield pd.DataFrame(found, columns=["a", "b"])
+
+    return linked
+
+
+class _Join:
+    """State of one join: classes, confirmed components, and the sets made so far."""
+
+    def __init__(self, docs: DataFrame, k: int, percent: int, classes: DataFrame):
+        self.docs, self.k, self.percent, self.classes = docs, k, percent, classes
+        self.roots: DataFrame | None = None
+        self.sets: list[DataFrame] = []
+
+    def labelled(self, *columns: str) -> DataFrame:
+        """(cls, columns, component)."""
+        own = self.classes.select("cls", *columns)
+        if self.roots is None:
+            return own.withColumn("component", F.col("cls"))
+        return own.join(self.roots.withColumnRenamed("v", "cls"), "cls", "left").withColumn("component", F.coalesce("root", "cls")).drop("root")
+
+    def chunks(self) -> DataFrame:
+        """(cls, chunk) of the classes in components: about ``CELL`` classes of a component are a chunk."""
+        if self.roots is None:
+            return self.classes.select("cls", F.xxhash64("cls").alias("chunk")).limit(0)
+        sizes = self.roots.groupBy("root").agg(F.count("*").alias("n"))
+        part = F.pmod(F.xxhash64("v"), F.ceil(F.col("n") / CELL).cast("int"))
+        return self.roots.join(sizes, "root").select(F.col("v").alias("cls"), F.xxhash64("root", part).alias("chunk"))
+
+    def _make_sets(self, pairs: DataFrame) -> None:
+        """Sets of the classes in ``pairs`` that have none yet, from the text of a document of each."""
+        ends = pairs.select(F.col("a").alias("cls")).union(pairs.select("b")).distinct()
+        for known in self.sets:
+            ends = ends.join(known.select("cls"), "cls", "left_anti")
+        wanted = cut(self.classes.join(ends, "cls", "left_semi").select(F.col("doc_id").alias("d"), F.col("tie").alias("t")))
+        n = wanted.count()
+        if n:
+            few = F.broadcast(wanted) if n <= FEW else wanted
+            own = self.docs.withColumn("tie", F.xxhash64("text")).join(few, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("tie") == F.col("t")), "left_semi")
+            self.sets.append(cut(_sets(own.select("doc_id", "text"), self.k).select("cls", "set").dropDuplicates(["cls"])))
+        free(wanted)
+
+    def confirm(self, pairs: DataFrame) -> int:
+        """Adds the links among ``pairs`` (a, b, a_chunk, b_chunk), a table of its own, to the components; their number."""
+        self._make_sets(pairs)
+        cell = F.xxhash64(F.least("a_chunk", "b_chunk"), F.greatest("a_chunk", "b_chunk")).alias("cell")
+        tests = pairs.select("a", "b", cell)
+        ends = cut(tests.select("cell", F.col("a").alias("cls")).union(tests.select("cell", "b")).distinct())
+        sets = self.sets[0]
+        for more in self.sets[1:]:
+            sets = sets.unionByName(more)
+        few = F.broadcast(ends) if ends.count() <= FEW else ends
+        rows = sets.join(few, "cls").select("cell", F.col("cls").alias("a"), F.lit(None).cast("binary").alias("b"), "set")
+        rows = rows.unionByName(tests.select("cell", "a", "b", F.lit(None).cast("array<bigint>").alias("set")))
+        found = cut(rows.repartition("cell").sortWithinPartitions("cell").mapInPandas(_linked_in_cells(self.percent), "a binary, b binary"))
+        n = found.count()
+        if n:
+            before, links = self.roots, found
+            if before is not None:
+                links = links.unionByName(before.select(F.col("v").alias("a"), F.col("root").alias("b")))
+            self.roots = components(links)
+            free(before)
+        free(ends, found)
+        return n
 
 
 def _counted(nodes: DataFrame) -> DataFrame:
-    """Rows of nodes with two classes or more, with the node's ``size``."""
+    """Rows (node, tree, cls) of nodes with two classes or more, with the node's ``size``."""
     sizes = nodes.groupBy("node").agg(F.count("*").alias("size")).filter("size > 1")
     return cut(nodes.join(sizes, "node"))
 
 
-def _pairs(left: DataFrame, right: DataFrame, on: Column, most: int) -> DataFrame:
-    a, b = F.col("a.cls"), F.col("b.cls")
-    met = left.alias("a").join(right.alias("b"), (F.col("a.node") == F.col("b.node")) & on & _alike("a", "b", most))
-    return met.select(F.least(a, b).alias("a"), F.greatest(a, b).alias("b"))
-
-
-def _verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, k: int, percent: int) -> DataFrame:
-    """The pairs whose full sets are similar enough. Sets are made anew for just the classes in ``pairs``, from a document of each."""
-    ends = pairs.select(F.col("a").alias("cls")).union(pairs.select("b")).distinct()
-    wanted = cut(classes.join(ends, "cls", "left_semi").select(F.col("doc_id").alias("d"), F.col("tie").alias("t")))
-    wanted = F.broadcast(wanted) if wanted.count() <= FEW else wanted
-    own = docs.withColumn("tie", F.xxhash64("text")).join(wanted, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("tie") == F.col("t")), "left_semi")
-    sets = cut(_sets(own.select("doc_id", "text"), k).select("cls", "set").dropDuplicates(["cls"]))
-    joined = pairs.join(sets.select(F.col("cls").alias("a"), F.col("set").alias("sa")), "a").join(sets.select(F.col("cls").alias("b"), F.col("set").alias("sb")), "b")
-    both = F.size(F.array_intersect("sa", "sb"))
-    return cut(joined.filter(both * 100 >= (F.size("sa") + F.size("sb") - both) * percent).select("a", "b"))
-
-
-def _with_component(nodes: DataFrame, roots: DataFrame) -> DataFrame:
-    found = nodes.join(roots.select(F.col("v").alias("cls"), "root"), "cls", "left")
-    return found.withColumn("component", F.coalesce("root", "cls")).drop("root")
+def _tiled(rows: DataFrame) -> DataFrame:
+    return rows.repartition("node", "tile").sortWithinPartitions("node", "tile", "cls")
 
 
 def _branches(node: Column) -> Column:
     """Numbers of the tokens by which a node's classes go on: one, and with a chance of a quarter a second."""
-    one, two = F.pmod(F.xxhash64(node, F.lit(1)), F.lit(HASHES)).cast("int"), F.pmod(F.xxhash64(node, F.lit(2)), F.lit(HASHES)).cast("int")
+    one, two = F.pmod(F.xxhash64(node, F.lit(1)), F.lit(SHORT)).cast("int"), F.pmod(F.xxhash64(node, F.lit(2)), F.lit(SHORT)).cast("int")
     return F.when((F.pmod(F.xxhash64(node, F.lit(3)), F.lit(4)) == 0) & (one != two), F.array(one, two)).otherwise(F.array(one))
 
 
+def _level(join: _Join, held: DataFrame, trees: int, small: int, last: bool) -> DataFrame | None:
+    """Joins what the nodes ``held`` show; the child nodes of those that must go on, if any. ``held`` is freed."""
+    schema = "node long, tree int, size long, a binary, b binary, alike int"
+    for most in ASKED:
+        tile = F.pmod(F.xxhash64("cls", "node"), F.ceil(F.col("size") / small).cast("int")).alias("tile")
+        rows = held.select("node", "tree", "size", "cls", tile).join(join.labelled("n_shingles", "tokens"), "cls")
+        found = cut(_tiled(rows).mapInPandas(_best(join.percent, small), schema))
+        ranked = F.sort_array(F.collect_set(F.struct("alike", "b")), asc=False)  # one row of each tree at most
+        best = found.filter("b is not null").groupBy("a").agg(F.slice(ranked, 1, most).alias("m")).select("a", F.explode("m.b").alias("o"))
+        pairs = best.select(F.least("a", "o").alias("a"), F.greatest("a", "o").alias("b")).distinct()
+        pairs = cut(pairs.withColumns({"a_chunk": F.xxhash64("a"), "b_chunk": F.xxhash64("b")}))
+        if not pairs.isEmpty():
+            join.confirm(pairs)
+        free(held, pairs)
+        held = found.select("node", "tree", F.col("a").alias("cls"), "size")
+        held.scratch_path = found.scratch_path
+
+    label = join.labelled()
+    rows = cut(held.select("node", "tree", "cls").join(label, "cls"))
+    free(held)
+    shares = rows.groupBy("node", "component").agg(F.count("*").alias("n"))
+    main = shares.groupBy("node").agg(F.max(F.struct("n", "component")).alias("m"), F.sum("n").alias("size"))
+    main = main.select("node", F.col("m.component").alias("main"), "size", (F.col("size") - F.col("m.n")).alias("out")).filter("out > 0")
+    left = cut(rows.join(main, "node"))
+    free(rows)
+    now = (F.col("out") <= small) | (F.col("size") * F.col("out") <= WORK * small * small) | F.lit(last)
+    going = left.filter(~now).select("node", "tree", "cls")
+    deeper = not last and not going.isEmpty()
+
+    tiles = lambda n: F.ceil(F.col(n) / small).cast("int")
+    mine = left.filter(now).withColumns({"outside": F.col("component") != F.col("main"), "at": F.pmod(F.xxhash64("cls"), tiles("size")), "by": F.pmod(F.xxhash64("cls"), tiles("out"))})
+    if deeper:
+        later = going.filter("tree >= 0").groupBy("cls").agg(F.bit_or(F.pow(F.lit(2), F.col("tree")).cast("int")).alias("later"))
+        mine = mine.join(later, "cls", "left").withColumn("later", F.coalesce("later", F.lit(0)))
+    else:
+        mine = mine.withColumn("later", F.lit(0))
+    keep = ["node", "tree", "later", "cls", "outside"]
+    one = F.col("size") <= small  # a single tile, where a row is visitor and member
+    members = mine.select(*keep, F.when(one & F.col("outside"), 3).otherwise(2).alias("role"), "at", "size", F.explode(F.sequence(F.lit(0), tiles("out") - 1)).alias("by"))
+    visitors = mine.filter(~one & F.col("outside")).select(*keep, F.lit(1).alias("role"), "by", "size", F.explode(F.sequence(F.lit(0), tiles("size") - 1)).alias("at"))
+    both = members.unionByName(visitors).withColumn("tile", F.col("by") * tiles("size") + F.col("at")).select(*keep, "role", "tile")
+    large = join.chunks()
+    own = join.labelled("n_shingles", "tokens", "more").join(large, "cls", "left").withColumn("chunk", F.coalesce("chunk", F.xxhash64("cls")))
+    schema = "a binary, b binary, a_chunk long, b_chunk long"
+    pairs = cut(_tiled(both.join(own, "cls")).mapInPandas(_across(join.percent, trees), schema).distinct())
+    if not pairs.isEmpty():
+        join.confirm(pairs)
+    free(pairs)
+    if not deeper:
+        free(left)
+        return None
+    own = going.join(join.classes.select("cls", "tokens"), "cls")
+    token = F.substring("tokens", F.col("i") * 2 + 1, F.lit(2))
+    child = own.select("cls", "tokens", "node", F.explode(_branches(F.col("node"))).alias("i")).select(F.xxhash64("node", "i", token).alias("node"), F.lit(-1).alias("tree"), "cls")
+    child = _counted(child)
+    free(left)
+    return child
+
+
 def _linked(docs: DataFrame, k: int, percent: int, trees: int, small: int, depth: int) -> tuple[DataFrame, DataFrame]:
     """Every row's (doc_id, tie, cls, n_shingles) and every class's (cls, component_id)."""
     ids = docs.schema["doc_id"].dataType.simpleString()
-    most = int(HASHES * (0.75 * (1 - percent / 100)) + 5 * (HASHES * 0.75 * (1 - percent / 100) * (1 - 0.75 * (1 - percent / 100))) ** 0.5)
-    rows = cut(_sets(docs, k).mapInPandas(_minwise, f"doc_id {ids}, tie long, cls binary, n_shingles long, tokens array<int>, b0 long, b1 long"))
+    rows = cut(_sets(docs, k).mapInPandas(_minwise, f"doc_id {ids}, tie long, cls binary, n_shingles long, tokens binary, more binary"))
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "tie")).alias("first")
-    classes = cut(rows.filter("n_shingles > 0").groupBy("cls").agg(first, F.min(F.struct("b0", "b1", "tokens")).alias("s")).select("cls", "first.doc_id", "first.tie", "s.*"))
-
-    start = F.explode(F.transform(F.sequence(F.lit(0), F.lit(trees - 1)), lambda t: F.xxhash64(t, F.get(F.col("tokens"), t))))
-    nodes = _counted(classes.select(start.alias("node"), "cls", "b0", "b1"))
-    links = roots = None
+    classes = cut(rows.filter("n_shingles > 0").groupBy("cls").agg(first, F.min(F.struct("n_shingles", "tokens", "more")).alias("s")).select("cls", "first.doc_id", "first.tie", "s.*"))
+    path = lambda t: F.xxhash64(F.lit(t), F.substring("tokens", F.lit(2 * PATH * t + 1), F.lit(2 * PATH)))
+    start = F.explode(F.array(*[F.struct(path(t).alias("node"), F.lit(t).alias("tree")) for t in range(trees)])).alias("s")
+    join = _Join(docs, k, percent, classes)
+    held = _counted(classes.select("cls", start).select("s.node", "s.tree", "cls"))
     for level in range(1, depth + 1):
-        centre = nodes.groupBy("node").agg(F.min(F.struct(F.xxhash64("cls").alias("h"), "cls", "b0", "b1")).alias("c")).select("node", "c.cls", "c.b0", "c.b1")
-        stars = cut(_pairs(nodes, centre, F.col("a.cls") != F.col("b.cls"), most).distinct())
-        found = _verified(stars, docs, classes, k, percent)
-        links = found if links is None else links.unionByName(found)
-        roots = components(links)
-        mine = _with_component(nodes, roots)
-        shares = mine.groupBy("node", "component").agg(F.count("*").alias("n"))
-        main = shares.groupBy("node").agg(F.max(F.struct("n", "component")).alias("m"), F.sum("n").alias("all")).select("node", F.col("m.component").alias("main"), (F.col("all") - F.col("m.n")).alias("outside"))
-        mine = cut(mine.join(main.filter("outside > 0"), "node"))
-        small_now = (F.col("size") <= small) | (F.col("outside") <= small) | F.lit(level == depth)
-        near = mine.filter(small_now)
-        apart = F.col("a.component") != F.col("b.component")
-        more = cut(_pairs(near.filter(F.col("component") != F.col("main")), near, apart, most).distinct())
-        if not more.isEmpty():
-            links = links.unionByName(_verified(more, docs, classes, k, percent))
-            roots = components(links)
-        going = mine.filter(~small_now)
-        if level == depth or going.isEmpty():
+        held = _level(join, held, trees, small, level == depth)
+        if held is None or held.isEmpty():
             break
-        own = going.select("node", "cls").join(classes.select("cls", "tokens", "b0", "b1"), "cls")
-        child = own.select("cls", "b0", "b1", "tokens", "node", F.explode(_branches(F.col("node"))).alias("i"))
-        nodes = _counted(child.select(F.xxhash64("node", "i", F.get("tokens", F.col("i"))).alias("node"), "cls", "b0", "b1"))
-    in_one = classes.select("cls", "doc_id").join(roots.select(F.col("v").alias("cls"), "root"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
+    in_one = classes.select("cls", "doc_id")
+    if join.roots is None:
+        in_one = in_one.withColumn("root", F.col("cls"))
+    else:
+        in_one = in_one.join(join.roots.withColumnRenamed("v", "cls"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
     least = in_one.groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    return rows.select("doc_id", "tie", "cls", "n_shingles"), cut(in_one.join(least, "root").select("cls", "component_id"))
+    found = cut(in_one.join(least, "root").select("cls", "component_id"))
+    free(classes, join.roots, *join.sets)
+    return rows.select("doc_id", "tie", "cls", "n_shingles"), found
 
 
-def near_duplicates(docs: DataFrame, doc_id="doc_id", text="text", k: int = 5, percent: int = 80, trees: int = 20, small: int = 256, depth: int = 8) -> DataFrame:
+def near_duplicates(docs: DataFrame, doc_id="doc_id", text="text", k: int = 5, percent: int = 80, trees: int = 16, small: int = 256, depth: int = 8) -> DataFrame:
     """One row per input row: doc_id, n_shingles, component_id, kept, and ``tie``, a hash of the text.
 
     Documents are linked at a similarity of ``percent`` / 100 or more; ``component_id`` is the least doc_id reachable.
