@@ -2,9 +2,9 @@
 
 A line's tokens are its words, with ``<*>`` for one that holds a digit. The tree has a fixed depth: a line goes to the leaf
 of its token count and its first ``lead`` tokens. In a leaf a line that stands in ``min_docs`` documents is a template as it
-is; of the other lines, a token is constant where at least two documents and a tenth of the leaf's different lines have it
-at that place, and a variable field (``<*>``) otherwise. A template with at least half of its tokens constant that stands in
-``min_docs`` documents recurs. Only lines of leaves that two documents reach are ever compared token by token, and equal
+is. Beyond the leading tokens, one is constant where at least ``min_docs`` different lines of the leaf, from two documents or
+more, have it at that place, however large the leaf is, and a variable field (``<*>``) otherwise. A template with at least
+half of its tokens constant, all of whose lines together stand in ``min_docs`` documents, recurs. Only lines of leaves that two documents reach are ever compared token by token, and equal
 lines of a leaf are one row by then, so a line that very many documents share is no large group.
 """
 
@@ -34,16 +34,16 @@ def recurring_lines(docs: DataFrame, lead: int = 4, min_docs: int = 5) -> DataFr
     per_doc = met.groupBy("leaf", "same", "d").agg(F.count("*").alias("n"))
     kinds = per_doc.groupBy("leaf", "same").agg(F.count("*").alias("docs"), F.min("d").alias("low"), F.max("d").alias("high"))
     kinds = cut(kinds)
-    rare = kinds.filter(F.col("docs") < min_docs)
-    texts = met.select("leaf", "same", "tokens").join(rare, ["leaf", "same"]).dropDuplicates(["leaf", "same"])
-    cells = texts.select("leaf", "same", "low", "high", F.posexplode_outer("tokens").alias("at", "token"))
-    size = rare.groupBy("leaf").agg(F.count("*").alias("lines"))
-    held = cells.groupBy("leaf", "at", "token").agg(F.count("*").alias("n"), F.min("low").alias("low"), F.max("high").alias("high")).join(size, "leaf")
-    constant = held.filter((F.col("low") < F.col("high")) & (F.col("n") * 10 >= F.col("lines")) & (F.col("token") != FIELD)).select("leaf", "at", "token", F.lit(True).alias("fixed"))
-    filled = cells.join(constant, ["leaf", "at", "token"], "left").select("leaf", "same", "at", F.when(F.col("fixed"), F.col("token")).otherwise(F.lit(FIELD)).alias("token"))
-    template = filled.groupBy("leaf", "same").agg(F.array_sort(F.collect_list(F.struct("at", "token"))).alias("cells"))
-    fixed = F.size(F.filter("cells", lambda x: x["token"] != FIELD))
-    template = template.filter(fixed * 2 >= F.size("cells")).select("leaf", "same", F.xxhash64("leaf", F.transform("cells", lambda x: x["token"])).alias("template"))
+    texts = met.select("leaf", "same", "tokens").join(kinds.select("leaf", "same", "low", "high"), ["leaf", "same"]).dropDuplicates(["leaf", "same"])
+    # The leading tokens are the leaf's own: only what follows is compared, so that no place is one key for a whole leaf.
+    lead_fixed, after = F.size(F.filter(F.slice("tokens", 1, lead), lambda x: x != FIELD)), F.slice("tokens", lead + 1, F.greatest(F.size("tokens") - lead, F.lit(0)))
+    cells = texts.select("leaf", "same", "low", "high", F.size("tokens").alias("n"), lead_fixed.alias("lead_fixed"), F.posexplode_outer(after).alias("at", "token"))
+    held = cells.filter((F.col("token") != FIELD)).groupBy("leaf", "at", "token").agg(F.count("*").alias("n"), F.min("low").alias("low"), F.max("high").alias("high"))
+    constant = held.filter((F.col("low") < F.col("high")) & (F.col("n") >= min_docs)).select("leaf", "at", "token", F.lit(True).alias("fixed"))
+    filled = cells.join(constant, ["leaf", "at", "token"], "left").select("leaf", "same", "n", "lead_fixed", "at", F.when(F.col("at").isNotNull(), F.when(F.col("fixed"), F.col("token")).otherwise(F.lit(FIELD))).alias("token"))
+    template = filled.groupBy("leaf", "same", "n", "lead_fixed").agg(F.array_sort(F.collect_list(F.when(F.col("at").isNotNull(), F.struct("at", "token")))).alias("cells"))
+    fixed = F.col("lead_fixed") + F.size(F.filter("cells", lambda x: x["token"] != FIELD))
+    template = template.filter(fixed * 2 >= F.col("n")).select("leaf", "same", F.xxhash64("leaf", F.transform("cells", lambda x: x["token"])).alias("template"))
     template = cut(template)
     wide = met.select("leaf", "same", "d").distinct().join(template, ["leaf", "same"]).select("template", "d").distinct()
     often = wide.groupBy("template").agg(F.count("*").alias("docs")).filter(F.col("docs") >= min_docs).select("template")
