@@ -2,7 +2,7 @@
 
 A source's rate is its target share of the output over its documents, ``size * weight / sum of weights / n``. A document's
 copies are the inverse of the Poisson distribution with that mean at a uniform number seeded by its id, so no state is
-shared and a rerun gives the same. Copies are exploded and put in the order of a hash: a global shuffle.
+shared and a rerun gives the same. The cumulative probabilities are made once for each source. Copies are exploded and put in the order of a hash: a global shuffle.
 """
 
 from __future__ import annotations
@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallymark.llm.common import let, whole
+from tallymark.session import cut
 
 
 def uniform(key: Column, seed: str) -> Column:
@@ -19,31 +20,37 @@ def uniform(key: Column, seed: str) -> Column:
     return F.conv(F.substring(digest, 1, 13), 16, 10).cast("double") / float(1 << 52)
 
 
-def poisson(u: Column, rate: Column) -> Column:
-    """Least k with u below the Poisson cumulative probability at k, terms summed in steps of at most 30 of the mean.
-
-    A mean above 30 is a sum of independent parts of 30 or less each, with u for the first and its hashes for the rest,
-    so that no term underflows.
-    """
-    most = F.lit(30 + 12 * 6 + 20)
+def cumulative(mean: Column) -> Column:
+    """Cumulative Poisson probabilities at 0, 1, .. as far as they grow, for means up to 30."""
 
-    def one(x: Column) -> Column:
-        start = F.struct(x["e"].alias("p"), x["e"].alias("c"), F.lit(0).alias("out"))
+    def of(m: Column) -> Column:
+        start = F.struct(F.exp(-m).alias("p"), F.array(F.exp(-m)).alias("c"))
 
         def step(acc: Column, k: Column) -> Column:
-            p = acc["p"] * x["mean"] / k
-            return F.struct(p.alias("p"), (acc["c"] + p).alias("c"), F.when(acc["c"] <= x["v"], k).otherwise(acc["out"]).alias("out"))
+            p = acc["p"] * m / k
+            return F.struct(p.alias("p"), F.array_append(acc["c"], F.element_at(acc["c"], -1) + p).alias("c"))
+
+        return F.array_distinct(F.aggregate(F.sequence(F.lit(1), F.lit(30 + 12 * 6 + 20)), start, step, lambda acc: acc["c"]))
+
+    return let(mean, of)
 
-        return F.aggregate(F.sequence(F.lit(1), most), start, step, lambda acc: acc["out"])
 
-    def part(x: Column, i: Column) -> Column:
-        v = F.when(i == 1, x["u"]).otherwise(uniform(F.concat_ws("/", x["u"].cast("string"), i.cast("string")), "part"))
-        mean = x["rate"] / x["parts"]
-        return let(F.struct(v.alias("v"), mean.alias("mean"), F.exp(-mean).alias("e")), one)
+def drawn(u: Column, parts: Column, table: Column) -> Column:
+    """Sum of ``parts`` draws by inversion: u for the first, its hashes for the rest; a draw is how many of ``table`` are not above it."""
+    one = lambda v, c: F.size(F.filter(c, lambda x: x <= v))
+    rest = lambda x, i: let(F.struct(uniform(F.concat_ws("/", x["u"].cast("string"), i.cast("string")), "part").alias("v"), x["c"].alias("c")), lambda y: one(y["v"], y["c"]))
+    many = lambda x: F.aggregate(F.sequence(F.lit(2), x["parts"]), one(x["u"], x["c"]), lambda a, i: a + rest(x, i))
+    return let(F.struct(u.alias("u"), parts.alias("parts"), table.alias("c")), lambda x: F.when(x["parts"] == 1, one(x["u"], x["c"])).otherwise(many(x)))
 
-    given = F.struct(u.alias("u"), rate.alias("rate"), F.greatest(F.ceil(rate / 30), F.lit(1)).cast("int").alias("parts"))
-    drawn = let(given, lambda x: F.aggregate(F.sequence(F.lit(1), x["parts"]), F.lit(0), lambda a, i: a + part(x, i)))
-    return F.when(rate > 0, drawn).otherwise(F.lit(0))
+
+def parts_of(rate: Column) -> Column:
+    """A mean above 30 is a sum of this many independent ones of 30 or less each, so that no term underflows."""
+    return F.greatest(F.ceil(rate / 30), F.lit(1)).cast("int")
+
+
+def poisson(u: Column, rate: Column) -> Column:
+    """Least k with u below the Poisson cumulative probability at k; 0 for rates not above 0."""
+    return F.when(rate > 0, drawn(u, parts_of(rate), cumulative(rate / parts_of(rate)))).otherwise(F.lit(0))
 
 
 def tempered(docs: DataFrame, source="source", power: float = 0.5) -> DataFrame:
@@ -64,9 +71,13 @@ def mix(docs: DataFrame, weights: DataFrame, doc_id="doc_id", source="source", s
     all_ = counts.agg(F.sum("n").alias("docs")).join(found.agg(F.sum("weight").alias("weights")), F.lit(True))
     target = F.lit(size) if size is not None else F.col("docs")
     rates = found.join(all_, F.lit(True)).select(F.col("source").alias("s"), (target * F.col("weight") / F.col("weights") / F.col("n")).alias("rate"))
+    rates = cut(rates.withColumn("parts", parts_of(F.col("rate"))).withColumn("table", cumulative(F.col("rate") / F.col("parts"))))
     rows = whole(docs, F.col(f"`{source}`").alias("source"), F.col(f"`{doc_id}`").cast("string").alias("key"))
     joined = rows.join(rates, F.col("source").eqNullSafe(F.col("s")))
-    copies = joined.withColumn("copies", poisson(uniform(F.col("key"), seed), F.col("rate"))).filter("copies > 0")
+    copies = joined.withColumn("copies", drawn(uniform(F.col("key"), seed), F.col("parts"), F.col("table"))).filter("copies > 0")
     out = copies.select("row", "rate", "key", F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("copy"))
     place = F.md5(F.concat_ws(":", F.coalesce("key", F.lit("")), F.col("copy").cast("string"), F.lit(f"{seed} order")))
-    return out.select("row", "copy", "rate", place.alias("place")).repartitionByRange("place").sortWithinPartitions("place")
+    # An md5 is uniform: its leading digits give the range without a first pass that samples.
+    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    part = F.floor(F.conv(F.substring("place", 1, 8), 16, 10).cast("long") * n / F.lit(1 << 32)).cast("int")
+    return out.select("row", "copy", "rate", place.alias("place")).repartitionById(n, part).sortWithinPartitions("place")

@@ -57,9 +57,9 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Copies of every document when sources are mixed by the square root of their size."""
-    docs = _table(spark, sf_dir, "documents").select("doc_id", "source")
-    return mixing.mix(docs, mixing.tempered(docs)).select("row.doc_id", "row.source", "copy", "place")
+    """Copies of every document, whole texts in shuffled order, when sources are mixed by the square root of their size."""
+    docs = _table(spark, sf_dir, "documents")
+    return mixing.mix(docs, mixing.tempered(docs)).select("row.doc_id", "row.source", "copy", "place", F.sha2("row.text", 256).alias("text_sha256"))
 
 
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -94,12 +94,12 @@ terms AS (
   SELECT source, k, sum(CASE WHEN k = 0 THEN exp(-rate) ELSE exp(-rate + k * ln(rate) - lgamma(k + 1)) END)
     OVER (PARTITION BY source ORDER BY k) AS c
   FROM rates, range(0, 123) r(k)),
-drawn AS (SELECT doc_id, source, ('0x' || substr(md5(doc_id::VARCHAR || ':mix'), 1, 13))::BIGINT / 4503599627370496.0 AS u FROM documents),
+drawn AS (SELECT doc_id, source, text, ('0x' || substr(md5(doc_id::VARCHAR || ':mix'), 1, 13))::BIGINT / 4503599627370496.0 AS u FROM documents),
 copies AS (
-  SELECT d.doc_id, d.source, count(*) AS n
+  SELECT d.doc_id, d.source, d.text, count(*) AS n
   FROM drawn d JOIN terms t ON d.source IS NOT DISTINCT FROM t.source AND t.c <= d.u GROUP BY ALL)
-SELECT doc_id, source, copy::INTEGER AS copy, md5(doc_id::VARCHAR || ':' || copy::VARCHAR || ':mix order') AS place
-FROM (SELECT doc_id, source, unnest(range(1, n + 1)) AS copy FROM copies)
+SELECT doc_id, source, copy::INTEGER AS copy, md5(doc_id::VARCHAR || ':' || copy::VARCHAR || ':mix order') AS place, sha256(text) AS text_sha256
+FROM (SELECT doc_id, source, text, unnest(range(1, n + 1)) AS copy FROM copies)
 """
 
 ORACLE_SQL: dict[str, str] = {"op8_source_mixing": _MIXING_SQL}
