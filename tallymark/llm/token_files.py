@@ -17,14 +17,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from tallymark.llm.common import pick
 from tallymark.llm.vocabulary import default_path, vocabulary
 
-BLOCK, FEW = 1 << 18, 100_000
+BLOCK, SLICE, FEW = 1 << 18, 1 << 16, 100_000
 LAYOUT = "shard int, block int, first long, n_ids long, bits int, doc_ids array<{kind}>, starts array<long>, payload binary"
 
 
@@ -37,8 +36,11 @@ def pack(ids: np.ndarray, bits: int) -> bytes:
     """Ids to ``bits`` bits each, least significant bit first."""
     if bits in (8, 16, 32):
         return ids.astype(f"<u{bits // 8}").tobytes()
-    planes = (ids.astype(np.uint32)[:, None] >> np.arange(bits, dtype=np.uint32)) & 1
-    return np.packbits(planes.astype(np.uint8).reshape(-1), bitorder="little").tobytes()
+    parts = []
+    for i in range(0, len(ids), SLICE):  # a multiple of 8 ids fills whole bytes
+        planes = (ids[i : i + SLICE].astype(np.uint32)[:, None] >> np.arange(bits, dtype=np.uint32)) & 1
+        parts.append(np.packbits(planes.astype(np.uint8).reshape(-1), bitorder="little").tobytes())
+    return b"".join(parts)
 
 
 def unpack(payload: bytes, bits: int, begin: int, end: int) -> np.ndarray:
@@ -46,23 +48,27 @@ def unpack(payload: bytes, bits: int, begin: int, end: int) -> np.ndarray:
     if bits in (8, 16, 32):
         w = bits // 8
         return np.frombuffer(payload, f"<u{w}", end - begin, begin * w).astype(np.uint32)
+    if end - begin > SLICE:
+        return np.concatenate([unpack(payload, bits, i, min(i + SLICE, end)) for i in range(begin, end, SLICE)])
     low, high = begin * bits // 8, -(-end * bits // 8)
     flat = np.unpackbits(np.frombuffer(payload, np.uint8, high - low, low), bitorder="little")[begin * bits - 8 * low :][: (end - begin) * bits]
     return (flat.reshape(-1, bits).astype(np.uint32) << np.arange(bits, dtype=np.uint32)).sum(1, dtype=np.uint32)
 
 
-def write_tokens(docs: DataFrame, out: str, doc_id="doc_id", text="text", path: str | None = None, end_id: int = 2, block: int = BLOCK) -> None:
-    """Encode ``docs`` and write the files to folder ``out``, ascending by doc_id.
+def write_tokens(docs: DataFrame, out: str, doc_id="doc_id", text="text", path: str | None = None, end_id: int = 2, block: int = BLOCK, order: Column | None = None) -> None:
+    """Encode ``docs`` and write the files to folder ``out``, ascending by doc_id, or by ``order``, an expression over ``docs``.
 
     Null text counts as empty and is just the end id. Rows of one doc_id stand together, ordered by their text's hash;
     null ids come first. An empty table writes an empty folder. Further columns are not read. Texts move once, to their
     range of ids; a task holds one batch of texts and one block.
     """
     path = path or default_path()
-    rows = pick(docs, doc_id=doc_id, text=text).withColumn("text", F.coalesce("text", F.lit("")))
+    place = F.lit(None).cast("string") if order is None else order
+    rows = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("text"), place.alias("place"))
     kind = rows.schema["doc_id"].dataType.simpleString()
     tie = F.xxhash64("text")
-    ordered = rows.repartitionByRange("doc_id", tie).sortWithinPartitions("doc_id", tie).withColumn("shard", F.spark_partition_id())
+    by = ["doc_id", tie] if order is None else ["place", "doc_id", tie]
+    ordered = rows.repartitionByRange(*by).sortWithinPartitions(*by).select("doc_id", "text").withColumn("shard", F.spark_partition_id())
 
     def encode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         vocab = vocabulary(path)

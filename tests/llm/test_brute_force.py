@@ -43,6 +43,8 @@ def test_token_files_and_counts(spark, sf, docs):
 
 
 def test_packing_and_random_access(spark):
+    long = np.random.default_rng(0).integers(0, 1 << 15, 3 * token_files.SLICE + 5, dtype=np.uint32)
+    assert (token_files.unpack(token_files.pack(long, 15), 15, 11, len(long)) == long[11:]).all()
     for bits in (1, 7, 13, 16, 17, 32):
         ids = np.random.default_rng(bits).integers(0, 1 << bits, 1001, dtype=np.uint64).astype(np.uint32)
         packed = token_files.pack(ids, bits)
@@ -108,6 +110,31 @@ def test_near_duplicates(spark, sf, docs):
     assert {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in run(spark, sf, "op4_near_dedup")} == {i: (len(sets[i]), root(i), root(i) == i) for i in docs}
 
 
+def test_one_large_group_of_near_copies(spark):
+    """Copies of one text at similarities about the threshold: components by all pairs. Nodes of several tiles, and outside classes."""
+    from tallymark.llm import near_dedup
+
+    rng = np.random.default_rng(4)
+    base = [f"b{i}" for i in range(80)]
+    texts = []
+    for i in range(400):
+        w = list(base)
+        for at in rng.choice(80, int(rng.integers(0, 9)), replace=False):
+            w[at] = f"x{i}_{at}"
+        texts.append(w)
+    sets = [set(zip(w, w[1:])) for w in texts]
+    root = list(range(len(sets)))
+    for i in range(len(sets)):
+        for j in range(i):
+            both = len(sets[i] & sets[j])
+            if 100 * both >= 80 * (len(sets[i]) + len(sets[j]) - both) and root[i] != root[j]:
+                a, b = sorted((root[i], root[j]))
+                root = [a if r == b else r for r in root]
+    d = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(texts)], "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in near_dedup.near_duplicates(d, k=2, small=32).collect()}
+    assert len(set(root)) > 3 and np.mean([got[i] == root[i] for i in range(len(root))]) >= 0.99
+
+
 def test_large_groups_go_through_stars_and_branches(spark):
     from tallymark.llm import near_dedup
 
@@ -219,11 +246,55 @@ def test_quality_keeps_good_and_drops_bad(spark):
     assert np.mean(good) > 0.98 and np.mean(bad) < 0.1
 
 
-def test_lines(spark):
-    rows = [(i, f"unique text {i} of page x{i}q stays\nPosted by user{i} on page nine here\nAll rights reserved by us\nNamed by P{chr(97 + i)} in this very same place") for i in range(8)]
-    d = spark.createDataFrame(rows, "doc_id long, text string")
-    got = {r["doc_id"]: r.text for r in line_templates.drop_templates(d, lead=2).select("row.doc_id", "text").collect()}
-    assert got == {i: f"unique text {i} of page x{i}q stays" for i in range(8)} or all("rights" not in v and "Posted" not in v for v in got.values())
+def plain_template_tree(docs, lead=4, min_docs=5):
+    """Line numbers to drop per document, by loops over all lines."""
+    leaves = defaultdict(lambda: defaultdict(list))
+    for d, text in docs.items():
+        for i, line in enumerate((text or "").split("\n")):
+            w = tuple("<*>" if re.search("[0-9]", x) else x for x in WORD.findall(line))
+            if w:
+                leaves[len(w), w[:lead]][w].append((d, i))
+    drop = defaultdict(set)
+    for kinds in leaves.values():
+        if len({d for places in kinds.values() for d, _ in places}) < 2:
+            continue
+        held = defaultdict(list)
+        for w, places in kinds.items():
+            for at, x in enumerate(w[lead:]):
+                held[at, x].append({d for d, _ in places})
+        constant = {k for k, v in held.items() if k[1] != "<*>" and len(v) >= min_docs and len(set().union(*v)) > 1}
+        groups = defaultdict(list)
+        for w, places in kinds.items():
+            rest = tuple(x if (at, x) in constant else "<*>" for at, x in enumerate(w[lead:]))
+            if 2 * sum(x != "<*>" for x in w[:lead] + rest) >= len(w):
+                groups[rest] += places
+            if len({d for d, _ in places}) >= min_docs:
+                groups[w, "as it is"] += places
+        for places in groups.values():
+            if len({d for d, _ in places}) >= min_docs:
+                for d, i in places:
+                    drop[d].add(i)
+    return {d: sorted(drop[d]) for d in docs}
+
+
+def dropped(df):
+    return {r["doc_id"]: list(r.dropped) for r in line_templates.drop_templates(df).select("row.doc_id", "dropped").collect()}
+
+
+def test_lines(spark, sf, docs):
+    assert {r.doc_id: list(r.dropped) for r in run(spark, sf, "op3_line_dedup")} == plain_template_tree(docs)
+
+
+def test_lines_with_fields_in_large_leaves(spark):
+    """Templates with variable fields among many unlike lines of the same leaf, and a variant in few documents of a common template."""
+    texts = {}
+    for i in range(60):
+        name, other = f"P{chr(97 + i % 26)}{chr(97 + i // 26)}", f"q{chr(97 + i % 26)}{chr(97 + i // 26)}x"
+        own = f"All rights reserved by {name} and the partners" if i % 4 else "All rights reserved by us and the partners"
+        texts[i] = f"unique line {other} of this very {other}z page\n{own}\nAll rights reserved by {other}a {other}b {other}c {other}d\nPosted by user{i} on page nine here\n\n{name}"
+    got = dropped(spark.createDataFrame(list(texts.items()), "doc_id long, text string"))
+    assert got == plain_template_tree(texts)
+    assert all({1, 3} <= {*got[i]} and 0 not in got[i] and 5 not in got[i] for i in texts)
 
 
 def test_poisson(spark):
@@ -283,4 +354,4 @@ def test_sql_of_mixing(spark, sf):
 
     duckdb.sql(f"CREATE OR REPLACE VIEW documents AS SELECT * FROM '{sf}/documents.parquet'")
     want = sorted(duckdb.sql(ORACLE_SQL["op8_source_mixing"]).fetchall())
-    assert sorted((r.doc_id, r.source, r.copy, r.place) for r in run(spark, sf, "op8_source_mixing")) == want
+    assert sorted((r.doc_id, r.source, r.copy, r.place, r.text_sha256) for r in run(spark, sf, "op8_source_mixing")) == want
