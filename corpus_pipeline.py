@@ -9,11 +9,12 @@ from __future__ import annotations
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tallymark.llm import decontamination, mixing, near_dedup, quality, token_files
 from tallymark.session import cut, shared_dir
 
-#: SQL can't express the joins by hashed paths and the packed files; tests/llm holds each stage against brute force.
+#: SQL can't express the joins by hashed paths and the packed files; tests/llm holds the stages against brute force.
 ORACLE_SQL = None
 
 
@@ -38,9 +39,13 @@ def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def token_output(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """1: the packed files' content per document: doc_id, start, n_tokens, ids_crc32. Repeats of a document stand together."""
+    """1: the packed files' content per document: doc_id, start, n_tokens, ids_crc32. Files keep a shuffled order, repeats apart.
+
+    ``docs`` is a table that was written: a row's number in it is the same in every attempt, and tells repeats apart.
+    """
     out = f"{shared_dir(spark)}/tokens-{uuid.uuid4().hex}"
-    token_files.write_tokens(docs, out)
+    number = F.monotonically_increasing_id().cast("string")
+    token_files.write_tokens(docs, out, order=F.md5(F.concat_ws(":", F.col("doc_id").cast("string"), number)))
     return token_files.token_digests(spark, out)
 
 
