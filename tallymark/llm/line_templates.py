@@ -1,11 +1,12 @@
 """3. Line dedup by a log-template tree: lines whose template recurs across documents are dropped.
 
 A line's tokens are its words, with ``<*>`` for one that holds a digit. The tree has a fixed depth: a line goes to the leaf
-of its token count and its first ``lead`` tokens. In a leaf a line that stands in ``min_docs`` documents is a template as it
-is. Beyond the leading tokens, one is constant where at least ``min_docs`` different lines of the leaf, from two documents or
-more, have it at that place, however large the leaf is, and a variable field (``<*>``) otherwise. A template with at least
-half of its tokens constant, all of whose lines together stand in ``min_docs`` documents, recurs. Only lines of leaves that two documents reach are ever compared token by token, and equal
-lines of a leaf are one row by then, so a line that very many documents share is no large group.
+of its token count and its first ``lead`` tokens, and leaves that fewer than ``min_docs`` documents reach end there. In a
+leaf a line that stands in ``min_docs`` documents is a template as it is. Beyond the leading tokens, one is constant where
+at least ``min_docs`` different lines of the leaf, from two documents or more, have it at that place, however large the leaf
+is, and a variable field (``<*>``) otherwise. A template with at least half of its tokens constant, all of whose lines
+together stand in ``min_docs`` documents, recurs. Equal lines of a leaf are one row before any are compared token by token,
+so a line that very many documents share is no large group.
 """
 
 from __future__ import annotations
@@ -13,24 +14,34 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallymark.llm.common import let, whole, words
-from tallymark.session import cut
+from tallymark.llm.common import SPACES, let, whole
+from tallymark.session import cut, free
 
 FIELD = "<*>"
+#: A whole word that holds a digit; possessive, so that words of any length take time in proportion.
+DIGIT_WORD = r"(?<![^\x20\x09-\x0D])[^\x20\x09-\x0D0-9]*+[0-9][^\x20\x09-\x0D]*+"
+#: Leaves that are sent to every task at most, about 50 MB; beyond that they are joined by shuffle.
+FEW = 2_000_000
 
 
-def _lines(docs: DataFrame) -> DataFrame:
-    """(d, line, tokens, leaf parts) of all lines with a word, for rows (d, text)."""
-    found = docs.select("d", F.posexplode_outer(F.split("text", "\n")).alias("line", "t"))
-    mask = lambda w: F.transform(w, lambda x: F.when(x.rlike("[0-9]"), F.lit(FIELD)).otherwise(x))
-    return found.select("d", "line", let(words(F.col("t")), mask).alias("tokens")).filter(F.size("tokens") > 0)
+def _lines(docs: DataFrame, lead: int) -> DataFrame:
+    """(d, line, t, leaf) of all lines with a word, fields masked in t, for rows (d, text)."""
+    masked = F.regexp_replace("text", DIGIT_WORD, FIELD)
+    found = docs.select("d", F.posexplode_outer(F.split(masked, "\n")).alias("line", "t")).withColumn("t", F.btrim("t", F.lit(" \t\x0b\x0c\r")))
+    leaf = let(F.split("t", SPACES), lambda w: F.xxhash64(F.size(w), F.slice(w, 1, lead)))
+    return found.filter("t <> ''").select("d", "line", "t", leaf.alias("leaf"))
 
 
 def recurring_lines(docs: DataFrame, lead: int = 4, min_docs: int = 5) -> DataFrame:
     """(d, line) of the lines to drop, for rows (d, text) with d a 64-bit document key."""
-    lines = _lines(docs).withColumn("leaf", F.xxhash64(F.size("tokens"), F.slice("tokens", 1, lead)))
-    shared = lines.groupBy("leaf").agg(F.min("d").alias("low"), F.max("d").alias("high")).filter("low < high").select("leaf")
-    met = cut(lines.join(shared, "leaf", "left_semi").withColumn("same", F.xxhash64("tokens")))
+    lines = cut(_lines(docs, lead))
+    # A template stands in no more documents than its leaf: all other lines go before any token moves.
+    reached = lines.select("leaf", "d").distinct().groupBy("leaf").agg(F.count("*").alias("docs")).filter(F.col("docs") >= min_docs)
+    reached = cut(reached.select("leaf"))
+    shared = F.broadcast(reached) if reached.count() <= FEW else reached
+    met = lines.join(shared, "leaf", "left_semi").select("d", "line", "leaf", F.split("t", SPACES).alias("tokens"))
+    met = cut(met.withColumn("same", F.xxhash64("tokens")))
+    free(lines, reached)
     per_doc = met.groupBy("leaf", "same", "d").agg(F.count("*").alias("n"))
     kinds = per_doc.groupBy("leaf", "same").agg(F.count("*").alias("docs"), F.min("d").alias("low"), F.max("d").alias("high"))
     kinds = cut(kinds)
