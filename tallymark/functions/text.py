@@ -13,10 +13,14 @@ IDENTIFIER = r"^[A-Za-z0-9][A-Za-z0-9_-]{3,127}$"
 AMOUNT = r"\$\s*([0-9]+(?:\.[0-9]{2})?)"
 TIME = r"(?i)(?:time|at)\s*[:=]?\s*\b([0-9]{1,2}):([0-5][0-9])(?:\s*([AP]M))?\b"
 ISO_DATE = r"\b((?:19|20)[0-9]{2}-(?:0[1-9]|1[0-2])-(?:0[1-9]|[12][0-9]|3[01]))\b"
-MONTH_DAY = r"(?i)\b(jan|feb|mar|apr|may|jun|jul|aug|sep|oct|nov|dec)[a-z]*\.?\s+([0-9]{1,2})\b"
+MONTH_DAY = r"(?i)\b(jan(?:uary)?|feb(?:ruary)?|mar(?:ch)?|apr(?:il)?|may|jun(?:e)?|jul(?:y)?|aug(?:ust)?|sep(?:tember)?|oct(?:ober)?|nov(?:ember)?|dec(?:ember)?)\.?\s+([0-9]{1,2})\b"
 MONTHS = ("jan", "feb", "mar", "apr", "may", "jun", "jul", "aug", "sep", "oct", "nov", "dec")
 STATUSES = ("Completed", "Success", "Paid", "Failed", "Pending", "Declined")
 PAYER_LABEL = r"(?i)\b(?:customer|cystomer|customor|cust0mer)\b"
+#: Lines that are labels, states or brands, never a payer; so is a line that begins as a purchase.
+NO_PAYER = ("payment amount", "payment date", "payment source", "payment identifier", "completed", "cash app", "cash app pay")
+PURCHASE = r"(?i)^purchase from "
+TOKEN, TOKEN_NEAR = r"[A-Za-z0-9][A-Za-z0-9_-]{3,127}", 140
 IDENTIFIER_LABEL = r"(?i)\b(?:payment|transaction)\s+(?:identifier|id)\b"
 
 
@@ -64,7 +68,7 @@ def clock(text: Column) -> tuple[Column, Column]:
 def calendar(text: Column) -> tuple[Column, Column, Column]:
     """(ISO date or null, month, day)."""
     iso = found(text, ISO_DATE, 1)
-    named = F.array_position(F.array(*[F.lit(m) for m in MONTHS]), F.lower(found(text, MONTH_DAY, 1))).cast("int")
+    named = F.array_position(F.array(*[F.lit(m) for m in MONTHS]), F.substring(F.lower(found(text, MONTH_DAY, 1)), 1, 3)).cast("int")
     month = F.when(iso.isNotNull(), F.substring(iso, 6, 2).cast("int")).otherwise(named)
     day = F.when(iso.isNotNull(), F.substring(iso, 9, 2).cast("int")).otherwise(found(text, MONTH_DAY, 2).cast("int"))
     return iso, month, day
@@ -77,7 +81,7 @@ def status(text: Column) -> Column:
 
 def _payer(line: Column) -> Column:
     x = F.regexp_replace(F.regexp_replace(line, r"\s+", " "), r"^[ :#=\-()<>|]+|[ :#=\-()<>|]+$", "")
-    return F.when(x.rlike(r"^[^ ]*[A-Za-z][^ ]*( [^ ]*[A-Za-z][^ ]*)+$") & ~x.rlike(r"[0-9@$]|https?://") & (F.length(x) <= 256), x)
+    return F.when(x.rlike(r"^[^ ]*[A-Za-z][^ ]*( [^ ]*[A-Za-z][^ ]*)+$") & ~x.rlike(r"[0-9@$]|https?://") & (F.length(x) <= 256) & ~F.lower(x).isin(*NO_PAYER) & ~x.rlike(PURCHASE), x)
 
 
 def customer_name(text: Column) -> Column:
@@ -89,16 +93,27 @@ def customer_name(text: Column) -> Column:
 
 
 def transaction_id(text: Column) -> Column:
-    """Token with a digit beside an identifier label: same line, else lines +1, -1, +2, -2."""
-    lines = F.split(text, "\n")
-    token = lambda c: found(c, r"\b([A-Za-z0-9_-]*[0-9][A-Za-z0-9_-]*)\b", 1)
-    sized = lambda c: F.when(F.length(c) >= 4, c)
-    alone = lambda c: F.when(c.rlike(r"^[A-Za-z0-9_-]+$"), sized(token(c)))
-    before = lambda i, d: F.when(i >= d, alone(F.get(lines, i - d)))
-    label = IDENTIFIER_LABEL.replace("(?i)", "(?i)^.*?")
-    near = lambda x, i: F.coalesce(sized(token(F.regexp_replace(x, label, ""))), alone(F.get(lines, i + 1)), before(i, 1), alone(F.get(lines, i + 2)), before(i, 2))
-    at = F.filter(F.transform(lines, lambda x, i: F.when(x.rlike(IDENTIFIER_LABEL), near(x, i))), lambda x: x.isNotNull())
-    return F.get(at, F.lit(0))
+    """Identifier of the first label that has one.
+
+    For a label that is the next token after ``: # = -`` within ``TOKEN_NEAR`` characters; else the first token with a digit
+    on the rest of its line; else a line that is just such a token, of the lines +1, -1, +2, -2.
+    """
+    lines, parts, labels = F.split(text, "\n"), F.split(text, IDENTIFIER_LABEL), F.regexp_extract_all(text, F.lit(IDENTIFIER_LABEL), F.lit(0))
+    upto = lambda found, n: F.aggregate(F.slice(found, 1, n), F.lit(0), lambda acc, x: acc + F.length(x))
+    telling = lambda c: F.when(c.rlike("[0-9]"), c)
+    alone = lambda c: F.when(c.rlike(f"^{TOKEN}$"), telling(c))
+    line = lambda i: F.when(i >= 0, alone(F.btrim(F.btrim(F.get(lines, i), F.lit(" \t\r")), F.lit(":#=-"))))
+
+    def of(k: Column) -> Column:
+        start = upto(parts, k + 1) + upto(labels, k)
+        end = upto(parts, k + 1) + upto(labels, k + 1)
+        after = F.substring(text, end + 1, F.length(text))
+        row = F.length(F.substring(text, F.lit(1), start)) - F.length(F.translate(F.substring(text, F.lit(1), start), "\n", ""))
+        beside = F.filter(F.regexp_extract_all(F.regexp_extract(after, r"^[^\n]*", 0), F.lit(TOKEN), F.lit(0)), lambda x: x.rlike("[0-9]"))
+        return F.coalesce(found(F.substring(after, F.lit(1), F.lit(TOKEN_NEAR)), rf"\s*[:#=-]\s*({TOKEN})", 1), F.get(beside, F.lit(0)), *[line(row + d) for d in (1, -1, 2, -2)])
+
+    at = F.filter(F.transform(F.sequence(F.lit(0), F.size(labels) - 1), of), lambda x: x.isNotNull())
+    return F.when(F.size(labels) > 0, F.get(at, F.lit(0)))
 
 
 def confidence(email: Column, cents: Column, minute: Column, date: Column, state: Column) -> Column:

@@ -27,7 +27,7 @@ def _extracted(spark, sf_dir):
     hour, minute = T.clock(raw())
     iso, month, day = T.calendar(raw())
     return _texts(spark, sf_dir).select(
-        "receipt_id", F.lower(T.found(raw(), T.EMAIL_INSIDE, 0)).alias("email"), T.amount_cents(raw()).alias("amount_cents"), hour.alias("payment_hour"), minute.alias("minutes"),
+        "receipt_id", T.found(raw(), T.EMAIL_INSIDE, 0).alias("email"), T.amount_cents(raw()).alias("amount_cents"), hour.alias("payment_hour"), minute.alias("minutes"),
         iso.alias("payment_date"), month.alias("payment_month"), day.alias("payment_day"), T.status(raw()).alias("status"), T.transaction_id(raw()).alias("transaction_id"), T.customer_name(raw()).alias("customer_name"),
     )
 
@@ -122,7 +122,7 @@ def fuse_extractions(spark, sf_dir):
 
 def fill_from_raw_text(spark, sf_dir):
     r = X.receipts(spark, sf_dir).select("receipt_id", "email", "minutes")
-    return r.join(_texts(spark, sf_dir), "receipt_id").select("receipt_id", F.coalesce(F.nullif("email", F.lit("")), F.lower(T.found(raw(), T.EMAIL_INSIDE, 0))).alias("email"), F.coalesce("minutes", T.clock(raw())[1]).alias("minutes"))
+    return r.join(_texts(spark, sf_dir), "receipt_id").select("receipt_id", F.coalesce(F.nullif("email", F.lit("")), T.found(raw(), T.EMAIL_INSIDE, 0)).alias("email"), F.coalesce("minutes", T.clock(raw())[1]).alias("minutes"))
 
 
 def _score(r):
@@ -257,7 +257,7 @@ def hamming64(spark, sf_dir):
 
 
 def dup_phash_only(spark, sf_dir):
-    return intake.near_hashes(X.hashes(spark, sf_dir), "vec_id", "phash", 16)
+    return intake.near_hashes(X.hashes(spark, sf_dir), "vec_id", "phash", 6)
 
 
 def src_message_events(spark, sf_dir):
@@ -332,8 +332,9 @@ def retain_window(spark, sf_dir):
 
 
 def _sized_bursts(spark, sf_dir):
-    r = X.receipts(spark, sf_dir).filter("k = 6").select("receipt_id", "group_id", "received_at", "amount", "email")
-    return intake.bursts(r, "group_id", "received_at", 6 * 3600)
+    """Receipts that the cascade left ambiguous, but by date boundary, in bursts of their group."""
+    open_ = L._verdicts(spark, sf_dir).filter("status = 'AMBIGUOUS' AND reason_code <> 'MULTIPLE_DATE_BOUNDARY_MATCHES'").select("receipt_id")
+    return intake.bursts(X.receipts(spark, sf_dir).join(open_, "receipt_id", "left_semi"), "group_id", "received_at", 6 * 3600)
 
 
 def batch_take_last8(spark, sf_dir):
@@ -342,11 +343,15 @@ def batch_take_last8(spark, sf_dir):
 
 
 def batch_pair_score(spark, sf_dir):
+    """Identifier 10 000, address 1 000, name 500, up to 400 for minutes between the shown (else received) and the charge's time, amount 1."""
     b = _sized_bursts(spark, sf_dir)
-    c = X.charges(spark, sf_dir).select(F.col("id").alias("charge_id"), "amount", "created", L.cascade.charge_email().alias("payer"))
-    gap = F.floor(F.abs(F.col("received_at") - F.col("created")) / 60)
-    mail = F.coalesce((F.col("payer") == F.col("email")).cast("long"), F.lit(0))
-    return b.join(c, "amount").select("receipt_id", "charge_id", (mail * 1000 + F.greatest(F.lit(0), 400 - F.least(F.lit(400), gap)) + 1).cast("long").alias("score"), (mail * 1000 + F.greatest(F.lit(0), 400 - F.least(F.lit(400), gap))).cast("long").alias("discriminator"))
+    c = L.cascade.eligible(X.charges(spark, sf_dir)).select(F.col("id").alias("charge_id"), "amount", "created", "provider_id", F.lower("billing_name").alias("payer_name"), L.cascade.charge_email().alias("payer"))
+    shown = F.unix_timestamp(F.col("payment_date").cast("timestamp")) + F.col("payment_hour") * 3600 + F.col("minutes") * 60
+    gap = F.floor(F.abs(F.coalesce(shown, "received_at") - F.col("created")) / 60)
+    points = lambda same, n: F.coalesce(same.cast("long"), F.lit(0)) * n
+    told = points(F.lower("provider_id") == F.lower("transaction_id"), 10000) + points(F.col("payer") == F.lower("email"), 1000) + points(F.col("payer_name") == F.lower("customer_name"), 500)
+    told = (told + F.greatest(F.lit(0), 400 - F.least(F.lit(400), gap))).cast("long")
+    return b.join(c, "amount").select("receipt_id", "charge_id", (told + 1).alias("score"), told.alias("discriminator"))
 
 
 def redact_review(spark, sf_dir):
@@ -385,7 +390,7 @@ _RT = S.with_(S.EVENTS, S.RECEIPTS.strip(), S.TEXTS.strip()).rstrip()
 _M = S.with_(S.EVENTS, S.MESSAGES.strip()).rstrip()
 _H = S.with_(S.HASHES.strip()).rstrip()
 _C = S.with_(S.CHARGES).rstrip()
-_MAIL = "nullif(lower(regexp_extract(raw_text, '[a-zA-Z0-9._%+\\-]+@[a-zA-Z0-9.\\-]+\\.[a-zA-Z]{2,}')), '')"
+_MAIL = "nullif(regexp_extract(raw_text, '[a-zA-Z0-9._%+\\-]+@[a-zA-Z0-9.\\-]+\\.[a-zA-Z]{2,}'), '')"
 _CENTS = "(nullif(regexp_extract(raw_text, '\\$\\s*([0-9]+(?:\\.[0-9]{2})?)', 1), '')::DECIMAL(14,2) * 100)::BIGINT"
 _TIME = "'(?i)(?:time|at)\\s*[:=]?\\s*\\b([0-9]{1,2}):([0-5][0-9])(?:\\s*([AP]M))?\\b'"
 _MIN = f"nullif(regexp_extract(raw_text, {_TIME}, 2), '')::INTEGER"
@@ -393,13 +398,12 @@ _HOUR0 = f"nullif(regexp_extract(raw_text, {_TIME}, 1), '')::INTEGER"
 _HALF = f"upper(regexp_extract(raw_text, {_TIME}, 3))"
 _HOUR = f"(CASE WHEN {_HALF} <> '' AND NOT {_HOUR0} BETWEEN 1 AND 12 THEN NULL WHEN {_HALF} = 'AM' THEN {_HOUR0} % 12 WHEN {_HALF} = 'PM' THEN {_HOUR0} % 12 + 12 WHEN {_HOUR0} <= 23 THEN {_HOUR0} END)"
 _ISO = "nullif(regexp_extract(raw_text, '\\b((?:19|20)[0-9]{2}-(?:0[1-9]|1[0-2])-(?:0[1-9]|[12][0-9]|3[01]))\\b', 1), '')"
-_MD = "'(?i)\\b(jan|feb|mar|apr|may|jun|jul|aug|sep|oct|nov|dec)[a-z]*\\.?\\s+([0-9]{1,2})\\b'"
-_MON = f"CASE WHEN {_ISO} IS NOT NULL THEN substr({_ISO}, 6, 2)::INTEGER ELSE nullif(list_position(['jan','feb','mar','apr','may','jun','jul','aug','sep','oct','nov','dec'], lower(regexp_extract(raw_text, {_MD}, 1))), 0)::INTEGER END"
+_MD = "'(?i)\\b(jan(?:uary)?|feb(?:ruary)?|mar(?:ch)?|apr(?:il)?|may|june?|july?|aug(?:ust)?|sep(?:tember)?|oct(?:ober)?|nov(?:ember)?|dec(?:ember)?)\\.?\\s+([0-9]{1,2})\\b'"
+_MON = f"CASE WHEN {_ISO} IS NOT NULL THEN substr({_ISO}, 6, 2)::INTEGER ELSE nullif(list_position(['jan','feb','mar','apr','may','jun','jul','aug','sep','oct','nov','dec'], substr(lower(regexp_extract(raw_text, {_MD}, 1)), 1, 3)), 0)::INTEGER END"
 _DAY = f"CASE WHEN {_ISO} IS NOT NULL THEN substr({_ISO}, 9, 2)::INTEGER ELSE nullif(regexp_extract(raw_text, {_MD}, 2), '')::INTEGER END"
 _STATE = "CASE " + " ".join(f"WHEN regexp_matches(raw_text, '(?i)\\b{s}\\b') THEN '{s}'" for s in T.STATUSES) + " END"
 _ID = "coalesce(nullif(regexp_extract(raw_text, 'Payment identifier: ([A-Z0-9]+)', 1), ''), nullif(regexp_extract(raw_text, '([A-Z0-9]*[0-9][A-Z0-9]*)\\nPayment identifier', 1), ''))"
-_ID = f"(CASE WHEN regexp_matches({_ID}, '[0-9]') THEN {_ID} END)"
-_NAME = "regexp_extract(raw_text, 'C(?:ustomer|ystomer):?\\s+(Payer [a-j]+)', 1)"
+_NAME = "regexp_extract(raw_text, 'C(?:ustomer|ystomer):?\\s+(?:Payment source\\s+)?(Payer [a-j]+)', 1)"
 _E = f"x AS (SELECT receipt_id, {_MAIL} AS email, {_CENTS} AS amount_cents, {_HOUR} AS payment_hour, {_MIN} AS minutes, {_ISO} AS payment_date, {_MON} AS payment_month, {_DAY} AS payment_day, {_STATE} AS status, {_ID} AS transaction_id, {_NAME} AS customer_name FROM texts)"
 _WANT = """want AS (SELECT 'r_' || event_id AS receipt_id, 'user' || user_id || '@example.com' AS x_email, round(value)::BIGINT * 100 + event_id % 100 AS x_amount, minute(s)::INTEGER AS x_minutes, strftime(s, '%Y-%m-%d') AS x_date,
   CASE WHEN event_id % 7 = 0 THEN 'Pending' WHEN event_id % 7 = 1 THEN 'Failed' ELSE 'Completed' END AS x_status FROM (SELECT *, to_timestamp(secs) AT TIME ZONE 'UTC' AS s FROM e WHERE event_type = 'purchase'))"""
@@ -415,7 +419,8 @@ _SEEN = _J(("amount_cents", "amount::VARCHAR"), *_COMMON)
 _WHEN = "payment_date IS NOT NULL AND payment_hour IS NOT NULL AND minutes IS NOT NULL"
 _PR = f"{_R},\np AS (SELECT *, CASE WHEN transaction_id IS NOT NULL OR ({_WHEN}) THEN {_FULL} END AS full_print, CASE WHEN amount > 0 AND {_WHEN} THEN {_SEEN} END AS visual_print FROM receipts)"
 _HAM = "bit_count(xor(('0x' || substr({0}, 1, 8))::BIGINT, ('0x' || substr({1}, 1, 8))::BIGINT)) + bit_count(xor(('0x' || substr({0}, 9, 8))::BIGINT, ('0x' || substr({1}, 9, 8))::BIGINT))"
-_BURST = f"{_C},\n{S.RECEIPTS.strip()},\nb0 AS (SELECT *, received_at - lag(received_at) OVER (PARTITION BY group_id ORDER BY received_at, receipt_id) AS gap FROM receipts WHERE k = 6),\nb AS (SELECT *, sum((coalesce(gap, 0) > 21600)::INT) OVER (PARTITION BY group_id ORDER BY received_at, receipt_id) AS burst FROM b0)"
+_OPEN = "SELECT receipt_id FROM verdicts WHERE status = 'AMBIGUOUS' AND reason_code <> 'MULTIPLE_DATE_BOUNDARY_MATCHES'"
+_BURST = L._VERDICTS + f",\nb0 AS (SELECT *, received_at - lag(received_at) OVER (PARTITION BY group_id ORDER BY received_at, receipt_id) AS gap FROM receipts WHERE receipt_id IN ({_OPEN})),\nb AS (SELECT *, sum((coalesce(gap, 0) > 21600)::INT) OVER (PARTITION BY group_id ORDER BY received_at, receipt_id) AS burst FROM b0)"
 
 _PLAIN = {
     extract_email: f"{_T},\n{_E} SELECT receipt_id, email FROM x",
@@ -452,7 +457,7 @@ _PLAIN = {
     dup_evidence_fingerprint: f"{_PR} SELECT receipt_id, o AS original_id FROM (SELECT receipt_id, row_number() OVER w AS rn, first_value(receipt_id) OVER w AS o FROM p WHERE full_print IS NOT NULL WINDOW w AS (PARTITION BY full_print, coalesce(transaction_id, '') ORDER BY received_at, receipt_id)) WHERE rn > 1",
     dup_phash: f"{_PR},\n{S.HASHES.strip()},\nh AS (SELECT receipt_id, received_at, visual_print, phash FROM p JOIN hashes ON vec_id = event_id % (SELECT count(*) FROM embeddings) WHERE visual_print IS NOT NULL), q AS (SELECT b.receipt_id, a.receipt_id AS original_id, ({_HAM.format('a.phash', 'b.phash')})::BIGINT AS distance FROM h a JOIN h b ON a.visual_print = b.visual_print AND (a.received_at, a.receipt_id) < (b.received_at, b.receipt_id)) SELECT *, CASE WHEN distance = 0 THEN 'PHASH_VISUAL_RECEIPT' WHEN distance <= 6 THEN 'PHASH_RECEIPT_EVIDENCE' ELSE 'DIFFERENT' END AS match_type FROM q",
     hamming64: f"{_H}, l AS (SELECT vec_id, phash, lag(phash) OVER (PARTITION BY vec_id % 16 ORDER BY vec_id) AS q FROM hashes) SELECT vec_id, ({_HAM.format('phash', 'q')})::BIGINT AS distance FROM l",
-    dup_phash_only: f"{_H}, j AS (SELECT a.vec_id AS low, b.vec_id AS high, ({_HAM.format('a.phash', 'b.phash')})::BIGINT AS distance FROM hashes a JOIN hashes b ON a.vec_id < b.vec_id) SELECT * FROM j WHERE distance <= 16",
+    dup_phash_only: f"{_H}, j AS (SELECT a.vec_id AS low, b.vec_id AS high, ({_HAM.format('a.phash', 'b.phash')})::BIGINT AS distance FROM hashes a JOIN hashes b ON a.vec_id < b.vec_id) SELECT * FROM j WHERE distance <= 6",
     src_message_events: f"{_M} SELECT message_id, group_id, sender, received_at, is_image FROM messages",
     validate_events: f"{_M} SELECT message_id, CASE WHEN is_image AND event_id % 11 = 0 THEN 'INVALID_IMAGE_PAYLOAD' END AS reason_code FROM messages",
     filter_allowlist: f"{_M} SELECT message_id, group_id FROM messages WHERE is_image AND group_id <> 'g3'",
@@ -467,7 +472,13 @@ _PLAIN = {
     retain_newest: f"{_R} SELECT receipt_id FROM receipts ORDER BY received_at DESC, receipt_id LIMIT 500",
     retain_window: f"{_R} SELECT receipt_id FROM receipts WHERE received_at >= {AS_OF - 7 * 86400}",
     batch_take_last8: f"{_BURST} SELECT receipt_id, row_number() OVER (PARTITION BY group_id, burst ORDER BY received_at DESC, receipt_id) <= 8 AS kept FROM b",
-    batch_pair_score: f"{_BURST}, s AS (SELECT b.receipt_id, c.id AS charge_id, coalesce(({L._EMAIL} = b.email)::BIGINT, 0) * 1000 + greatest(0, 400 - least(400, abs(b.received_at - c.created) // 60)) AS discriminator FROM b JOIN charges c USING (amount)) SELECT receipt_id, charge_id, discriminator + 1 AS score, discriminator FROM s",
+    batch_pair_score: _BURST
+    + """, s AS (
+  SELECT b.receipt_id, c.id AS charge_id, (coalesce(lower(c.provider_id) = lower(b.transaction_id), false)::INT * 10000 + coalesce(c.payer = lower(b.email), false)::INT * 1000
+    + coalesce(lower(c.billing_name) = lower(b.customer_name), false)::INT * 500
+    + greatest(0, 400 - least(400, abs(coalesce(epoch(b.payment_date)::BIGINT + b.payment_hour * 3600 + b.minutes * 60, b.received_at) - c.created) // 60)))::BIGINT AS discriminator
+  FROM b JOIN elig c USING (amount))
+SELECT receipt_id, charge_id, discriminator + 1 AS score, discriminator FROM s""",
     redact_review: f"{_C} SELECT id, CASE WHEN length(provider_id) > 8 THEN substr(provider_id, 1, 4) || '...' || right(provider_id, 4) ELSE '****' END AS masked, billing_name AS name, '$' || (amount // 100) || '.' || lpad((amount % 100)::VARCHAR, 2, '0') AS amount_text FROM charges",
     redact_transport: "SELECT page_id, CASE WHEN url IS NOT NULL THEN 'failed: <url> retry' END AS message FROM pages",
     sink_audit_jsonl: L._VERDICTS + """ SELECT receipt_id, 'INFO' AS level, '{"processing_id":"' || receipt_id || '","component":"verifier","event":"verification","status":"' || status || '","reason_code":"' || reason_code || '"}' AS line FROM verdicts""",

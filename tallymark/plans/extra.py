@@ -37,7 +37,9 @@ def duplicate_evidence(spark, sf_dir):
 
 def extract_description(spark, sf_dir):
     """Value after an explicit label, at most 1000 characters."""
-    text = F.concat(F.col("raw_text"), F.lit("\nDescription: Order "), F.col("receipt_id"), F.lit(" \n"))
+    n = F.substring("receipt_id", 3, 20).cast("long")
+    label = F.when(n % 4 == 0, "Description: ").when(n % 4 == 1, "description\n").when(n % 4 == 2, "Descriptions ").otherwise("DESCRIPTION - ")
+    text = F.concat(F.col("raw_text"), F.lit("\n"), label, F.lit("Order "), F.col("receipt_id"), F.lit(" \n"))
     return X.receipt_texts(spark, sf_dir).select("receipt_id", F.substring(F.trim(T.found(text, r"(?i)\bdescription\b\s*[:=-]?\s*([^\n]+)", 1)), 1, 1000).alias("description"))
 
 
@@ -48,7 +50,7 @@ def _with_tail(rows):
 
 
 def stream_burst_batch(spark, sf_dir):
-    rows = X.receipts(spark, sf_dir).filter("k = 6").select("group_id", "received_at")
+    rows = E._sized_bursts(spark, sf_dir).select("group_id", "received_at")
     out = intake.bursts(R._stream(spark, _with_tail(rows)), "6 hours", "40 days")
     return R._replayed(spark, out, ["group_id", "start", "n"]).filter("group_id <> '~'").select("group_id", F.unix_timestamp("start").alias("started_at"), "n")
 
@@ -59,6 +61,6 @@ ORACLE_SQL = {
     "distinct_candidates": L._FOUND + " SELECT receipt_id, id AS charge_id FROM facts WHERE id_hit OR in_search",
     "image_conflict": L._VERDICTS + _SEEN + ", q AS (SELECT p.receipt_id, v.charge_id, first_value(v.charge_id) OVER (PARTITION BY visual_print ORDER BY p.received_at, p.receipt_id) AS f FROM p JOIN verdicts v USING (receipt_id) WHERE visual_print IS NOT NULL AND v.charge_id IS NOT NULL) SELECT receipt_id, charge_id, 'IMAGE_MATCH_DIFFERENT_STRIPE_CHARGE' AS reason_code FROM q WHERE charge_id <> f",
     "duplicate_evidence": L._VERDICTS + f", j AS (SELECT r.receipt_id, coalesce(r.email, {L._EMAIL}) AS email, coalesce(r.transaction_id, c.provider_id) AS transaction_id, coalesce(r.payment_date, (to_timestamp(c.created) AT TIME ZONE 'UTC')::DATE) AS d FROM receipts r JOIN verdicts v USING (receipt_id) LEFT JOIN charges c ON c.id = v.charge_id) SELECT receipt_id, email, transaction_id, strftime(d, '%Y-%m-%d') AS payment_date, month(d)::INTEGER AS payment_month, day(d)::INTEGER AS payment_day FROM j",
-    "extract_description": E._T + " SELECT receipt_id, 'Order ' || receipt_id AS description FROM texts",
-    "stream_burst_batch": E._R + ", g AS (SELECT group_id, received_at, CASE WHEN received_at - lag(received_at) OVER w >= 21600 THEN 1 ELSE 0 END AS b FROM receipts WHERE k = 6 WINDOW w AS (PARTITION BY group_id ORDER BY received_at)), s AS (SELECT *, sum(b) OVER (PARTITION BY group_id ORDER BY received_at ROWS UNBOUNDED PRECEDING) AS burst FROM g) SELECT group_id, min(received_at) AS started_at, count(*) AS n FROM s GROUP BY group_id, burst",
+    "extract_description": E._T + " SELECT receipt_id, nullif(substr(trim(regexp_extract(raw_text || chr(10) || CASE substr(receipt_id, 3)::BIGINT % 4 WHEN 0 THEN 'Description: ' WHEN 1 THEN 'description' || chr(10) WHEN 2 THEN 'Descriptions ' ELSE 'DESCRIPTION - ' END || 'Order ' || receipt_id || ' ' || chr(10), '(?i)\\bdescription\\b\\s*[:=-]?\\s*([^\\n]+)', 1)), 1, 1000), '') AS description FROM texts",
+    "stream_burst_batch": L._VERDICTS + f", g AS (SELECT group_id, received_at, CASE WHEN received_at - lag(received_at) OVER w >= 21600 THEN 1 ELSE 0 END AS b FROM receipts WHERE receipt_id IN ({E._OPEN}) WINDOW w AS (PARTITION BY group_id ORDER BY received_at)), s AS (SELECT *, sum(b) OVER (PARTITION BY group_id ORDER BY received_at ROWS UNBOUNDED PRECEDING) AS burst FROM g) SELECT group_id, min(received_at) AS started_at, count(*) AS n FROM s GROUP BY group_id, burst",
 }

@@ -47,7 +47,8 @@ receipts AS (SELECT * FROM r0 UNION ALL SELECT * REPLACE ('d_' || event_id AS re
 TEXTS = """
 texts AS (
   SELECT 'r_' || event_id AS receipt_id, concat_ws(chr(10),
-    CASE WHEN event_id % 5 = 1 THEN 'Customer' || chr(10) || n WHEN event_id % 5 = 3 THEN 'Cystomer: ' || n ELSE 'Customer: ' || n END,
+    CASE WHEN event_id % 3 = 0 THEN 'Mayor 4 Road, Mark 12' END,
+    CASE WHEN event_id % 5 = 1 THEN 'Customer' || chr(10) || 'Payment source' || chr(10) || n WHEN event_id % 5 = 3 THEN 'Cystomer: ' || n ELSE 'Customer: ' || n END,
     'user' || user_id || '@example.com',
     'Amount $' || round(value)::BIGINT || '.' || lpad((event_id % 100)::VARCHAR, 2, '0'),
     'Status ' || CASE WHEN event_id % 7 = 0 THEN 'Pending' WHEN event_id % 7 = 1 THEN 'Failed' ELSE 'Completed' END,
@@ -66,9 +67,12 @@ messages AS (SELECT * FROM m1 UNION ALL SELECT * FROM m1 WHERE event_id % 10 = 0
 
 HASHES = """
 bits AS (SELECT vec_id, unnest(range(0, 64)) AS i, unnest(embedding) AS v FROM embeddings),
-hashes AS (
+own AS (
   SELECT vec_id, string_agg(lower(to_hex(d)), '' ORDER BY q) AS phash
-  FROM (SELECT vec_id, i // 4 AS q, sum(CASE WHEN v > 0 THEN 1 << (3 - i % 4) ELSE 0 END)::INTEGER AS d FROM bits GROUP BY ALL) GROUP BY vec_id)"""
+  FROM (SELECT vec_id, i // 4 AS q, sum(CASE WHEN v > 0 THEN 1 << (3 - i % 4) ELSE 0 END)::INTEGER AS d FROM bits GROUP BY ALL) GROUP BY vec_id),
+hashes AS (
+  SELECT vec_id, phash FROM own UNION ALL
+  SELECT -vec_id - 1, lpad(lower(to_hex(xor(('0x' || substr(phash, 1, 4))::INTEGER, (((1 << (vec_id % 9)::INTEGER) - 1) << (16 - vec_id % 9)::INTEGER)::INTEGER))), 4, '0') || substr(phash, 5) FROM own WHERE vec_id % 7 = 0)"""
 
 
 def with_(*parts: str) -> str:

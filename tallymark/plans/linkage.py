@@ -175,9 +175,13 @@ def fresh_minus_claimed(spark, sf_dir):
 
 
 def prefer_fresh(spark, sf_dir):
+    """Of several candidates the only unclaimed one; of those left the only one of the receipt's name; otherwise all."""
     w = W.partitionBy("receipt_id")
-    m = exclude_claimed(spark, sf_dir).withColumns({"n": F.count("*").over(w), "fresh": F.sum((~F.col("claimed")).cast("int")).over(w)})
-    return m.filter((F.col("n") == 1) | (F.col("fresh") != 1) | ~F.col("claimed")).select("receipt_id", "charge_id")
+    claims = _claims(spark, sf_dir).select(F.col("charge_id").alias("id")).distinct().withColumn("claimed", F.lit(True))
+    m = _tier_rows(spark, sf_dir).select("receipt_id", "id", "same_name").join(claims, "id", "left").withColumn("claimed", F.coalesce("claimed", F.lit(False)))
+    m = m.withColumns({"n": F.count("*").over(w), "fresh": F.sum((~F.col("claimed")).cast("int")).over(w)}).filter((F.col("n") == 1) | (F.col("fresh") != 1) | ~F.col("claimed"))
+    m = m.withColumn("named", F.sum(F.col("same_name").cast("int")).over(w)).filter((F.col("named") != 1) | F.col("same_name"))
+    return m.select("receipt_id", F.col("id").alias("charge_id"))
 
 
 def enrich_customer_email(spark, sf_dir):
@@ -315,7 +319,7 @@ _PLAIN = {
     confirmed_charges: _VERDICTS + " SELECT sha256, string_agg(DISTINCT charge_id, ',' ORDER BY charge_id) AS charges FROM claims GROUP BY 1",
     exclude_claimed: _VERDICTS + " SELECT receipt_id, id AS charge_id, id IN (SELECT charge_id FROM claims) AS claimed FROM flags WHERE t_canonical",
     fresh_minus_claimed: _VERDICTS + " SELECT receipt_id, id AS charge_id FROM flags WHERE t_canonical AND id NOT IN (SELECT charge_id FROM claims)",
-    prefer_fresh: _VERDICTS + " SELECT receipt_id, charge_id FROM (SELECT *, count(*) OVER (PARTITION BY receipt_id) AS n2, count(*) FILTER (NOT claimed) OVER (PARTITION BY receipt_id) AS fresh FROM (SELECT receipt_id, id AS charge_id, id IN (SELECT charge_id FROM claims) AS claimed FROM flags WHERE t_canonical)) WHERE n2 = 1 OR fresh <> 1 OR NOT claimed",
+    prefer_fresh: _VERDICTS + " SELECT receipt_id, charge_id FROM (SELECT *, count(*) FILTER (same_name) OVER (PARTITION BY receipt_id) AS named FROM (SELECT *, count(*) OVER (PARTITION BY receipt_id) AS n2, count(*) FILTER (NOT claimed) OVER (PARTITION BY receipt_id) AS fresh FROM (SELECT receipt_id, id AS charge_id, same_name, id IN (SELECT charge_id FROM claims) AS claimed FROM flags WHERE t_canonical)) WHERE n2 = 1 OR fresh <> 1 OR NOT claimed) WHERE named <> 1 OR same_name",
     enrich_customer_email: _VERDICTS + f" SELECT v.receipt_id, v.charge_id, coalesce({_EMAIL}, k.email) AS customer_email FROM claims v JOIN charges c ON c.id = v.charge_id LEFT JOIN customers k ON k.customer_id = c.customer",
     identity_union: _FOUND + f" SELECT receipt_id, c.id FROM receipts r JOIN (SELECT *, {_EMAIL} AS payer FROM charges) c ON lower(r.email) = c.payer UNION SELECT receipt_id, c.id FROM receipts r JOIN customers k ON lower(r.email) = lower(k.email) JOIN charges c ON c.customer = k.customer_id",
     cand_by_window: _FOUND + " SELECT receipt_id, c.id FROM w JOIN charges c ON c.created BETWEEN search_lo AND search_hi WHERE payment_date IS NOT NULL AND email IS NULL",

@@ -95,11 +95,11 @@ def receipt_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = F.timestamp_seconds("at")
     amount = F.concat(F.lit("$"), F.round("value").cast("long").cast("string"), F.lit("."), F.lpad((n % 100).cast("string"), 2, "0"))
     label = F.when(n % 5 == 3, "Cystomer").otherwise("Customer")
-    name = F.when(n % 5 == 1, F.concat(label, F.lit("\n"), _name(F.col("user_id")))).otherwise(F.concat(label, F.lit(": "), _name(F.col("user_id"))))
+    name = F.when(n % 5 == 1, F.concat(label, F.lit("\nPayment source\n"), _name(F.col("user_id")))).otherwise(F.concat(label, F.lit(": "), _name(F.col("user_id"))))
     ident = F.when(n % 5 == 2, F.concat(_provider(n), F.lit("\nPayment identifier"))).otherwise(F.concat(F.lit("Payment identifier: "), _provider(n)))
     day = F.when(n % 5 == 4, F.date_format(t, "MMM d")).otherwise(F.date_format(t, "yyyy-MM-dd"))
     status = F.when(n % 7 == 0, "Pending").when(n % 7 == 1, "Failed").otherwise("Completed")
-    text = F.concat_ws("\n", name, _address(F.col("user_id")), F.concat(F.lit("Amount "), amount), F.concat(F.lit("Status "), status), day, F.concat(F.lit("Processed at "), F.date_format(t, "h:mm a")), ident)
+    text = F.concat_ws("\n", F.when(n % 3 == 0, "Mayor 4 Road, Mark 12"), name, _address(F.col("user_id")), F.concat(F.lit("Amount "), amount), F.concat(F.lit("Status "), status), day, F.concat(F.lit("Processed at "), F.date_format(t, "h:mm a")), ident)
     return e.select(F.concat(F.lit("r_"), n.cast("string")).alias("receipt_id"), text.alias("raw_text"))
 
 
@@ -120,8 +120,12 @@ def messages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def hashes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """64-bit visual hashes as 16 hex digits: sign bits of ``embeddings``, first bits in groups flipped by ``vec_id % 9``."""
+    """64-bit visual hashes as 16 hex digits: sign bits of ``embeddings``; every seventh again, as -1 - vec_id, with its ``vec_id % 9`` first bits flipped."""
     e = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
     nibble = lambda i: F.aggregate(F.sequence(F.lit(0), F.lit(3)), F.lit(0), lambda a, j: a * 2 + (F.get("embedding", F.lit(4 * i) + j) > 0).cast("int"))
     digits = F.concat(*[F.lower(F.hex(nibble(i))) for i in range(16)])
-    return e.select("vec_id", digits.alias("phash"))
+    own = e.select("vec_id", digits.alias("phash"))
+    flip = F.expr("((1 << (vec_id % 9)) - 1) << (16 - vec_id % 9)").cast("int")
+    top = F.conv(F.substring("phash", 1, 4), 16, 10).cast("int").bitwiseXOR(flip)
+    near = own.filter("vec_id % 7 = 0").select((-F.col("vec_id") - 1).alias("vec_id"), F.concat(F.lpad(F.lower(F.hex(top)), 4, "0"), F.substring("phash", 5, 12)).alias("phash"))
+    return own.unionByName(near)

@@ -118,3 +118,30 @@ def test_gray_hash(spark):
         middle = sorted(c[1:])[31]
         assert got[i] == f"{sum(1 << k for k in range(64) if c[k] > middle):016x}"
     assert got[9] is None
+
+
+@pytest.mark.parametrize(
+    ("text", "identifier", "name", "month"),
+    [
+        ("Payment identifier: ABCDEFGH", "ABCDEFGH", None, None),
+        ("Payment identifier\nAB12CD34", "AB12CD34", None, None),
+        ("AB12CD34\nTransaction ID", "AB12CD34", None, None),
+        ("Payment ID merchant AB12CD34 shop", "AB12CD34", None, None),
+        ("Payment identifier\nmerchant", None, None, None),
+        ("Payment identifier\nno value\nTransaction id = QWERTY", "QWERTY", None, None),
+        ("AB12CD34 stands alone", None, None, None),
+        ("Customer\nPayment source\nAnn Bee", None, "Ann Bee", None),
+        ("Customer\nCash App Pay\nPayment date", None, None, None),
+        ("Cust0mer: Ann  Bee", None, "Ann Bee", None),
+        ("Customer: Ann\nPurchase from some shop\nBob Cee", None, "Bob Cee", None),
+        ("Mark 12", None, None, None),
+        ("Decline 3, Mayor 4, Marching 9", None, None, None),
+        ("on Sept 3", None, None, None),
+        ("on March 12", None, None, 3),
+        ("on dec. 3", None, None, 12),
+    ],
+)
+def test_text_fields_and_their_negatives(spark, text, identifier, name, month):
+    c = F.lit(text)
+    got = spark.range(1).select(T.transaction_id(c).alias("i"), T.customer_name(c).alias("n"), T.calendar(c)[1].alias("m")).first()
+    assert (got.i, got.n, got.m) == (identifier, name, month)
