@@ -191,14 +191,28 @@ class _Join:
     def __init__(self, docs: DataFrame, k: int, percent: int, classes: DataFrame):
         self.docs, self.k, self.percent, self.classes = docs, k, percent, classes
         self.roots: DataFrame | None = None
+        self.few_roots = True
         self.sets: list[DataFrame] = []
+        self.scratch: list[DataFrame] = []
 
     def labelled(self, *columns: str) -> DataFrame:
         """(cls, columns, component)."""
         own = self.classes.select("cls", *columns)
         if self.roots is None:
             return own.withColumn("component", F.col("cls"))
-        return own.join(self.roots.withColumnRenamed("v", "cls"), "cls", "left").withColumn("component", F.coalesce("root", "cls")).drop("root")
+        return own.join(self.named_roots(), "cls", "left").withColumn("component", F.coalesce("root", "cls")).drop("root")
+
+    def named_roots(self) -> DataFrame:
+        """(cls, root), sent to every task while these are few: classes then needn't move to learn their component."""
+        found = self.roots.select(F.col("v").alias("cls"), "root")
+        return F.broadcast(found) if self.few_roots else found
+
+    def labelled_of(self, rows: DataFrame, *columns: str) -> DataFrame:
+        """``labelled`` of the classes in ``rows``, so that others don't move where these are few."""
+        ids = cut(rows.select("cls").distinct())
+        self.scratch.append(ids)
+        own = self.labelled(*columns)
+        return own.join(F.broadcast(ids), "cls", "left_semi") if ids.count() <= FEW else own
 
     def chunks(self) -> DataFrame:
         """(cls, chunk) of the classes in components: about ``CELL`` classes of a component are a chunk."""
@@ -206,7 +220,8 @@ class _Join:
             return self.classes.select("cls", F.xxhash64("cls").alias("chunk")).limit(0)
         sizes = self.roots.groupBy("root").agg(F.count("*").alias("n"))
         part = F.pmod(F.xxhash64("v"), F.ceil(F.col("n") / CELL).cast("int"))
-        return self.roots.join(sizes, "root").select(F.col("v").alias("cls"), F.xxhash64("root", part).alias("chunk"))
+        found = self.roots.join(sizes, "root").select(F.col("v").alias("cls"), F.xxhash64("root", part).alias("chunk"))
+        return F.broadcast(found) if self.few_roots else found
 
     def _make_sets(self, pairs: DataFrame) -> None:
         """Sets of the classes in ``pairs`` that have none yet, from the text of a document of each."""
@@ -240,6 +255,7 @@ class _Join:
             if before is not None:
                 links = links.unionByName(before.select(F.col("v").alias("a"), F.col("root").alias("b")))
             self.roots = components(links)
+            self.few_roots = self.roots.count() <= FEW
             free(before)
         free(ends, found)
         return n
@@ -266,7 +282,7 @@ def _level(join: _Join, held: DataFrame, trees: int, small: int, last: bool) ->
     schema = "node long, tree int, size long, a binary, b binary, alike int"
     for most in ASKED:
         tile = F.pmod(F.xxhash64("cls", "node"), F.ceil(F.col("size") / small).cast("int")).alias("tile")
-        rows = held.select("node", "tree", "size", "cls", tile).join(join.labelled("n_shingles", "tokens"), "cls")
+        rows = held.select("node", "tree", "size", "cls", tile).join(join.labelled_of(held, "n_shingles", "tokens"), "cls")
         found = cut(_tiled(rows).mapInPandas(_best(join.percent, small), schema))
         ranked = F.sort_array(F.collect_set(F.struct("alike", "b")), asc=False)  # one row of each tree at most
         best = found.filter("b is not null").groupBy("a").agg(F.slice(ranked, 1, most).alias("m")).select("a", F.explode("m.b").alias("o"))
@@ -303,7 +319,7 @@ def _level(join: _Join, held: DataFrame, trees: int, small: int, last: bool) ->
     visitors = mine.filter(~one & F.col("outside")).select(*keep, F.lit(1).alias("role"), "by", "size", F.explode(F.sequence(F.lit(0), tiles("size") - 1)).alias("at"))
     both = members.unionByName(visitors).withColumn("tile", F.col("by") * tiles("size") + F.col("at")).select(*keep, "role", "tile")
     large = join.chunks()
-    own = join.labelled("n_shingles", "tokens", "more").join(large, "cls", "left").withColumn("chunk", F.coalesce("chunk", F.xxhash64("cls")))
+    own = join.labelled_of(mine, "n_shingles", "tokens", "more").join(large, "cls", "left").withColumn("chunk", F.coalesce("chunk", F.xxhash64("cls")))
     schema = "a binary, b binary, a_chunk long, b_chunk long"
     pairs = cut(_tiled(both.join(own, "cls")).mapInPandas(_across(join.percent, trees), schema).distinct())
     if not pairs.isEmpty():
@@ -325,7 +341,17 @@ def _linked(docs: DataFrame, k: int, percent: int, trees: int, small: int, depth
     ids = docs.schema["doc_id"].dataType.simpleString()
     rows = cut(_sets(docs, k).mapInPandas(_minwise, f"doc_id {ids}, tie long, cls binary, n_shingles long, tokens binary, more binary"))
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "tie")).alias("first")
-    classes = cut(rows.filter("n_shingles > 0").groupBy("cls").agg(first, F.min(F.struct("n_shingles", "tokens", "more")).alias("s")).select("cls", "first.doc_id", "first.tie", "s.*"))
+    with_words = rows.filter("n_shingles > 0")
+    several = with_words.groupBy("cls").agg(first, F.count("*").alias("n")).filter("n > 1")
+    several = cut(several.select("cls", F.col("first.doc_id").alias("d"), F.col("first.tie").alias("t")))
+    few = F.broadcast(several) if several.count() <= FEW else several
+    # Tokens of a class are those of any of its rows: only rows of equal sets meet.
+    lone = with_words.join(few, "cls", "left_anti")
+    one_of = with_words.join(few, "cls").filter(F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("tie") == F.col("t"))).drop("d", "t").dropDuplicates(["cls"])
+    classes = cut(lone.unionByName(one_of))
+    thin = cut(rows.select("doc_id", "tie", "cls", "n_shingles"))
+    free(rows, several)
+    rows = thin
     path = lambda t: F.xxhash64(F.lit(t), F.substring("tokens", F.lit(2 * PATH * t + 1), F.lit(2 * PATH)))
     start = F.explode(F.array(*[F.struct(path(t).alias("node"), F.lit(t).alias("tree")) for t in range(trees)])).alias("s")
     join = _Join(docs, k, percent, classes)
@@ -338,10 +364,10 @@ def _linked(docs: DataFrame, k: int, percent: int, trees: int, small: int, depth
     if join.roots is None:
         in_one = in_one.withColumn("root", F.col("cls"))
     else:
-        in_one = in_one.join(join.roots.withColumnRenamed("v", "cls"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
+        in_one = in_one.join(join.named_roots(), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
     least = in_one.groupBy("root").agg(F.min("doc_id").alias("component_id"))
     found = cut(in_one.join(least, "root").select("cls", "component_id"))
-    free(classes, join.roots, *join.sets)
+    free(classes, join.roots, *join.sets, *join.scratch)
     return rows.select("doc_id", "tie", "cls", "n_shingles"), found
 
 
