@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from tallymark.llm import decontamination, mixing, near_dedup, quality, token_files
 from tallymark.session import cut, shared_dir
 
-#: SQL can't express the joins by hashed paths and the packed files; tests/llm holds the stages against brute force.
+#: SQL can't express the joins by hashed paths and the packed files; tests/llm holds the operators against brute force and runs the stages on odd rows.
 ORACLE_SQL = None
 
 

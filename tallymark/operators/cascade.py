@@ -1,6 +1,6 @@
 """Record linkage: receipts meet ledger charges through a cascade of tiers that approves only a unique charge.
 
-Every receipt carries an amount, so all candidates come from one equality join on (amount, currency); times are
+Every receipt carries an amount, so all candidates come from one equality join on amount (the ledger has one currency); times are
 residual. Each tier is a flag on a candidate row, computed from what the receipt may see at that point, and one grouping
 by receipt folds all tiers. Zero or several survivors never approve; recency breaks no tie.
 """
