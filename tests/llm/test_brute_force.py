@@ -181,6 +181,44 @@ def test_repeated_passages(spark, sf, docs):
         assert sum((a & b).values()) >= 0.6 * sum((a | b).values())
 
 
+def test_similarity_of_runs_is_that_of_sets():
+    """Every offset, against sets made anew for each run: repeated tokens, tokens at several places, ends of the texts."""
+    rng = np.random.default_rng(5)
+    for trial in range(300):
+        span, kinds = int(rng.integers(2, 12)), int(rng.integers(1, 40))
+        gx = rng.integers(0, kinds, int(rng.integers(1, 40)))
+        gy = gx.copy() if trial % 3 == 0 else rng.integers(0, kinds, int(rng.integers(1, 40)))
+        if trial % 3 == 1 and len(gx) > 3:
+            gy = np.concatenate([gy, gx[: len(gx) - 1], gy, gx])
+        percent = int(rng.integers(30, 101))
+        for offset in range(-len(gx) - 3, len(gy) + 4):
+            want, n = [], len(gx) - span + 1
+            if n > 0 and len(gy) >= span:
+                alike = []
+                for i in range(n):
+                    at = min(max(i + offset, 0), len(gy) - span)
+                    x, y = set(gx[i : i + span].tolist()), set(gy[at : at + span].tolist())
+                    alike.append((len(x & y), len(x | y)))
+                good = [100 * a >= percent * b for a, b in alike]
+                for i in range(n):
+                    if good[i] and (i == 0 or not good[i - 1]):
+                        z = next((j for j in range(i, n) if not good[j]), n)
+                        want.append((i, z - 1 + span, max(1000 * a // b for a, b in alike[i:z]), offset))
+                want = [w for w in want if not any(v != w and v[0] <= w[0] and w[1] <= v[1] and (-v[2], v[0] - v[1], v) < (-w[2], w[0] - w[1], w) for v in want)]
+            assert sorted(passages.matches(gx, gy, [offset], span, percent)) == sorted(want)
+
+
+def test_one_token_repeated_is_no_passage():
+    """46 copies of one shingle are one set member: one in 46 alike with a passage that has it once."""
+    assert passages.matches(np.zeros(46, np.int64), np.arange(46), [0], 46, 80) == []
+
+
+def test_passage_at_its_second_place():
+    once = np.arange(100, 146)
+    twice = np.concatenate([once, np.arange(200, 260), once])
+    assert passages.matches(once, twice, [106], 46, 80) == [(0, 46, 1000, 106)]
+
+
 def test_two_passages_at_near_offsets(spark):
     """Exact passages whose offsets differ by 6 to 15 words are both found, each where it is."""
     rng = np.random.default_rng(5)
