@@ -208,6 +208,22 @@ def test_similarity_of_runs_is_that_of_sets():
             assert sorted(passages.matches(gx, gy, [offset], span, percent)) == sorted(want)
 
 
+def test_offsets_in_blocks_are_those_one_by_one(monkeypatch):
+    """Many offsets at once give what each gives alone: the best of all starts and the passages themselves."""
+    rng = np.random.default_rng(6)
+    for trial in range(60):
+        gx = rng.integers(0, 12 if trial % 2 else 1000, 60)
+        gy = np.concatenate([rng.integers(0, 1000, 9), gx[:30], gx[20:]])
+        offsets = list(range(-5, 25))
+        at_once = passages.matches(gx, gy, offsets, 10, 60)
+        monkeypatch.setattr(passages, "OFFSETS_AT_ONCE", 1)
+        alone = passages.matches(gx, gy, offsets, 10, 60)
+        monkeypatch.undo()
+        assert {r[:3] for r in at_once} == {r[:3] for r in alone}
+        every = [r for o in offsets for r in passages.matches(gx, gy, [o], 10, 60)]
+        assert all(any(k[0] <= r[0] and r[1] <= k[1] and k[2] >= r[2] for k in at_once) for r in every)
+
+
 def test_one_token_repeated_is_no_passage():
     """46 copies of one shingle are one set member: one in 46 alike with a passage that has it once."""
     assert passages.matches(np.zeros(46, np.int64), np.arange(46), [0], 46, 80) == []
