@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallymark.llm.common import lower_ascii, pick, shingles, whole, words
-from tallymark.llm.components import components
+from tallymark.llm.components import components, in_tasks
 from tallymark.session import cut, free
 
 HASHES, SHORT, PATH, PART, CELL = 512, 64, 3, 128, 64
@@ -39,6 +39,8 @@ WORK = 256
 ASKED = (1, 8)
 #: Classes whose sets are wanted that are sent to every task at most, about 50 MB; beyond that they are joined by shuffle.
 FEW = 1_000_000
+#: Sets of a task where they are written.
+SETS = 4_096
 _RNG = np.random.default_rng(20240607)
 _MUL = _RNG.integers(1, 2**63, HASHES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _ADD = _RNG.integers(0, 2**63, HASHES, dtype=np.uint64)
@@ -223,9 +225,9 @@ class _Join:
         found = self.roots.join(sizes, "root").select(F.col("v").alias("cls"), F.xxhash64("root", part).alias("chunk"))
         return F.broadcast(found) if self.few_roots else found
 
-    def _make_sets(self, pairs: DataFrame) -> None:
+    def _make_sets(self, pairs: DataFrame, number: int) -> None:
         """Sets of the classes in ``pairs`` that have none yet, from the text of a document of each."""
-        ends = pairs.select(F.col("a").alias("cls")).union(pairs.select("b")).distinct()
+        ends = in_tasks(pairs.select(F.col("a").alias("cls")).union(pairs.select("b")).distinct(), 2 * number)
         for known in self.sets:
             ends = ends.join(known.select("cls"), "cls", "left_anti")
         wanted = cut(self.classes.join(ends, "cls", "left_semi").select(F.col("doc_id").alias("d"), F.col("tie").alias("t")))
@@ -233,15 +235,19 @@ class _Join:
         if n:
             few = F.broadcast(wanted) if n <= FEW else wanted
             own = self.docs.withColumn("tie", F.xxhash64("text")).join(few, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("tie") == F.col("t")), "left_semi")
-            self.sets.append(cut(_sets(own.select("doc_id", "text"), self.k).select("cls", "set").dropDuplicates(["cls"])))
+            made = _sets(own.select("doc_id", "text"), self.k).select("cls", "set").dropDuplicates(["cls"])
+            self.sets.append(cut(in_tasks(made, n, SETS)))
         free(wanted)
 
     def confirm(self, pairs: DataFrame) -> int:
-        """Adds the links among ``pairs`` (a, b, a_chunk, b_chunk), a table of its own, to the components; their number."""
-        self._make_sets(pairs)
+        """Adds the links among ``pairs`` (a, b, a_chunk, b_chunk), a table of its own, to the components; the number of pairs."""
+        number = pairs.count()
+        if not number:
+            return 0
+        self._make_sets(pairs, number)
         cell = F.xxhash64(F.least("a_chunk", "b_chunk"), F.greatest("a_chunk", "b_chunk")).alias("cell")
         tests = pairs.select("a", "b", cell)
-        ends = cut(tests.select("cell", F.col("a").alias("cls")).union(tests.select("cell", "b")).distinct())
+        ends = cut(in_tasks(tests.select("cell", F.col("a").alias("cls")).union(tests.select("cell", "b")).distinct(), 2 * number))
         sets = self.sets[0]
         for more in self.sets[1:]:
             sets = sets.unionByName(more)
@@ -249,16 +255,26 @@ class _Join:
         rows = sets.join(few, "cls").select("cell", F.col("cls").alias("a"), F.lit(None).cast("binary").alias("b"), "set")
         rows = rows.unionByName(tests.select("cell", "a", "b", F.lit(None).cast("array<bigint>").alias("set")))
         found = cut(rows.repartition("cell").sortWithinPartitions("cell").mapInPandas(_linked_in_cells(self.percent), "a binary, b binary"))
-        n = found.count()
-        if n:
-            before, links = self.roots, found
-            if before is not None:
-                links = links.unionByName(before.select(F.col("v").alias("a"), F.col("root").alias("b")))
-            self.roots = components(links)
-            self.few_roots = self.roots.count() <= FEW
-            free(before)
+        if not found.isEmpty():
+            self._link(found)
         free(ends, found)
-        return n
+        return number
+
+    def _link(self, links: DataFrame) -> None:
+        """Joins the components at the two ends of ``links`` (a, b): only their roots meet, not all that are in them."""
+        before = self.roots
+        if before is None:
+            self.roots = components(links)
+        else:
+            for end in ("a", "b"):
+                links = links.join(self.named_roots().withColumnRenamed("cls", end), end, "left").withColumn(end, F.coalesce("root", end)).drop("root")
+            new = components(links)
+            n = new.count()
+            step = new.select(F.col("v").alias("root"), F.col("root").alias("further"))
+            moved = before.join(F.broadcast(step) if n <= FEW else step, "root", "left")
+            self.roots = cut(moved.select("v", F.coalesce("further", "root").alias("root")).unionByName(new.select("v", "root")))
+            free(before, new)
+        self.few_roots = self.roots.count() <= FEW
 
 
 def _counted(nodes: DataFrame) -> DataFrame:
@@ -288,11 +304,12 @@ def _level(join: _Join, held: DataFrame, trees: int, small: int, last: bool) ->
         best = found.filter("b is not null").groupBy("a").agg(F.slice(ranked, 1, most).alias("m")).select("a", F.explode("m.b").alias("o"))
         pairs = best.select(F.least("a", "o").alias("a"), F.greatest("a", "o").alias("b")).distinct()
         pairs = cut(pairs.withColumns({"a_chunk": F.xxhash64("a"), "b_chunk": F.xxhash64("b")}))
-        if not pairs.isEmpty():
-            join.confirm(pairs)
+        met = join.confirm(pairs)
         free(held, pairs)
         held = found.select("node", "tree", F.col("a").alias("cls"), "size")
         held.scratch_path = found.scratch_path
+        if not met:
+            break
 
     label = join.labelled()
     rows = cut(held.select("node", "tree", "cls").join(label, "cls"))
@@ -322,8 +339,7 @@ def _level(join: _Join, held: DataFrame, trees: int, small: int, last: bool) ->
     own = join.labelled_of(mine, "n_shingles", "tokens", "more").join(large, "cls", "left").withColumn("chunk", F.coalesce("chunk", F.xxhash64("cls")))
     schema = "a binary, b binary, a_chunk long, b_chunk long"
     pairs = cut(_tiled(both.join(own, "cls")).mapInPandas(_across(join.percent, trees), schema).distinct())
-    if not pairs.isEmpty():
-        join.confirm(pairs)
+    join.confirm(pairs)
     free(pairs)
     if not deeper:
         free(left)
