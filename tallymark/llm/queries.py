@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallymark.llm import decontamination, line_templates, mixing, near_dedup, passages, quality, secrets, token_counts, token_files, urls
+from tallymark.llm import alignment, conversation_repair, decontamination, line_templates, mixing, near_dedup, passages, quality, secrets, token_counts, token_files, urls
 from tallymark.session import shared_dir
 
 
@@ -72,9 +72,25 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.contaminated(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Faults, cheapest edits and digest of every conversation after damage; of those that lost all turns, zeros."""
+    told = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    found = conversation_repair.repair_report(conversation_repair.damage(told)).withColumnRenamed("conv_id", "c")
+    every = told.select("conv_id").distinct().join(found, F.col("conv_id").eqNullSafe(F.col("c")), "left")
+    none = {n: F.coalesce(n, F.lit(0).cast("long")) for n in ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")}
+    return every.drop("c").withColumns(none | {"audit": F.coalesce("audit", F.lit("")), "repaired_sha256": F.coalesce("repaired_sha256", F.sha2(F.lit(""), 256))})
+
+
+def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups and links of two vocabularies' tokens in every document."""
+    return alignment.align(_table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_token_files": op1_token_files,
     "op10_decontamination": op10_decontamination,
+    "op11_conversation_repair": op11_conversation_repair,
+    "op12_token_alignment": op12_token_alignment,
     "op2_url_filters": op2_url_filters,
     "op3_line_dedup": op3_line_dedup,
     "op4_near_dedup": op4_near_dedup,
