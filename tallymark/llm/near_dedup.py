@@ -60,7 +60,7 @@ def _minwise(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield b.drop(columns="set").assign(n_shingles=[len(x) for x in b["set"]], tokens=[x.tobytes() for x in short], more=[x.tobytes() for x in more])
 
 
-def _sets(docs: DataFrame, k: int) -> DataFrame:
+def sets(docs: DataFrame, k: int) -> DataFrame:
     """doc_id, tie, set and ``cls``, 128 bits of the set's content, for rows (doc_id, text)."""
     found = docs.select("doc_id", F.xxhash64("text").alias("tie"), words(lower_ascii(F.col("text"))).alias("w"))
     found = found.select("doc_id", "tie", F.array_distinct(shingles(F.col("w"), k)).alias("set"))
@@ -145,7 +145,7 @@ def _across(percent: int, trees: int):
         for b, groups in whole_groups(batches, "node", "tile"):
             held = _Compare(b, percent)
             path = held.tokens[:, : PATH * trees].reshape(len(b), trees, PATH)
-            role, outside, cls, chunk = (b[c].to_numpy() for c in ("role", "outside", "cls", "chunk"))
+            role, outside, cls, chunk, later = (b[c].to_numpy() for c in ("role", "outside", "cls", "chunk", "later"))
             for a, z in groups:
                 x, y = np.flatnonzero(role[a:z] & 1) + a, np.flatnonzero(role[a:z] & 2) + a
                 if not len(x) or not len(y):
@@ -154,10 +154,10 @@ def _across(percent: int, trees: int):
                 x, y = x[i], y[j]
                 once = ~outside[y] | np.array([p < q for p, q in zip(cls[x], cls[y])], bool)
                 x, y = x[once], y[once]
-                tree, later = int(b["tree"].iat[a]), int(b["later"].iat[a])
-                if tree >= 0 and len(x):
-                    earlier = [t for t in range(tree) if not later >> t & 1]
-                    first = ~(path[x][:, earlier] == path[y][:, earlier]).all(2).any(1)
+                tree = int(b["tree"].iat[a])
+                if tree > 0 and len(x):  # a node that two classes share is the same for both: so is whether it goes on
+                    now = later[x][:, None] >> np.arange(tree) & 1 == 0
+                    first = ~((path[x][:, :tree] == path[y][:, :tree]).all(2) & now).any(1)
                     x, y = x[first], y[first]
                 if len(x):
                     low = np.array([p < q for p, q in zip(cls[x], cls[y])], bool)
@@ -187,7 +187,7 @@ def _linked_in_cells(percent: int):
     return linked
 
 
-class _Join:
+class Join:
     """State of one join: classes, confirmed components, and the sets made so far."""
 
     def __init__(self, docs: DataFrame, k: int, percent: int, classes: DataFrame):
@@ -235,7 +235,7 @@ class _Join:
         if n:
             few = F.broadcast(wanted) if n <= FEW else wanted
             own = self.docs.withColumn("tie", F.xxhash64("text")).join(few, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("tie") == F.col("t")), "left_semi")
-            made = _sets(own.select("doc_id", "text"), self.k).select("cls", "set").dropDuplicates(["cls"])
+            made = sets(own.select("doc_id", "text"), self.k).select("cls", "set").dropDuplicates(["cls"])
             self.sets.append(cut(in_tasks(made, n, SETS)))
         free(wanted)
 
@@ -276,6 +276,18 @@ class _Join:
             free(before, new)
         self.few_roots = self.roots.count() <= FEW
 
+    def component_ids(self) -> DataFrame:
+        """A table (cls, component_id), the least doc_id of each class's component; frees what the join has held."""
+        in_one = self.classes.select("cls", "doc_id")
+        if self.roots is None:
+            in_one = in_one.withColumn("root", F.col("cls"))
+        else:
+            in_one = in_one.join(self.named_roots(), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
+        least = in_one.groupBy("root").agg(F.min("doc_id").alias("component_id"))
+        found = cut(in_one.join(least, "root").select("cls", "component_id"))
+        free(self.classes, self.roots, *self.sets, *self.scratch)
+        return found
+
 
 def _counted(nodes: DataFrame) -> DataFrame:
     """Rows (node, tree, cls) of nodes with two classes or more, with the node's ``size``."""
@@ -283,8 +295,9 @@ def _counted(nodes: DataFrame) -> DataFrame:
     return cut(nodes.join(sizes, "node"))
 
 
-def _tiled(rows: DataFrame) -> DataFrame:
-    return rows.repartition("node", "tile").sortWithinPartitions("node", "tile", "cls")
+def tiled(rows: DataFrame, node: str = "node") -> DataFrame:
+    """Rows of each tile of a node together, ordered by class."""
+    return rows.repartition(node, "tile").sortWithinPartitions(node, "tile", "cls")
 
 
 def _branches(node: Column) -> Column:
@@ -293,13 +306,13 @@ def _branches(node: Column) -> Column:
     return F.when((F.pmod(F.xxhash64(node, F.lit(3)), F.lit(4)) == 0) & (one != two), F.array(one, two)).otherwise(F.array(one))
 
 
-def _level(join: _Join, held: DataFrame, trees: int, small: int, last: bool) -> DataFrame | None:
+def _level(join: Join, held: DataFrame, trees: int, small: int, last: bool) -> DataFrame | None:
     """Joins what the nodes ``held`` show; the child nodes of those that must go on, if any. ``held`` is freed."""
     schema = "node long, tree int, size long, a binary, b binary, alike int"
     for most in ASKED:
         tile = F.pmod(F.xxhash64("cls", "node"), F.ceil(F.col("size") / small).cast("int")).alias("tile")
         rows = held.select("node", "tree", "size", "cls", tile).join(join.labelled_of(held, "n_shingles", "tokens"), "cls")
-        found = cut(_tiled(rows).mapInPandas(_best(join.percent, small), schema))
+        found = cut(tiled(rows).mapInPandas(_best(join.percent, small), schema))
         ranked = F.sort_array(F.collect_set(F.struct("alike", "b")), asc=False)  # one row of each tree at most
         best = found.filter("b is not null").groupBy("a").agg(F.slice(ranked, 1, most).alias("m")).select("a", F.explode("m.b").alias("o"))
         pairs = best.select(F.least("a", "o").alias("a"), F.greatest("a", "o").alias("b")).distinct()
@@ -338,7 +351,7 @@ def _level(join: _Join, held: DataFrame, trees: int, small: int, last: bool) ->
     large = join.chunks()
     own = join.labelled_of(mine, "n_shingles", "tokens", "more").join(large, "cls", "left").withColumn("chunk", F.coalesce("chunk", F.xxhash64("cls")))
     schema = "a binary, b binary, a_chunk long, b_chunk long"
-    pairs = cut(_tiled(both.join(own, "cls")).mapInPandas(_across(join.percent, trees), schema).distinct())
+    pairs = cut(tiled(both.join(own, "cls")).mapInPandas(_across(join.percent, trees), schema).distinct())
     join.confirm(pairs)
     free(pairs)
     if not deeper:
@@ -352,38 +365,38 @@ def _level(join: _Join, held: DataFrame, trees: int, small: int, last: bool) ->
     return child
 
 
-def _linked(docs: DataFrame, k: int, percent: int, trees: int, small: int, depth: int) -> tuple[DataFrame, DataFrame]:
-    """Every row's (doc_id, tie, cls, n_shingles) and every class's (cls, component_id)."""
-    ids = docs.schema["doc_id"].dataType.simpleString()
-    rows = cut(_sets(docs, k).mapInPandas(_minwise, f"doc_id {ids}, tie long, cls binary, n_shingles long, tokens binary, more binary"))
+def distinct_classes(rows: DataFrame) -> DataFrame:
+    """A table of one row of each class of rows (doc_id, tie, cls, n_shingles, ...) with shingles, that of the least doc_id."""
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "tie")).alias("first")
     with_words = rows.filter("n_shingles > 0")
     several = with_words.groupBy("cls").agg(first, F.count("*").alias("n")).filter("n > 1")
     several = cut(several.select("cls", F.col("first.doc_id").alias("d"), F.col("first.tie").alias("t")))
     few = F.broadcast(several) if several.count() <= FEW else several
-    # Tokens of a class are those of any of its rows: only rows of equal sets meet.
+    # What a class's rows have beside their ids is the same in all: only rows of equal sets meet.
     lone = with_words.join(few, "cls", "left_anti")
     one_of = with_words.join(few, "cls").filter(F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("tie") == F.col("t"))).drop("d", "t").dropDuplicates(["cls"])
     classes = cut(lone.unionByName(one_of))
+    free(several)
+    return classes
+
+
+def _linked(docs: DataFrame, k: int, percent: int, trees: int, small: int, depth: int) -> tuple[DataFrame, DataFrame]:
+    """Every row's (doc_id, tie, cls, n_shingles) and every class's (cls, component_id)."""
+    ids = docs.schema["doc_id"].dataType.simpleString()
+    rows = cut(sets(docs, k).mapInPandas(_minwise, f"doc_id {ids}, tie long, cls binary, n_shingles long, tokens binary, more binary"))
+    classes = distinct_classes(rows)
     thin = cut(rows.select("doc_id", "tie", "cls", "n_shingles"))
-    free(rows, several)
+    free(rows)
     rows = thin
     path = lambda t: F.xxhash64(F.lit(t), F.substring("tokens", F.lit(2 * PATH * t + 1), F.lit(2 * PATH)))
     start = F.explode(F.array(*[F.struct(path(t).alias("node"), F.lit(t).alias("tree")) for t in range(trees)])).alias("s")
-    join = _Join(docs, k, percent, classes)
+    join = Join(docs, k, percent, classes)
     held = _counted(classes.select("cls", start).select("s.node", "s.tree", "cls"))
     for level in range(1, depth + 1):
         held = _level(join, held, trees, small, level == depth)
         if held is None or held.isEmpty():
             break
-    in_one = classes.select("cls", "doc_id")
-    if join.roots is None:
-        in_one = in_one.withColumn("root", F.col("cls"))
-    else:
-        in_one = in_one.join(join.named_roots(), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
-    least = in_one.groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    found = cut(in_one.join(least, "root").select("cls", "component_id"))
-    free(classes, join.roots, *join.sets, *join.scratch)
+    found = join.component_ids()
     return rows.select("doc_id", "tie", "cls", "n_shingles"), found
 
 
