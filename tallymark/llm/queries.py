@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallymark.llm import alignment, conversation_repair, decontamination, line_templates, mixing, near_dedup, passages, quality, secrets, token_counts, token_files, urls
+from tallymark.llm import alignment, conversation_repair, decontamination, line_templates, mixing, near_dedup, ngram_join, passages, quality, secrets, token_counts, token_files, urls
 from tallymark.session import shared_dir
 
 
@@ -86,11 +86,17 @@ def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return alignment.align(_table(spark, sf_dir, "documents"))
 
 
+def op13_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Component of every document under 3-word shingles at 0.9."""
+    return ngram_join.ngram_components(_table(spark, sf_dir, "documents")).drop("tie")
+
+
 QUERIES = {
     "op1_token_files": op1_token_files,
     "op10_decontamination": op10_decontamination,
     "op11_conversation_repair": op11_conversation_repair,
     "op12_token_alignment": op12_token_alignment,
+    "op13_ngram_join": op13_ngram_join,
     "op2_url_filters": op2_url_filters,
     "op3_line_dedup": op3_line_dedup,
     "op4_near_dedup": op4_near_dedup,
