@@ -15,10 +15,9 @@ import hashlib
 import json
 import os
 import re
-from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import accumulate
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -31,7 +30,7 @@ from tallymark.llm.vocabulary import default_path
 from tallymark.session import cut, free
 
 #: Words kept of a generation; words of the generation before are taken over when they are met again.
-STORE, PART = 200_000, 1 << 20
+STORE, PART, JOINED, BITS = 300_000, 1 << 20, 128, 40
 #: Id pairs whose counts are sent to every task at most, about 60 MB; beyond that they are joined by shuffle.
 FEW = 1_000_000
 _SPLIT = re.compile(r"(?<=\S)(?= +[^ ])").split
@@ -45,30 +44,17 @@ def _byte_letters() -> dict[str, int]:
     return {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(rest)}
 
 
-def groups_of(a: list[int], b: list[int], a_sizes: list[int], b_sizes: list[int]) -> Iterator[tuple[list[int], list[int], list[tuple[int, int]]]]:
-    """(ids of a, ids of b, links) for each slice between ends that both have; sizes are bytes of the tokens, of equal sums."""
-    a_ends, b_ends = list(accumulate(a_sizes)), list(accumulate(b_sizes))
-    a_at, b_at = {e: i for i, e in enumerate(a_ends)}, {e: i for i, e in enumerate(b_ends)}
-    i = j = 0
-    for end in sorted(a_at.keys() & b_at.keys()):
-        p, q = a_at[end] + 1, b_at[end] + 1
-        x, y = a[i:p], b[j:q]
-        if p - i == 1 or q - j == 1:
-            links = [(u, v) for u in x for v in y]
-        else:
-            links, m, n = [], i, j
-            while m < p and n < q:
-                links.append((a[m], b[n]))
-                if a_ends[m] <= b_ends[n]:
-                    m += 1
-                else:
-                    n += 1
-        yield x, y, links
-        i, j = p, q
+def slices(a_ends: np.ndarray, b_ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Indices in A and in B of the ends that both have, in order. The dictionary from end to A's index is a table over the bytes."""
+    index = np.full(int(a_ends[-1]) + 1, -1)
+    index[a_ends] = np.arange(len(a_ends))
+    met = index[b_ends]
+    in_b = np.flatnonzero(met >= 0)
+    return met[in_b], in_b
 
 
 class Aligner:
-    """Both vocabularies and the words aligned so far: number of A's and B's ids and of groups, the groups as text, links as packed pairs."""
+    """Both vocabularies and the words aligned so far: numbers of ids and groups in one integer, the groups as text, links as packed pairs."""
 
     def __init__(self, path_a: str, path_b: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -87,6 +73,9 @@ class Aligner:
         pieces = [self.b.id_to_piece(i) for i in range(self.b.get_piece_size())]
         self.b_bytes = [bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace("▁", " ").encode() for i, p in enumerate(pieces)]
         self.width = len(pieces)
+        self.a_sizes, self.b_sizes = (np.array([len(x) for x in own], np.int64) for own in (self.a_bytes, self.b_bytes))
+        # An id as text with what follows it: inside its side of a group, and at the side's end.
+        self.a_shown, self.b_shown = (np.array([[f"{i},", f"{i}{end}"] for i in range(len(own))], object) for own, end in ((self.a_bytes, "|"), (self.b_bytes, ";")))
         with open(path_a, encoding="utf-8") as f:
             raw = json.load(f)
         pre = raw.get("pre_tokenizer") or {}
@@ -108,26 +97,62 @@ class Aligner:
         """Keeps all of ``words`` at hand; None stands for a word whose bytes a vocabulary doesn't give back."""
         if len(self.now) > STORE:
             self.now, self.before = {}, self.now
-        new = []
+        new, alone = [], []
         for w in words - self.now.keys():
             if w in self.before:
                 self.now[w] = self.before[w]
-            else:
+            elif self.by_word and w and not w[-1].isspace():
                 new.append(w)
-        a_sizes, b_sizes = [len(x) for x in self.a_bytes], [len(x) for x in self.b_bytes]
-        for at in range(0, len(new), 4096):
-            part = new[at : at + 4096]
-            for w, e, b in zip(part, self.a.encode_batch_fast([" " + w for w in part], add_special_tokens=False), self.b.encode(part, num_threads=1), strict=True):
-                a, whole = e.ids, (" " + w).encode()
-                if b"".join([self.a_bytes[i] for i in a]) != whole or b"".join([self.b_bytes[i] for i in b]) != whole:
-                    self.now[w] = None
-                    continue
-                shown, packed, n = [], [], 0
-                for x, y, links in groups_of(a, b, [a_sizes[i] for i in a], [b_sizes[i] for i in b]):
-                    shown.append(",".join(map(str, x)) + "|" + ",".join(map(str, y)))
-                    packed += [p * self.width + q for p, q in links]
-                    n += 1
-                self.now[w] = (len(a), len(b), n, ";".join(shown), np.array(packed, "<i8").tobytes())
+            else:
+                alone.append(w)
+        # Many new words are one text: it is cut between them as any other.
+        groups = [new[i : i + JOINED] for i in range(0, len(new), JOINED)] + [[w] for w in alone]
+        for at in range(0, len(groups), 64):
+            part = groups[at : at + 64]
+            texts = [" ".join(g) for g in part]
+            a = [e.ids for e in self.a.encode_batch_fast([" " + t for t in texts], add_special_tokens=False)]
+            b = self.b.encode(texts, num_threads=1)
+            if not self._keep([w for g in part for w in g], list(chain.from_iterable(a)), list(chain.from_iterable(b))):
+                for g, x, y in zip(part, a, b, strict=True):
+                    if not self._keep(g, x, y):
+                        for w in g:
+                            if len(g) == 1 or not self._keep([w], self.a.encode(" " + w, add_special_tokens=False).ids, self.b.encode(w)):
+                                self.now[w] = None
+
+    def _keep(self, words: list[str], a: list[int], b: list[int]) -> bool:
+        """Keeps words, each after a space, that are these ids together; false where the ids' bytes aren't theirs."""
+        whole = [(" " + w).encode() for w in words]
+        data = b"".join(whole)
+        if b"".join([self.a_bytes[i] for i in a]) != data or b"".join([self.b_bytes[i] for i in b]) != data:
+            return False
+        a, b = np.array(a, np.int64), np.array(b, np.int64)
+        a_ends, b_ends = np.cumsum(self.a_sizes[a]), np.cumsum(self.b_sizes[b])
+        in_a, in_b = slices(a_ends, b_ends)
+        ends = np.cumsum([len(w) for w in whole])
+        last = np.searchsorted(a_ends[in_a], ends)  # the slice that ends with each word
+        # Links: an A token meets the B tokens from the one that ends after its start to the one that reaches its end.
+        low, high = np.searchsorted(b_ends, a_ends - self.a_sizes[a], "right"), np.searchsorted(b_ends, a_ends)
+        n = high - low + 1
+        links = np.cumsum(n)
+        j = np.arange(links[-1]) - np.repeat(links - n, n) + np.repeat(low, n)
+        packed = (np.repeat(a, n) * self.width + b[j]).astype("<i8").tobytes()
+        # Groups as text: A's and B's ids of a slice one after the other.
+        shown = np.empty(len(a) + len(b), object)
+        for ids, own, mine, other, names in ((a, in_a, 0, in_b, self.a_shown), (b, in_b, 1, in_a, self.b_shown)):
+            closes = np.zeros(len(ids), np.int64)
+            closes[own] = 1
+            group = np.cumsum(closes) - closes
+            before = np.concatenate([[0], other + 1])[group + mine]
+            shown[np.arange(len(ids)) + before] = names[ids, closes]
+        shown = shown.tolist()
+        a_to, b_to = in_a[last] + 1, in_b[last] + 1
+        text_to, link_to = (a_to + b_to).tolist(), (8 * links[a_to - 1]).tolist()
+        counts = [np.diff(x, prepend=0).tolist() for x in (a_to, b_to, last + 1)]
+        p = q = 0
+        for w, to, link, x, y, z in zip(words, text_to, link_to, *counts, strict=True):
+            self.now[w] = (x << 2 * BITS | y << BITS | z, "".join(shown[p:to]), packed[q:link])
+            p, q = to, link
+        return True
 
     def align(self, texts: list[str | None]) -> Iterator[tuple | None]:
         """(n_a, n_b, n_groups, groups as text, distinct pairs, how often) of each text, None for one without tokens."""
@@ -143,18 +168,15 @@ class Aligner:
 
     def _part(self, part: list[list[str]]) -> Iterator[tuple | None]:
         self.learn(set().union(*part))
+        get = self.now.__getitem__
         for own in part:
-            times = Counter(own)
-            found = [self.now[w] for w in times]
+            found = list(map(get, own))
             if not own or None in found:
                 yield None
                 continue
-            n = np.fromiter(times.values(), np.int64, len(times))
-            sums = n @ np.array([f[:3] for f in found], np.int64)
-            links = [f[4] for f in found]
-            pairs, place = np.unique(np.frombuffer(b"".join(links), "<i8"), return_inverse=True)
-            each = np.bincount(place, np.repeat(n, [len(x) // 8 for x in links]), len(pairs)).astype(np.int64)
-            yield *sums.tolist(), ";".join([self.now[w][3] for w in own]), pairs, each
+            n = sum([f[0] for f in found])
+            pairs, times = np.unique(np.frombuffer(b"".join([f[2] for f in found]), "<i8"), return_counts=True)
+            yield n >> 2 * BITS, n >> BITS & (1 << BITS) - 1, n & (1 << BITS) - 1, "".join([f[1] for f in found])[:-1], pairs, times
 
 
 @lru_cache(maxsize=1)
