@@ -30,7 +30,7 @@ from tallymark.llm.vocabulary import default_path
 from tallymark.session import cut, free
 
 #: Words kept of a generation; words of the generation before are taken over when they are met again.
-STORE, PART, JOINED, BITS = 300_000, 1 << 20, 128, 40
+STORE, PART, JOINED, BITS = 200_000, 1 << 20, 128, 40
 #: Id pairs whose counts are sent to every task at most, about 60 MB; beyond that they are joined by shuffle.
 FEW = 1_000_000
 _SPLIT = re.compile(r"(?<=\S)(?= +[^ ])").split
