@@ -12,6 +12,8 @@ ADDRESS_TYPO = r"@([a-z0-9-]+)[\s,]+(com|net|org|edu|gov|io|co|ai|me)\b"
 IDENTIFIER = r"^[A-Za-z0-9][A-Za-z0-9_-]{3,127}$"
 AMOUNT = r"\$\s*([0-9]+(?:\.[0-9]{2})?)"
 TIME = r"(?i)(?:time|at)\s*[:=]?\s*\b([0-9]{1,2}):([0-5][0-9])(?:\s*([AP]M))?\b"
+LOOSE_AMOUNT = r"\$\s*([0-9][0-9,]*(?:\.[0-9]{1,2})?)"
+LOOSE_TIME = r"(?i)(?:today|payment|processed|at)[^\n]{0,32}?\b([0-9]{1,2}):([0-5][0-9])\s*([ap]m)?\b"
 ISO_DATE = r"\b((?:19|20)[0-9]{2}-(?:0[1-9]|1[0-2])-(?:0[1-9]|[12][0-9]|3[01]))\b"
 MONTH_DAY = r"(?i)\b(jan(?:uary)?|feb(?:ruary)?|mar(?:ch)?|apr(?:il)?|may|jun(?:e)?|jul(?:y)?|aug(?:ust)?|sep(?:tember)?|oct(?:ober)?|nov(?:ember)?|dec(?:ember)?)\.?\s+([0-9]{1,2})\b"
 MONTHS = ("jan", "feb", "mar", "apr", "may", "jun", "jul", "aug", "sep", "oct", "nov", "dec")
@@ -46,6 +48,12 @@ def normal_name(c: Column) -> Column:
     return F.when((x != "") & (F.length(x) <= 256), x)
 
 
+def normal_description(c: Column) -> Column:
+    """Blanks collapsed, lowered; null if empty or above 1000."""
+    x = F.lower(F.trim(F.regexp_replace(c, r"\s+", " ")))
+    return F.when((x != "") & (F.length(x) <= 1000), x)
+
+
 def caption_email(c: Column) -> Column:
     """The only address of a caption, after mending a blank or comma before a common ending."""
     x = F.regexp_replace(F.lower(F.trim(c)), ADDRESS_TYPO, "@$1.$2")
@@ -58,6 +66,15 @@ def amount_cents(text: Column) -> Column:
     return (found(text, AMOUNT, 1).cast("decimal(14,2)") * 100).cast("long")
 
 
+def loose_fields(text: Column) -> tuple[Column, Column, Column, Column, Column]:
+    """(cents, hour, minute, month, day) by looser patterns: thousands commas and one decimal, times near a payment word, named months."""
+    amount = F.replace(found(text, LOOSE_AMOUNT, 1), F.lit(","), F.lit("")).cast("decimal(14,2)")
+    h, half = found(text, LOOSE_TIME, 1).cast("int"), F.upper(found(text, LOOSE_TIME, 3))
+    hour = F.when(half.isNull(), F.when(h <= 23, h)).when(h.between(1, 12), h % 12 + F.when(half == "PM", 12).otherwise(0))
+    month = F.array_position(F.array(*[F.lit(m) for m in MONTHS]), F.substring(F.lower(found(text, MONTH_DAY, 1)), 1, 3)).cast("int")
+    return F.when((amount > 0) & (amount <= 1_000_000), (amount * 100).cast("long")), hour.cast("int"), found(text, LOOSE_TIME, 2).cast("int"), month, found(text, MONTH_DAY, 2).cast("int")
+
+
 def clock(text: Column) -> tuple[Column, Column]:
     """(hour 0-23, minute) right after a payment-time word; the hour is null for an invalid 12-hour time."""
     h, half = found(text, TIME, 1).cast("int"), F.upper(found(text, TIME, 3))

@@ -1,138 +1,391 @@
 """Record linkage: receipts meet ledger charges through a cascade of tiers that approves only a unique charge.
 
-Every receipt carries an amount, so all candidates come from one equality join on amount (the ledger has one currency); times are
-residual. Each tier is a flag on a candidate row, computed from what the receipt may see at that point, and one grouping
-by receipt folds all tiers. Zero or several survivors never approve; recency breaks no tie.
+Candidates are a union of equality joins, each with its own key: exploded identifiers, customers of the receipt's addresses,
+(amount, currency, day) within the receipt's window, and for receipts without an amount payer, local date or what else is
+constrained. What a tier may see is a flag on the candidate row: identifier hits, else the customers' charges, else those found by
+amount, else the window. The visible set is widened in stages, and the 90-day join by amount runs only for receipts that are
+still open. All tiers then are columns over windows by receipt, one shuffle. Zero or several survivors never approve;
+recency breaks no tie.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
-#: The widest gap between two time zones with a margin, and the days a search looks back.
-WINDOW_SECONDS, LOOKBACK_DAYS = 93_900, 90
-METHOD = "cashapp"
-TIERS = ("strict", "zone_boundary", "day_requery", "identity_minute", "identity_only", "customer_minute", "broad", "broad_boundary", "broad_identity", "identifier", "date_boundary", "identity_recovery", "date_name", "canonical")
+from tallymark.functions import text as T
+from tallymark.session import cut
+
+#: The widest gap between two time zones with a margin, the days a search looks back, and the charges that a
+#: search reads at most (100 pages of 100).
+WINDOW_SECONDS, LOOKBACK_DAYS, BUDGET = 93_900, 90, 10_000
+METHOD, DAY = "cashapp", 86_400
+#: Metadata keys that hold identifiers.
+METADATA_KEYS = ("transaction_id", "transactionid", "payment_id", "payment_identifier", "cash_app_payment_id", "cashapp_payment_id", "cashapp_transaction_id", "external_transaction_id", "receipt_id")
+TIERS = ("strict", "zone_boundary", "day_requery", "day_boundary", "identity_minute", "identity_only", "customer_minute", "customer_only", "broad", "broad_boundary", "broad_minute", "broad_identity", "date_boundary", "identity_recovery", "date_name", "canonical")
+BOUNDARY = ("zone_boundary", "day_boundary", "broad_boundary")
+#: Columns of evidence and of charges that may be missing from a table: they count as null, or as given here.
+EVIDENCE = {"email": "string", "email_candidates": "array<string>", "transaction_id": "string", "description": "string", "customer_name": "string", "amount": "long", "currency": "string", "method": "string", "payment_date": "date", "payment_month": "int", "payment_day": "int", "payment_hour": "int", "minutes": "int", "relative_today": "boolean", "received_at": "long"}
+LEDGER = {"currency": "string", "description": "string", "payment_intent": "string", "balance_transaction": "string", "receipt_number": "string", "source": "string", "provider_id": "string", "payment_id": "string", "reference": "string", "metadata": "map<string,string>"}
+
+
+def _filled(df: DataFrame, columns: dict[str, str]) -> DataFrame:
+    missing = {c: F.lit(None).cast(kind) for c, kind in columns.items() if c not in df.columns}
+    return df.withColumns(missing) if missing else df
+
+
+def _blank(c: Column) -> Column:
+    return F.nullif(F.trim(c), F.lit(""))
 
 
 def charge_email() -> Column:
     """Payer's address of a charge: the receipt's, else the billing one; blank counts as missing."""
-    blank = lambda c: F.nullif(F.trim(F.lower(c)), F.lit(""))
-    return F.coalesce(blank(F.col("receipt_email")), blank(F.col("billing_email")))
+    return F.coalesce(_blank(F.lower("receipt_email")), _blank(F.lower("billing_email")))
+
+
+def payment_identifier() -> Column:
+    """The provider's identifier of a charge, the first of three."""
+    return F.coalesce(*[_blank(F.col(c)) for c in ("provider_id", "payment_id", "reference")])
+
+
+def identifiers() -> Column:
+    """All identifiers of a charge, lowered and distinct: its own, the provider's, and those under known metadata keys."""
+    plain = [F.col(c) for c in ("id", "payment_intent", "balance_transaction", "receipt_number", "source", "provider_id", "payment_id", "reference")]
+    meta = F.map_values(F.map_filter(F.coalesce("metadata", F.expr("map()").cast("map<string,string>")), lambda k, _: F.lower(k).isin(*METADATA_KEYS)))
+    return F.array_distinct(F.filter(F.transform(F.concat(F.array(*plain), meta), lambda x: F.lower(F.trim(x))), lambda x: x != ""))
+
+
+def is_eligible(method: str = METHOD) -> Column:
+    return F.coalesce(F.col("paid") & ~F.coalesce("refunded", F.lit(False)) & (F.col("status") == "succeeded") & (F.lower("method") == method), F.lit(False))
 
 
 def eligible(charges: DataFrame, method: str = METHOD) -> DataFrame:
     """Charges that can be approved: paid, not refunded, succeeded and by the policy's method."""
-    return charges.filter(F.col("paid") & ~F.coalesce("refunded", F.lit(False)) & (F.col("status") == "succeeded") & (F.col("method") == method))
+    return charges.filter(is_eligible(method))
 
 
 def constraints(receipt_zone: str | None = None) -> Column:
-    """Number of independent constraints of a receipt; an hour only counts where the receipt's zone is known."""
-    given = ["amount", "customer_name", "payment_date", "minutes"] + (["payment_hour"] if receipt_zone else [])
-    return sum((F.col(c).isNotNull().cast("int") for c in given[1:]), F.col(given[0]).isNotNull().cast("int"))
+    """Number of independent constraints of a receipt; a month and day is one, an hour only counts where the receipt's zone is known."""
+    dated = F.col("payment_date").isNotNull() | (F.col("payment_month").isNotNull() & F.col("payment_day").isNotNull())
+    given = [F.col(c).isNotNull() for c in ("amount", "description", "customer_name", "minutes")] + [dated] + ([F.col("payment_hour").isNotNull()] if receipt_zone else [])
+    return sum((g.cast("int") for g in given[1:]), given[0].cast("int"))
+
+
+def evidence(receipts: DataFrame, receipt_zone: str | None = None, method: str = METHOD) -> DataFrame:
+    """Receipts in normal form with ``emails`` (primary and further), an inferred date, ``n_constraints`` and ``early``.
+
+    ``early`` is the reason for which a receipt is not matched at all: a value that has no normal form, another method than the
+    policy's, or fewer than two constraints without address and identifier.
+    """
+    r = _filled(receipts, EVIDENCE)
+    given = F.filter(F.coalesce("email_candidates", F.array().cast("array<string>")), lambda x: F.trim(x) != "")
+    plain = {"email": T.normal_email(_blank(F.col("email"))), "transaction_id": T.normal_identifier(_blank(F.col("transaction_id"))), "description": T.normal_description(_blank(F.col("description"))), "customer_name": T.normal_name(_blank(F.col("customer_name")))}
+    bad = F.exists(given, lambda x: T.normal_email(x).isNull())
+    for c, normal in plain.items():
+        bad = bad | (_blank(F.col(c)).isNotNull() & normal.isNull())
+    r = r.withColumn("bad", bad).withColumn("further", F.transform(given, T.normal_email)).withColumns(plain)
+    inferred = T.infer_year(F.col("payment_month"), F.col("payment_day"), F.to_date(F.timestamp_seconds("received_at")))
+    has_date = F.col("payment_date").isNotNull() | (F.col("payment_month").isNotNull() & F.col("payment_day").isNotNull())
+    r = r.withColumns({"emails": F.array_distinct(F.array_compact(F.concat(F.array("email"), "further"))), "has_date": has_date, "payment_date": F.coalesce("payment_date", inferred), "currency": F.lower(F.coalesce("currency", F.lit("usd"))), "method": F.lower(F.coalesce("method", F.lit(method))), "relative_today": F.coalesce("relative_today", F.lit(False))})
+    r = r.withColumn("n_constraints", constraints(receipt_zone))
+    poor = (F.size("emails") == 0) & (F.col("n_constraints") < 2) & F.col("transaction_id").isNull()
+    early = F.when(F.col("bad"), "INVALID_EVIDENCE").when(F.col("method") != method, "UNSUPPORTED_PAYMENT_METHOD_TYPE").when(poor, "INSUFFICIENT_STRIPE_EVIDENCE")
+    return r.withColumn("early", early).drop("bad", "further")
 
 
-def windows(receipts: DataFrame, as_of: int, zone: str = "UTC", lookback_days: int = LOOKBACK_DAYS) -> DataFrame:
-    """Adds search_lo/search_hi and day_lo/day_hi (seconds, inclusive). The end of a day is the next local midnight less a second."""
-    midnight = lambda d: F.unix_timestamp(F.to_utc_timestamp(d.cast("timestamp"), zone))
+def windows(receipts: DataFrame, as_of: int, zone: str = "UTC", lookback_days: int = LOOKBACK_DAYS, receipt_zone: str | None = None) -> DataFrame:
+    """Adds search_lo/search_hi, day_lo/day_hi (seconds, inclusive), ``bounded`` and ``clock``, the shown instant.
+
+    The end of a day is the next local midnight less a second. Where the receipt's zone is known the search is its minute
+    less 60 and plus 120 seconds and the day is the local day; elsewhere both are the day and ``WINDOW_SECONDS`` either way.
+    """
+    own = receipt_zone or zone
+    midnight = lambda d: F.unix_timestamp(F.to_utc_timestamp(d.cast("timestamp"), own))
     start, end = midnight(F.col("payment_date")), midnight(F.date_add("payment_date", 1)) - 1
-    today = F.col("relative_today") & F.col("received_at").isNotNull()
+    clock = F.unix_timestamp(F.to_utc_timestamp(F.col("payment_date").cast("timestamp") + F.make_dt_interval(F.lit(0), F.col("payment_hour"), F.col("minutes")), own))
+    today = F.coalesce(F.col("relative_today") & F.col("received_at").isNotNull(), F.lit(False))
     dated = F.col("payment_date").isNotNull()
-    lo = F.when(today, F.greatest(F.lit(0), F.col("received_at") - WINDOW_SECONDS)).when(dated, F.greatest(F.lit(0), start - WINDOW_SECONDS)).otherwise(F.lit(as_of - lookback_days * 86400))
-    hi = F.when(today, F.col("received_at") + 7200).when(dated, end + WINDOW_SECONDS)
-    return receipts.withColumns({"search_lo": lo.cast("long"), "search_hi": hi.cast("long"), "day_lo": lo.cast("long"), "day_hi": hi.cast("long")})
-
-
-def candidates(receipts: DataFrame, charges: DataFrame, customers: DataFrame, as_of: int, zone: str = "UTC", lookback_days: int = LOOKBACK_DAYS) -> DataFrame:
-    """One row per (receipt, eligible charge of its amount in the lookback) with the facts that tiers decide on."""
-    r = windows(receipts, as_of, zone, lookback_days)
-    known = customers.groupBy(F.lower("email").alias("mail")).agg(F.collect_set("customer_id").alias("customer_ids"))
-    r = r.join(known, F.lower("email") == F.col("mail"), "left").drop("mail")
-    c = eligible(charges).select("id", F.col("amount").alias("c_amount"), "created", "customer", charge_email().alias("payer"), F.lower("billing_name").alias("payer_name"), F.array(F.lower("id"), F.lower("provider_id")).alias("id_set"))
-    joined = r.join(c, (F.col("amount") == F.col("c_amount")) & (F.col("created") >= as_of - lookback_days * 86400) & (F.col("created") <= as_of))
-    local = F.from_utc_timestamp(F.timestamp_seconds("created"), zone)
-    dated, timed = F.col("payment_date").isNotNull(), F.col("minutes").isNotNull()
-    identity = F.coalesce(F.col("payer") == F.lower("email"), F.lit(False)) | F.coalesce(F.array_contains("customer_ids", F.col("customer")), F.lit(False))
-    clock = F.unix_timestamp(F.to_utc_timestamp(F.col("payment_date").cast("timestamp") + F.make_dt_interval(F.lit(0), F.col("payment_hour"), F.col("minutes")), zone))
-    facts = joined.withColumns(
-        {
-            "has_email": F.col("email").isNotNull(),
-            "identity": identity,
-            "same_name": F.coalesce(F.col("payer_name") == F.lower("customer_name"), F.lit(False)),
-            "id_hit": F.coalesce(F.array_contains("id_set", F.lower("transaction_id")), F.lit(False)),
-            "minute_ok": ~timed | (F.minute(local) == F.col("minutes")),
-            "date_ok": ~dated | (F.to_date(local) == F.col("payment_date")),
-            "day_gap": F.datediff(F.to_date(local), F.col("payment_date")),
-            "in_search": (F.col("created") >= F.col("search_lo")) & (F.col("search_hi").isNull() | (F.col("created") <= F.col("search_hi"))),
-            "in_day": (F.col("created") >= F.col("day_lo")) & (F.col("day_hi").isNull() | (F.col("created") <= F.col("day_hi"))),
-            "customer_hit": F.coalesce(F.array_contains("customer_ids", F.col("customer")), F.lit(False)),
-            "clock_gap": F.abs(F.col("created") - clock),
-        }
-    )
-    own = W.partitionBy("receipt_id")
-    seen = facts.withColumns({"any_id": F.max(F.col("id_hit") & F.col("in_day")).over(own), "has_customer": F.coalesce(F.size("customer_ids"), F.lit(0)) > 0})
-    visible = F.when(F.col("any_id"), F.col("id_hit") & F.col("in_day")).when(F.col("has_customer"), F.col("customer_hit") & F.col("in_day")).otherwise(F.col("in_search"))
-    return seen.withColumn("visible", visible)
-
-
-def flagged(found: DataFrame) -> DataFrame:
-    """Adds ``t_<tier>`` for every tier: the candidate survives that tier, taken for itself."""
+    wide_lo, wide_hi = F.greatest(F.lit(0), start - WINDOW_SECONDS), end + WINDOW_SECONDS
+    shown = clock.isNotNull() if receipt_zone else F.lit(False)
+    lo = F.when(shown, clock - 60).when(dated, wide_lo).otherwise(F.lit(as_of - lookback_days * DAY))
+    hi = F.when(shown, clock + 120).when(dated, wide_hi)
+    day_lo, day_hi = (F.when(dated, start).otherwise(F.lit(0)), F.when(dated, end).otherwise(F.lit(0))) if receipt_zone else (lo, hi)
+    near_lo, near_hi = F.greatest(F.lit(0), F.col("received_at") - WINDOW_SECONDS), F.col("received_at") + 7200
+    found = {"search_lo": (near_lo, lo), "search_hi": (near_hi, hi), "day_lo": (near_lo, day_lo), "day_hi": (near_hi, day_hi)}
+    return receipts.withColumns({k: F.when(today, a).otherwise(b).cast("long") for k, (a, b) in found.items()} | {"bounded": dated | today, "clock": clock})
+
+
+def ledger(charges: DataFrame, claims: DataFrame | None = None, match_zone: str = "UTC", method: str = METHOD) -> DataFrame:
+    """Charges as the cascade reads them, ``claimed`` where their id is in ``claims`` (charge_id)."""
+    c = _filled(charges, LEDGER)
+    at = F.from_utc_timestamp(F.timestamp_seconds("created"), match_zone)
+    c = c.select("id", F.col("amount").alias("c_amount"), F.lower("currency").alias("c_currency"), "created", F.col("status").alias("c_status"), is_eligible(method).alias("eligible"), "customer", charge_email().alias("payer"), T.normal_name(F.col("billing_name")).alias("payer_name"), T.normal_description(F.col("description")).alias("c_description"), identifiers().alias("ids"), at.alias("local"))
+    if claims is None:
+        return c.withColumn("claimed", F.lit(False))
+    held = claims.select(F.col("charge_id").alias("id")).distinct().withColumn("claimed", F.lit(True))
+    return c.join(held, "id", "left").withColumn("claimed", F.coalesce("claimed", F.lit(False)))
+
+
+def id_pairs(r: DataFrame, c: DataFrame, as_of: int, lookback_days: int = LOOKBACK_DAYS) -> DataFrame:
+    """(receipt_id, charge columns, ``scan``) of charges of any amount with the receipt's identifier; ``scan``: in its window, else lookback."""
+    back = F.col("created").between(as_of - lookback_days * DAY, as_of)
+    key = r.filter("transaction_id IS NOT NULL").select("receipt_id", F.lower("transaction_id").alias("key"), "bounded", "day_lo", "day_hi")
+    met = key.join(c.select("*", F.explode("ids").alias("key")), "key")
+    scan = F.when(F.col("bounded"), F.col("created").between(F.col("day_lo"), F.col("day_hi"))).otherwise(back)
+    return met.withColumn("scan", scan).filter(F.col("scan") | back).drop("key", "bounded", "day_lo", "day_hi")
+
+
+def customers_of(r: DataFrame, customers: DataFrame) -> DataFrame:
+    """(receipt_id, customer_ids) by any of the receipt's addresses."""
+    mail = r.select("receipt_id", F.explode("emails").alias("mail"))
+    return mail.join(customers.select("customer_id", F.lower("email").alias("mail")), "mail").groupBy("receipt_id").agg(F.collect_set("customer_id").alias("customer_ids"))
+
+
+def customer_pairs(r: DataFrame, c: DataFrame, same_amount: bool = False) -> DataFrame:
+    """(receipt_id, charge columns) of the customers' charges, in the receipt's day window if it has a date; of any amount unless ``same_amount``."""
+    span = ["bounded", "day_lo", "day_hi", "payment_date", "amount", "currency"]
+    key = r.filter("size(customer_ids) > 0").select("receipt_id", F.explode("customer_ids").alias("customer"), *span)
+    agrees = F.col("amount").isNull() | ((F.col("amount") == F.col("c_amount")) & (F.col("currency") == F.col("c_currency")))
+    near = F.col("payment_date").isNull() | F.col("created").between(F.col("day_lo"), F.col("day_hi"))
+    return key.join(c, "customer").filter(near & agrees if same_amount else near).drop(*span)
+
+
+def amount_pairs(r: DataFrame, c: DataFrame, as_of: int, lookback_days: int = LOOKBACK_DAYS, wide: bool = False) -> DataFrame:
+    """(receipt_id, charge columns) of succeeded charges of the receipt's amount and currency.
+
+    Receipts with a window are joined day by day within it; the others, and all if ``wide``, over the lookback.
+    """
+    c = c.filter("c_status = 'succeeded'")
+    same = (F.col("amount") == F.col("c_amount")) & (F.col("currency") == F.col("c_currency"))
+    r = r.filter("amount IS NOT NULL").select("receipt_id", "amount", "currency", "bounded", F.least("search_lo", "day_lo").alias("lo"), F.greatest("search_hi", "day_hi").alias("hi"))
+    days = F.explode(F.sequence(F.floor(F.col("lo") / DAY), F.floor(F.col("hi") / DAY)))
+    by_day = c.withColumn("c_day", F.floor(F.col("created") / DAY))
+    near = r.filter(F.col("bounded")).withColumn("day", days).join(by_day, same & (F.col("day") == F.col("c_day")) & F.col("created").between(F.col("lo"), F.col("hi"))).drop("day", "c_day")
+    back = c.filter(F.col("created").between(as_of - lookback_days * DAY, as_of))
+    far = (r if wide else r.filter(~F.col("bounded"))).join(back, same)
+    found = far if wide else near.unionByName(far)
+    return found.drop("amount", "currency", "bounded", "lo", "hi")
+
+
+def window_pairs(r: DataFrame, c: DataFrame, as_of: int, lookback_days: int = LOOKBACK_DAYS) -> DataFrame:
+    """(receipt_id, charge columns) for receipts without an amount: by payer, local date, or what else must agree.
+
+    Receipts without address and date are joined on description or minute; with neither, on nothing, which the fan-out
+    guard bounds: it lets them through only where the whole lookback is within budget.
+    """
+    r = r.filter("amount IS NULL")
+    back = F.col("created").between(as_of - lookback_days * DAY, as_of)
+    seen = F.when(F.col("bounded"), F.col("created").between(F.col("day_lo"), F.col("day_hi"))).otherwise(back)
+    span = ["receipt_id", "bounded", "day_lo", "day_hi"]
+    payer = r.select(*span, F.explode("emails").alias("payer")).join(c.filter("eligible"), "payer").filter(seen | back)
+    able = c.filter("eligible").withColumn("on", F.to_date("local"))
+    dated = r.filter("payment_date IS NOT NULL").select(*span, F.col("payment_date").alias("on")).join(able, "on").drop("on")
+    key = F.when(F.col("description").isNotNull(), F.concat(F.lit("d"), "description")).when(F.col("minutes").isNotNull(), F.concat(F.lit("m"), F.col("minutes").cast("string"))).otherwise("*")
+    keys = F.explode(F.array_compact(F.array(F.concat(F.lit("d"), "c_description"), F.concat(F.lit("m"), F.minute("local").cast("string")), F.lit("*"))))
+    open_ = r.filter("payment_date IS NULL AND email IS NULL").select(*span, key.alias("key"))
+    listed = open_.join(c.filter("eligible").filter(back).withColumn("key", keys), "key").drop("key")
+    return payer.unionByName(dated).unionByName(listed).drop("bounded", "day_lo", "day_hi")
+
+
+def fan_out(r: DataFrame, c: DataFrame, as_of: int, lookback_days: int = LOOKBACK_DAYS) -> DataFrame:
+    """(receipt_id, n_candidates): charges that a receipt's search would read, counted on day totals before any join of rows.
+
+    Whole days in UTC are counted: of its amount, or all where it has none.
+    """
+    day = F.floor(F.col("created") / DAY)
+    first, last = (as_of - lookback_days * DAY) // DAY, as_of // DAY
+    totals = c.filter("c_status = 'succeeded'").groupBy("c_amount", "c_currency", day.alias("day")).agg(F.count("*").alias("n"))
+    every = totals.groupBy("day").agg(F.sum("n").alias("n"))
+    span = r.select("receipt_id", "amount", "currency", "bounded", F.floor(F.least("search_lo", "day_lo") / DAY).alias("lo"), F.floor(F.greatest("search_hi", "day_hi") / DAY).alias("hi"))
+    days = span.filter("bounded").withColumn("day", F.explode(F.sequence("lo", "hi")))
+    same = (F.col("amount") == F.col("c_amount")) & (F.col("currency") == F.col("c_currency"))
+    back = totals.filter(F.col("day").between(first, last)).groupBy("c_amount", "c_currency").agg(F.sum("n").alias("n"))
+    all_ = every.filter(F.col("day").between(first, last)).agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"))
+    near = days.filter("amount IS NOT NULL").withColumnRenamed("day", "r_day").join(totals, same & (F.col("r_day") == F.col("day")))
+    parts = [near, days.filter("amount IS NULL").join(every, "day"), span.filter("NOT bounded AND amount IS NOT NULL").join(back, same), span.filter("NOT bounded AND amount IS NULL").join(F.broadcast(all_))]
+    counted = parts[0].select("receipt_id", "n")
+    for p in parts[1:]:
+        counted = counted.unionByName(p.select("receipt_id", "n"))
+    counted = counted.groupBy("receipt_id").agg(F.sum("n").alias("n"))
+    return r.select("receipt_id").join(counted, "receipt_id", "left").select("receipt_id", F.coalesce("n", F.lit(0)).cast("long").alias("n_candidates"))
+
+
+def prepared(receipts: DataFrame, charges: DataFrame, customers: DataFrame, as_of: int, zone: str = "UTC", receipt_zone: str | None = None, lookback_days: int = LOOKBACK_DAYS, claims: DataFrame | None = None, budget: int = BUDGET) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(receipts, ledger, identifier pairs) as tables: receipts with windows, ``any_id``, ``customer_ids`` and ``early``."""
+    r = cut(windows(evidence(receipts, receipt_zone), as_of, zone, lookback_days, receipt_zone))
+    c = cut(ledger(charges, claims, receipt_zone or zone))
+    ids = cut(id_pairs(r.filter("early IS NULL"), c, as_of, lookback_days))
+    hits = ids.filter("scan").select("receipt_id").distinct().withColumn("any_id", F.lit(True))
+    known = customers_of(r, customers)
+    r = r.join(hits, "receipt_id", "left").join(known, "receipt_id", "left").join(fan_out(r, c, as_of, lookback_days), "receipt_id", "left")
+    any_id = F.coalesce("any_id", F.lit(False))
+    none = F.array().cast("array<string>")
+    r = r.withColumns({"any_id": any_id, "customer_ids": F.when(any_id, none).otherwise(F.coalesce("customer_ids", none))})
+    lists = ~F.col("any_id") & (F.size("customer_ids") == 0) & (F.col("n_candidates") > budget)
+    return cut(r.withColumn("early", F.coalesce("early", F.when(lists, "STRIPE_PAGINATION_LIMIT")))), c, ids
+
+
+def _facts(pairs: DataFrame, r: DataFrame, as_of: int, lookback_days: int, receipt_zone: str | None) -> DataFrame:
+    """Pairs with their receipts and all that tiers decide on."""
     c = F.col
-    dated, minute = c("payment_date").isNotNull(), c("minutes").isNotNull()
-    who = ~c("has_email") | c("identity")
-    named_only = ~c("has_email") & c("transaction_id").isNull()
-    strict = who & c("minute_ok") & c("date_ok")
-    boundary_runs = dated & c("payment_hour").isNotNull() & minute & (c("has_email") | c("customer_name").isNotNull() | c("transaction_id").isNotNull())
-    boundary = boundary_runs & who & (c("clock_gap") <= WINDOW_SECONDS) & c("minute_ok") & (~named_only | c("same_name"))
-    no_key = ~c("has_customer") & ~c("any_id") & dated & c("in_day")
-    later = c("visible") | (~c("any_id") & (dated | minute | c("transaction_id").isNotNull()))
-    wide = later & ~c("any_id") & (dated | minute | c("transaction_id").isNotNull())
-    agrees = F.when(c("has_email") | c("transaction_id").isNotNull() | c("customer_name").isNotNull(), c("identity") | c("id_hit") | c("same_name")).otherwise(minute)
-    near = F.when(c("clock_gap").isNotNull(), c("clock_gap") <= WINDOW_SECONDS).when(dated, F.abs("day_gap") <= 1).when(c("relative_today"), F.abs(c("created") - c("received_at")) <= WINDOW_SECONDS).otherwise(F.lit(False))
-    counted = constraints()
-    tiers = {
-        "strict": c("visible") & strict & ((counted >= 2) | c("has_email") | c("transaction_id").isNotNull()),
-        "zone_boundary": c("visible") & boundary,
-        "day_requery": no_key & who & c("minute_ok") & (c("has_email") | c("date_ok")),
-        "identity_minute": c("visible") & c("has_email") & ~dated & who & c("minute_ok"),
-        "identity_only": c("visible") & c("has_email") & ~dated & who,
-        "customer_minute": c("customer_hit") & ~dated & who & c("minute_ok"),
-        "broad": wide & strict,
-        "broad_boundary": wide & boundary,
-        "broad_identity": wide & c("has_email") & ~dated & who,
-        "identifier": c("id_hit"),
-        "date_boundary": later & dated & (c("has_email") | c("transaction_id").isNotNull() | c("customer_name").isNotNull() | minute) & agrees & (F.abs("day_gap") == 1) & c("minute_ok"),
-        "identity_recovery": later & c("has_email") & (counted >= 2) & c("minute_ok") & c("date_ok"),
-        "date_name": later & c("customer_name").isNotNull() & dated & c("same_name") & c("date_ok") & who,
-        "canonical": later & (c("id_hit") | c("identity") | c("same_name")) & near,
+    keep = ["receipt_id", "email", "emails", "transaction_id", "description", "customer_name", "amount", "currency", "payment_date", "payment_month", "payment_day", "payment_hour", "minutes", "relative_today", "received_at", "search_lo", "search_hi", "day_lo", "day_hi", "bounded", "clock", "has_date", "n_constraints", "any_id", "customer_ids"]
+    p = r.select(*keep).join(pairs, "receipt_id")
+    yes = lambda x: F.coalesce(x, F.lit(False))
+    agrees = lambda given, own: given.isNull() | yes(given == own)
+    local_date = F.to_date("local")
+    hour_ok = agrees(c("payment_hour"), F.hour("local")) if receipt_zone else F.lit(True)
+    facts = {
+        "has_customer": F.size("customer_ids") > 0,
+        "customer_hit": yes(F.array_contains("customer_ids", c("customer"))),
+        "identity": yes(F.array_contains("emails", c("payer"))) | yes(F.array_contains("customer_ids", c("customer"))),
+        "same_name": yes(c("payer_name") == c("customer_name")),
+        "id_hit": yes(F.array_contains("ids", F.lower("transaction_id"))),
+        "by_amount": yes((c("amount") == c("c_amount")) & (c("currency") == c("c_currency")) & (c("c_status") == "succeeded")),
+        "base": c("eligible") & yes(c("currency") == c("c_currency")) & agrees(c("amount"), c("c_amount")) & agrees(c("description"), c("c_description")),
+        "minute_ok": agrees(c("minutes"), F.minute("local")),
+        "date_ok": agrees(c("payment_date"), local_date) & agrees(c("payment_month"), F.month("local")) & agrees(c("payment_day"), F.day("local")),
+        "hour_ok": hour_ok,
+        "day_gap": F.abs(F.datediff(local_date, c("payment_date"))),
+        "clock_gap": F.abs(c("created") - c("clock")),
+        "in_search": (c("created") >= c("search_lo")) & (c("search_hi").isNull() | (c("created") <= c("search_hi"))),
+        "in_day": yes(c("bounded") & c("created").between(c("day_lo"), c("day_hi"))),
+        "in_date": yes(local_date == c("payment_date")),
+        "in_back": c("created").between(as_of - lookback_days * DAY, as_of),
     }
-    return found.withColumns({f"t_{k}": F.coalesce(v, F.lit(False)) for k, v in tiers.items()})
+    return p.withColumns(facts).withColumns({"in_window": F.when(c("bounded"), c("in_day")).otherwise(c("in_back")), "who": c("email").isNull() | c("identity"), "time_ok": c("minute_ok") & c("date_ok") & c("hour_ok")})
+
+
+_OWN = "OVER (PARTITION BY receipt_id)"
+#: What is visible when identifiers are tried, by the tier that decided before.
+_STAGES = {"0": TIERS[:2], "3": TIERS[2:6], "6": TIERS[6:8], "7": TIERS[8:]}
+
+
+def _with(rows: DataFrame, **columns: str) -> DataFrame:
+    """``rows`` and SQL expressions over them."""
+    return rows.selectExpr("*", *[f"{v} AS {k}" for k, v in columns.items()])
+
+
+def _visible(rows: DataFrame) -> DataFrame:
+    """Adds what a receipt sees: ``c0`` at first, ``c3`` after the day is searched again, ``c6`` after the lookback is listed, ``c7`` with
+    the lookback by amount; each as it stands if no tier before has decided."""
+    seen = lambda where: f"max(by_amount AND {where}) {_OWN}"
+    rows = _with(rows, searched=seen("in_search"), requeried=seen("in_day"), backed=seen("in_back"))
+    first = """CASE WHEN any_id THEN id_hit AND in_window WHEN has_customer THEN customer_hit AND (NOT bounded OR in_day)
+      WHEN amount IS NOT NULL THEN by_amount AND CASE WHEN searched THEN in_search ELSE in_window END
+      WHEN size(emails) > 0 THEN in_window WHEN payment_date IS NOT NULL THEN in_date ELSE in_back END"""
+    again = "NOT has_customer AND NOT any_id AND amount IS NOT NULL AND payment_date IS NOT NULL AND search_hi IS NOT NULL AND requeried"
+    broad = "NOT any_id AND amount IS NOT NULL AND (payment_date IS NOT NULL OR minutes IS NOT NULL OR transaction_id IS NOT NULL)"
+    rows = _with(rows, c0=first, again=again, relist="has_customer AND NOT has_date", broad=broad, undated="size(emails) > 0 AND NOT has_date", named_only="size(emails) = 0 AND transaction_id IS NULL AND description IS NULL")
+    rows = _with(rows, c3="CASE WHEN again THEN by_amount AND in_day ELSE c0 END")
+    rows = _with(rows, c6="CASE WHEN relist THEN in_back ELSE c3 END")
+    rows = _with(rows, c7="c6 OR (broad AND backed AND by_amount AND in_back)")
+    return _with(rows, exact=f"max(again AND c3 AND base AND who AND CASE WHEN email IS NOT NULL THEN minute_ok ELSE time_ok END) {_OWN}")
+
+
+def _sets() -> dict[str, str]:
+    """Rows of each tier in order, if no tier before has decided."""
+    who, strict = "base AND who", "base AND who AND time_ok"
+    across = f"clock IS NOT NULL AND amount IS NOT NULL AND {who} AND minute_ok AND clock_gap <= {WINDOW_SECONDS} AND (NOT named_only OR same_name)"
+    by_who = "size(emails) > 0 OR transaction_id IS NOT NULL OR customer_name IS NOT NULL"
+    near = f"""CASE WHEN clock IS NOT NULL THEN clock_gap <= {WINDOW_SECONDS} WHEN payment_date IS NOT NULL THEN day_gap <= 1
+      WHEN payment_month IS NOT NULL AND payment_day IS NOT NULL THEN date_ok WHEN relative_today THEN abs(created - received_at) <= {WINDOW_SECONDS} ELSE false END"""
+    return {
+        "strict": f"c0 AND {strict}",
+        "zone_boundary": f"c0 AND {across}",
+        "day_requery": f"again AND c3 AND {who} AND minute_ok AND (email IS NOT NULL OR (date_ok AND (hour_ok OR NOT exact)))",
+        "day_boundary": f"again AND c3 AND {across}",
+        "identity_minute": f"undated AND c3 AND {who} AND minute_ok",
+        "identity_only": f"undated AND c3 AND {who}",
+        "customer_minute": f"relist AND c6 AND {who} AND minute_ok",
+        "customer_only": f"relist AND undated AND c6 AND {who}",
+        "broad": f"broad AND backed AND c7 AND {strict}",
+        "broad_boundary": f"broad AND backed AND c7 AND {across}",
+        "broad_minute": f"broad AND undated AND c7 AND {who} AND minute_ok",
+        "broad_identity": f"broad AND undated AND c7 AND {who}",
+        "date_boundary": f"payment_date IS NOT NULL AND amount IS NOT NULL AND c8 AND base AND day_gap = 1 AND minute_ok AND hour_ok AND CASE WHEN {by_who} THEN identity OR id_hit OR same_name ELSE minutes IS NOT NULL END",
+        "identity_recovery": "size(emails) > 0 AND n_constraints >= 2 AND c8 AND base AND time_ok",
+        "date_name": f"customer_name IS NOT NULL AND amount IS NOT NULL AND has_date AND c8 AND {who} AND date_ok AND same_name",
+        "canonical": f"amount IS NOT NULL AND c8 AND eligible AND by_amount AND (id_hit OR identity OR same_name) AND {near}",
+    }
+
+
+def _counted(rows: DataFrame, sets: dict[str, str]) -> DataFrame:
+    """Adds m_<tier> and, over the receipt, n_, f_ and s_<tier>: rows of the set, unclaimed ones, ones of the receipt's name."""
+    rows = _with(rows, **{f"m_{t}": f"coalesce({m}, false)" for t, m in sets.items()})
+    sums = {f"{k}_{t}": f"sum(cast(m_{t}{more} AS int)) {_OWN}" for t in sets for k, more in (("n", ""), ("f", " AND NOT claimed"), ("s", " AND same_name"))}
+    return _with(rows, **sums)
+
+
+def judged(receipts: DataFrame, charges: DataFrame, customers: DataFrame, as_of: int, zone: str = "UTC", receipt_zone: str | None = None, lookback_days: int = LOOKBACK_DAYS, claims: DataFrame | None = None, budget: int = BUDGET) -> tuple[DataFrame, DataFrame]:
+    """(receipts with ``early``, candidate rows with ``t_<tier>``, ``tier`` and ``tier_n``), both tables in the shared folder."""
+    r, book, ids = prepared(receipts, charges, customers, as_of, zone, receipt_zone, lookback_days, claims, budget)
+    live = r.filter("early IS NULL")
+    pairs = ids.drop("scan")
+    for more in (customer_pairs(live, book, True).filter("eligible"), amount_pairs(live, book, as_of, lookback_days), window_pairs(live, book, as_of, lookback_days)):
+        pairs = pairs.unionByName(more)
+    near = cut(_facts(pairs.repartition("receipt_id").dropDuplicates(["receipt_id", "id"]), live, as_of, lookback_days, receipt_zone))
+
+    # The whole lookback by amount, only for receipts that are open and have not been held against it.
+    sets = _sets()
+    at_first = {t: sets[t] for t in TIERS[:6]}
+    shut = _visible(near).filter(" OR ".join(f"coalesce({m}, false)" for m in at_first.values())).select("receipt_id").distinct()
+    open_ = live.filter("bounded AND amount IS NOT NULL AND NOT any_id").join(shut, "receipt_id", "left_anti")
+    wide = amount_pairs(open_, book, as_of, lookback_days, wide=True).join(near.select("receipt_id", "id"), ["receipt_id", "id"], "left_anti")
+    rows = _visible(near.unionByName(_facts(wide, open_, as_of, lookback_days, receipt_zone)).repartition("receipt_id"))
+
+    # Identifiers: what is visible, then the day or lookback list, then all of the lookback by identifier and without times.
+    told, listed = "id_hit AND base", "CASE WHEN payment_date IS NOT NULL THEN in_date ELSE in_back END"
+    rows = _with(rows, listed=f"max({listed} AND {told} AND time_ok) {_OWN}", **{f"now{v}": f"max(c{v} AND {told} AND time_ok) {_OWN}" for v in _STAGES})
+    swap = lambda v: f"(NOT now{v} AND transaction_id IS NOT NULL AND has_customer)"
+    rows = _with(rows, **{f"sure{v}": f"now{v} OR ({swap(v)} AND listed)" for v in _STAGES})
+    rows = _with(rows, **{f"seen{v}": f"CASE WHEN {swap(v)} THEN {listed} ELSE c{v} END OR (NOT sure{v} AND id_hit AND in_back)" for v in _STAGES})
+    rows = _with(rows, c8="seen7", **{f"m_id{v}": f"coalesce(seen{v} AND {told} AND (NOT sure{v} OR time_ok), false)" for v in _STAGES})
+    rows = _with(_counted(rows, sets), **{f"n_id{v}": f"sum(cast(m_id{v} AS int)) {_OWN}" for v in _STAGES})
+
+    fresh, named = (lambda t: f"(n_{t} > 1 AND f_{t} = 1)"), (lambda t: f"(n_{t} > 1 AND s_{t} = 1)")
+    case = lambda pairs, rest="": f"CASE {' '.join(f'WHEN {w} THEN {v}' for w, v in pairs)}{rest} END"
+    in_ = lambda tiers: ", ".join(f"'{t}'" for t in tiers)
+    rows = _with(rows, first=case([(f"n_{t} > 0", f"'{t}'") for t in TIERS]), place=case([(f"n_{t} > 0", i) for i, t in enumerate(TIERS)], f" ELSE {len(TIERS)}"))
+    rows = _with(rows, stage=case([(f"first IN ({in_(tiers)})", f"'{v}'") for v, tiers in _STAGES.items()], " ELSE '7'"))
+    rows = _with(rows, id_n=case([(f"stage = '{v}'", f"n_id{v}") for v in _STAGES]), t_identifier=case([(f"stage = '{v}'", f"m_id{v}") for v in _STAGES]), left_n=case([(f"first = '{t}'", f"CASE WHEN {fresh(t)} OR {named(t)} THEN 1 ELSE n_{t} END") for t in TIERS]))
+    tried = lambda i: f"place >= {i}" if i < 12 else f"place >= {i} AND id_n = 0"
+    flags = {f"t_{t}": f"m_{t} AND {tried(i)} AND CASE WHEN {fresh(t)} THEN NOT claimed WHEN {named(t)} THEN same_name ELSE true END" for i, t in enumerate(TIERS)}
+    rows = _with(rows, tier="CASE WHEN id_n > 0 THEN 'identifier' ELSE first END", tier_n="CASE WHEN id_n > 0 THEN id_n ELSE left_n END", **flags)
+    hit = case([(f"tier = '{t}'", f"t_{t}") for t in ("identifier", *TIERS)], " ELSE false")
+    keep = ["receipt_id", "id", "tier", "tier_n", "created", "payer", "payer_name", "same_name", "claimed", "customer", "c_amount", "ids", "id_hit", "date_ok", *[f"t_{t}" for t in ("identifier", *TIERS)]]
+    return r, cut(rows.selectExpr(*keep, f"{hit} AS hit"))
 
 
 def tier(found: DataFrame, name: str) -> DataFrame:
-    """(receipt_id, charge_id) pairs that survive one tier."""
+    """(receipt_id, charge_id) pairs that survive one tier, of receipts that were open when it ran."""
     return found.filter(f"t_{name}").select("receipt_id", F.col("id").alias("charge_id"))
 
 
 #: Reasons for one survivor and for several, by tier.
-ONE = {"strict": "EXACT_SINGLE_MATCH", "zone_boundary": "TIMEZONE_BOUNDARY_SINGLE_MATCH", "day_requery": "EXACT_SINGLE_MATCH", "identity_minute": "EXACT_SINGLE_MATCH", "identity_only": "EMAIL_SINGLE_MATCH", "customer_minute": "EXACT_SINGLE_MATCH", "broad": "EXACT_SINGLE_MATCH", "broad_boundary": "TIMEZONE_BOUNDARY_SINGLE_MATCH", "broad_identity": "EMAIL_SINGLE_MATCH", "identifier": "TRANSACTION_ID_MATCH", "date_boundary": "DATE_BOUNDARY_SINGLE_MATCH", "identity_recovery": "IDENTITY_RECOVERED_FROM_STRIPE", "date_name": "CAPTIONLESS_DATE_NAME_SINGLE_MATCH", "canonical": "STRIPE_CANONICAL_RECOVERY_SINGLE_MATCH"}
 SEVERAL = {"identifier": "MULTIPLE_TRANSACTION_ID_MATCHES", "date_boundary": "MULTIPLE_DATE_BOUNDARY_MATCHES", "identity_recovery": "MULTIPLE_IDENTITY_RECOVERY_MATCHES", "date_name": "MULTIPLE_DATE_NAME_MATCHES", "canonical": "MULTIPLE_STRIPE_CANONICAL_MATCHES"}
+ERRORS = ("INVALID_EVIDENCE", "UNSUPPORTED_PAYMENT_METHOD_TYPE")
 
 
-def verdicts(receipts: DataFrame, found: DataFrame) -> DataFrame:
-    """One row per receipt: status, verdict, reason_code, charge_id, candidate_count.
+def verdicts(r: DataFrame, rows: DataFrame) -> DataFrame:
+    """One row per receipt: status, verdict, reason_code, charge_id, candidate_count, tier.
 
-    The identifier tier overrides; of the others the first with a survivor decides, for one charge or as ambiguous.
-    A receipt with fewer than two constraints and neither address nor identifier has too little evidence.
+    An identifier that names one charge overrides what came before; several stay unclear. A matched charge whose address is not
+    the receipt's makes the reason a recovered identity.
     """
-    folded = found.groupBy("receipt_id").agg(*[F.count(F.when(F.col(f"t_{t}"), 1)).alias(f"n_{t}") for t in TIERS], *[F.min(F.when(F.col(f"t_{t}"), F.col("id"))).alias(f"c_{t}") for t in TIERS])
-    poor = (constraints() < 2) & F.col("email").isNull() & F.col("transaction_id").isNull()
-    joined = receipts.select("receipt_id", poor.alias("poor")).join(folded, "receipt_id", "left")
-    order = ["identifier", *[t for t in TIERS if t != "identifier"]]
-    first = F.coalesce(*[F.when(F.col(f"n_{t}") > 0, F.struct(F.lit(t).alias("tier"), F.col(f"n_{t}").alias("n"), F.col(f"c_{t}").alias("c"), F.lit(ONE[t]).alias("one"), F.lit(SEVERAL.get(t, "MULTIPLE_EXACT_MATCHES")).alias("several"))) for t in order])
-    d = joined.withColumn("first", F.when(~F.col("poor"), first))
-    sole = F.coalesce(F.col("first.n") == 1, F.lit(False))
-    reason = F.when(F.col("poor"), "INSUFFICIENT_STRIPE_EVIDENCE").when(sole, F.col("first.one")).when(F.col("first.n") > 1, F.col("first.several")).otherwise("NO_EXACT_MATCH")
-    return d.select("receipt_id", F.when(sole, "MATCHED").when(F.col("first.n") > 1, "AMBIGUOUS").otherwise("NO_MATCH").alias("status"), F.when(sole, "VALID").otherwise("UNCLEAR").alias("verdict"), reason.alias("reason_code"), F.when(sole, F.col("first.c")).alias("charge_id"), F.coalesce("first.n", F.lit(0)).cast("long").alias("candidate_count"))
+    c = F.col
+    one = F.min(F.when(c("hit"), F.struct("id", "payer"))).alias("one")
+    folded = rows.groupBy("receipt_id").agg(F.max("tier").alias("tier"), F.max("tier_n").alias("n"), one)
+    d = r.select("receipt_id", "early", "email", "emails", "transaction_id", "n_constraints").join(folded, "receipt_id", "left")
+    live = c("early").isNull()
+    sole, several = F.coalesce(live & (c("n") == 1), F.lit(False)), F.coalesce(live & (c("n") > 1), F.lit(False))
+    captionless = (F.size("emails") == 0) & c("transaction_id").isNull()
+    other = F.coalesce(c("one.payer") != c("email"), F.lit(False))
+    single = F.when(c("tier") == "identifier", "TRANSACTION_ID_MATCH").when(c("tier") == "date_boundary", "DATE_BOUNDARY_SINGLE_MATCH").when(c("tier").isin(*BOUNDARY), "TIMEZONE_BOUNDARY_SINGLE_MATCH")
+    single = single.when((c("tier") == "date_name") & captionless, "CAPTIONLESS_DATE_NAME_SINGLE_MATCH").when(c("tier") == "canonical", "STRIPE_CANONICAL_RECOVERY_SINGLE_MATCH")
+    single = single.when(c("tier").isin("identity_recovery", "date_name") | other, "IDENTITY_RECOVERED_FROM_STRIPE").when(c("n_constraints") > 0, "EXACT_SINGLE_MATCH").otherwise("EMAIL_SINGLE_MATCH")
+    plural = F.coalesce(*[F.when(c("tier") == t, reason) for t, reason in SEVERAL.items()], F.lit("MULTIPLE_EXACT_MATCHES"))
+    error, limited = c("early").isin(*ERRORS), c("early") == "STRIPE_PAGINATION_LIMIT"
+    status = F.when(error, "ERROR").when(limited, "SEARCH_LIMITED").when(sole, "MATCHED").when(several, "AMBIGUOUS").otherwise("NO_MATCH")
+    verdict = F.when(error, "ERROR").when(sole, "VALID").otherwise("UNCLEAR")
+    reason = F.when(c("early").isNotNull(), c("early")).when(sole, single).when(several, plural).otherwise("NO_EXACT_MATCH")
+    return d.select("receipt_id", status.alias("status"), verdict.alias("verdict"), reason.alias("reason_code"), F.when(sole, c("one.id")).alias("charge_id"), F.coalesce(F.when(live, c("n")), F.lit(0)).cast("long").alias("candidate_count"), F.when(live, c("tier")).alias("tier"))

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from tallymark.functions import text as T
-from tallymark.operators import intake
+from tallymark.operators import intake, replies
 from tallymark.plans import fixtures_sql as S
 from tallymark.plans import linkage as L
 from tallymark.sources import fixtures as X
@@ -121,12 +121,16 @@ def fuse_extractions(spark, sf_dir):
 
 
 def fill_from_raw_text(spark, sf_dir):
-    r = X.receipts(spark, sf_dir).select("receipt_id", "email", "minutes")
-    return r.join(_texts(spark, sf_dir), "receipt_id").select("receipt_id", F.coalesce(F.nullif("email", F.lit("")), T.found(raw(), T.EMAIL_INSIDE, 0)).alias("email"), F.coalesce("minutes", T.clock(raw())[1]).alias("minutes"))
+    """Receipt fields, where missing from the text by the looser patterns; every third text shows its amount with a comma, every fourth with one decimal."""
+    r = X.receipts(spark, sf_dir).select("receipt_id", "event_id", "amount", "payment_hour", "minutes", "payment_month", "payment_day").withColumn("amount", F.when(F.col("event_id") % 2 == 0, F.col("amount")))
+    n = F.col("event_id")
+    shown = F.when(n % 3 == 0, "Amount $1,250.00\n").when(n % 4 == 0, "Amount $10.5\n").otherwise("")
+    j = r.join(_texts(spark, sf_dir), "receipt_id").withColumn("told", F.concat(shown, raw()))
+    return replies.filled(j, "told").select("receipt_id", "amount", "payment_hour", "minutes", "payment_month", "payment_day")
 
 
 def _score(r):
-    given = [F.col("email").isNotNull(), F.col("amount") > 0, F.col("payment_date").isNotNull(), F.col("minutes").isNotNull(), F.col("transaction_id").isNotNull()]
+    given = [F.col("email").isNotNull(), F.coalesce(F.col("amount") > 0, F.lit(False)), F.col("payment_date").isNotNull(), F.col("minutes").isNotNull(), F.col("transaction_id").isNotNull()]
     return sum((g.cast("long") for g in given[1:]), given[0].cast("long"))
 
 
@@ -163,13 +167,6 @@ def cap_lists(spark, sf_dir):
     return r.groupBy("group_id", "payment_date").agg(F.array_sort(F.collect_set("email")).alias("e")).select("group_id", "payment_date", F.array_join(F.slice("e", 1, 8), ",").alias("emails"))
 
 
-def reject_invalid_evidence(spark, sf_dir):
-    r = X.receipts(spark, sf_dir)
-    bad = F.col("email").isNotNull() & T.normal_email(F.col("email")).isNull() | F.col("transaction_id").isNotNull() & T.normal_identifier(F.col("transaction_id")).isNull()
-    method = F.when(F.col("event_id") % 23 == 0, "card").otherwise("cashapp")
-    return r.select("receipt_id", F.when(bad, "INVALID_EVIDENCE").when(method != "cashapp", "UNSUPPORTED_PAYMENT_METHOD_TYPE").alias("reason_code"))
-
-
 def normalize_email(spark, sf_dir):
     r = X.receipts(spark, sf_dir).filter("email IS NOT NULL")
     return r.select("receipt_id", T.normal_email(F.when(F.col("event_id") % 4 == 0, F.concat(F.lit("  "), F.upper("email"))).when(F.col("event_id") % 4 == 1, F.replace("email", F.lit("."), F.lit(".."))).otherwise(F.col("email"))).alias("email"))
@@ -205,51 +202,27 @@ def identity_hashes(spark, sf_dir):
 
 
 def _print(r):
+    """Fingerprints of receipts: of all fields, without the name, and of what is visible."""
     mail = F.when(F.col("email").isNotNull(), F.substring(F.sha2("email", 256), 1, 16))
     date, when = F.date_format("payment_date", "yyyy-MM-dd"), F.col("payment_hour").isNotNull() & F.col("minutes").isNotNull()
-    full = T.fingerprint(("email", mail), ("amount_cents", F.col("amount")), ("transaction_id", F.lower("transaction_id")), ("customer_name", F.lower("customer_name")), ("payment_date", date), ("payment_month", F.month("payment_date")), ("payment_day", F.day("payment_date")), ("payment_hour", F.col("payment_hour")), ("minutes", F.col("minutes")))
-    seen = T.fingerprint(("amount_cents", F.col("amount")), ("payment_date", date), ("payment_month", F.month("payment_date")), ("payment_day", F.day("payment_date")), ("payment_hour", F.col("payment_hour")), ("minutes", F.col("minutes")))
-    dated = F.col("payment_date").isNotNull()
-    return r.withColumns({"full_print": F.when(F.col("transaction_id").isNotNull() | (dated & when), full), "visual_print": F.when((F.col("amount") > 0) & dated & when, seen)})
+    month, day = F.coalesce("payment_month", F.month("payment_date")), F.coalesce("payment_day", F.day("payment_date"))
+    shown = (("payment_date", date), ("payment_month", month), ("payment_day", day), ("payment_hour", F.col("payment_hour")), ("minutes", F.col("minutes")))
+    full = lambda name: T.fingerprint(("email", mail), ("amount_cents", F.col("amount")), ("transaction_id", F.lower("transaction_id")), ("customer_name", name), *shown)
+    dated = F.col("payment_date").isNotNull() | (month.isNotNull() & day.isNotNull())
+    told = F.col("transaction_id").isNotNull() | (dated & when)
+    name = F.lower("customer_name")
+    prints = {"full_print": F.when(told, full(name)), "legacy_print": F.when(told, full(F.lit(None).cast("string"))), "visual_print": F.when((F.col("amount") > 0) & dated & when, T.fingerprint(("amount_cents", F.col("amount")), *shown))}
+    return r.withColumns(prints | {"mail": mail, "name": name, "tx": F.lower("transaction_id")})
 
 
 def receipt_fingerprint(spark, sf_dir):
-    return _print(X.receipts(spark, sf_dir)).select("receipt_id", F.col("full_print").alias("fingerprint"))
+    return _print(X.receipts(spark, sf_dir)).select("receipt_id", F.col("full_print").alias("fingerprint"), F.col("legacy_print").alias("legacy_fingerprint"))
 
 
 def visual_fingerprint(spark, sf_dir):
     return _print(X.receipts(spark, sf_dir)).select("receipt_id", F.col("visual_print").alias("fingerprint"))
 
 
-def dup_exact_image(spark, sf_dir):
-    w = W.partitionBy("sha256").orderBy("received_at", "receipt_id")
-    r = X.receipts(spark, sf_dir).withColumns({"rn": F.row_number().over(w), "first_id": F.first("receipt_id").over(w)})
-    return r.filter("rn > 1").select("receipt_id", F.col("first_id").alias("original_id"))
-
-
-def annotate_original(spark, sf_dir):
-    d = dup_exact_image(spark, sf_dir)
-    r = X.receipts(spark, sf_dir).select("receipt_id", "group_id")
-    o = r.select(F.col("receipt_id").alias("original_id"), F.col("group_id").alias("original_group"))
-    return d.join(r, "receipt_id").join(o, "original_id").select("receipt_id", "original_id", F.when(F.col("group_id") == F.col("original_group"), "same_group").otherwise("another_group").alias("scope"))
-
-
-def dup_evidence_fingerprint(spark, sf_dir):
-    p = _print(X.receipts(spark, sf_dir)).filter("full_print IS NOT NULL").select("receipt_id", "received_at", "full_print", F.coalesce("transaction_id", F.lit("")).alias("t"))
-    w = W.partitionBy("full_print", "t").orderBy("received_at", "receipt_id")
-    return p.withColumns({"rn": F.row_number().over(w), "original_id": F.first("receipt_id").over(w)}).filter("rn > 1").select("receipt_id", "original_id")
-
-
-def dup_phash(spark, sf_dir):
-    r = _print(X.receipts(spark, sf_dir)).filter("visual_print IS NOT NULL")
-    n = spark.read.parquet(f"{sf_dir}/embeddings.parquet").agg(F.count("*").alias("n"))
-    shown = r.join(n, F.lit(True)).withColumn("vec_id", F.col("event_id") % F.col("n")).join(X.hashes(spark, sf_dir), "vec_id").select("receipt_id", "received_at", "visual_print", "phash")
-    a, b = shown.alias("a"), shown.alias("b")
-    later = (F.col("a.received_at") < F.col("b.received_at")) | ((F.col("a.received_at") == F.col("b.received_at")) & (F.col("a.receipt_id") < F.col("b.receipt_id")))
-    d = T.hamming64(F.col("a.phash"), F.col("b.phash"))
-    return a.join(b, (F.col("a.visual_print") == F.col("b.visual_print")) & later).select(F.col("b.receipt_id").alias("receipt_id"), F.col("a.receipt_id").alias("original_id"), d.cast("long").alias("distance"), F.when(d == 0, "PHASH_VISUAL_RECEIPT").when(d <= 6, "PHASH_RECEIPT_EVIDENCE").otherwise("DIFFERENT").alias("match_type"))
-
-
 def hamming64(spark, sf_dir):
     h = X.hashes(spark, sf_dir)
     w = W.partitionBy(F.col("vec_id") % 16).orderBy("vec_id")
@@ -309,9 +282,13 @@ def job_status_summary(spark, sf_dir):
 
 
 def fallback_rate(spark, sf_dir):
-    r = X.receipts(spark, sf_dir)
-    why = F.when(F.col("k") == 11, "LOW_CONFIDENCE").when(F.col("k") == 10, "MISSING_FIELDS").otherwise("NONE")
-    return r.groupBy(why.alias("fallback_reason")).agg(F.count("*").alias("n"), F.sum((F.col("k") >= 10).cast("long")).alias("n_external"))
+    """Share of texts that would go to an external extractor, by why: a missing address or amount, else a low confidence."""
+    e = _extracted(spark, sf_dir)
+    sure = T.confidence(F.col("email"), F.col("amount_cents"), F.col("minutes"), F.col("payment_date"), F.col("status"))
+    why = F.when(F.col("email").isNull() | F.col("amount_cents").isNull(), "MISSING_FIELDS").when(sure < 1, "LOW_CONFIDENCE").otherwise("NONE")
+    told = e.select(why.alias("fallback_reason"))
+    n = told.groupBy("fallback_reason").agg(F.count("*").alias("n"))
+    return n.join(F.broadcast(told.agg(F.count("*").alias("total"))), how="inner").select("fallback_reason", "n", F.round(F.col("n") / F.col("total"), 6).alias("rate"))
 
 
 def best_extraction(spark, sf_dir):
@@ -331,27 +308,56 @@ def retain_window(spark, sf_dir):
     return X.receipts(spark, sf_dir).filter(F.col("received_at") >= AS_OF - 7 * 86400).select("receipt_id")
 
 
+def _open_receipts(spark, sf_dir):
+    """(receipts that the cascade left ambiguous but by date boundary, their candidates in newest-first order)."""
+    r, rows = L._judged(spark, sf_dir)
+    v = L.cascade.verdicts(r, rows).filter("status = 'AMBIGUOUS' AND reason_code <> 'MULTIPLE_DATE_BOUNDARY_MATCHES'").select("receipt_id")
+    place = F.row_number().over(W.partitionBy("receipt_id").orderBy(F.desc("created"), "id"))
+    listed = rows.filter("hit").select("receipt_id", F.col("id").alias("charge_id"), "created", "payer", "payer_name", F.col("c_amount"), place.cast("long").alias("place"))
+    return X.receipts(spark, sf_dir).join(v, "receipt_id", "left_semi"), listed.join(v, "receipt_id", "left_semi")
+
+
+def _bursts(receipts):
+    return intake.bursts(receipts, "group_id", "received_at", 6 * 3600)
+
+
 def _sized_bursts(spark, sf_dir):
-    """Receipts that the cascade left ambiguous, but by date boundary, in bursts of their group."""
-    open_ = L._verdicts(spark, sf_dir).filter("status = 'AMBIGUOUS' AND reason_code <> 'MULTIPLE_DATE_BOUNDARY_MATCHES'").select("receipt_id")
-    return intake.bursts(X.receipts(spark, sf_dir).join(open_, "receipt_id", "left_semi"), "group_id", "received_at", 6 * 3600)
+    return _bursts(_open_receipts(spark, sf_dir)[0])
 
 
-def batch_take_last8(spark, sf_dir):
+def _last8(bursts):
     w = W.partitionBy("group_id", "burst").orderBy(F.desc("received_at"), "receipt_id")
-    return _sized_bursts(spark, sf_dir).withColumn("rn", F.row_number().over(w)).select("receipt_id", (F.col("rn") <= 8).alias("kept"))
+    return bursts.withColumn("rn", F.row_number().over(w)).select("receipt_id", (F.col("rn") <= 8).alias("kept"))
 
 
-def batch_pair_score(spark, sf_dir):
-    """Identifier 10 000, address 1 000, name 500, up to 400 for minutes between the shown (else received) and the charge's time, amount 1."""
-    b = _sized_bursts(spark, sf_dir)
-    c = L.cascade.eligible(X.charges(spark, sf_dir)).select(F.col("id").alias("charge_id"), "amount", "created", "provider_id", F.lower("billing_name").alias("payer_name"), L.cascade.charge_email().alias("payer"))
+def batch_take_last8(spark, sf_dir):
+    return _last8(_sized_bursts(spark, sf_dir))
+
+
+def _verified():
+    """Address that an earlier verification of a receipt without one had matched: of every second receipt."""
+    return F.when(F.col("email").isNull() & (F.col("event_id") % 2 == 0), F.concat(F.lit("user"), F.col("user_id").cast("string"), F.lit("@example.com")))
+
+
+def _scored(spark, sf_dir, bursts, listed):
+    """Identifier 10 000, address 1 000, name 500, up to 400 for minutes between the shown and the charge's clock, 100 for an address verified before, amount 1."""
+    c = X.charges(spark, sf_dir).select(F.col("id").alias("charge_id"), L.cascade.payment_identifier().alias("pid"))
+    users = X.events(spark, sf_dir).select("event_id", "user_id")
+    b = bursts.join(users, "event_id").withColumn("verified", _verified())
     shown = F.unix_timestamp(F.col("payment_date").cast("timestamp")) + F.col("payment_hour") * 3600 + F.col("minutes") * 60
-    gap = F.floor(F.abs(F.coalesce(shown, "received_at") - F.col("created")) / 60)
+    gap = F.abs(shown - F.floor(F.col("created") / 60) * 60) / 60
     points = lambda same, n: F.coalesce(same.cast("long"), F.lit(0)) * n
-    told = points(F.lower("provider_id") == F.lower("transaction_id"), 10000) + points(F.col("payer") == F.lower("email"), 1000) + points(F.col("payer_name") == F.lower("customer_name"), 500)
-    told = (told + F.greatest(F.lit(0), 400 - F.least(F.lit(400), gap))).cast("long")
-    return b.join(c, "amount").select("receipt_id", "charge_id", (told + 1).alias("score"), told.alias("discriminator"))
+    told = points(F.lower("pid") == F.lower("transaction_id"), 10000) + points(F.col("payer") == F.lower("email"), 1000) + points(F.col("payer_name") == F.lower("customer_name"), 500)
+    told = told + F.coalesce(F.greatest(F.lit(0), 400 - F.least(F.lit(400), gap)), F.lit(0)) + points(F.col("verified") == F.col("payer"), 100)
+    amount = points(F.col("amount") == F.col("c_amount"), 1)
+    j = b.join(listed, "receipt_id").join(c, "charge_id")
+    return j.select("group_id", "burst", "receipt_id", F.col("received_at").alias("arrived"), "charge_id", "place", (told + amount).cast("long").alias("score"), told.cast("long").alias("discriminator"))
+
+
+def batch_pair_score(spark, sf_dir):
+    """Scores of each ambiguous receipt's own candidates."""
+    receipts, listed = _open_receipts(spark, sf_dir)
+    return _scored(spark, sf_dir, _bursts(receipts), listed).select("receipt_id", "charge_id", "place", "score", "discriminator")
 
 
 def redact_review(spark, sf_dir):
@@ -366,11 +372,6 @@ def redact_transport(spark, sf_dir):
     return p.select("page_id", F.substring(F.trim(F.regexp_replace(F.regexp_replace(line, r"https?://[^\s]+", "<url>"), r"\s+", " ")), 1, 240).alias("message"))
 
 
-def sink_audit_jsonl(spark, sf_dir):
-    v = L._verdicts(spark, sf_dir)
-    return v.select("receipt_id", F.when(F.col("status") == "ERROR", "ERROR").otherwise("INFO").alias("level"), F.to_json(F.struct(F.col("receipt_id").alias("processing_id"), F.lit("verifier").alias("component"), F.lit("verification").alias("event"), "status", "reason_code")).alias("line"))
-
-
 def validate_image(spark, sf_dir):
     """Images rendered from page bytes: size limit and magic bytes."""
     p = spark.read.parquet(f"{sf_dir}/pages.parquet")
@@ -399,6 +400,7 @@ _HALF = f"upper(regexp_extract(raw_text, {_TIME}, 3))"
 _HOUR = f"(CASE WHEN {_HALF} <> '' AND NOT {_HOUR0} BETWEEN 1 AND 12 THEN NULL WHEN {_HALF} = 'AM' THEN {_HOUR0} % 12 WHEN {_HALF} = 'PM' THEN {_HOUR0} % 12 + 12 WHEN {_HOUR0} <= 23 THEN {_HOUR0} END)"
 _ISO = "nullif(regexp_extract(raw_text, '\\b((?:19|20)[0-9]{2}-(?:0[1-9]|1[0-2])-(?:0[1-9]|[12][0-9]|3[01]))\\b', 1), '')"
 _MD = "'(?i)\\b(jan(?:uary)?|feb(?:ruary)?|mar(?:ch)?|apr(?:il)?|may|june?|july?|aug(?:ust)?|sep(?:tember)?|oct(?:ober)?|nov(?:ember)?|dec(?:ember)?)\\.?\\s+([0-9]{1,2})\\b'"
+_LOOSE = "'(?i)(?:today|payment|processed|at)[^\\n]{0,32}?\\b([0-9]{1,2}):([0-5][0-9])\\s*([ap]m)?\\b'"
 _MON = f"CASE WHEN {_ISO} IS NOT NULL THEN substr({_ISO}, 6, 2)::INTEGER ELSE nullif(list_position(['jan','feb','mar','apr','may','jun','jul','aug','sep','oct','nov','dec'], substr(lower(regexp_extract(raw_text, {_MD}, 1)), 1, 3)), 0)::INTEGER END"
 _DAY = f"CASE WHEN {_ISO} IS NOT NULL THEN substr({_ISO}, 9, 2)::INTEGER ELSE nullif(regexp_extract(raw_text, {_MD}, 2), '')::INTEGER END"
 _STATE = "CASE " + " ".join(f"WHEN regexp_matches(raw_text, '(?i)\\b{s}\\b') THEN '{s}'" for s in T.STATUSES) + " END"
@@ -409,15 +411,17 @@ _WANT = """want AS (SELECT 'r_' || event_id AS receipt_id, 'user' || user_id ||
   CASE WHEN event_id % 7 = 0 THEN 'Pending' WHEN event_id % 7 = 1 THEN 'Failed' ELSE 'Completed' END AS x_status FROM (SELECT *, to_timestamp(secs) AT TIME ZONE 'UTC' AS s FROM e WHERE event_type = 'purchase'))"""
 _P = f"{_RT},\n{_E},\n{_WANT}"
 _RIGHT = " AND ".join(f"{x}::VARCHAR IS NOT DISTINCT FROM {a}::VARCHAR" for x, a in FIELDS.values())
-_SCORE = "((email IS NOT NULL)::BIGINT + (amount > 0)::BIGINT + (payment_date IS NOT NULL)::BIGINT + (minutes IS NOT NULL)::BIGINT + (transaction_id IS NOT NULL)::BIGINT)"
+_SCORE = "((email IS NOT NULL)::BIGINT + coalesce(amount > 0, false)::BIGINT + (payment_date IS NOT NULL)::BIGINT + (minutes IS NOT NULL)::BIGINT + (transaction_id IS NOT NULL)::BIGINT)"
 _OK = "regexp_full_match({0}, '[a-zA-Z0-9.!#$%&''*+/=?^_`{{|}}~-]+@[a-zA-Z0-9](?:[a-zA-Z0-9-]{{0,61}}[a-zA-Z0-9])?(?:\\.[a-zA-Z0-9](?:[a-zA-Z0-9-]{{0,61}}[a-zA-Z0-9])?)+')"
 _J = lambda *f: "substr(sha256('{' || " + " || ',' || ".join(f"'\"{k}\":' || coalesce({v}, 'null')" for k, v in f) + " || '}'), 1, 32)"
 _Q = lambda x: f"'\"' || {x} || '\"'"
-_COMMON = (("payment_date", _Q("strftime(payment_date, '%Y-%m-%d')")), ("payment_month", "month(payment_date)::VARCHAR"), ("payment_day", "day(payment_date)::VARCHAR"), ("payment_hour", "payment_hour::VARCHAR"), ("minutes", "minutes::VARCHAR"))
-_FULL = _J(("email", _Q("substr(sha256(email), 1, 16)")), ("amount_cents", "amount::VARCHAR"), ("transaction_id", _Q("lower(transaction_id)")), ("customer_name", _Q("lower(customer_name)")), *_COMMON)
+_COMMON = (("payment_date", _Q("strftime(payment_date, '%Y-%m-%d')")), ("payment_month", "coalesce(payment_month, month(payment_date))::VARCHAR"), ("payment_day", "coalesce(payment_day, day(payment_date))::VARCHAR"), ("payment_hour", "payment_hour::VARCHAR"), ("minutes", "minutes::VARCHAR"))
+_ALL = lambda name: _J(("email", _Q("substr(sha256(email), 1, 16)")), ("amount_cents", "amount::VARCHAR"), ("transaction_id", _Q("lower(transaction_id)")), ("customer_name", name), *_COMMON)
 _SEEN = _J(("amount_cents", "amount::VARCHAR"), *_COMMON)
-_WHEN = "payment_date IS NOT NULL AND payment_hour IS NOT NULL AND minutes IS NOT NULL"
-_PR = f"{_R},\np AS (SELECT *, CASE WHEN transaction_id IS NOT NULL OR ({_WHEN}) THEN {_FULL} END AS full_print, CASE WHEN amount > 0 AND {_WHEN} THEN {_SEEN} END AS visual_print FROM receipts)"
+_WHEN = "(payment_date IS NOT NULL OR (payment_month IS NOT NULL AND payment_day IS NOT NULL)) AND payment_hour IS NOT NULL AND minutes IS NOT NULL"
+_TOLD = f"transaction_id IS NOT NULL OR ({_WHEN})"
+_PR = f"p AS (SELECT *, CASE WHEN {_TOLD} THEN {_ALL(_Q('lower(customer_name)'))} END AS full_print, CASE WHEN {_TOLD} THEN {_ALL('NULL')} END AS legacy_print, CASE WHEN amount > 0 AND {_WHEN} THEN {_SEEN} END AS visual_print, lower(customer_name) AS name, lower(transaction_id) AS tx, substr(sha256(email), 1, 16) AS mail FROM receipts)"
+_PRINTS = f"{_R},\n{_PR}"
 _HAM = "bit_count(xor(('0x' || substr({0}, 1, 8))::BIGINT, ('0x' || substr({1}, 1, 8))::BIGINT)) + bit_count(xor(('0x' || substr({0}, 9, 8))::BIGINT, ('0x' || substr({1}, 9, 8))::BIGINT))"
 _OPEN = "SELECT receipt_id FROM verdicts WHERE status = 'AMBIGUOUS' AND reason_code <> 'MULTIPLE_DATE_BOUNDARY_MATCHES'"
 _BURST = L._VERDICTS + f",\nb0 AS (SELECT *, received_at - lag(received_at) OVER (PARTITION BY group_id ORDER BY received_at, receipt_id) AS gap FROM receipts WHERE receipt_id IN ({_OPEN})),\nb AS (SELECT *, sum((coalesce(gap, 0) > 21600)::INT) OVER (PARTITION BY group_id ORDER BY received_at, receipt_id) AS burst FROM b0)"
@@ -437,25 +441,23 @@ _PLAIN = {
     field_accuracy: f"{_P} " + " UNION ALL ".join(f"SELECT '{k}' AS field, count(*) AS total, count(*) FILTER ({x}::VARCHAR IS NOT DISTINCT FROM {a}::VARCHAR) AS n_right, count(*) FILTER ({a} IS NOT NULL AND {x}::VARCHAR IS DISTINCT FROM {a}::VARCHAR) AS n_false FROM want JOIN x USING (receipt_id)" for k, (x, a) in FIELDS.items()),
     record_accuracy: f"{_P} SELECT count(*) AS total, count(*) FILTER ({_RIGHT}) AS n_right FROM want JOIN x USING (receipt_id)",
     fuse_extractions: f"{_P} SELECT receipt_id, upper(x_email) AS email, x_amount + 1 AS amount_cents, CASE WHEN payment_date IS NOT NULL THEN payment_date WHEN payment_month IS NOT NULL THEN NULL ELSE x_date END AS payment_date, payment_hour, minutes, 'Paid' AS status FROM x JOIN want USING (receipt_id)",
-    fill_from_raw_text: f"{_P} SELECT receipt_id, coalesce(nullif(r.email, ''), x.email) AS email, coalesce(r.minutes, x.minutes) AS minutes FROM receipts r JOIN x USING (receipt_id)",
-    evidence_score: f"{L._VERDICTS} SELECT receipt_id, {_SCORE} AS score, v.verdict <> 'VALID' AND {_SCORE} < 2 AS recover FROM w JOIN verdicts v USING (receipt_id)".replace("SELECT receipt_id, ((email", "SELECT w.receipt_id, ((email"),
-    prefer_recovered: f"{_P} SELECT receipt_id, CASE WHEN (x.email IS NOT NULL)::INT + (x.minutes IS NOT NULL)::INT + (r.payment_date IS NOT NULL)::INT + (r.transaction_id IS NOT NULL)::INT + 1 > (r.email IS NOT NULL)::INT + (r.amount > 0)::INT + (r.payment_date IS NOT NULL)::INT + (r.minutes IS NOT NULL)::INT + (r.transaction_id IS NOT NULL)::INT THEN 'recovered' ELSE 'first' END AS chosen FROM receipts r JOIN x USING (receipt_id)",
+    fill_from_raw_text: f"{_RT}, j AS (SELECT r.receipt_id, CASE WHEN event_id % 2 = 0 THEN amount END AS amount, payment_hour, minutes, payment_month, payment_day, CASE WHEN event_id % 3 = 0 THEN 'Amount $1,250.00' || chr(10) WHEN event_id % 4 = 0 THEN 'Amount $10.5' || chr(10) ELSE '' END || raw_text AS raw_text FROM receipts r JOIN texts USING (receipt_id)), "
+    f"l AS (SELECT *, replace(nullif(regexp_extract(raw_text, '\\$\\s*([0-9][0-9,]*(?:\\.[0-9]{{1,2}})?)', 1), ''), ',', '')::DECIMAL(14,2) AS a, nullif(regexp_extract(raw_text, {_LOOSE}, 1), '')::INTEGER AS h, nullif(regexp_extract(raw_text, {_LOOSE}, 2), '')::INTEGER AS m, upper(regexp_extract(raw_text, {_LOOSE}, 3)) AS half FROM j) "
+    f"SELECT receipt_id, coalesce(amount, CASE WHEN a > 0 AND a <= 1000000 THEN (a * 100)::BIGINT END) AS amount, coalesce(payment_hour, CASE WHEN half = '' THEN CASE WHEN h <= 23 THEN h END WHEN h BETWEEN 1 AND 12 THEN h % 12 + CASE WHEN half = 'PM' THEN 12 ELSE 0 END END) AS payment_hour, coalesce(minutes, m) AS minutes, "
+    f"coalesce(payment_month, nullif(list_position(['jan','feb','mar','apr','may','jun','jul','aug','sep','oct','nov','dec'], substr(lower(regexp_extract(raw_text, {_MD}, 1)), 1, 3)), 0)::INTEGER) AS payment_month, coalesce(payment_day, nullif(regexp_extract(raw_text, {_MD}, 2), '')::INTEGER) AS payment_day FROM l",
+    evidence_score: f"{L._VERDICTS} SELECT receipt_id, {_SCORE} AS score, v.verdict <> 'VALID' AND {_SCORE} < 2 AS recover FROM receipts w JOIN verdicts v USING (receipt_id)",
+    prefer_recovered: f"{_P} SELECT receipt_id, CASE WHEN (x.email IS NOT NULL)::INT + (x.minutes IS NOT NULL)::INT + (r.payment_date IS NOT NULL)::INT + (r.transaction_id IS NOT NULL)::INT + 1 > (r.email IS NOT NULL)::INT + coalesce(r.amount > 0, false)::INT + (r.payment_date IS NOT NULL)::INT + (r.minutes IS NOT NULL)::INT + (r.transaction_id IS NOT NULL)::INT THEN 'recovered' ELSE 'first' END AS chosen FROM receipts r JOIN x USING (receipt_id)",
     build_evidence: f"{_P} SELECT receipt_id, coalesce(r.email, x.email) AS email, CASE WHEN r.email IS NULL OR lower(r.email) = x.email THEN x.email ELSE lower(r.email) || ',' || x.email END AS email_candidates, x.amount_cents, CASE WHEN x.minutes BETWEEN 0 AND 59 THEN x.minutes END AS minutes, x.payment_hour, relative_today FROM receipts r JOIN x USING (receipt_id)",
-    email_candidate_set: f"{_P} SELECT receipt_id, array_to_string(list_sort(list_distinct([r.email, x.email])), ',') AS emails FROM receipts r JOIN x USING (receipt_id)",
+    email_candidate_set: f"{_P} SELECT receipt_id, array_to_string(list_sort(list_distinct([r.email, x.email])), ',') AS emails FROM receipts r JOIN x USING (receipt_id)".replace("[r.email, x.email]", f"[CASE WHEN {_OK.format('r.email')} THEN r.email END, x.email]"),
     cap_lists: f"{_R} SELECT group_id, payment_date, coalesce(array_to_string((list_sort(list_distinct(list(email))))[1:8], ','), '') AS emails FROM receipts GROUP BY 1, 2",
-    reject_invalid_evidence: f"{_R} SELECT receipt_id, CASE WHEN event_id % 23 = 0 THEN 'UNSUPPORTED_PAYMENT_METHOD_TYPE' END AS reason_code FROM receipts",
     normalize_email: f"{_R}, v AS (SELECT receipt_id, lower(trim(CASE WHEN event_id % 4 = 0 THEN '  ' || upper(email) WHEN event_id % 4 = 1 THEN replace(email, '.', '..') ELSE email END)) AS m FROM receipts WHERE email IS NOT NULL) SELECT receipt_id, CASE WHEN {_OK.format('m')} THEN m END AS email FROM v",
     normalize_ids_names: f"{_C} SELECT id, lower(billing_name) AS name, CASE WHEN event_id % 5 <> 0 THEN provider_id END AS identifier FROM charges",
     bounded_values: f"{_R} SELECT receipt_id, CASE WHEN event_id % 3 <> 0 AND event_id % 90 < 60 THEN (event_id % 90)::INTEGER END AS minutes FROM receipts",
     infer_year: f"{S.with_(S.EVENTS)}, d AS (SELECT event_id, (to_timestamp(secs) AT TIME ZONE 'UTC')::DATE AS g, event_id % 12 + 1 AS m, event_id % 31 + 1 AS y FROM e WHERE event_type = 'purchase'), c AS (SELECT *, try_cast(printf('%04d-%02d-%02d', year(g), m, y) AS DATE) AS a, try_cast(printf('%04d-%02d-%02d', year(g) - 1, m, y) AS DATE) AS b FROM d) SELECT event_id, CASE WHEN a <= g + 1 THEN a ELSE b END AS payment_date FROM c",
     relative_today: f"{_R} SELECT receipt_id, CASE WHEN relative_today THEN strftime(to_timestamp(received_at) AT TIME ZONE 'America/New_York', '%Y-%m-%d') END AS today FROM receipts",
     identity_hashes: f"{_M} SELECT message_id, substr(sha256(group_id), 1, 12) AS group_hash, substr(sha256(sender), 1, 10) AS sender_hash FROM messages",
-    receipt_fingerprint: f"{_PR} SELECT receipt_id, full_print AS fingerprint FROM p",
-    visual_fingerprint: f"{_PR} SELECT receipt_id, visual_print AS fingerprint FROM p",
-    dup_exact_image: f"{_R} SELECT receipt_id, o AS original_id FROM (SELECT receipt_id, row_number() OVER w AS rn, first_value(receipt_id) OVER w AS o FROM receipts WINDOW w AS (PARTITION BY sha256 ORDER BY received_at, receipt_id)) WHERE rn > 1",
-    annotate_original: f"{_R} SELECT receipt_id, o AS original_id, CASE WHEN group_id = g THEN 'same_group' ELSE 'another_group' END AS scope FROM (SELECT receipt_id, group_id, row_number() OVER w AS rn, first_value(receipt_id) OVER w AS o, first_value(group_id) OVER w AS g FROM receipts WINDOW w AS (PARTITION BY sha256 ORDER BY received_at, receipt_id)) WHERE rn > 1",
-    dup_evidence_fingerprint: f"{_PR} SELECT receipt_id, o AS original_id FROM (SELECT receipt_id, row_number() OVER w AS rn, first_value(receipt_id) OVER w AS o FROM p WHERE full_print IS NOT NULL WINDOW w AS (PARTITION BY full_print, coalesce(transaction_id, '') ORDER BY received_at, receipt_id)) WHERE rn > 1",
-    dup_phash: f"{_PR},\n{S.HASHES.strip()},\nh AS (SELECT receipt_id, received_at, visual_print, phash FROM p JOIN hashes ON vec_id = event_id % (SELECT count(*) FROM embeddings) WHERE visual_print IS NOT NULL), q AS (SELECT b.receipt_id, a.receipt_id AS original_id, ({_HAM.format('a.phash', 'b.phash')})::BIGINT AS distance FROM h a JOIN h b ON a.visual_print = b.visual_print AND (a.received_at, a.receipt_id) < (b.received_at, b.receipt_id)) SELECT *, CASE WHEN distance = 0 THEN 'PHASH_VISUAL_RECEIPT' WHEN distance <= 6 THEN 'PHASH_RECEIPT_EVIDENCE' ELSE 'DIFFERENT' END AS match_type FROM q",
+    receipt_fingerprint: f"{_PRINTS} SELECT receipt_id, full_print AS fingerprint, legacy_print AS legacy_fingerprint FROM p",
+    visual_fingerprint: f"{_PRINTS} SELECT receipt_id, visual_print AS fingerprint FROM p",
     hamming64: f"{_H}, l AS (SELECT vec_id, phash, lag(phash) OVER (PARTITION BY vec_id % 16 ORDER BY vec_id) AS q FROM hashes) SELECT vec_id, ({_HAM.format('phash', 'q')})::BIGINT AS distance FROM l",
     dup_phash_only: f"{_H}, j AS (SELECT a.vec_id AS low, b.vec_id AS high, ({_HAM.format('a.phash', 'b.phash')})::BIGINT AS distance FROM hashes a JOIN hashes b ON a.vec_id < b.vec_id) SELECT * FROM j WHERE distance <= 6",
     src_message_events: f"{_M} SELECT message_id, group_id, sender, received_at, is_image FROM messages",
@@ -467,21 +469,22 @@ _PLAIN = {
     ttl_anchor_dedup: f"{_M}, l AS (SELECT sender, list_sort(list(received_at)) AS t FROM messages GROUP BY 1), f AS (SELECT sender, list_reduce(list_transform(t, lambda x: [x]), lambda acc, x: CASE WHEN x[1] - acc[len(acc)] >= 3600 THEN list_append(acc, x[1]) ELSE acc END) AS k FROM l) SELECT sender, unnest(k) AS received_at FROM f",
     late_events: f"{_M}, d AS (SELECT DISTINCT message_id, group_id, event_id, received_at - CASE WHEN event_id % 17 = 0 THEN 7200 ELSE 0 END AS a FROM messages) SELECT message_id FROM (SELECT *, max(a) OVER (PARTITION BY group_id ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS mark FROM d) WHERE a < mark - 3600",
     job_status_summary: f"{_M}, s AS (SELECT group_id, sender, arg_max(['pending', 'running', 'done'][event_id % 3 + 1], (received_at, event_id)) AS state FROM messages WHERE is_image GROUP BY 1, 2) SELECT group_id, state, count(*) AS n FROM s GROUP BY ALL",
-    fallback_rate: f"{_R} SELECT CASE WHEN k = 11 THEN 'LOW_CONFIDENCE' WHEN k = 10 THEN 'MISSING_FIELDS' ELSE 'NONE' END AS fallback_reason, count(*) AS n, count(*) FILTER (k >= 10) AS n_external FROM receipts GROUP BY 1",
+    fallback_rate: f"{_T},\n{_E}, r AS (SELECT CASE WHEN email IS NULL OR amount_cents IS NULL THEN 'MISSING_FIELDS' WHEN minutes IS NULL OR payment_date IS NULL OR status IS NULL THEN 'LOW_CONFIDENCE' ELSE 'NONE' END AS fallback_reason FROM x) SELECT fallback_reason, count(*) AS n, round(count(*) / (SELECT count(*) FROM r), 6) AS rate FROM r GROUP BY 1",
     best_extraction: f"{_R}, s AS (SELECT receipt_id, a AS attempt, (event_id * 7 + a * 31) % 100 AS conf, (event_id + a) % 8 AS q FROM r0, range(1, 4) r(a)), g AS (SELECT *, (conf >= 60 AND q >= 4)::INT AS good FROM s) SELECT receipt_id, attempt FROM (SELECT *, row_number() OVER (PARTITION BY receipt_id ORDER BY good DESC, CASE WHEN good = 1 THEN attempt ELSE -q END, conf DESC, attempt) AS rn FROM g) WHERE rn = 1",
     retain_newest: f"{_R} SELECT receipt_id FROM receipts ORDER BY received_at DESC, receipt_id LIMIT 500",
     retain_window: f"{_R} SELECT receipt_id FROM receipts WHERE received_at >= {AS_OF - 7 * 86400}",
     batch_take_last8: f"{_BURST} SELECT receipt_id, row_number() OVER (PARTITION BY group_id, burst ORDER BY received_at DESC, receipt_id) <= 8 AS kept FROM b",
     batch_pair_score: _BURST
-    + """, s AS (
-  SELECT b.receipt_id, c.id AS charge_id, (coalesce(lower(c.provider_id) = lower(b.transaction_id), false)::INT * 10000 + coalesce(c.payer = lower(b.email), false)::INT * 1000
-    + coalesce(lower(c.billing_name) = lower(b.customer_name), false)::INT * 500
-    + greatest(0, 400 - least(400, abs(coalesce(epoch(b.payment_date)::BIGINT + b.payment_hour * 3600 + b.minutes * 60, b.received_at) - c.created) // 60)))::BIGINT AS discriminator
-  FROM b JOIN elig c USING (amount))
-SELECT receipt_id, charge_id, discriminator + 1 AS score, discriminator FROM s""",
+    + f""", lst AS (SELECT receipt_id, id AS charge_id, created, payer, payer_name, c_amount, row_number() OVER (PARTITION BY receipt_id ORDER BY created DESC, id) AS place FROM flags WHERE hit),
+s AS (
+  SELECT b.receipt_id, l.charge_id, l.place, coalesce(b.amount = l.c_amount, false)::BIGINT AS one,
+    (coalesce(lower({L._IDENTIFIER}) = lower(b.transaction_id), false)::INT * 10000 + coalesce(l.payer = lower(b.email), false)::INT * 1000 + coalesce(l.payer_name = lower(b.customer_name), false)::INT * 500
+    + coalesce(greatest(0, 400 - least(400, abs(epoch(b.payment_date)::BIGINT + b.payment_hour * 3600 + b.minutes * 60 - l.created // 60 * 60) // 60)), 0)
+    + (b.email IS NULL AND b.event_id % 2 = 0 AND coalesce(l.payer = 'user' || e.user_id || '@example.com', false))::INT * 100)::BIGINT AS discriminator
+  FROM b JOIN lst l USING (receipt_id) JOIN charges c ON c.id = l.charge_id JOIN e ON e.event_id = b.event_id)
+SELECT receipt_id, charge_id, place, discriminator + one AS score, discriminator FROM s""",
     redact_review: f"{_C} SELECT id, CASE WHEN length(provider_id) > 8 THEN substr(provider_id, 1, 4) || '...' || right(provider_id, 4) ELSE '****' END AS masked, billing_name AS name, '$' || (amount // 100) || '.' || lpad((amount % 100)::VARCHAR, 2, '0') AS amount_text FROM charges",
     redact_transport: "SELECT page_id, CASE WHEN url IS NOT NULL THEN 'failed: <url> retry' END AS message FROM pages",
-    sink_audit_jsonl: L._VERDICTS + """ SELECT receipt_id, 'INFO' AS level, '{"processing_id":"' || receipt_id || '","component":"verifier","event":"verification","status":"' || status || '","reason_code":"' || reason_code || '"}' AS line FROM verdicts""",
     validate_image: "SELECT page_id, strlen(coalesce(html, '')) + CASE WHEN page_id % 3 = 0 THEN 8 WHEN page_id % 3 = 1 THEN 3 ELSE 1 END AS n_bytes, CASE WHEN strlen(coalesce(html, '')) + CASE WHEN page_id % 3 = 0 THEN 8 WHEN page_id % 3 = 1 THEN 3 ELSE 1 END > 10485760 THEN 'TOO_LARGE' WHEN page_id % 3 = 0 THEN 'PNG' WHEN page_id % 3 = 1 THEN 'JPEG' ELSE 'UNKNOWN' END AS kind FROM pages",
     content_sha256: "SELECT page_id, sha256(coalesce(html, '')) AS sha256 FROM pages",
 }

@@ -1,4 +1,4 @@
-"""Further queries: candidate lists, image conflicts, duplicate evidence, descriptions, streamed bursts and captions."""
+"""Further queries: candidate lists, duplicate evidence, descriptions."""
 
 from __future__ import annotations
 
@@ -7,23 +7,13 @@ from pyspark.sql import functions as F
 from tallymark.functions import text as T
 from tallymark.plans import evidence as E
 from tallymark.plans import linkage as L
-from tallymark.plans import streams as R
 from tallymark.sources import fixtures as X
-from tallymark.streaming import intake
 
 
 def distinct_candidates(spark, sf_dir):
     """Charges of each receipt listed once, whichever source names them first."""
-    by_id = L._by("id_hit", spark, sf_dir)
-    return by_id.unionByName(L._by("in_search", spark, sf_dir)).filter("charge_id IS NOT NULL").dropDuplicates(["receipt_id", "charge_id"])
-
-
-def image_conflict(spark, sf_dir):
-    """Receipts that look like an earlier one of another charge."""
-    v = L._verdicts(spark, sf_dir).filter("charge_id IS NOT NULL").select("receipt_id", "charge_id")
-    p = E._print(X.receipts(spark, sf_dir)).filter("visual_print IS NOT NULL").select("receipt_id", "received_at", "visual_print").join(v, "receipt_id")
-    seen = p.groupBy("visual_print").agg(F.min_by("charge_id", F.struct("received_at", "receipt_id")).alias("first_charge"))
-    return p.join(seen, "visual_print").filter("charge_id <> first_charge").select("receipt_id", "charge_id", F.lit("IMAGE_MATCH_DIFFERENT_STRIPE_CHARGE").alias("reason_code"))
+    by_id = L.cand_by_identifier(spark, sf_dir).select("receipt_id", "charge_id")
+    return by_id.unionByName(L.cand_by_customer(spark, sf_dir)).filter("charge_id IS NOT NULL").dropDuplicates(["receipt_id", "charge_id"])
 
 
 def duplicate_evidence(spark, sf_dir):
@@ -43,24 +33,9 @@ def extract_description(spark, sf_dir):
     return X.receipt_texts(spark, sf_dir).select("receipt_id", F.substring(F.trim(T.found(text, r"(?i)\bdescription\b\s*[:=-]?\s*([^\n]+)", 1)), 1, 1000).alias("description"))
 
 
-def _with_tail(rows):
-    """A last row far ahead, by which the watermark passes all others."""
-    tail = rows.limit(1).withColumns({"group_id": F.lit("~"), "received_at": F.lit(X.AS_OF + 400 * 86400).cast("long")})
-    return rows.unionByName(tail)
-
-
-def stream_burst_batch(spark, sf_dir):
-    rows = E._sized_bursts(spark, sf_dir).select("group_id", "received_at")
-    out = intake.bursts(R._stream(spark, _with_tail(rows)), "6 hours", "40 days")
-    return R._replayed(spark, out, ["group_id", "start", "n"]).filter("group_id <> '~'").select("group_id", F.unix_timestamp("start").alias("started_at"), "n")
-
-
-QUERIES = {f.__name__: f for f in (distinct_candidates, image_conflict, duplicate_evidence, extract_description, stream_burst_batch)}
-_SEEN = f", p AS (SELECT *, CASE WHEN amount > 0 AND {E._WHEN} THEN {E._SEEN} END AS visual_print FROM receipts)"
+QUERIES = {f.__name__: f for f in (distinct_candidates, duplicate_evidence, extract_description)}
 ORACLE_SQL = {
-    "distinct_candidates": L._FOUND + " SELECT receipt_id, id AS charge_id FROM facts WHERE id_hit OR in_search",
-    "image_conflict": L._VERDICTS + _SEEN + ", q AS (SELECT p.receipt_id, v.charge_id, first_value(v.charge_id) OVER (PARTITION BY visual_print ORDER BY p.received_at, p.receipt_id) AS f FROM p JOIN verdicts v USING (receipt_id) WHERE visual_print IS NOT NULL AND v.charge_id IS NOT NULL) SELECT receipt_id, charge_id, 'IMAGE_MATCH_DIFFERENT_STRIPE_CHARGE' AS reason_code FROM q WHERE charge_id <> f",
+    "distinct_candidates": L._W + L._SOURCES + " SELECT receipt_id, id AS charge_id FROM by_id UNION SELECT receipt_id, id FROM by_customer",
     "duplicate_evidence": L._VERDICTS + f", j AS (SELECT r.receipt_id, coalesce(r.email, {L._EMAIL}) AS email, coalesce(r.transaction_id, c.provider_id) AS transaction_id, coalesce(r.payment_date, (to_timestamp(c.created) AT TIME ZONE 'UTC')::DATE) AS d FROM receipts r JOIN verdicts v USING (receipt_id) LEFT JOIN charges c ON c.id = v.charge_id) SELECT receipt_id, email, transaction_id, strftime(d, '%Y-%m-%d') AS payment_date, month(d)::INTEGER AS payment_month, day(d)::INTEGER AS payment_day FROM j",
     "extract_description": E._T + " SELECT receipt_id, nullif(substr(trim(regexp_extract(raw_text || chr(10) || CASE substr(receipt_id, 3)::BIGINT % 4 WHEN 0 THEN 'Description: ' WHEN 1 THEN 'description' || chr(10) WHEN 2 THEN 'Descriptions ' ELSE 'DESCRIPTION - ' END || 'Order ' || receipt_id || ' ' || chr(10), '(?i)\\bdescription\\b\\s*[:=-]?\\s*([^\\n]+)', 1)), 1, 1000), '') AS description FROM texts",
-    "stream_burst_batch": L._VERDICTS + f", g AS (SELECT group_id, received_at, CASE WHEN received_at - lag(received_at) OVER w >= 21600 THEN 1 ELSE 0 END AS b FROM receipts WHERE receipt_id IN ({E._OPEN}) WINDOW w AS (PARTITION BY group_id ORDER BY received_at)), s AS (SELECT *, sum(b) OVER (PARTITION BY group_id ORDER BY received_at ROWS UNBOUNDED PRECEDING) AS burst FROM g) SELECT group_id, min(received_at) AS started_at, count(*) AS n FROM s GROUP BY group_id, burst",
 }

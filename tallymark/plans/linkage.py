@@ -12,19 +12,28 @@ from tallymark.operators import cascade
 from tallymark.plans import fixtures_sql as S
 from tallymark.sources import fixtures as X
 
-AS_OF = X.AS_OF
+AS_OF, RECEIPT_ZONE = X.AS_OF, "America/New_York"
 
 
-def _found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return cascade.flagged(cascade.candidates(X.receipts(spark, sf_dir), X.charges(spark, sf_dir), X.customers(spark, sf_dir), AS_OF))
+def _judged(spark: SparkSession, sf_dir: str, receipt_zone: str | None = None) -> tuple[DataFrame, DataFrame]:
+    return cascade.judged(X.receipts(spark, sf_dir), X.charges(spark, sf_dir), X.customers(spark, sf_dir), AS_OF, receipt_zone=receipt_zone, claims=X.claims(spark, sf_dir))
 
 
 def _tier(name: str, spark: SparkSession, sf_dir: str) -> DataFrame:
-    return cascade.tier(_found(spark, sf_dir), name)
+    return cascade.tier(_judged(spark, sf_dir)[1], name)
 
 
 def _verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return cascade.verdicts(X.receipts(spark, sf_dir), _found(spark, sf_dir))
+    return cascade.verdicts(*_judged(spark, sf_dir))
+
+
+def verdict_cascade(spark, sf_dir):
+    return _verdicts(spark, sf_dir)
+
+
+def verdict_cascade_zoned(spark, sf_dir):
+    """The cascade where the receipts' zone is known: hours count, searches are a minute, days are local."""
+    return cascade.verdicts(*_judged(spark, sf_dir, RECEIPT_ZONE))
 
 
 def verdict_counts(spark, sf_dir):
@@ -41,112 +50,167 @@ def src_charge_lookback(spark, sf_dir):
     return X.charges(spark, sf_dir).filter(F.col("created") >= AS_OF - AS_OF % 10 - 10 * 86400).select("id", "amount", "created")
 
 
+def _prepared(spark, sf_dir, receipt_zone=None):
+    return cascade.prepared(X.receipts(spark, sf_dir), X.charges(spark, sf_dir), X.customers(spark, sf_dir), AS_OF, receipt_zone=receipt_zone, claims=X.claims(spark, sf_dir))
+
+
 def src_charge_by_customer(spark, sf_dir):
-    r = cascade.windows(X.receipts(spark, sf_dir), AS_OF).join(X.customers(spark, sf_dir), "email")
-    c = X.charges(spark, sf_dir).select("id", "customer", "created")
-    return r.join(c, (F.col("customer_id") == F.col("customer")) & F.col("created").between(F.col("day_lo"), F.coalesce("day_hi", F.lit(AS_OF)))).select("receipt_id", "id").dropDuplicates(["receipt_id", "id"])
+    """Charges of each receipt's customers, whichever address found them, in its window if it is dated."""
+    r = cascade.windows(cascade.evidence(X.receipts(spark, sf_dir)), AS_OF)
+    r = r.join(cascade.customers_of(r, X.customers(spark, sf_dir)), "receipt_id")
+    return cascade.customer_pairs(r, cascade.ledger(X.charges(spark, sf_dir))).select("receipt_id", "id").dropDuplicates(["receipt_id", "id"])
 
 
 def src_charge_search(spark, sf_dir):
-    r = cascade.windows(X.receipts(spark, sf_dir), AS_OF).select("receipt_id", "amount", "search_lo", "search_hi")
-    c = X.charges(spark, sf_dir).filter("status = 'succeeded' AND currency = 'usd'").select("id", "amount", "created")
-    return r.join(c, "amount").filter("created >= search_lo AND (search_hi IS NULL OR created <= search_hi)").select("receipt_id", "id")
+    r = cascade.windows(cascade.evidence(X.receipts(spark, sf_dir)), AS_OF).select("receipt_id", "amount", F.col("currency").alias("cur"), "search_lo", "search_hi")
+    c = X.charges(spark, sf_dir).filter("status = 'succeeded'").select("id", "amount", F.lower("currency").alias("cur"), "created")
+    return r.join(c, ["amount", "cur"]).filter("created >= search_lo AND (search_hi IS NULL OR created <= search_hi)").select("receipt_id", "id")
 
 
 def src_customers_by_email(spark, sf_dir):
-    r = X.receipts(spark, sf_dir).select("receipt_id", F.explode(F.array_distinct(F.array(F.lower("email"), F.regexp_replace(F.lower("email"), "^x", "")))).alias("mail"))
-    c = X.customers(spark, sf_dir).select("customer_id", F.lower("email").alias("mail"))
-    return r.join(c, "mail").groupBy("receipt_id").agg(F.array_join(F.sort_array(F.collect_set("customer_id")), ",").alias("customer_ids"))
+    found = cascade.customers_of(cascade.evidence(X.receipts(spark, sf_dir)), X.customers(spark, sf_dir))
+    return found.select("receipt_id", F.array_join(F.sort_array("customer_ids"), ",").alias("customer_ids"))
 
 
 def charge_eligible(spark, sf_dir):
-    return cascade.eligible(X.charges(spark, sf_dir)).select("id", "amount", "currency")
+    """Charges of each receipt's amount, description and currency that can be approved."""
+    r = cascade.evidence(X.receipts(spark, sf_dir)).filter("early IS NULL AND amount IS NOT NULL").select("receipt_id", "amount", F.col("currency").alias("c_currency"), "description")
+    c = cascade.ledger(X.charges(spark, sf_dir)).filter("eligible").withColumnRenamed("c_amount", "amount")
+    return r.join(c, ["amount", "c_currency"]).filter("description IS NULL OR description = c_description").select("receipt_id", F.col("id").alias("charge_id"))
 
 
 def charge_time_match(spark, sf_dir):
-    f = cascade.candidates(X.receipts(spark, sf_dir), X.charges(spark, sf_dir), X.customers(spark, sf_dir), AS_OF)
-    return f.filter("minute_ok AND date_ok").select("receipt_id", F.col("id").alias("charge_id"))
+    """Candidates by amount whose local date, month, day, minute and hour agree with what the receipt shows in its own zone."""
+    r, book, _ = _prepared(spark, sf_dir, RECEIPT_ZONE)
+    live = r.filter("early IS NULL")
+    f = cascade._facts(cascade.amount_pairs(live, book, AS_OF), live, AS_OF, cascade.LOOKBACK_DAYS, RECEIPT_ZONE)
+    return f.filter("date_ok AND minute_ok").select("receipt_id", F.col("id").alias("charge_id"), "hour_ok")
 
 
 def evidence_sufficiency(spark, sf_dir):
-    n = cascade.constraints()
-    poor = (n < 2) & F.col("email").isNull() & F.col("transaction_id").isNull()
-    return X.receipts(spark, sf_dir).select("receipt_id", n.cast("long").alias("n_constraints"), F.when(poor, "INSUFFICIENT_STRIPE_EVIDENCE").alias("reason_code"))
+    r = cascade.evidence(X.receipts(spark, sf_dir), RECEIPT_ZONE)
+    return r.select("receipt_id", F.col("n_constraints").cast("long").alias("n_constraints"), F.when(F.col("early") == "INSUFFICIENT_STRIPE_EVIDENCE", F.col("early")).alias("reason_code"))
+
+
+def reject_invalid_evidence(spark, sf_dir):
+    """Receipts with a value that has no normal form, or of another payment method than the policy's."""
+    r = cascade.evidence(X.receipts(spark, sf_dir))
+    return r.select("receipt_id", F.when(F.col("early").isin(*cascade.ERRORS), F.col("early")).alias("reason_code"))
 
 
 def receipt_window(spark, sf_dir):
-    return cascade.windows(X.receipts(spark, sf_dir), AS_OF).select("receipt_id", "search_lo", "search_hi", "day_lo", "day_hi")
+    """Search and day windows, without and with the receipts' zone."""
+    r = cascade.evidence(X.receipts(spark, sf_dir))
+    a = cascade.windows(r, AS_OF).select("receipt_id", "search_lo", "search_hi", "day_lo", "day_hi")
+    z = cascade.windows(r, AS_OF, receipt_zone=RECEIPT_ZONE)
+    return a.join(z.select("receipt_id", *[F.col(c).alias(f"zone_{c}") for c in ("search_lo", "search_hi", "day_lo", "day_hi")]), "receipt_id")
 
 
 def charge_identity_columns(spark, sf_dir):
-    return X.charges(spark, sf_dir).select("id", cascade.charge_email().alias("payer"), F.lower(F.trim("billing_name")).alias("payer_name"), F.col("provider_id").alias("payment_identifier"))
+    from tallymark.functions.text import normal_name
+
+    return X.charges(spark, sf_dir).select("id", cascade.charge_email().alias("payer"), normal_name(F.col("billing_name")).alias("payer_name"), cascade.payment_identifier().alias("payment_identifier"))
 
 
 def charge_id_set(spark, sf_dir):
-    return X.charges(spark, sf_dir).select("id", F.array_join(F.array_sort(F.array_distinct(F.array(F.lower("id"), F.lower("provider_id")))), ",").alias("ids"))
+    return X.charges(spark, sf_dir).select("id", F.array_join(F.array_sort(cascade.identifiers()), ",").alias("ids"))
 
 
 def project_canonical_txn(spark, sf_dir):
-    t = F.from_utc_timestamp(F.timestamp_seconds("created"), "America/New_York")
-    return cascade.eligible(X.charges(spark, sf_dir)).select(F.col("id").alias("charge_id"), F.col("amount").alias("amount_cents"), "currency", cascade.charge_email().alias("customer_email"), F.col("billing_name").alias("customer_name"), F.col("provider_id").alias("payment_identifier"), F.date_format(t, "yyyy-MM-dd").alias("payment_date"), F.date_format(t, "HH:mm").alias("payment_time"), F.lit("Completed").alias("status"))
+    t = F.from_utc_timestamp(F.timestamp_seconds("created"), RECEIPT_ZONE)
+    status = F.when(F.col("paid") & (F.col("status") == "succeeded"), "Completed").otherwise(F.col("status"))
+    return X.charges(spark, sf_dir).select(
+        F.col("id").alias("charge_id"), F.col("customer").alias("customer_id"), F.col("amount").alias("amount_cents"), "currency", F.date_format(t, "yyyy-MM-dd").alias("payment_date"), F.hour(t).cast("long").alias("payment_hour"), F.minute(t).cast("long").alias("minutes"),
+        F.date_format(t, "HH:mm").alias("payment_time"), F.col("billing_name").alias("customer_name"), cascade.charge_email().alias("customer_email"), cascade.payment_identifier().alias("payment_identifier"), "description", status.alias("status"), F.col("method").alias("payment_method_type"),
+    )
 
 
 def charge_local_time(spark, sf_dir):
-    t = F.from_utc_timestamp(F.timestamp_seconds("created"), "America/New_York")
+    t = F.from_utc_timestamp(F.timestamp_seconds("created"), RECEIPT_ZONE)
     return X.charges(spark, sf_dir).select("id", F.hour(t).cast("long").alias("local_hour"), F.minute(t).cast("long").alias("local_minute"), F.date_format(t, "yyyy-MM-dd").alias("local_date"))
 
 
 def local_day_bounds(spark, sf_dir):
     d = X.receipts(spark, sf_dir).filter("payment_date IS NOT NULL")
-    edge = lambda c: F.unix_timestamp(F.to_utc_timestamp(c.cast("timestamp"), "America/New_York"))
+    edge = lambda c: F.unix_timestamp(F.to_utc_timestamp(c.cast("timestamp"), RECEIPT_ZONE))
     return d.select("receipt_id", edge(F.col("payment_date")).alias("day_start"), (edge(F.date_add("payment_date", 1)) - 1).alias("day_end"))
 
 
-def _by(flag: str, spark, sf_dir):
-    f = cascade.candidates(X.receipts(spark, sf_dir), X.charges(spark, sf_dir), X.customers(spark, sf_dir), AS_OF)
-    return f.filter(flag).select("receipt_id", F.col("id").alias("charge_id"))
+def cand_by_identifier(spark, sf_dir):
+    """Charges of any amount that have the receipt's identifier, in its window or the lookback."""
+    ids = _prepared(spark, sf_dir)[2]
+    return ids.select("receipt_id", F.col("id").alias("charge_id"), F.col("scan").alias("in_window"))
+
+
+def cand_by_customer(spark, sf_dir):
+    """Charges of any amount of the customers that a receipt's addresses find, where no identifier was found."""
+    r, book, _ = _prepared(spark, sf_dir)
+    return cascade.customer_pairs(r.filter("early IS NULL"), book).select("receipt_id", F.col("id").alias("charge_id"))
+
+
+def cand_by_amount(spark, sf_dir):
+    """Succeeded charges of the receipt's amount and currency in its search window; where none is there, in its day or lookback."""
+    r, book, _ = _prepared(spark, sf_dir, RECEIPT_ZONE)
+    live = r.filter("early IS NULL AND NOT any_id AND size(customer_ids) = 0")
+    f = cascade._facts(cascade.amount_pairs(live, book, AS_OF), live, AS_OF, cascade.LOOKBACK_DAYS, RECEIPT_ZONE)
+    searched = f.filter("in_search").select("receipt_id").distinct()
+    rest = f.filter("in_window").join(searched, "receipt_id", "left_anti")
+    return f.filter("in_search").select("receipt_id", "id", F.lit(True).alias("searched")).unionByName(rest.select("receipt_id", "id", F.lit(False).alias("searched"))).withColumnRenamed("id", "charge_id")
+
+
+def cand_by_window(spark, sf_dir):
+    """Eligible charges that a receipt without an amount can be held against: by payer, date, or what else must agree."""
+    r, book, _ = _prepared(spark, sf_dir)
+    live = r.filter("early IS NULL")
+    return cascade.window_pairs(live, book, AS_OF).select("receipt_id", F.col("id").alias("charge_id")).distinct()
 
 
 def candidate_merge(spark, sf_dir):
-    f = cascade.candidates(X.receipts(spark, sf_dir), X.charges(spark, sf_dir), X.customers(spark, sf_dir), AS_OF)
-    sources = F.filter(F.array(F.when(F.col("id_hit"), 3), F.when(F.col("customer_hit"), 2), F.when(F.col("in_search"), 1)), lambda x: x.isNotNull())
-    each = f.select("receipt_id", F.col("id").alias("charge_id"), F.explode(sources).alias("source"))
-    return each.groupBy("receipt_id", "charge_id").agg(F.max("source").cast("long").alias("source"))
+    """Candidates of all sources once each, with the strongest source: 3 identifier, 2 customer, 1 amount."""
+    r, book, ids = _prepared(spark, sf_dir)
+    live = r.filter("early IS NULL")
+    each = ids.select("receipt_id", "id", F.lit(3).alias("source"))
+    each = each.unionByName(cascade.customer_pairs(live, book).select("receipt_id", "id", F.lit(2).alias("source"))).unionByName(cascade.amount_pairs(live, book, AS_OF).select("receipt_id", "id", F.lit(1).alias("source")))
+    return each.groupBy("receipt_id", F.col("id").alias("charge_id")).agg(F.max("source").cast("long").alias("source"))
 
 
 def candidate_budget(spark, sf_dir):
-    f = cascade.candidates(X.receipts(spark, sf_dir), X.charges(spark, sf_dir), X.customers(spark, sf_dir), AS_OF)
-    n = f.groupBy("receipt_id").agg(F.count("*").alias("n_candidates"))
-    return n.withColumn("status", F.when(F.col("n_candidates") > 1000, "SEARCH_LIMITED").otherwise("WITHIN_BUDGET"))
+    """Charges that each receipt's search would read, counted on totals by day before any join; beyond the budget it is not searched."""
+    r = cascade.windows(cascade.evidence(X.receipts(spark, sf_dir)), AS_OF)
+    n = cascade.fan_out(r, cascade.ledger(X.charges(spark, sf_dir)), AS_OF)
+    return n.withColumn("status", F.when(F.col("n_candidates") > 100, "SEARCH_LIMITED").otherwise("WITHIN_BUDGET"))
 
 
-def candidates_newest_first(spark, sf_dir):
-    f = _tier_rows(spark, sf_dir)
-    ordered = F.array_sort(F.collect_list(F.struct((-F.col("created")).alias("o"), F.col("id"))))
-    return f.groupBy("receipt_id").agg(F.array_join(F.transform(ordered, lambda x: x["id"]), ",").alias("charges"))
+def _candidates(spark, sf_dir):
+    """The deciding tier's rows of every receipt that has some."""
+    return _judged(spark, sf_dir)[1].filter("hit")
 
 
-def _tier_rows(spark, sf_dir):
-    return _found(spark, sf_dir).filter("t_canonical")
+def candidates_newest_first(spark, sf_dir):
+    ordered = F.array_sort(F.collect_list(F.struct((-F.col("created")).alias("o"), F.col("id"))))
+    return _candidates(spark, sf_dir).groupBy("receipt_id").agg(F.array_join(F.transform(ordered, lambda x: x["id"]), ",").alias("charges"))
 
 
 def newest_candidate(spark, sf_dir):
-    f = _tier_rows(spark, sf_dir)
     w = W.partitionBy("receipt_id")
-    rn = f.withColumns({"rn": F.row_number().over(w.orderBy(F.desc("created"), "id")), "total": F.count("*").over(w)})
+    rn = _candidates(spark, sf_dir).withColumns({"rn": F.row_number().over(w.orderBy(F.desc("created"), "id")), "total": F.count("*").over(w)})
     return rn.filter("rn = 1 AND total > 1").select("receipt_id", F.col("id").alias("charge_id"), "total", (~F.col("date_ok")).alias("date_mismatch"))
 
 
 def _claims(spark, sf_dir):
-    """Charges claimed by receipts of the first half of the lookback."""
+    """Charges that this run's receipts are matched with."""
     v = _verdicts(spark, sf_dir).filter("verdict = 'VALID'").select("receipt_id", "charge_id")
     r = X.receipts(spark, sf_dir).select("receipt_id", "received_at", "group_id", "sha256")
     return v.join(r, "receipt_id")
 
 
 def first_claim_wins(spark, sf_dir):
+    """The first receipt of a charge holds it, unless an earlier run's does; a receipt that comes again resumes its own claim."""
+    held = X.claims(spark, sf_dir).select("charge_id").withColumn("held", F.lit(True))
     w = W.partitionBy("charge_id").orderBy("received_at", "receipt_id")
-    return _claims(spark, sf_dir).select("receipt_id", "charge_id", F.when(F.row_number().over(w) == 1, "VALID").otherwise("DUPLICATE").alias("verdict"))
+    owned = _claims(spark, sf_dir).withColumn("owner", F.first("receipt_id").over(w)).join(held, "charge_id", "left")
+    own = F.col("held").isNull() & (F.col("owner") == F.col("receipt_id"))
+    return owned.select("receipt_id", "charge_id", F.when(own, "VALID").otherwise("DUPLICATE").alias("verdict"), F.when(~own, "DUPLICATE_STRIPE_TRANSACTION").alias("reason_code"))
 
 
 def claimed_charges(spark, sf_dir):
@@ -155,8 +219,9 @@ def claimed_charges(spark, sf_dir):
 
 
 def union_claims(spark, sf_dir):
-    c = _claims(spark, sf_dir)
-    return c.select("charge_id", "received_at").union(c.filter("group_id = 'g0'").select("charge_id", "received_at")).groupBy("charge_id").agg(F.max("received_at").alias("first_seen_at"), F.count("*").alias("n_rows"))
+    """Charges of the ledger of claims and of receipts found valid, with the latest first sighting."""
+    c = _claims(spark, sf_dir).select("charge_id", F.col("received_at").alias("first_seen_at"))
+    return c.unionByName(X.claims(spark, sf_dir)).groupBy("charge_id").agg(F.max("first_seen_at").alias("first_seen_at"), F.count("*").alias("n_rows"))
 
 
 def confirmed_charges(spark, sf_dir):
@@ -164,174 +229,292 @@ def confirmed_charges(spark, sf_dir):
 
 
 def exclude_claimed(spark, sf_dir):
-    c = _claims(spark, sf_dir).select("charge_id").distinct().withColumn("claimed", F.lit(True))
-    f = _tier_rows(spark, sf_dir).select("receipt_id", F.col("id").alias("charge_id"))
-    return f.join(c, "charge_id", "left").select("receipt_id", "charge_id", F.coalesce("claimed", F.lit(False)).alias("claimed"))
+    return _candidates(spark, sf_dir).select("receipt_id", F.col("id").alias("charge_id"), "claimed")
 
 
 def fresh_minus_claimed(spark, sf_dir):
-    c = _claims(spark, sf_dir).select("charge_id").distinct()
-    return _tier_rows(spark, sf_dir).select("receipt_id", F.col("id").alias("charge_id")).join(c, "charge_id", "left_anti").select("receipt_id", "charge_id")
+    c = X.claims(spark, sf_dir).select("charge_id").distinct()
+    return _candidates(spark, sf_dir).select("receipt_id", F.col("id").alias("charge_id")).join(c, "charge_id", "left_anti").select("receipt_id", "charge_id")
 
 
 def prefer_fresh(spark, sf_dir):
-    """Of several candidates the only unclaimed one; of those left the only one of the receipt's name; otherwise all."""
-    w = W.partitionBy("receipt_id")
-    claims = _claims(spark, sf_dir).select(F.col("charge_id").alias("id")).distinct().withColumn("claimed", F.lit(True))
-    m = _tier_rows(spark, sf_dir).select("receipt_id", "id", "same_name").join(claims, "id", "left").withColumn("claimed", F.coalesce("claimed", F.lit(False)))
-    m = m.withColumns({"n": F.count("*").over(w), "fresh": F.sum((~F.col("claimed")).cast("int")).over(w)}).filter((F.col("n") == 1) | (F.col("fresh") != 1) | ~F.col("claimed"))
-    m = m.withColumn("named", F.sum(F.col("same_name").cast("int")).over(w)).filter((F.col("named") != 1) | F.col("same_name"))
-    return m.select("receipt_id", F.col("id").alias("charge_id"))
+    """Receipts for which the rule chose one of several: the unclaimed one, else the one of the receipt's name."""
+    rows = _judged(spark, sf_dir)[1]
+    return rows.filter("hit AND tier <> 'identifier' AND tier_n = 1").select("receipt_id", F.col("id").alias("charge_id"), "claimed", "same_name")
 
 
 def enrich_customer_email(spark, sf_dir):
+    """The payer's address of each matched charge; its customer's, where it has none and the receipt gave none."""
     v = _verdicts(spark, sf_dir).filter("verdict = 'VALID'").select("receipt_id", "charge_id")
+    given = cascade.evidence(X.receipts(spark, sf_dir)).select("receipt_id", (F.size("emails") > 0).alias("given"))
     c = X.charges(spark, sf_dir).select(F.col("id").alias("charge_id"), "customer", cascade.charge_email().alias("payer"))
     k = X.customers(spark, sf_dir).select(F.col("customer_id").alias("customer"), "email")
-    return v.join(c, "charge_id").join(k, "customer", "left").select("receipt_id", "charge_id", F.coalesce("payer", "email").alias("customer_email"))
+    return v.join(given, "receipt_id").join(c, "charge_id").join(k, "customer", "left").select("receipt_id", "charge_id", F.coalesce("payer", F.when(~F.col("given"), F.col("email"))).alias("customer_email"))
 
 
 def identity_union(spark, sf_dir):
-    r = X.receipts(spark, sf_dir).filter("email IS NOT NULL").select("receipt_id", F.lower("email").alias("mail"))
+    r = cascade.evidence(X.receipts(spark, sf_dir)).select("receipt_id", F.explode("emails").alias("mail"))
     c = X.charges(spark, sf_dir).select("id", "customer", cascade.charge_email().alias("payer"))
     by_mail = r.join(c, F.col("mail") == F.col("payer")).select("receipt_id", "id")
     known = X.customers(spark, sf_dir).select(F.lower("email").alias("mail"), F.col("customer_id").alias("customer"))
     return by_mail.union(r.join(known, "mail").join(c, "customer").select("receipt_id", "id")).distinct()
 
 
-def cand_by_window(spark, sf_dir):
-    r = cascade.windows(X.receipts(spark, sf_dir), AS_OF).filter("payment_date IS NOT NULL AND email IS NULL")
-    day = F.explode(F.sequence(F.floor(F.col("day_lo") / 86400), F.floor(F.col("day_hi") / 86400)))
-    c = X.charges(spark, sf_dir).select("id", "created", F.floor(F.col("created") / 86400).alias("day"))
-    return r.select("receipt_id", "day_lo", "day_hi", day.alias("day")).join(c, "day").filter("created BETWEEN day_lo AND day_hi").select("receipt_id", "id")
+#: Explanations by reason: (text, whether a retry or an operator is needed).
+REASONS = {
+    "EXACT_SINGLE_MATCH": ("One payment fits all that the receipt shows.", False),
+    "EMAIL_SINGLE_MATCH": ("One payment of this payer fits.", False),
+    "TRANSACTION_ID_MATCH": ("One payment has the receipt's identifier.", False),
+    "DATE_BOUNDARY_SINGLE_MATCH": ("One payment of the day before or after fits.", False),
+    "TIMEZONE_BOUNDARY_SINGLE_MATCH": ("One payment fits if the clocks differ by a time zone.", False),
+    "CAPTIONLESS_DATE_NAME_SINGLE_MATCH": ("One payment has the receipt's name, amount and date.", False),
+    "STRIPE_CANONICAL_RECOVERY_SINGLE_MATCH": ("One payment of this payer and amount lies near in time.", False),
+    "IDENTITY_RECOVERED_FROM_STRIPE": ("One payment fits, under another address.", False),
+    "MULTIPLE_EXACT_MATCHES": ("Several payments fit; a person must choose.", False),
+    "MULTIPLE_TRANSACTION_ID_MATCHES": ("Several payments have the receipt's identifier.", False),
+    "MULTIPLE_DATE_BOUNDARY_MATCHES": ("Several payments of the days around fit.", False),
+    "MULTIPLE_IDENTITY_RECOVERY_MATCHES": ("Several payments fit under other addresses.", False),
+    "MULTIPLE_DATE_NAME_MATCHES": ("Several payments have the receipt's name and date.", False),
+    "MULTIPLE_STRIPE_CANONICAL_MATCHES": ("Several payments of this payer lie near in time.", False),
+    "NO_EXACT_MATCH": ("No payment fits.", False),
+    "INSUFFICIENT_STRIPE_EVIDENCE": ("The receipt shows too little.", False),
+    "INVALID_EVIDENCE": ("A value of the receipt is malformed.", True),
+    "UNSUPPORTED_PAYMENT_METHOD_TYPE": ("The payment method is not accepted.", True),
+    "STRIPE_PAGINATION_LIMIT": ("Too many payments to search.", True),
+}
 
 
-def sink_results(spark, sf_dir):
-    return _verdicts(spark, sf_dir).select("receipt_id", F.to_json(F.struct("status", "verdict", "reason_code", "charge_id")).alias("result"))
+def explain_verdict(spark, sf_dir):
+    """Verdicts with the text of their reason and whether it is an operational error, from the catalogue of reasons."""
+    rows = [(k, *v) for k, v in REASONS.items()]
+    book = spark.createDataFrame(rows, "reason_code string, explanation string, operational boolean")
+    return _verdicts(spark, sf_dir).select("receipt_id", "reason_code").join(F.broadcast(book), "reason_code", "left")
 
 
-def sink_quarantine(spark, sf_dir):
-    return _verdicts(spark, sf_dir).filter("verdict <> 'VALID'").select("receipt_id", "reason_code")
+def _prefer(n: int, name: str, runs: str, match: str) -> str:
+    """One tier over the rows of ``s<n-1>``."""
+    chosen = "CASE WHEN mn > 1 AND mf = 1 THEN NOT claimed WHEN mn > 1 AND ms = 1 THEN same_name ELSE true END"
+    left = "CASE WHEN mn > 1 AND (mf = 1 OR ms = 1) THEN 1 ELSE mn END"
+    return f"""
+s{n}a AS (SELECT *, coalesce(tier IS NULL AND ({runs}) AND ({match}), false) AS m FROM s{n - 1}),
+s{n}b AS (SELECT *, count(*) FILTER (m) OVER w AS mn, count(*) FILTER (m AND NOT claimed) OVER w AS mf, count(*) FILTER (m AND same_name) OVER w AS ms FROM s{n}a WINDOW w AS (PARTITION BY receipt_id)),
+s{n} AS (SELECT * EXCLUDE (m, mn, mf, ms) REPLACE (CASE WHEN tier IS NULL AND mn > 0 THEN {left} ELSE tier_n END AS tier_n, CASE WHEN tier IS NULL AND mn > 0 THEN '{name}' ELSE tier END AS tier), m AND {chosen} AS t_{name} FROM s{n}b)"""
 
 
-def audit_rollup(spark, sf_dir):
-    return _verdicts(spark, sf_dir).rollup("verdict", "reason_code").agg(F.count("*").alias("n"))
+def _step(n: int, columns: str, replaced: str = "") -> str:
+    return f"\ns{n} AS (SELECT * {f'REPLACE ({replaced})' if replaced else ''}{', ' + columns if columns else ''} FROM s{n - 1})"
 
 
-def explain_verdict(spark, sf_dir):
-    v = _verdicts(spark, sf_dir)
-    text = F.when(F.col("reason_code").startswith("MULTIPLE"), "Several payments fit; a person must choose.").when(F.col("reason_code") == "NO_EXACT_MATCH", "No payment fits.").when(F.col("reason_code") == "INSUFFICIENT_STRIPE_EVIDENCE", "The receipt shows too little.").otherwise("One payment fits.")
-    return v.select("receipt_id", "reason_code", text.alias("explanation"))
-
-
-_FOUND = S.with_(
-    S.CHARGES,
-    S.CUSTOMERS,
-    S.RECEIPTS.strip(),
-    f"""w AS (
-  SELECT *, CASE WHEN relative_today THEN greatest(0, received_at - 93900) WHEN payment_date IS NOT NULL THEN greatest(0, epoch(payment_date)::BIGINT - 93900) ELSE {AS_OF} - 7776000 END AS search_lo,
-    CASE WHEN relative_today THEN received_at + 7200 WHEN payment_date IS NOT NULL THEN epoch(payment_date + 1)::BIGINT - 1 + 93900 END AS search_hi,
-    (amount IS NOT NULL)::INT + (customer_name IS NOT NULL)::INT + (payment_date IS NOT NULL)::INT + (minutes IS NOT NULL)::INT AS counted
-  FROM receipts),
-known AS (SELECT lower(email) AS mail, list(customer_id) AS ids FROM customers GROUP BY 1),
-elig AS (
-  SELECT *, coalesce(nullif(trim(lower(receipt_email)), ''), nullif(trim(lower(billing_email)), '')) AS payer
-  FROM charges WHERE paid AND NOT refunded AND status = 'succeeded' AND method = 'cashapp'),
-facts AS (
-  SELECT w.*, c.id, c.created, coalesce(c.payer = lower(w.email), false) OR coalesce(list_contains(k.ids, c.customer), false) AS identity,
-    coalesce(lower(c.billing_name) = lower(w.customer_name), false) AS same_name,
-    coalesce(lower(w.transaction_id) IN (lower(c.id), lower(c.provider_id)), false) AS id_hit,
-    w.minutes IS NULL OR (c.created // 60) % 60 = w.minutes AS minute_ok,
-    w.payment_date IS NULL OR c.created // 86400 = epoch(w.payment_date)::BIGINT // 86400 AS date_ok,
-    c.created // 86400 - epoch(w.payment_date)::BIGINT // 86400 AS day_gap,
-    c.created >= search_lo AND (search_hi IS NULL OR c.created <= search_hi) AS in_search,
-    coalesce(list_contains(k.ids, c.customer), false) AS customer_hit,
-    abs(c.created - (epoch(w.payment_date)::BIGINT + w.payment_hour * 3600 + w.minutes * 60)) AS clock_gap,
-    k.ids IS NOT NULL AS has_customer, w.email IS NOT NULL AS has_email
-  FROM w LEFT JOIN known k ON lower(w.email) = k.mail JOIN elig c ON w.amount = c.amount AND c.created BETWEEN {AS_OF} - 7776000 AND {AS_OF}),
-f0 AS (SELECT *, max(id_hit AND in_search) OVER (PARTITION BY receipt_id) AS any_id FROM facts),
-f1 AS (
-  SELECT *, CASE WHEN any_id THEN id_hit AND in_search WHEN has_customer THEN customer_hit AND in_search ELSE in_search END AS visible,
-    NOT has_email OR identity AS who, payment_date IS NOT NULL AS dated, minutes IS NOT NULL AS timed FROM f0),
-f2 AS (
-  SELECT *, who AND minute_ok AND date_ok AS strict0,
-    dated AND payment_hour IS NOT NULL AND timed AND (has_email OR customer_name IS NOT NULL OR transaction_id IS NOT NULL) AND who AND coalesce(clock_gap <= 93900, false) AND minute_ok
-      AND (has_email OR transaction_id IS NOT NULL OR same_name) AS boundary0,
-    visible OR (NOT any_id AND (dated OR timed OR transaction_id IS NOT NULL)) AS later,
-    CASE WHEN has_email OR transaction_id IS NOT NULL OR customer_name IS NOT NULL THEN identity OR id_hit OR same_name ELSE timed END AS agrees,
-    CASE WHEN clock_gap IS NOT NULL THEN clock_gap <= 93900 WHEN dated THEN abs(day_gap) <= 1 WHEN relative_today THEN abs(created - received_at) <= 93900 ELSE false END AS near0 FROM f1),
-f3 AS (SELECT *, later AND NOT any_id AND (dated OR timed OR transaction_id IS NOT NULL) AS wide FROM f2),
-flags AS (
-  SELECT *, visible AND strict0 AND (counted >= 2 OR has_email OR transaction_id IS NOT NULL) AS t_strict, visible AND boundary0 AS t_zone_boundary,
-    NOT has_customer AND NOT any_id AND dated AND in_search AND who AND minute_ok AND (has_email OR date_ok) AS t_day_requery,
-    visible AND has_email AND NOT dated AND who AND minute_ok AS t_identity_minute, visible AND has_email AND NOT dated AND who AS t_identity_only,
-    customer_hit AND NOT dated AND who AND minute_ok AS t_customer_minute,
-    wide AND strict0 AS t_broad, wide AND boundary0 AS t_broad_boundary, wide AND has_email AND NOT dated AND who AS t_broad_identity,
-    id_hit AS t_identifier,
-    later AND dated AND (has_email OR transaction_id IS NOT NULL OR customer_name IS NOT NULL OR timed) AND agrees AND abs(day_gap) = 1 AND minute_ok AS t_date_boundary,
-    later AND has_email AND counted >= 2 AND minute_ok AND date_ok AS t_identity_recovery,
-    later AND customer_name IS NOT NULL AND dated AND same_name AND date_ok AND who AS t_date_name,
-    later AND (id_hit OR identity OR same_name) AND near0 AS t_canonical FROM f3)""",
-).rstrip()
-
-_ORDER = ["identifier", *[t for t in cascade.TIERS if t != "identifier"]]
-_CASE = lambda value: "CASE " + " ".join(f"WHEN n_{t} > 0 THEN {value(t)}" for t in _ORDER) + " END"
-_VERDICTS = (
-    _FOUND
-    + ",\nfolded AS (SELECT receipt_id, "
-    + ", ".join(f"count(*) FILTER (t_{t}) AS n_{t}, min(id) FILTER (t_{t}) AS c_{t}" for t in cascade.TIERS)
-    + " FROM flags GROUP BY 1),\nd AS (SELECT w.*, f.* EXCLUDE (receipt_id), counted < 2 AND email IS NULL AND transaction_id IS NULL AS poor FROM w LEFT JOIN folded f USING (receipt_id)),\n"
-    + f"d2 AS (SELECT *, CASE WHEN NOT poor THEN {_CASE(lambda t: f'n_{t}')} END AS n, {_CASE(lambda t: f'c_{t}')} AS c, {_CASE(lambda t: repr(cascade.ONE[t]))} AS one, {_CASE(lambda t: repr(cascade.SEVERAL.get(t, 'MULTIPLE_EXACT_MATCHES')))} AS several FROM d),\n"
-    + """verdicts AS (
-  SELECT receipt_id, group_id, sha256, received_at, CASE WHEN n = 1 THEN 'MATCHED' WHEN n > 1 THEN 'AMBIGUOUS' ELSE 'NO_MATCH' END AS status, CASE WHEN n = 1 THEN 'VALID' ELSE 'UNCLEAR' END AS verdict,
-    CASE WHEN poor THEN 'INSUFFICIENT_STRIPE_EVIDENCE' WHEN n = 1 THEN one WHEN n > 1 THEN several ELSE 'NO_EXACT_MATCH' END AS reason_code,
-    CASE WHEN n = 1 THEN c END AS charge_id, coalesce(n, 0)::BIGINT AS candidate_count FROM d2),
-claims AS (SELECT * FROM verdicts WHERE verdict = 'VALID')"""
-)
+_OWN = "OVER (PARTITION BY receipt_id)"
+_ADDRESS = "'[a-zA-Z0-9.!#$%&''*+/=?^_`{|}~-]+@[a-zA-Z0-9](?:[a-zA-Z0-9-]{0,61}[a-zA-Z0-9])?(?:\\.[a-zA-Z0-9](?:[a-zA-Z0-9-]{0,61}[a-zA-Z0-9])?)+'"
 _EMAIL = "coalesce(nullif(trim(lower(receipt_email)), ''), nullif(trim(lower(billing_email)), ''))"
+_IDENTIFIER = "coalesce(nullif(trim(provider_id), ''), nullif(trim(payment_id), ''), nullif(trim(reference), ''))"
+_IDS = "list_distinct(list_filter(list_transform([id, payment_intent, balance_transaction, receipt_number, source, provider_id, payment_id, reference, meta_id], lambda x: lower(trim(x))), lambda x: x IS NOT NULL AND x <> ''))"
+
+
+def _base(zone: str | None) -> str:
+    """Receipts in normal form with windows (``w``) and the ledger (``book``) as SQL."""
+    own = zone or "UTC"
+    edge = lambda d: f"epoch(({d})::TIMESTAMP AT TIME ZONE '{own}')::BIGINT"
+    shown = "clock IS NOT NULL" if zone else "false"
+    day_lo = f"CASE WHEN today THEN near_lo WHEN payment_date IS NOT NULL THEN {edge('payment_date')} ELSE 0 END" if zone else "search_lo"
+    day_hi = f"CASE WHEN today THEN near_hi WHEN payment_date IS NOT NULL THEN {edge('payment_date + 1')} - 1 ELSE 0 END" if zone else "search_hi"
+    hour = " + (payment_hour IS NOT NULL)::INT" if zone else ""
+    return S.with_(
+        S.CHARGES,
+        S.CUSTOMERS,
+        S.RECEIPTS.strip(),
+        S.CLAIMED,
+        f"""book AS (
+  SELECT *, {_EMAIL} AS payer, lower(billing_name) AS payer_name, {_IDS} AS ids, lower(currency) AS cur_c, description AS c_desc, id IN (SELECT charge_id FROM held) AS claimed,
+    to_timestamp(created) AT TIME ZONE '{own}' AS lt, coalesce(paid AND NOT refunded AND status = 'succeeded' AND method = 'cashapp', false) AS eligible FROM charges),
+n1 AS (
+  SELECT * REPLACE (CASE WHEN regexp_full_match(lower(trim(email)), {_ADDRESS}) THEN lower(trim(email)) END AS email, lower(trim(regexp_replace(description, '\\s+', ' ', 'g'))) AS description,
+    lower(customer_name) AS customer_name, lower(currency) AS currency), email IS NOT NULL AND NOT regexp_full_match(lower(trim(email)), {_ADDRESS}) AS bad,
+    payment_date IS NOT NULL OR (payment_month IS NOT NULL AND payment_day IS NOT NULL) AS has_date,
+    (to_timestamp(received_at) AT TIME ZONE 'UTC')::DATE AS got FROM receipts),
+n2 AS (
+  SELECT * REPLACE (coalesce(payment_date, CASE WHEN try_cast(printf('%04d-%02d-%02d', year(got), payment_month, payment_day) AS DATE) <= got + 1
+      THEN try_cast(printf('%04d-%02d-%02d', year(got), payment_month, payment_day) AS DATE) ELSE try_cast(printf('%04d-%02d-%02d', year(got) - 1, payment_month, payment_day) AS DATE) END) AS payment_date),
+    list_distinct(list_filter(list_concat([email], coalesce(email_candidates, [])), lambda x: x IS NOT NULL)) AS emails FROM n1),
+n3 AS (
+  SELECT *, (amount IS NOT NULL)::INT + (description IS NOT NULL)::INT + (customer_name IS NOT NULL)::INT + (minutes IS NOT NULL)::INT
+    + (payment_date IS NOT NULL OR (payment_month IS NOT NULL AND payment_day IS NOT NULL))::INT{hour} AS counted, relative_today AS today,
+    greatest(0, received_at - 93900) AS near_lo, received_at + 7200 AS near_hi, payment_date IS NOT NULL OR relative_today AS bounded,
+    epoch((payment_date + to_hours(payment_hour) + to_minutes(minutes)) AT TIME ZONE '{own}')::BIGINT AS clock FROM n2),
+n4 AS (
+  SELECT *, CASE WHEN today THEN near_lo WHEN {shown} THEN clock - 60 WHEN payment_date IS NOT NULL THEN greatest(0, {edge('payment_date')} - 93900) ELSE {AS_OF} - 7776000 END AS search_lo,
+    CASE WHEN today THEN near_hi WHEN {shown} THEN clock + 120 WHEN payment_date IS NOT NULL THEN {edge('payment_date + 1')} - 1 + 93900 END AS search_hi,
+    CASE WHEN bad THEN 'INVALID_EVIDENCE' WHEN method <> 'cashapp' THEN 'UNSUPPORTED_PAYMENT_METHOD_TYPE' WHEN len(emails) = 0 AND counted < 2 AND transaction_id IS NULL THEN 'INSUFFICIENT_STRIPE_EVIDENCE' END AS early FROM n3),
+w AS (SELECT *, {day_lo} AS day_lo, {day_hi} AS day_hi FROM n4)""",
+    ).rstrip()
+
+
+_DAYS = f""",
+t AS (SELECT amount, cur_c, created // 86400 AS day, count(*) AS n FROM book WHERE status = 'succeeded' GROUP BY ALL),
+span AS (SELECT receipt_id, amount, currency, bounded, least(search_lo, day_lo) // 86400 AS lo, greatest(search_hi, day_hi) // 86400 AS hi FROM w),
+counted AS (SELECT span.receipt_id, sum(t.n) AS n FROM span JOIN t ON (span.amount IS NULL OR (span.amount = t.amount AND span.currency = t.cur_c))
+  AND CASE WHEN bounded THEN t.day BETWEEN lo AND hi ELSE t.day BETWEEN ({AS_OF} - 7776000) // 86400 AND {AS_OF} // 86400 END GROUP BY 1)"""
+
+
+def _cascade(zone: str | None = None) -> str:
+    """The whole cascade over all pairs that could matter, tier by tier."""
+    hour_ok = "(payment_hour IS NULL OR payment_hour = hour(lt))" if zone else "true"
+    runs_across = "clock IS NOT NULL AND amount IS NOT NULL AND (NOT named_only OR customer_name IS NOT NULL)"
+    across = "cur AND base AND who AND minute_ok AND clock_gap <= 93900 AND (NOT named_only OR same_name)"
+    undated, base_who = "len(emails) > 0 AND NOT has_date", "base AND who"
+    f = _DAYS + f""",
+known AS (SELECT receipt_id, list(DISTINCT customer_id) AS ids_k FROM (SELECT receipt_id, unnest(emails) AS mail FROM w) JOIN customers ON lower(email) = mail GROUP BY 1),
+hits AS (SELECT DISTINCT receipt_id FROM w JOIN book c ON list_contains(c.ids, lower(w.transaction_id)) AND CASE WHEN bounded THEN c.created BETWEEN day_lo AND day_hi ELSE c.created BETWEEN {AS_OF} - 7776000 AND {AS_OF} END),
+wl AS (
+  SELECT w.* REPLACE (coalesce(early, CASE WHEN coalesce(n, 0) > {cascade.BUDGET} AND receipt_id NOT IN (SELECT receipt_id FROM known) AND receipt_id NOT IN (SELECT receipt_id FROM hits) THEN 'STRIPE_PAGINATION_LIMIT' END) AS early)
+  FROM w LEFT JOIN counted USING (receipt_id)),
+p0 AS (
+  SELECT w.*, c.id, c.created, c.customer, c.payer, c.payer_name, c.claimed, c.lt, c.eligible, c.c_desc, c.amount AS c_amount, c.cur_c, c.status AS c_status, k.ids_k,
+    coalesce(list_contains(c.ids, lower(w.transaction_id)), false) AS id_hit
+  FROM wl w LEFT JOIN known k USING (receipt_id) JOIN book c ON w.amount IS NULL OR (w.amount = c.amount AND w.currency = c.cur_c) OR list_contains(c.ids, lower(w.transaction_id)) WHERE early IS NULL),
+p1 AS (
+  SELECT *, coalesce(payer_name = customer_name, false) AS same_name, coalesce(amount = c_amount AND currency = cur_c AND c_status = 'succeeded', false) AS by_amount,
+    eligible AND currency = cur_c AND (amount IS NULL OR amount = c_amount) AND (description IS NULL OR coalesce(description = c_desc, false)) AS base,
+    minutes IS NULL OR minute(lt) = minutes AS minute_ok, (payment_date IS NULL OR lt::DATE = payment_date) AND (payment_month IS NULL OR month(lt) = payment_month) AND (payment_day IS NULL OR day(lt) = payment_day) AS date_ok,
+    {hour_ok} AS hour_ok, abs(lt::DATE - payment_date) AS day_gap, abs(created - clock) AS clock_gap, created >= search_lo AND (search_hi IS NULL OR created <= search_hi) AS in_search,
+    bounded AND created BETWEEN day_lo AND day_hi AS in_day, coalesce(lt::DATE = payment_date, false) AS in_date, created BETWEEN {AS_OF} - 7776000 AND {AS_OF} AS in_back,
+    len(emails) = 0 AND transaction_id IS NULL AND description IS NULL AS named_only FROM p0),
+p2 AS (SELECT *, CASE WHEN bounded THEN in_day ELSE in_back END AS in_window FROM p1),
+p3 AS (SELECT *, max(id_hit AND in_window) {_OWN} AS any_id FROM p2),
+p4 AS (SELECT *, NOT any_id AND ids_k IS NOT NULL AS has_customer, NOT any_id AND coalesce(list_contains(ids_k, customer), false) AS customer_hit FROM p3),
+p5 AS (
+  SELECT *, coalesce(list_contains(emails, payer), false) OR customer_hit AS identity, minute_ok AND date_ok AND hour_ok AS time_ok,
+    max(by_amount AND in_search) {_OWN} AS searched, max(by_amount AND in_day) {_OWN} AS requeried FROM p4),
+s0 AS (
+  SELECT *, email IS NULL OR identity AS who, CASE WHEN any_id THEN id_hit AND in_window WHEN has_customer THEN customer_hit AND (NOT bounded OR in_day)
+    WHEN amount IS NOT NULL THEN CASE WHEN searched THEN by_amount AND in_search ELSE by_amount AND in_window END WHEN len(emails) > 0 THEN in_window WHEN payment_date IS NOT NULL THEN in_date ELSE in_back END AS cur,
+    NULL::VARCHAR AS tier, NULL::BIGINT AS tier_n FROM p5)"""
+    told = "id_hit AND base"
+    by_who = "(len(emails) > 0 OR transaction_id IS NOT NULL OR customer_name IS NOT NULL)"
+    near = f"""CASE WHEN clock IS NOT NULL THEN clock_gap <= 93900 WHEN payment_date IS NOT NULL THEN day_gap <= 1 WHEN payment_month IS NOT NULL AND payment_day IS NOT NULL THEN date_ok
+      WHEN today THEN abs(created - received_at) <= 93900 ELSE false END"""
+    steps = [
+        lambda n: _prefer(n, "strict", "true", f"cur AND {base_who} AND time_ok"),
+        lambda n: _prefer(n, "zone_boundary", runs_across, across),
+        lambda n: _step(n, "tier IS NULL AND NOT has_customer AND NOT any_id AND amount IS NOT NULL AND payment_date IS NOT NULL AND search_hi IS NOT NULL AND requeried AS again"),
+        lambda n: _step(n, "", "CASE WHEN again THEN by_amount AND in_day ELSE cur END AS cur"),
+        lambda n: _step(n, f"max(again AND cur AND {base_who} AND CASE WHEN email IS NOT NULL THEN minute_ok ELSE time_ok END) {_OWN} AS exact"),
+        lambda n: _prefer(n, "day_requery", "again", f"cur AND {base_who} AND minute_ok AND (email IS NOT NULL OR (date_ok AND (hour_ok OR NOT exact)))"),
+        lambda n: _prefer(n, "day_boundary", f"again AND {runs_across}", across),
+        lambda n: _prefer(n, "identity_minute", undated, f"cur AND {base_who} AND minute_ok"),
+        lambda n: _prefer(n, "identity_only", undated, f"cur AND {base_who}"),
+        lambda n: _step(n, "tier IS NULL AND has_customer AND NOT has_date AS relist"),
+        lambda n: _step(n, "", "CASE WHEN relist THEN in_back ELSE cur END AS cur"),
+        lambda n: _prefer(n, "customer_minute", "relist", f"cur AND {base_who} AND minute_ok"),
+        lambda n: _prefer(n, "customer_only", f"relist AND {undated}", f"cur AND {base_who}"),
+        lambda n: _step(n, "tier IS NULL AND NOT any_id AND amount IS NOT NULL AND (payment_date IS NOT NULL OR minutes IS NOT NULL OR transaction_id IS NOT NULL) AS broad"),
+        lambda n: _step(n, f"max(broad AND by_amount AND in_back) {_OWN} AS found"),
+        lambda n: _step(n, "", "cur OR (found AND by_amount AND in_back) AS cur"),
+        lambda n: _prefer(n, "broad", "broad AND found", f"cur AND {base_who} AND time_ok"),
+        lambda n: _prefer(n, "broad_boundary", f"broad AND found AND {runs_across}", across),
+        lambda n: _prefer(n, "broad_minute", f"broad AND {undated}", f"cur AND {base_who} AND minute_ok"),
+        lambda n: _prefer(n, "broad_identity", f"broad AND {undated}", f"cur AND {base_who}"),
+        lambda n: _step(n, f"max(cur AND {told} AND time_ok) {_OWN} AS id_now"),
+        lambda n: _step(n, "", "CASE WHEN NOT id_now AND transaction_id IS NOT NULL AND has_customer THEN CASE WHEN payment_date IS NOT NULL THEN in_date ELSE in_back END ELSE cur END AS cur"),
+        lambda n: _step(n, f"max(cur AND {told} AND time_ok) {_OWN} AS id_listed"),
+        lambda n: _step(n, "", "cur OR (NOT id_listed AND id_hit AND in_back) AS cur"),
+        lambda n: _step(n, f"cur AND {told} AND (NOT id_listed OR time_ok) AS t_identifier"),
+        lambda n: _step(n, f"count(*) FILTER (t_identifier) {_OWN} AS id_n"),
+        lambda n: _step(n, "", "CASE WHEN id_n > 0 THEN 'identifier' ELSE tier END AS tier, CASE WHEN id_n > 0 THEN id_n ELSE tier_n END AS tier_n"),
+        lambda n: _prefer(n, "date_boundary", "payment_date IS NOT NULL AND amount IS NOT NULL", f"cur AND base AND day_gap = 1 AND minute_ok AND hour_ok AND CASE WHEN {by_who} THEN identity OR id_hit OR same_name ELSE minutes IS NOT NULL END"),
+        lambda n: _prefer(n, "identity_recovery", "len(emails) > 0 AND counted >= 2", "cur AND base AND time_ok"),
+        lambda n: _prefer(n, "date_name", "customer_name IS NOT NULL AND amount IS NOT NULL AND has_date", f"cur AND {base_who} AND date_ok AND same_name"),
+        lambda n: _prefer(n, "canonical", "amount IS NOT NULL", f"cur AND eligible AND by_amount AND (id_hit OR identity OR same_name) AND {near}"),
+    ]
+    made = [step(i + 1) for i, step in enumerate(steps)]
+    hit = " OR ".join(f"(tier = '{t}' AND t_{t})" for t in ("identifier", *cascade.TIERS))
+    return _base(zone) + f + "," + ",".join(made) + f",\nflags AS (SELECT *, coalesce({hit}, false) AS hit FROM s{len(steps)})"
+
+
+def _verdict_sql(zone: str | None = None) -> str:
+    plural = " ".join(f"WHEN tier = '{t}' THEN '{r}'" for t, r in cascade.SEVERAL.items())
+    across = ", ".join(f"'{t}'" for t in cascade.BOUNDARY)
+    return _cascade(zone) + f""",
+folded AS (SELECT receipt_id, max(tier) AS tier, max(tier_n) AS n, min(id) FILTER (hit) AS c, arg_min(payer, id) FILTER (hit) AS p FROM flags GROUP BY 1),
+verdicts AS (
+  SELECT receipt_id, group_id, sha256, received_at, CASE WHEN early IN ('INVALID_EVIDENCE', 'UNSUPPORTED_PAYMENT_METHOD_TYPE') THEN 'ERROR' WHEN early = 'STRIPE_PAGINATION_LIMIT' THEN 'SEARCH_LIMITED' WHEN n = 1 THEN 'MATCHED' WHEN n > 1 THEN 'AMBIGUOUS' ELSE 'NO_MATCH' END AS status,
+    CASE WHEN early IN ('INVALID_EVIDENCE', 'UNSUPPORTED_PAYMENT_METHOD_TYPE') THEN 'ERROR' WHEN n = 1 THEN 'VALID' ELSE 'UNCLEAR' END AS verdict,
+    CASE WHEN early IS NOT NULL THEN early
+      WHEN n = 1 THEN CASE WHEN tier = 'identifier' THEN 'TRANSACTION_ID_MATCH' WHEN tier = 'date_boundary' THEN 'DATE_BOUNDARY_SINGLE_MATCH' WHEN tier IN ({across}) THEN 'TIMEZONE_BOUNDARY_SINGLE_MATCH'
+        WHEN tier = 'date_name' AND len(emails) = 0 AND transaction_id IS NULL THEN 'CAPTIONLESS_DATE_NAME_SINGLE_MATCH' WHEN tier = 'canonical' THEN 'STRIPE_CANONICAL_RECOVERY_SINGLE_MATCH'
+        WHEN tier IN ('identity_recovery', 'date_name') OR coalesce(p <> email, false) THEN 'IDENTITY_RECOVERED_FROM_STRIPE' WHEN counted > 0 THEN 'EXACT_SINGLE_MATCH' ELSE 'EMAIL_SINGLE_MATCH' END
+      WHEN n > 1 THEN CASE {plural} ELSE 'MULTIPLE_EXACT_MATCHES' END ELSE 'NO_EXACT_MATCH' END AS reason_code,
+    CASE WHEN n = 1 THEN c END AS charge_id, coalesce(n, 0)::BIGINT AS candidate_count, tier FROM wl w LEFT JOIN folded USING (receipt_id)),
+claims AS (SELECT * FROM verdicts WHERE verdict = 'VALID')"""
+
+
+_FOUND, _VERDICTS, _W, _WZ = _cascade(), _verdict_sql(), _base(None), _base(RECEIPT_ZONE)
 _LEDGER = S.with_(S.CHARGES).rstrip()
 _RECEIPTS = S.with_(S.EVENTS, S.RECEIPTS.strip()).rstrip()
-_NY = "(to_timestamp(created) AT TIME ZONE 'America/New_York')"
+_NY = f"(to_timestamp(created) AT TIME ZONE '{RECEIPT_ZONE}')"
+_SOURCES = """,
+known AS (SELECT receipt_id, list(DISTINCT customer_id) AS ids_k FROM (SELECT receipt_id, unnest(emails) AS mail FROM w) JOIN customers ON lower(email) = mail GROUP BY 1),
+by_id AS (
+  SELECT * FROM (SELECT w.receipt_id, c.id, CASE WHEN bounded THEN c.created BETWEEN day_lo AND day_hi ELSE c.created BETWEEN {0} - 7776000 AND {0} END AS scan, c.created BETWEEN {0} - 7776000 AND {0} AS back
+    FROM w JOIN book c ON list_contains(c.ids, lower(w.transaction_id)) WHERE early IS NULL) WHERE scan OR back),
+live AS (SELECT w.*, ids_k FROM w LEFT JOIN known USING (receipt_id) WHERE early IS NULL),
+unhit AS (SELECT * FROM live WHERE receipt_id NOT IN (SELECT receipt_id FROM by_id WHERE scan)),
+by_customer AS (SELECT receipt_id, c.id FROM unhit r JOIN book c ON list_contains(r.ids_k, c.customer) WHERE payment_date IS NULL OR c.created BETWEEN day_lo AND day_hi),
+by_amount AS (
+  SELECT r.receipt_id, c.id, c.created >= search_lo AND (search_hi IS NULL OR c.created <= search_hi) AS in_search,
+    CASE WHEN bounded THEN c.created BETWEEN day_lo AND day_hi ELSE c.created BETWEEN {0} - 7776000 AND {0} END AS in_window, r.ids_k, c.lt, c.created
+  FROM live r JOIN book c ON r.amount = c.amount AND r.currency = c.cur_c AND c.status = 'succeeded'
+  WHERE CASE WHEN bounded THEN c.created BETWEEN least(search_lo, day_lo) AND greatest(search_hi, day_hi) ELSE c.created BETWEEN {0} - 7776000 AND {0} END)""".format(AS_OF)
+_LIST = f""",
+able AS (SELECT * FROM book WHERE eligible),
+bare AS (SELECT w.*, ids_k FROM w LEFT JOIN known USING (receipt_id) WHERE early IS NULL AND amount IS NULL)
+SELECT DISTINCT receipt_id, charge_id FROM (
+  SELECT receipt_id, c.id AS charge_id FROM bare JOIN able c ON list_contains(emails, c.payer) WHERE (bounded AND c.created BETWEEN day_lo AND day_hi) OR c.created BETWEEN {AS_OF} - 7776000 AND {AS_OF}
+  UNION ALL SELECT receipt_id, c.id FROM bare JOIN able c ON c.lt::DATE = payment_date
+  UNION ALL SELECT receipt_id, c.id FROM bare JOIN able c ON payment_date IS NULL AND email IS NULL AND CASE WHEN bare.description IS NOT NULL THEN bare.description = c.c_desc WHEN minutes IS NOT NULL THEN minute(c.lt) = minutes ELSE true END WHERE c.created BETWEEN {AS_OF} - 7776000 AND {AS_OF})"""
+_ZCOLS = ", ".join(f"z.{c} AS zone_{c}" for c in ("search_lo", "search_hi", "day_lo", "day_hi"))
 
 _PLAIN = {
+    verdict_cascade: _VERDICTS + " SELECT receipt_id, status, verdict, reason_code, charge_id, candidate_count, tier FROM verdicts",
+    verdict_cascade_zoned: _verdict_sql(RECEIPT_ZONE) + " SELECT receipt_id, status, verdict, reason_code, charge_id, candidate_count, tier FROM verdicts",
     verdict_counts: _VERDICTS + " SELECT verdict, reason_code, count(*) AS n FROM verdicts GROUP BY ALL",
     src_charge_window: _LEDGER + f" SELECT id, amount, created FROM charges WHERE created BETWEEN {AS_OF - 20 * 86400} AND {AS_OF - 15 * 86400}",
     src_charge_lookback: _LEDGER + f" SELECT id, amount, created FROM charges WHERE created >= {AS_OF - AS_OF % 10 - 864000}",
-    src_charge_by_customer: _FOUND + f" SELECT DISTINCT receipt_id, c.id FROM w JOIN customers k USING (email) JOIN charges c ON c.customer = k.customer_id AND c.created BETWEEN search_lo AND coalesce(search_hi, {AS_OF})",
-    src_charge_search: _FOUND + " SELECT receipt_id, c.id FROM w JOIN charges c USING (amount) WHERE c.status = 'succeeded' AND c.created >= search_lo AND (search_hi IS NULL OR c.created <= search_hi)",
-    src_customers_by_email: _FOUND + " SELECT receipt_id, string_agg(DISTINCT customer_id, ',' ORDER BY customer_id) AS customer_ids FROM receipts r JOIN customers k ON lower(k.email) IN (lower(r.email), regexp_replace(lower(r.email), '^x', '')) GROUP BY 1",
-    charge_eligible: _LEDGER + " SELECT id, amount, currency FROM charges WHERE paid AND NOT refunded AND status = 'succeeded' AND method = 'cashapp'",
-    charge_time_match: _FOUND + " SELECT receipt_id, id AS charge_id FROM facts WHERE minute_ok AND date_ok",
-    evidence_sufficiency: _FOUND + " SELECT receipt_id, counted::BIGINT AS n_constraints, CASE WHEN counted < 2 AND email IS NULL AND transaction_id IS NULL THEN 'INSUFFICIENT_STRIPE_EVIDENCE' END AS reason_code FROM w",
-    receipt_window: _FOUND + " SELECT receipt_id, search_lo, search_hi, search_lo AS day_lo, search_hi AS day_hi FROM w",
-    charge_identity_columns: _LEDGER + f" SELECT id, {_EMAIL} AS payer, lower(trim(billing_name)) AS payer_name, provider_id AS payment_identifier FROM charges",
-    charge_id_set: _LEDGER + " SELECT id, array_to_string(list_sort([lower(id), lower(provider_id)]), ',') AS ids FROM charges",
-    project_canonical_txn: _LEDGER + f" SELECT id AS charge_id, amount AS amount_cents, currency, {_EMAIL} AS customer_email, billing_name AS customer_name, provider_id AS payment_identifier, strftime({_NY}, '%Y-%m-%d') AS payment_date, strftime({_NY}, '%H:%M') AS payment_time, 'Completed' AS status FROM charges WHERE paid AND NOT refunded AND status = 'succeeded' AND method = 'cashapp'",
+    src_charge_by_customer: _W + " SELECT DISTINCT receipt_id, c.id FROM (SELECT *, unnest(emails) AS mail FROM w) r JOIN customers k ON lower(k.email) = mail JOIN charges c ON c.customer = k.customer_id WHERE payment_date IS NULL OR c.created BETWEEN day_lo AND day_hi",
+    src_charge_search: _W + " SELECT receipt_id, c.id FROM w JOIN charges c ON w.amount = c.amount AND w.currency = lower(c.currency) WHERE c.status = 'succeeded' AND c.created >= search_lo AND (search_hi IS NULL OR c.created <= search_hi)",
+    src_customers_by_email: _W + " SELECT receipt_id, string_agg(DISTINCT customer_id, ',' ORDER BY customer_id) AS customer_ids FROM (SELECT receipt_id, unnest(emails) AS mail FROM w) JOIN customers k ON lower(k.email) = mail GROUP BY 1",
+    charge_eligible: _W + " SELECT receipt_id, c.id AS charge_id FROM w JOIN book c ON w.amount = c.amount AND w.currency = c.cur_c AND c.eligible WHERE early IS NULL AND (w.description IS NULL OR w.description = c.c_desc)",
+    charge_time_match: _WZ + _SOURCES + " SELECT receipt_id, id AS charge_id, payment_hour IS NULL OR payment_hour = hour(lt) AS hour_ok FROM by_amount JOIN w USING (receipt_id) WHERE (minutes IS NULL OR minute(lt) = minutes) AND (payment_date IS NULL OR lt::DATE = payment_date) AND (payment_month IS NULL OR month(lt) = payment_month) AND (payment_day IS NULL OR day(lt) = payment_day)",
+    evidence_sufficiency: _WZ + " SELECT receipt_id, counted::BIGINT AS n_constraints, CASE WHEN early = 'INSUFFICIENT_STRIPE_EVIDENCE' THEN early END AS reason_code FROM w",
+    reject_invalid_evidence: _RECEIPTS + " SELECT receipt_id, CASE k WHEN 20 THEN 'INVALID_EVIDENCE' WHEN 21 THEN 'UNSUPPORTED_PAYMENT_METHOD_TYPE' END AS reason_code FROM receipts",
+    receipt_window: f"SELECT a.*, {_ZCOLS} FROM ({_W} SELECT receipt_id, search_lo, search_hi, day_lo, day_hi FROM w) a JOIN ({_WZ} SELECT receipt_id, search_lo, search_hi, day_lo, day_hi FROM w) z USING (receipt_id)",
+    charge_identity_columns: _LEDGER + f" SELECT id, {_EMAIL} AS payer, lower(trim(billing_name)) AS payer_name, {_IDENTIFIER} AS payment_identifier FROM charges",
+    charge_id_set: _LEDGER + f" SELECT id, array_to_string(list_sort({_IDS}), ',') AS ids FROM charges",
+    project_canonical_txn: _LEDGER + f" SELECT id AS charge_id, customer AS customer_id, amount AS amount_cents, currency, strftime({_NY}, '%Y-%m-%d') AS payment_date, hour({_NY}) AS payment_hour, minute({_NY}) AS minutes, strftime({_NY}, '%H:%M') AS payment_time, billing_name AS customer_name, {_EMAIL} AS customer_email, {_IDENTIFIER} AS payment_identifier, description, CASE WHEN paid AND status = 'succeeded' THEN 'Completed' ELSE status END AS status, method AS payment_method_type FROM charges",
     charge_local_time: _LEDGER + f" SELECT id, hour({_NY}) AS local_hour, minute({_NY}) AS local_minute, strftime({_NY}, '%Y-%m-%d') AS local_date FROM charges",
-    local_day_bounds: _RECEIPTS + " SELECT receipt_id, epoch(payment_date::TIMESTAMP AT TIME ZONE 'America/New_York')::BIGINT AS day_start, epoch((payment_date + 1)::TIMESTAMP AT TIME ZONE 'America/New_York')::BIGINT - 1 AS day_end FROM receipts WHERE payment_date IS NOT NULL",
-    candidate_merge: _FOUND + " SELECT receipt_id, id AS charge_id, (CASE WHEN id_hit THEN 3 WHEN customer_hit THEN 2 ELSE 1 END)::BIGINT AS source FROM facts WHERE id_hit OR customer_hit OR in_search",
-    candidate_budget: _FOUND + " SELECT receipt_id, count(*) AS n_candidates, CASE WHEN count(*) > 1000 THEN 'SEARCH_LIMITED' ELSE 'WITHIN_BUDGET' END AS status FROM facts GROUP BY 1",
-    candidates_newest_first: _FOUND + " SELECT receipt_id, string_agg(id, ',' ORDER BY created DESC, id) AS charges FROM flags WHERE t_canonical GROUP BY 1",
-    newest_candidate: _FOUND + " SELECT receipt_id, id AS charge_id, total, NOT date_ok AS date_mismatch FROM (SELECT *, row_number() OVER (PARTITION BY receipt_id ORDER BY created DESC, id) AS rn, count(*) OVER (PARTITION BY receipt_id) AS total FROM flags WHERE t_canonical) WHERE rn = 1 AND total > 1",
-    first_claim_wins: _VERDICTS + " SELECT receipt_id, charge_id, CASE WHEN row_number() OVER (PARTITION BY charge_id ORDER BY received_at, receipt_id) = 1 THEN 'VALID' ELSE 'DUPLICATE' END AS verdict FROM claims",
+    local_day_bounds: _RECEIPTS + f" SELECT receipt_id, epoch(payment_date::TIMESTAMP AT TIME ZONE '{RECEIPT_ZONE}')::BIGINT AS day_start, epoch((payment_date + 1)::TIMESTAMP AT TIME ZONE '{RECEIPT_ZONE}')::BIGINT - 1 AS day_end FROM receipts WHERE payment_date IS NOT NULL",
+    cand_by_identifier: _W + _SOURCES + " SELECT receipt_id, id AS charge_id, scan AS in_window FROM by_id",
+    cand_by_customer: _W + _SOURCES + " SELECT receipt_id, id AS charge_id FROM by_customer",
+    cand_by_amount: _WZ + _SOURCES + ", free AS (SELECT a.*, bool_or(in_search) OVER (PARTITION BY receipt_id) AS searched FROM by_amount a WHERE ids_k IS NULL AND receipt_id IN (SELECT receipt_id FROM unhit)) SELECT receipt_id, id AS charge_id, searched FROM free WHERE CASE WHEN searched THEN in_search ELSE in_window END",
+    cand_by_window: _W + _SOURCES + _LIST,
+    candidate_merge: _W + _SOURCES + " SELECT receipt_id, id AS charge_id, max(source)::BIGINT AS source FROM (SELECT receipt_id, id, 3 AS source FROM by_id UNION ALL SELECT receipt_id, id, 2 FROM by_customer UNION ALL SELECT receipt_id, id, 1 FROM by_amount) GROUP BY 1, 2",
+    candidate_budget: _W + _DAYS + " SELECT receipt_id, coalesce(n, 0)::BIGINT AS n_candidates, CASE WHEN coalesce(n, 0) > 100 THEN 'SEARCH_LIMITED' ELSE 'WITHIN_BUDGET' END AS status FROM w LEFT JOIN counted USING (receipt_id)",
+    candidates_newest_first: _FOUND + " SELECT receipt_id, string_agg(id, ',' ORDER BY created DESC, id) AS charges FROM flags WHERE hit GROUP BY 1",
+    newest_candidate: _FOUND + " SELECT receipt_id, id AS charge_id, total, NOT date_ok AS date_mismatch FROM (SELECT *, row_number() OVER (PARTITION BY receipt_id ORDER BY created DESC, id) AS rn, count(*) OVER (PARTITION BY receipt_id) AS total FROM flags WHERE hit) WHERE rn = 1 AND total > 1",
+    first_claim_wins: _VERDICTS + ", o AS (SELECT receipt_id, charge_id, row_number() OVER (PARTITION BY charge_id ORDER BY received_at, receipt_id) = 1 AND charge_id NOT IN (SELECT charge_id FROM held) AS own FROM claims) SELECT receipt_id, charge_id, CASE WHEN own THEN 'VALID' ELSE 'DUPLICATE' END AS verdict, CASE WHEN NOT own THEN 'DUPLICATE_STRIPE_TRANSACTION' END AS reason_code FROM o",
     claimed_charges: _VERDICTS + " SELECT charge_id, max(received_at) AS first_seen_at FROM claims GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 2048",
-    union_claims: _VERDICTS + " SELECT charge_id, max(received_at) AS first_seen_at, count(*) AS n_rows FROM (SELECT charge_id, received_at FROM claims UNION ALL SELECT charge_id, received_at FROM claims WHERE group_id = 'g0') GROUP BY 1",
+    union_claims: _VERDICTS + " SELECT charge_id, max(at) AS first_seen_at, count(*) AS n_rows FROM (SELECT charge_id, received_at AS at FROM claims UNION ALL SELECT charge_id, first_seen_at FROM held) GROUP BY 1",
     confirmed_charges: _VERDICTS + " SELECT sha256, string_agg(DISTINCT charge_id, ',' ORDER BY charge_id) AS charges FROM claims GROUP BY 1",
-    exclude_claimed: _VERDICTS + " SELECT receipt_id, id AS charge_id, id IN (SELECT charge_id FROM claims) AS claimed FROM flags WHERE t_canonical",
-    fresh_minus_claimed: _VERDICTS + " SELECT receipt_id, id AS charge_id FROM flags WHERE t_canonical AND id NOT IN (SELECT charge_id FROM claims)",
-    prefer_fresh: _VERDICTS + " SELECT receipt_id, charge_id FROM (SELECT *, count(*) FILTER (same_name) OVER (PARTITION BY receipt_id) AS named FROM (SELECT *, count(*) OVER (PARTITION BY receipt_id) AS n2, count(*) FILTER (NOT claimed) OVER (PARTITION BY receipt_id) AS fresh FROM (SELECT receipt_id, id AS charge_id, same_name, id IN (SELECT charge_id FROM claims) AS claimed FROM flags WHERE t_canonical)) WHERE n2 = 1 OR fresh <> 1 OR NOT claimed) WHERE named <> 1 OR same_name",
-    enrich_customer_email: _VERDICTS + f" SELECT v.receipt_id, v.charge_id, coalesce({_EMAIL}, k.email) AS customer_email FROM claims v JOIN charges c ON c.id = v.charge_id LEFT JOIN customers k ON k.customer_id = c.customer",
-    identity_union: _FOUND + f" SELECT receipt_id, c.id FROM receipts r JOIN (SELECT *, {_EMAIL} AS payer FROM charges) c ON lower(r.email) = c.payer UNION SELECT receipt_id, c.id FROM receipts r JOIN customers k ON lower(r.email) = lower(k.email) JOIN charges c ON c.customer = k.customer_id",
-    cand_by_window: _FOUND + " SELECT receipt_id, c.id FROM w JOIN charges c ON c.created BETWEEN search_lo AND search_hi WHERE payment_date IS NOT NULL AND email IS NULL",
-    sink_results: _VERDICTS + """ SELECT receipt_id, '{"status":"' || status || '","verdict":"' || verdict || '","reason_code":"' || reason_code || '"' || coalesce(',"charge_id":"' || charge_id || '"', '') || '}' AS result FROM verdicts""",
-    sink_quarantine: _VERDICTS + " SELECT receipt_id, reason_code FROM verdicts WHERE verdict <> 'VALID'",
-    audit_rollup: _VERDICTS + " SELECT verdict, reason_code, count(*) AS n FROM verdicts GROUP BY ROLLUP (verdict, reason_code)",
-    explain_verdict: _VERDICTS + " SELECT receipt_id, reason_code, CASE WHEN starts_with(reason_code, 'MULTIPLE') THEN 'Several payments fit; a person must choose.' WHEN reason_code = 'NO_EXACT_MATCH' THEN 'No payment fits.' WHEN reason_code = 'INSUFFICIENT_STRIPE_EVIDENCE' THEN 'The receipt shows too little.' ELSE 'One payment fits.' END AS explanation FROM verdicts",
+    exclude_claimed: _FOUND + " SELECT receipt_id, id AS charge_id, claimed FROM flags WHERE hit",
+    fresh_minus_claimed: _FOUND + " SELECT receipt_id, id AS charge_id FROM flags WHERE hit AND NOT claimed",
+    prefer_fresh: _FOUND + " SELECT receipt_id, id AS charge_id, claimed, same_name FROM flags WHERE hit AND tier <> 'identifier' AND tier_n = 1",
+    enrich_customer_email: _VERDICTS + f" SELECT v.receipt_id, v.charge_id, coalesce({_EMAIL}, CASE WHEN len(w.emails) = 0 THEN k.email END) AS customer_email FROM claims v JOIN w USING (receipt_id) JOIN charges c ON c.id = v.charge_id LEFT JOIN customers k ON k.customer_id = c.customer",
+    identity_union: _W + f", m AS (SELECT receipt_id, unnest(emails) AS mail FROM w) SELECT receipt_id, id FROM m JOIN book ON mail = payer UNION SELECT receipt_id, c.id FROM m JOIN customers k ON mail = lower(k.email) JOIN charges c ON c.customer = k.customer_id",
+    explain_verdict: _VERDICTS + " SELECT receipt_id, reason_code, explanation, operational FROM verdicts LEFT JOIN (VALUES " + ", ".join(f"('{k}', '{t}', {o})" for k, (t, o) in REASONS.items()) + ") b(reason_code, explanation, operational) USING (reason_code)",
 }
-#: Operator names of section 2.3 by tier flag.
+#: Operator names of section 2.3 by tier.
 _TIERS = {"tier_strict": "strict", "tier_timezone_boundary": "zone_boundary", "tier_day_requery": "day_requery", "tier_identity_minute": "identity_minute", "tier_identity_only": "identity_only", "tier_customer_minute": "customer_minute", "tier_broad_amount": "broad", "tier_broad_boundary": "broad_boundary", "tier_broad_identity": "broad_identity", "tier_transaction_id": "identifier", "tier_date_boundary": "date_boundary", "tier_identity_recovery": "identity_recovery", "tier_date_name": "date_name", "tier_canonical": "canonical"}
-_SETS = {"cand_by_identifier": "id_hit", "cand_by_customer": "customer_hit", "cand_by_amount": "in_search"}
 
-QUERIES = {f.__name__: f for f in _PLAIN} | {k: partial(_tier, v) for k, v in _TIERS.items()} | {k: partial(_by, v) for k, v in _SETS.items()} | {"verdict_cascade": _verdicts}
-ORACLE_SQL = {f.__name__: v for f, v in _PLAIN.items()} | {k: _FOUND + f" SELECT receipt_id, id AS charge_id FROM flags WHERE t_{v}" for k, v in _TIERS.items()} | {k: _FOUND + f" SELECT receipt_id, id AS charge_id FROM facts WHERE {v}" for k, v in _SETS.items()}
-ORACLE_SQL["verdict_cascade"] = _VERDICTS + " SELECT receipt_id, status, verdict, reason_code, charge_id, candidate_count FROM verdicts"
+QUERIES = {f.__name__: f for f in _PLAIN} | {k: partial(_tier, v) for k, v in _TIERS.items()}
+ORACLE_SQL = {f.__name__: v for f, v in _PLAIN.items()} | {k: _FOUND + f" SELECT receipt_id, id AS charge_id FROM flags WHERE t_{v}" for k, v in _TIERS.items()}

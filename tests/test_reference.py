@@ -1,5 +1,6 @@
 """Every registered receipt query against its SQL, golden scenarios, and brute force where SQL has no word for it."""
 
+import functools
 import itertools
 
 import duckdb
@@ -9,7 +10,7 @@ from pyspark.sql import functions as F
 
 from tallymark.functions import text as T
 from tallymark.operators import burst, cascade, intake
-from tallymark.plans import catalog
+from tallymark.plans import catalog, linkage
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
@@ -23,6 +24,14 @@ def duck(sf):
     return c
 
 
+@pytest.fixture(scope="module", autouse=True)
+def judged_once():
+    """The cascade's tables are made once for all queries that read them."""
+    own, linkage._judged = linkage._judged, functools.cache(linkage._judged)
+    yield
+    linkage._judged = own
+
+
 def plain(v):
     return float(v) if hasattr(v, "as_tuple") else v
 
@@ -43,16 +52,24 @@ RECEIPT = "receipt_id string, email string, amount long, payment_date date, paym
 NOON = 1704110400  # 2024-01-01 12:00 UTC
 
 
-def judged(spark, receipt, charges):
+def judged(spark, receipt, charges, claims=(), zone=None):
     """Verdict of one receipt, given as overrides, against charges, given as overrides."""
     import datetime
 
     base = {"receipt_id": "r", "email": "a@b.co", "amount": 2500, "payment_date": datetime.date(2024, 1, 1), "payment_hour": 12, "minutes": 0, "customer_name": None, "transaction_id": None, "relative_today": False, "received_at": NOON}
+    extra = {k: v for k, v in receipt.items() if k not in base}
     one = {"id": "ch", "amount": 2500, "currency": "usd", "created": NOON, "paid": True, "refunded": False, "status": "succeeded", "method": "cashapp", "customer": None, "receipt_email": "a@b.co", "billing_email": None, "billing_name": "Ann Bee", "provider_id": "PID1"}
-    r = spark.createDataFrame([tuple((base | receipt).values())], RECEIPT)
-    c = spark.createDataFrame([tuple((one | {"id": f"ch{i}"} | x).values()) for i, x in enumerate(charges)], CHARGE)
+    more = sorted({k for x in charges for k in x} - set(one))
+    r = spark.createDataFrame([tuple((base | {k: v for k, v in receipt.items() if k in base}).values())], RECEIPT)
+    r = r.withColumns({k: F.array(*map(F.lit, v)) if isinstance(v, list) else F.lit(v) for k, v in extra.items()})
+    rows = [tuple((one | {"id": f"ch{i}"} | {k: v for k, v in x.items() if k in one}).values()) + tuple(x.get(m) for m in more) for i, x in enumerate(charges)]
+    c = spark.createDataFrame(rows, ", ".join([CHARGE, *(f"{m} {cascade.LEDGER[m]}" for m in more)]))
     k = spark.createDataFrame([("cus_1", "a@b.co")], "customer_id string, email string")
-    return cascade.verdicts(r, cascade.flagged(cascade.candidates(r, c, k, NOON + 86400))).first()
+    held = spark.createDataFrame([(x,) for x in claims], "charge_id string")
+    return cascade.verdicts(*cascade.judged(r, c, k, NOON + 86400, claims=held, receipt_zone=zone)).first()
+
+
+BARE = {"payment_date": None, "payment_hour": None, "minutes": None}
 
 
 @pytest.mark.parametrize(
@@ -62,10 +79,25 @@ def judged(spark, receipt, charges):
         ({}, [{}, {"created": NOON + 20}], ("UNCLEAR", "MULTIPLE_EXACT_MATCHES", None)),
         ({}, [{"refunded": True}], ("UNCLEAR", "NO_EXACT_MATCH", None)),
         ({}, [{"paid": False}, {"status": "pending"}, {"method": "card"}, {"amount": 2501}], ("UNCLEAR", "NO_EXACT_MATCH", None)),
+        ({}, [{"currency": "eur"}], ("UNCLEAR", "NO_EXACT_MATCH", None)),
         ({"payment_hour": 7}, [{"created": NOON - 86400 + 3600}], ("VALID", "TIMEZONE_BOUNDARY_SINGLE_MATCH", "ch0")),
         ({"transaction_id": "pid1", "email": "x@y.zz"}, [{}], ("VALID", "TRANSACTION_ID_MATCH", "ch0")),
         ({"transaction_id": "pid1"}, [{}, {}], ("UNCLEAR", "MULTIPLE_TRANSACTION_ID_MATCHES", None)),
-        ({"email": None, "payment_date": None, "payment_hour": None, "minutes": None}, [{}], ("UNCLEAR", "INSUFFICIENT_STRIPE_EVIDENCE", None)),
+        ({"transaction_id": "pi_9"}, [{"payment_intent": "pi_9", "amount": 9900}, {}], ("UNCLEAR", "NO_EXACT_MATCH", None)),
+        ({"transaction_id": "m-7-7"}, [{"metadata": {"Receipt_ID": "M-7-7"}}], ("VALID", "TRANSACTION_ID_MATCH", "ch0")),
+        ({"email": None} | BARE, [{}], ("UNCLEAR", "INSUFFICIENT_STRIPE_EVIDENCE", None)),
+        ({"email": "a@@b"}, [{}], ("ERROR", "INVALID_EVIDENCE", None)),
+        ({"method": "card"}, [{}], ("ERROR", "UNSUPPORTED_PAYMENT_METHOD_TYPE", None)),
+        ({"amount": None}, [{}], ("VALID", "EXACT_SINGLE_MATCH", "ch0")),
+        ({"amount": None} | BARE, [{}], ("VALID", "EMAIL_SINGLE_MATCH", "ch0")),
+        ({"amount": None} | BARE, [{}, {"amount": 100}], ("UNCLEAR", "MULTIPLE_EXACT_MATCHES", None)),
+        ({"email": "x@y.zz"}, [{}], ("VALID", "IDENTITY_RECOVERED_FROM_STRIPE", "ch0")),
+        ({"email": "x@y.zz", "email_candidates": ["a@b.co"]}, [{}], ("VALID", "IDENTITY_RECOVERED_FROM_STRIPE", "ch0")),
+        ({"email": None, "description": " Order  7 ", "minutes": None, "payment_hour": None}, [{"description": "order 7"}, {}], ("VALID", "EXACT_SINGLE_MATCH", "ch0")),
+        ({"payment_date": None, "payment_month": 1, "payment_day": 1}, [{}], ("VALID", "EXACT_SINGLE_MATCH", "ch0")),
+        ({"payment_date": None, "payment_month": 1, "payment_day": 2, "payment_hour": None, "minutes": None}, [{}], ("VALID", "DATE_BOUNDARY_SINGLE_MATCH", "ch0")),
+        ({"email": None, "customer_name": "ann bee.", "minutes": 9}, [{}], ("VALID", "CAPTIONLESS_DATE_NAME_SINGLE_MATCH", "ch0")),
+        ({"minutes": 9}, [{}], ("VALID", "STRIPE_CANONICAL_RECOVERY_SINGLE_MATCH", "ch0")),
     ],
 )
 def test_golden_scenarios(spark, receipt, charges, want):
@@ -73,6 +105,30 @@ def test_golden_scenarios(spark, receipt, charges, want):
     assert (got.verdict, got.reason_code, got.charge_id) == want
 
 
+def test_claims_choose_only_a_single_fresh_charge(spark):
+    two = [{}, {"created": NOON + 20}]
+    assert judged(spark, {}, two, ["ch0"]).charge_id == "ch1"
+    assert judged(spark, {}, [{}], ["ch0"]).charge_id == "ch0"  # kept, to be told as a repeat
+    assert judged(spark, {}, [*two, {"created": NOON + 30}], ["ch0"]).reason_code == "MULTIPLE_EXACT_MATCHES"
+    named = judged(spark, {"customer_name": "Bob Cee"}, [{}, {"created": NOON + 20, "billing_name": " Bob  Cee,"}])
+    assert (named.charge_id, named.reason_code) == ("ch1", "EXACT_SINGLE_MATCH")
+
+
+def test_hours_count_where_the_zone_is_known(spark):
+    local = {"payment_hour": 7}  # noon in UTC is seven in New York
+    assert judged(spark, local, [{}], zone="America/New_York").reason_code == "EXACT_SINGLE_MATCH"
+    assert judged(spark, {}, [{}], zone="America/New_York").reason_code == "TIMEZONE_BOUNDARY_SINGLE_MATCH"
+
+
+def test_fan_out_beyond_the_budget_is_not_searched(spark):
+    r = spark.createDataFrame([("r", None, 2500, None, None, None, None, None, False, NOON), ("q", "a@b.co", 2500, None, None, 5, None, None, False, NOON)], RECEIPT).withColumn("minutes", F.lit(0))
+    c = spark.createDataFrame([(f"c{i}", 2500, "usd", NOON + i, True, False, "succeeded", "cashapp", None, "z@z.zz", None, "Z Z", None) for i in range(30)], CHARGE)
+    k = spark.createDataFrame([], "customer_id string, email string")
+    found, rows = cascade.judged(r, c, k, NOON + 86400, budget=20)
+    got = {x.receipt_id: (x.status, x.verdict, x.reason_code) for x in cascade.verdicts(found, rows).collect()}
+    assert got == {i: ("SEARCH_LIMITED", "UNCLEAR", "STRIPE_PAGINATION_LIMIT") for i in "rq"} and rows.isEmpty()
+
+
 def test_ambiguity_is_never_approved(spark, sf):
     got = catalog.QUERIES["verdict_cascade"](spark, sf).collect()
     assert all((r.verdict == "VALID") == (r.candidate_count == 1) == (r.charge_id is not None) for r in got)
@@ -98,13 +154,25 @@ def test_sightings_and_hashes(spark):
     assert {(r.low, r.high) for r in intake.near_hashes(h, "i", "h", 6).collect()} == want
 
 
+PAIRS = "group_id string, burst long, receipt_id string, arrived long, charge_id string, place long, score long, discriminator long"
+
+
 def test_assignment(spark):
-    s = "group_id string, burst long, receipt_id string, charge_id string, score long, discriminator long"
-    sure = [("g", 1, "a", "x", 1001, 1000), ("g", 1, "a", "y", 1, 0), ("g", 1, "b", "x", 1, 0), ("g", 1, "b", "y", 501, 500)]
-    tie = [("g", 2, "c", "z", 101, 100), ("g", 2, "c", "w", 101, 100), ("g", 2, "d", "z", 101, 100), ("g", 2, "d", "w", 101, 100)]
-    amount = [("g", 3, "e", "v", 1, 0)]
-    got = {r.receipt_id: r.charge_id for r in burst.assign(spark.createDataFrame(sure + tie + amount, s)).collect()}
-    assert got == {"a": "x", "b": "y", "c": None, "d": None, "e": None}
+    sure = [("g", 1, "a", 1, "x", 1, 1001, 1000), ("g", 1, "a", 1, "y", 2, 1, 0), ("g", 1, "b", 2, "x", 1, 1, 0), ("g", 1, "b", 2, "y", 2, 501, 500)]
+    tie = [("g", 2, "c", 1, "z", 1, 101, 100), ("g", 2, "c", 1, "w", 2, 101, 100), ("g", 2, "d", 2, "z", 1, 101, 100), ("g", 2, "d", 2, "w", 2, 101, 100)]
+    amount = [("g", 3, "e", 1, "v", 1, 1, 0)]
+    apart = [("g", 4, "f", 1, "s", 1, 501, 500), ("g", 4, "f", 1, "t", 2, 1, 0), ("g", 4, "h", 2, "u", 1, 501, 500), ("g", 4, "h", 2, "v", 2, 1, 0)]
+    found = burst.assign(spark.createDataFrame(sure + tie + amount + apart, PAIRS)).collect()
+    assert {r.receipt_id: r.charge_id for r in found} == {"a": "x", "b": "y", "c": None, "d": None, "e": None, "f": "s", "h": "u"}
+    part = {r.receipt_id: r.component for r in found}
+    assert part["a"] == part["b"] and part["c"] == part["d"] and part["f"] != part["h"]
+
+
+def test_assignments_are_tried_in_list_order(spark):
+    """With 8 receipts of 8 charges only the first 512 of 40 320 are looked at: those that begin with the first charge of the list."""
+    rows = [("g", 1, f"r{i}", 9 - i, f"c{7 - p}", p, 1000 if p == (8 - i) % 8 else 1, 10) for i in range(1, 9) for p in range(8)]
+    got = {r.receipt_id: r.charge_id for r in burst.assign(spark.createDataFrame(rows, PAIRS)).collect()}
+    assert got == {f"r{i}": f"c{7 - (8 - i) % 8}" for i in range(1, 9)}
 
 
 def test_gray_hash(spark):
