@@ -39,7 +39,7 @@ def test_token_files_and_counts(spark, sf, docs):
         want[i] = (start, len(ids) + 1, zlib.crc32(data))
         start += len(ids) + 1
     assert {r.doc_id: (r.start, r.n_tokens, r.ids_crc32) for r in run(spark, sf, "op1_token_files")} == want
-    assert {r.doc_id: (r.n_bytes, r.n_tokens) for r in run(spark, sf, "op9_token_counts")} == {i: (len(docs[i].encode()), want[i][1] - 1) for i in docs}
+    assert {r.doc_id: (r.n_bytes, r.n_tokens, r.over_limit) for r in run(spark, sf, "op9_token_counts")} == {i: (len(docs[i].encode()), want[i][1] - 1, want[i][1] - 1 > 512) for i in docs}
 
 
 def test_packing_and_random_access(spark):
@@ -178,7 +178,23 @@ def test_repeated_passages(spark, sf, docs):
         x, y = (WORD.findall(docs[i].translate(LOWER)) for i in (r.doc_id, r.other_id))
         g = lambda w, a, z: Counter(zip(*[w[max(a, 0) : z][j:] for j in range(5)]))
         a, b = g(x, r.start, r.end), g(y, r.other_start, r.other_end)
-        assert sum((a & b).values()) >= 0.6 * sum((a | b).values())
+        assert sum((a & b).values()) >= 0.6 * sum((a | b).values())  # of merged runs; each run of 50 words reaches 0.8
+
+
+def test_passages_among_texts_that_share_a_part_of_them(spark):
+    """20 pairs with one passage of 60 words, and for each 30 texts with 40 words of it: the pairs meet all the same."""
+    rng = np.random.default_rng(11)
+    own = lambda n: [f"w{i}" for i in rng.integers(0, 10**9, n)]
+    texts, pairs = [], []
+    for _ in range(20):
+        passage, at = own(60), int(rng.integers(0, 21))
+        pairs.append((len(texts), len(texts) + 1))
+        texts += [own(80) + passage + own(70), own(50) + passage + own(90)]
+        texts += [own(60) + passage[at : at + 40] + own(60) for _ in range(30)]
+    d = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")
+    got = {tuple(sorted((r.doc_id, r.other_id))) for r in passages.repeated_passages(d).collect()}
+    assert got <= set(pairs)  # 40 words of 50 are no passage
+    assert len(got) >= 18
 
 
 def test_similarity_of_runs_is_that_of_sets():
