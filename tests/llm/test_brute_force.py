@@ -192,7 +192,7 @@ def test_passages_among_texts_that_share_a_part_of_them(spark):
         texts += [own(80) + passage + own(70), own(50) + passage + own(90)]
         texts += [own(60) + passage[at : at + 40] + own(60) for _ in range(30)]
     d = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")
-    got = {tuple(sorted((r.doc_id, r.other_id))) for r in passages.repeated_passages(d).collect()}
+    got = {tuple(sorted((r.doc_id, r.other_id))) for r in passages.repeated_passages(d, finer=True).collect()}
     assert got <= set(pairs)  # 40 words of 50 are no passage
     assert len(got) >= 18
 
