@@ -504,14 +504,14 @@ _PLAIN = {
     newest_candidate: _FOUND + " SELECT receipt_id, id AS charge_id, total, NOT date_ok AS date_mismatch FROM (SELECT *, row_number() OVER (PARTITION BY receipt_id ORDER BY created DESC, id) AS rn, count(*) OVER (PARTITION BY receipt_id) AS total FROM flags WHERE hit) WHERE rn = 1 AND total > 1",
     first_claim_wins: _VERDICTS + ", o AS (SELECT receipt_id, charge_id, row_number() OVER (PARTITION BY charge_id ORDER BY received_at, receipt_id) = 1 AND charge_id NOT IN (SELECT charge_id FROM held) AS own FROM claims) SELECT receipt_id, charge_id, CASE WHEN own THEN 'VALID' ELSE 'DUPLICATE' END AS verdict, CASE WHEN NOT own THEN 'DUPLICATE_STRIPE_TRANSACTION' END AS reason_code FROM o",
     claimed_charges: _VERDICTS + " SELECT charge_id, max(received_at) AS first_seen_at FROM claims GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 2048",
-    union_claims: _VERDICTS + " SELECT charge_id, max(at) AS first_seen_at, count(*) AS n_rows FROM (SELECT charge_id, received_at AS at FROM claims UNION ALL SELECT charge_id, first_seen_at FROM held) GROUP BY 1",
+    union_claims: _VERDICTS + " SELECT charge_id, max(seen) AS first_seen_at, count(*) AS n_rows FROM (SELECT charge_id, received_at AS seen FROM claims UNION ALL SELECT charge_id, first_seen_at FROM held) GROUP BY 1",
     confirmed_charges: _VERDICTS + " SELECT sha256, string_agg(DISTINCT charge_id, ',' ORDER BY charge_id) AS charges FROM claims GROUP BY 1",
     exclude_claimed: _FOUND + " SELECT receipt_id, id AS charge_id, claimed FROM flags WHERE hit",
     fresh_minus_claimed: _FOUND + " SELECT receipt_id, id AS charge_id FROM flags WHERE hit AND NOT claimed",
     prefer_fresh: _FOUND + " SELECT receipt_id, id AS charge_id, claimed, same_name FROM flags WHERE hit AND tier <> 'identifier' AND tier_n = 1",
     enrich_customer_email: _VERDICTS + f" SELECT v.receipt_id, v.charge_id, coalesce({_EMAIL}, CASE WHEN len(w.emails) = 0 THEN k.email END) AS customer_email FROM claims v JOIN w USING (receipt_id) JOIN charges c ON c.id = v.charge_id LEFT JOIN customers k ON k.customer_id = c.customer",
     identity_union: _W + f", m AS (SELECT receipt_id, unnest(emails) AS mail FROM w) SELECT receipt_id, id FROM m JOIN book ON mail = payer UNION SELECT receipt_id, c.id FROM m JOIN customers k ON mail = lower(k.email) JOIN charges c ON c.customer = k.customer_id",
-    explain_verdict: _VERDICTS + " SELECT receipt_id, reason_code, explanation, operational FROM verdicts LEFT JOIN (VALUES " + ", ".join(f"('{k}', '{t}', {o})" for k, (t, o) in REASONS.items()) + ") b(reason_code, explanation, operational) USING (reason_code)",
+    explain_verdict: _VERDICTS + " SELECT receipt_id, reason_code, explanation, operational FROM verdicts LEFT JOIN (VALUES " + ", ".join("('{}', '{}', {})".format(k, t.replace("'", "''"), o) for k, (t, o) in REASONS.items()) + ") b(reason_code, explanation, operational) USING (reason_code)",
 }
 #: Operator names of section 2.3 by tier.
 _TIERS = {"tier_strict": "strict", "tier_timezone_boundary": "zone_boundary", "tier_day_requery": "day_requery", "tier_identity_minute": "identity_minute", "tier_identity_only": "identity_only", "tier_customer_minute": "customer_minute", "tier_broad_amount": "broad", "tier_broad_boundary": "broad_boundary", "tier_broad_identity": "broad_identity", "tier_transaction_id": "identifier", "tier_date_boundary": "date_boundary", "tier_identity_recovery": "identity_recovery", "tier_date_name": "date_name", "tier_canonical": "canonical"}

@@ -88,7 +88,8 @@ BARE = {"payment_date": None, "payment_hour": None, "minutes": None}
         ({"email": None} | BARE, [{}], ("UNCLEAR", "INSUFFICIENT_STRIPE_EVIDENCE", None)),
         ({"email": "a@@b"}, [{}], ("ERROR", "INVALID_EVIDENCE", None)),
         ({"method": "card"}, [{}], ("ERROR", "UNSUPPORTED_PAYMENT_METHOD_TYPE", None)),
-        ({"amount": None}, [{}], ("VALID", "EXACT_SINGLE_MATCH", "ch0")),
+        ({"amount": None}, [{"customer": "cus_1"}, {"id": "other", "created": NOON + 20}], ("VALID", "EXACT_SINGLE_MATCH", "ch0")),
+        ({"amount": None}, [{}], ("UNCLEAR", "NO_EXACT_MATCH", None)),
         ({"amount": None} | BARE, [{}], ("VALID", "EMAIL_SINGLE_MATCH", "ch0")),
         ({"amount": None} | BARE, [{}, {"amount": 100}], ("UNCLEAR", "MULTIPLE_EXACT_MATCHES", None)),
         ({"email": "x@y.zz"}, [{}], ("VALID", "IDENTITY_RECOVERED_FROM_STRIPE", "ch0")),
