@@ -178,8 +178,11 @@ def window_pairs(r: DataFrame, c: DataFrame, as_of: int, lookback_days: int = LO
     seen = F.when(F.col("bounded"), F.col("created").between(F.col("day_lo"), F.col("day_hi"))).otherwise(back)
     span = ["receipt_id", "bounded", "day_lo", "day_hi"]
     payer = r.select(*span, F.explode("emails").alias("payer")).join(c.filter("eligible"), "payer").filter(seen | back)
+    # No tier takes a charge of another minute than a dated receipt shows; one without minutes meets the whole day.
     able = c.filter("eligible").withColumn("on", F.to_date("local"))
-    dated = r.filter("payment_date IS NOT NULL").select(*span, F.col("payment_date").alias("on")).join(able, "on").drop("on")
+    day = r.filter("payment_date IS NOT NULL").select(*span, F.col("payment_date").alias("on"), F.col("minutes").alias("minute"))
+    dated = day.filter("minute IS NOT NULL").join(able.withColumn("minute", F.minute("local")), ["on", "minute"]).drop("on", "minute")
+    dated = dated.unionByName(day.filter("minute IS NULL").drop("minute").join(able, "on").drop("on"))
     key = F.when(F.col("description").isNotNull(), F.concat(F.lit("d"), "description")).when(F.col("minutes").isNotNull(), F.concat(F.lit("m"), F.col("minutes").cast("string"))).otherwise("*")
     keys = F.explode(F.array_compact(F.array(F.concat(F.lit("d"), "c_description"), F.concat(F.lit("m"), F.minute("local").cast("string")), F.lit("*"))))
     open_ = r.filter("payment_date IS NULL AND email IS NULL").select(*span, key.alias("key"))

@@ -471,7 +471,7 @@ able AS (SELECT * FROM book WHERE eligible),
 bare AS (SELECT w.*, ids_k FROM w LEFT JOIN known USING (receipt_id) WHERE early IS NULL AND amount IS NULL)
 SELECT DISTINCT receipt_id, charge_id FROM (
   SELECT receipt_id, c.id AS charge_id FROM bare JOIN able c ON list_contains(emails, c.payer) WHERE (bounded AND c.created BETWEEN day_lo AND day_hi) OR c.created BETWEEN {AS_OF} - 7776000 AND {AS_OF}
-  UNION ALL SELECT receipt_id, c.id FROM bare JOIN able c ON c.lt::DATE = payment_date
+  UNION ALL SELECT receipt_id, c.id FROM bare JOIN able c ON c.lt::DATE = payment_date AND (minutes IS NULL OR minute(c.lt) = minutes)
   UNION ALL SELECT receipt_id, c.id FROM bare JOIN able c ON payment_date IS NULL AND email IS NULL AND CASE WHEN bare.description IS NOT NULL THEN bare.description = c.c_desc WHEN minutes IS NOT NULL THEN minute(c.lt) = minutes ELSE true END WHERE c.created BETWEEN {AS_OF} - 7776000 AND {AS_OF})"""
 _ZCOLS = ", ".join(f"z.{c} AS zone_{c}" for c in ("search_lo", "search_hi", "day_lo", "day_hi"))
 
