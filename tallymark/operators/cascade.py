@@ -255,7 +255,8 @@ def _facts(pairs: DataFrame, r: DataFrame, as_of: int, lookback_days: int, recei
         "in_date": yes(local_date == c("payment_date")),
         "in_back": c("created").between(as_of - lookback_days * DAY, as_of),
     }
-    return p.withColumns(facts).withColumns({"in_window": F.when(c("bounded"), c("in_day")).otherwise(c("in_back")), "who": c("email").isNull() | c("identity"), "time_ok": c("minute_ok") & c("date_ok") & c("hour_ok")})
+    told = p.withColumns(facts).drop("ids", "local", "c_description", "c_currency", "c_status", "search_lo", "day_lo", "day_hi", "customer_ids")  # rows are many: only what tiers read goes on
+    return told.withColumns({"in_window": F.when(c("bounded"), c("in_day")).otherwise(c("in_back")), "who": c("email").isNull() | c("identity"), "time_ok": c("minute_ok") & c("date_ok") & c("hour_ok")})
 
 
 _OWN = "OVER (PARTITION BY receipt_id)"
@@ -355,7 +356,7 @@ def judged(receipts: DataFrame, charges: DataFrame, customers: DataFrame, as_of:
     flags = {f"t_{t}": f"m_{t} AND {tried(i)} AND CASE WHEN {fresh(t)} THEN NOT claimed WHEN {named(t)} THEN same_name ELSE true END" for i, t in enumerate(TIERS)}
     rows = _with(rows, tier="CASE WHEN id_n > 0 THEN 'identifier' ELSE first END", tier_n="CASE WHEN id_n > 0 THEN id_n ELSE left_n END", **flags)
     hit = case([(f"tier = '{t}'", f"t_{t}") for t in ("identifier", *TIERS)], " ELSE false")
-    keep = ["receipt_id", "id", "tier", "tier_n", "created", "payer", "payer_name", "same_name", "claimed", "customer", "c_amount", "ids", "id_hit", "date_ok", *[f"t_{t}" for t in ("identifier", *TIERS)]]
+    keep = ["receipt_id", "id", "tier", "tier_n", "created", "payer", "payer_name", "same_name", "claimed", "customer", "c_amount", "id_hit", "date_ok", *[f"t_{t}" for t in ("identifier", *TIERS)]]
     return r, cut(rows.selectExpr(*keep, f"{hit} AS hit"))
 
 
