@@ -150,21 +150,39 @@ def customer_pairs(r: DataFrame, c: DataFrame, same_amount: bool = False) -> Dat
     return key.join(c, "customer").filter(near & agrees if same_amount else near).drop(*span)
 
 
-def amount_pairs(r: DataFrame, c: DataFrame, as_of: int, lookback_days: int = LOOKBACK_DAYS, wide: bool = False) -> DataFrame:
-    """(receipt_id, charge columns) of succeeded charges of the receipt's amount and currency.
+def amount_pairs(r: DataFrame, c: DataFrame, as_of: int, lookback_days: int = LOOKBACK_DAYS, wide: bool = False, carry: tuple[str, ...] = ()) -> DataFrame:
+    """(receipt_id, columns of ``carry``, charge columns) of succeeded charges of the receipt's amount and currency.
 
-    Receipts with a window are joined day by day within it; the others, and all if ``wide``, over the lookback.
+    Receipts with a window are joined day by day within it, the others over the lookback. If ``wide``, the lookback is joined
+    whatever the window: by the days around the receipt's date, since no tier takes a charge farther from it, and whole where it has none.
     """
     c = c.filter("c_status = 'succeeded'")
     same = (F.col("amount") == F.col("c_amount")) & (F.col("currency") == F.col("c_currency"))
-    r = r.filter("amount IS NOT NULL").select("receipt_id", "amount", "currency", "bounded", F.least("search_lo", "day_lo").alias("lo"), F.greatest("search_hi", "day_hi").alias("hi"))
-    days = F.explode(F.sequence(F.floor(F.col("lo") / DAY), F.floor(F.col("hi") / DAY)))
+    kept, plain = ["receipt_id", *carry], ["amount", "currency", "bounded", "payment_date"]
+    r = r.filter("amount IS NOT NULL").select(*kept, *[x for x in plain if x not in carry], F.least("search_lo", "day_lo").alias("lo"), F.greatest("search_hi", "day_hi").alias("hi"))
     by_day = c.withColumn("c_day", F.floor(F.col("created") / DAY))
-    near = r.filter(F.col("bounded")).withColumn("day", days).join(by_day, same & (F.col("day") == F.col("c_day")) & F.col("created").between(F.col("lo"), F.col("hi"))).drop("day", "c_day")
-    back = c.filter(F.col("created").between(as_of - lookback_days * DAY, as_of))
-    far = (r if wide else r.filter(~F.col("bounded"))).join(back, same)
-    found = far if wide else near.unionByName(far)
-    return found.drop("amount", "currency", "bounded", "lo", "hi")
+    back = F.col("created").between(as_of - lookback_days * DAY, as_of)
+    if wide:
+        days, near, seen = F.sequence(F.unix_date("payment_date") - 3, F.unix_date("payment_date") + 3), F.col("payment_date").isNotNull(), back
+    else:
+        days, near, seen = F.sequence(F.floor(F.col("lo") / DAY), F.floor(F.col("hi") / DAY)), F.col("bounded"), F.col("created").between(F.col("lo"), F.col("hi"))
+    found = r.filter(near).withColumn("day", F.explode(days)).join(by_day, same & (F.col("day") == F.col("c_day")) & seen).drop("day", "c_day")
+    return found.unionByName(r.filter(~near).join(c.filter(back), same)).select(*kept, *c.columns)
+
+
+def sights(r: DataFrame, c: DataFrame, as_of: int, lookback_days: int = LOOKBACK_DAYS) -> DataFrame:
+    """(receipt_id, searched, requeried, backed): is a succeeded charge of the receipt's amount in its search, its day, the lookback?"""
+    c = c.filter("c_status = 'succeeded'").select("c_amount", "c_currency", "created").distinct()
+    same = (F.col("amount") == F.col("c_amount")) & (F.col("currency") == F.col("c_currency"))
+    back = c.filter(F.col("created").between(as_of - lookback_days * DAY, as_of)).select("c_amount", "c_currency").distinct().withColumn("backed", F.lit(True))
+    r = r.filter("amount IS NOT NULL").select("receipt_id", "amount", "currency", "bounded", "search_lo", "search_hi", "day_lo", "day_hi")
+    days = F.explode(F.sequence(F.floor(F.least("search_lo", "day_lo") / DAY), F.floor(F.greatest("search_hi", "day_hi") / DAY)))
+    met = r.filter("bounded").withColumn("day", days).join(c.withColumn("c_day", F.floor(F.col("created") / DAY)), same & (F.col("day") == F.col("c_day")))
+    near = met.groupBy("receipt_id").agg(F.max(F.col("created").between(F.col("search_lo"), F.col("search_hi"))).alias("s"), F.max(F.col("created").between(F.col("day_lo"), F.col("day_hi"))).alias("requeried"))
+    yes = lambda x: F.coalesce(x, F.lit(False))
+    told = r.join(back, same, "left").join(near, "receipt_id", "left")
+    # Without a window the search is the lookback.
+    return told.select("receipt_id", F.when(F.col("bounded"), yes(F.col("s"))).otherwise(yes(F.col("backed"))).alias("searched"), yes(F.col("requeried")).alias("requeried"), yes(F.col("backed")).alias("backed"))
 
 
 def window_pairs(r: DataFrame, c: DataFrame, as_of: int, lookback_days: int = LOOKBACK_DAYS) -> DataFrame:
@@ -228,11 +246,21 @@ def prepared(receipts: DataFrame, charges: DataFrame, customers: DataFrame, as_o
     return cut(r.withColumn("early", F.coalesce("early", F.when(lists, "STRIPE_PAGINATION_LIMIT")))), c, ids
 
 
+#: Columns of receipts that tiers read.
+READ = ("email", "emails", "transaction_id", "description", "customer_name", "amount", "currency", "payment_date", "payment_month", "payment_day", "payment_hour", "minutes", "relative_today", "received_at", "search_lo", "search_hi", "day_lo", "day_hi", "bounded", "clock", "has_date", "n_constraints", "any_id", "customer_ids")
+#: The answers of ``sights``.
+SEEN = ("searched", "requeried", "backed")
+
+
 def _facts(pairs: DataFrame, r: DataFrame, as_of: int, lookback_days: int, receipt_zone: str | None) -> DataFrame:
     """Pairs with their receipts and all that tiers decide on."""
+    told = [x for x in SEEN if x in r.columns]
+    return _told(r.select("receipt_id", *READ, *told).join(pairs, "receipt_id"), as_of, lookback_days, receipt_zone)
+
+
+def _told(p: DataFrame, as_of: int, lookback_days: int, receipt_zone: str | None) -> DataFrame:
+    """Adds all that tiers decide on to rows of receipt and charge."""
     c = F.col
-    keep = ["receipt_id", "email", "emails", "transaction_id", "description", "customer_name", "amount", "currency", "payment_date", "payment_month", "payment_day", "payment_hour", "minutes", "relative_today", "received_at", "search_lo", "search_hi", "day_lo", "day_hi", "bounded", "clock", "has_date", "n_constraints", "any_id", "customer_ids"]
-    p = r.select(*keep).join(pairs, "receipt_id")
     yes = lambda x: F.coalesce(x, F.lit(False))
     agrees = lambda given, own: given.isNull() | yes(given == own)
     local_date = F.to_date("local")
@@ -255,8 +283,13 @@ def _facts(pairs: DataFrame, r: DataFrame, as_of: int, lookback_days: int, recei
         "in_date": yes(local_date == c("payment_date")),
         "in_back": c("created").between(as_of - lookback_days * DAY, as_of),
     }
-    told = p.withColumns(facts).drop("ids", "local", "c_description", "c_currency", "c_status", "search_lo", "day_lo", "day_hi", "customer_ids")  # rows are many: only what tiers read goes on
-    return told.withColumns({"in_window": F.when(c("bounded"), c("in_day")).otherwise(c("in_back")), "who": c("email").isNull() | c("identity"), "time_ok": c("minute_ok") & c("date_ok") & c("hour_ok")})
+    told = _once(p, facts).drop("ids", "local", "c_description", "c_currency", "c_status", "search_lo", "day_lo", "day_hi", "customer_ids")  # rows are many: only what tiers read goes on
+    return _once(told, {"in_window": F.when(c("bounded"), c("in_day")).otherwise(c("in_back")), "who": c("email").isNull() | c("identity"), "time_ok": c("minute_ok") & c("date_ok") & c("hour_ok")})
+
+
+def _once(rows: DataFrame, columns: dict[str, Column]) -> DataFrame:
+    """``rows`` with ``columns``, each computed once a row and not copied into whatever filters or columns follow."""
+    return rows.select("*", F.inline(F.array(F.struct(*[v.alias(k) for k, v in columns.items()]))))
 
 
 _OWN = "OVER (PARTITION BY receipt_id)"
@@ -272,8 +305,6 @@ def _with(rows: DataFrame, **columns: str) -> DataFrame:
 def _visible(rows: DataFrame) -> DataFrame:
     """Adds what a receipt sees: ``c0`` at first, ``c3`` after the day is searched again, ``c6`` after the lookback is listed, ``c7`` with
     the lookback by amount; each as it stands if no tier before has decided."""
-    seen = lambda where: f"max(by_amount AND {where}) {_OWN}"
-    rows = _with(rows, searched=seen("in_search"), requeried=seen("in_day"), backed=seen("in_back"))
     first = """CASE WHEN any_id THEN id_hit AND in_window WHEN has_customer THEN customer_hit AND (NOT bounded OR in_day)
       WHEN amount IS NOT NULL THEN by_amount AND CASE WHEN searched THEN in_search ELSE in_window END
       WHEN size(emails) > 0 THEN in_window WHEN payment_date IS NOT NULL THEN in_date ELSE in_back END"""
@@ -313,6 +344,22 @@ def _sets() -> dict[str, str]:
     }
 
 
+def _able() -> str:
+    """Rows that some tier can take, whatever its receipt sees; implied by every set of ``_sets`` and by the identifier rule."""
+    near = f"(clock IS NOT NULL AND clock_gap <= {WINDOW_SECONDS})"
+    ways = (
+        "base AND id_hit",
+        "base AND who AND time_ok",
+        f"base AND who AND minute_ok AND ({near} OR date_ok OR email IS NOT NULL)",
+        "base AND who AND size(emails) > 0 AND NOT has_date",
+        "base AND minute_ok AND day_gap = 1",
+        "base AND time_ok AND size(emails) > 0 AND n_constraints >= 2",
+        "base AND who AND date_ok AND same_name",
+        "eligible AND by_amount AND (identity OR same_name OR id_hit)",
+    )
+    return f"CASE {' '.join(f'WHEN {w} THEN true' for w in ways)} ELSE false END"
+
+
 def _counted(rows: DataFrame, sets: dict[str, str]) -> DataFrame:
     """Adds m_<tier> and, over the receipt, n_, f_ and s_<tier>: rows of the set, unclaimed ones, ones of the receipt's name."""
     rows = _with(rows, **{f"m_{t}": f"coalesce({m}, false)" for t, m in sets.items()})
@@ -324,18 +371,24 @@ def judged(receipts: DataFrame, charges: DataFrame, customers: DataFrame, as_of:
     """(receipts with ``early``, candidate rows with ``t_<tier>``, ``tier`` and ``tier_n``), both tables in the shared folder."""
     r, book, ids = prepared(receipts, charges, customers, as_of, zone, receipt_zone, lookback_days, claims, budget)
     live = r.filter("early IS NULL")
-    pairs = ids.drop("scan")
-    for more in (customer_pairs(live, book, True).filter("eligible"), amount_pairs(live, book, as_of, lookback_days), window_pairs(live, book, as_of, lookback_days)):
-        pairs = pairs.unionByName(more)
-    near = cut(_facts(pairs.repartition("receipt_id").dropDuplicates(["receipt_id", "id"]), live, as_of, lookback_days, receipt_zone))
-
-    # The whole lookback by amount, only for receipts that are open and have not been held against it.
+    live = cut(live.join(sights(live, book, as_of, lookback_days), "receipt_id", "left"))
+    able, told = _able(), (as_of, lookback_days, receipt_zone)
+    few = ids.drop("scan")
+    for more in (customer_pairs(live, book, True).filter("eligible"), window_pairs(live, book, as_of, lookback_days)):
+        few = few.unionByName(more)
+    # Pairs by amount are many: they carry their receipt and what no tier can take goes before any of it is shuffled.
+    by_amount = _told(amount_pairs(live, book, as_of, lookback_days, carry=(*READ, *SEEN)), *told).filter(able)
+    near = _facts(few, live, *told).filter(able).unionByName(by_amount)
+    near = cut(near.repartition("receipt_id").dropDuplicates(["receipt_id", "id"]))
+
+    # The lookback by amount, only for receipts that are open and have not been held against it.
     sets = _sets()
     at_first = {t: sets[t] for t in TIERS[:6]}
     shut = _visible(near).filter(" OR ".join(f"coalesce({m}, false)" for m in at_first.values())).select("receipt_id").distinct()
     open_ = live.filter("bounded AND amount IS NOT NULL AND NOT any_id").join(shut, "receipt_id", "left_anti")
-    wide = amount_pairs(open_, book, as_of, lookback_days, wide=True).join(near.select("receipt_id", "id"), ["receipt_id", "id"], "left_anti")
-    rows = _visible(near.unionByName(_facts(wide, open_, as_of, lookback_days, receipt_zone)).repartition("receipt_id"))
+    wide = _told(amount_pairs(open_, book, as_of, lookback_days, wide=True, carry=(*READ, *SEEN)), *told).filter(able)
+    wide = wide.join(near.select("receipt_id", "id"), ["receipt_id", "id"], "left_anti")
+    rows = _visible(near.unionByName(wide).repartition("receipt_id"))
 
     # Identifiers: what is visible, then the day or lookback list, then all of the lookback by identifier and without times.
     told, listed = "id_hit AND base", "CASE WHEN payment_date IS NOT NULL THEN in_date ELSE in_back END"
