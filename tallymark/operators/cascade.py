@@ -2,9 +2,10 @@
 
 Candidates are a union of equality joins, each with its own key: exploded identifiers, customers of the receipt's addresses,
 (amount, currency, day) within the receipt's window, and for receipts without an amount payer, local date or what else is
-constrained. What a tier may see is a flag on the candidate row: identifier hits, else the customers' charges, else those found by
-amount, else the window. The visible set is widened in stages, and the 90-day join by amount runs only for receipts that are
-still open. All tiers then are columns over windows by receipt, one shuffle. Zero or several survivors never approve;
+constrained. Pairs that no tier can take go before any shuffle. What a tier may see is a flag on the candidate row: identifier hits,
+else the customers' charges, else those found by amount, else the window. The visible set is widened in stages, and the lookback
+by amount is joined only for receipts that are still open, by the days around their date. All tiers then are columns over
+windows by receipt, one shuffle. Zero or several survivors never approve;
 recency breaks no tie.
 """
 
