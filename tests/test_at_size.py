@@ -4,6 +4,7 @@ import duckdb
 from pyspark.sql import functions as F
 
 import __spark_entry__ as E
+from tallymark.plans import linkage as L
 
 
 def dense(spark, folder, n):
@@ -32,3 +33,10 @@ def test_candidates_by_window_beyond_the_budget(spark, tmp_path):
     """A query of candidates lists them all: 11 000 charges on a receipt's days are more than a search of the cascade reads."""
     same, n = agrees(spark, dense(spark, tmp_path, 11_000), "cand_by_window")
     assert same and n > 50_000
+
+
+def test_other_payers_charges_are_met_by_open_receipts_only(spark, tmp_path):
+    """Rows of the cascade stay near its receipts, where every amount and day has a hundred charges."""
+    folder = dense(spark, tmp_path, 2_000)
+    found = L._judged(spark, folder)[1].count()
+    assert found < 30_000
