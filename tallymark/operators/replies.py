@@ -35,9 +35,14 @@ def message_media(rows: DataFrame, key: str, body: str) -> DataFrame:
 def first_object(reply: Column) -> Column:
     """Text of the first JSON object of a reply without fences and thinking; null without one."""
     bare = F.regexp_replace(F.regexp_replace(reply, "```json|```", ""), r"(?s)<think>.*?</think>|<analysis>.*?</analysis>", "")
-    at = lambda mark: F.filter(F.sequence(F.lit(1), F.greatest(F.length(bare), F.lit(1))), lambda i: F.substring(bare, i, F.lit(1)) == mark)
-    spans = F.flatten(F.transform(at("{"), lambda i: F.transform(F.filter(at("}"), lambda j: j > i), lambda j: F.substring(bare, i, j - i + 1))))
-    return F.get(F.filter(spans, lambda s: F.try_parse_json(s).isNotNull()), F.lit(0))
+    once = lambda value, use: F.get(F.transform(F.array(value), use), F.lit(0))  # noqa: E731  # a lambda's variable is computed once a row
+
+    def found(b: Column) -> Column:
+        at = lambda mark: F.filter(F.sequence(F.lit(1), F.greatest(F.length(b), F.lit(1))), lambda i: F.substring(b, i, F.lit(1)) == mark)
+        spans = lambda ends: F.flatten(F.transform(at("{"), lambda i: F.transform(F.filter(ends, lambda j: j > i), lambda j: F.substring(b, i, j - i + 1))))
+        return once(at("}"), lambda ends: F.get(F.filter(spans(ends), lambda s: F.try_parse_json(s).isNotNull()), F.lit(0)))
+
+    return once(bare, found)
 
 
 def coerced(rows: DataFrame, key: str, reply: str) -> DataFrame:

@@ -4,6 +4,7 @@ import duckdb
 from pyspark.sql import functions as F
 
 import __spark_entry__ as E
+from tallymark.operators import replies
 from tallymark.plans import linkage as L
 
 
@@ -40,3 +41,11 @@ def test_other_payers_charges_are_met_by_open_receipts_only(spark, tmp_path):
     folder = dense(spark, tmp_path, 2_000)
     found = L._judged(spark, folder)[1].count()
     assert found < 30_000
+
+
+def test_a_reply_is_bared_once(spark):
+    """Fences and thinking are taken off once a reply, not for each of its characters; the first object stays the same."""
+    replies_ = ["```json\n{\"a\": {\"b\": 1}}\n```", "<think>{\"a\": 0}</think> so {x} {\"a\": 2} {\"a\": 3}", "none", None, ""]
+    found = spark.createDataFrame([(r,) for r in replies_], "r string").select(replies.first_object(F.col("r")).alias("o"))
+    assert [r.o for r in found.collect()] == ['{"a": {"b": 1}}', '{"a": 2}', None, None, None]
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("json|```") <= 1
