@@ -49,3 +49,9 @@ def test_a_reply_is_bared_once(spark):
     found = spark.createDataFrame([(r,) for r in replies_], "r string").select(replies.first_object(F.col("r")).alias("o"))
     assert [r.o for r in found.collect()] == ['{"a": {"b": 1}}', '{"a": 2}', None, None, None]
     assert found._jdf.queryExecution().optimizedPlan().toString().count("json|```") <= 1
+
+
+def test_pairs_by_amount_carry_their_receipt(spark, tmp_path):
+    """Pairs are many: they are not joined with their receipts again."""
+    found = L.charge_time_match(spark, dense(spark, tmp_path, 500))
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("Join Inner") == 2
