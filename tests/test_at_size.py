@@ -4,7 +4,7 @@ import duckdb
 from pyspark.sql import functions as F
 
 import __spark_entry__ as E
-from tallymark.operators import replies
+from tallymark.operators import cascade, replies
 from tallymark.plans import linkage as L
 
 
@@ -55,3 +55,15 @@ def test_pairs_by_amount_carry_their_receipt(spark, tmp_path):
     """Pairs are many: they are not joined with their receipts again."""
     found = L.charge_time_match(spark, dense(spark, tmp_path, 500))
     assert found._jdf.queryExecution().optimizedPlan().toString().count("Join Inner") == 2
+
+
+def test_candidate_rows_are_narrow_and_sorted_once(spark):
+    """What a row says by itself is one number, and receipts are decided in one shuffle and one sort; only the first tier's rows are counted."""
+    facts = list(cascade._facts())
+    bit = lambda *names: sum(1 << facts.index(n) for n in names)
+    made = [("r1", "a", True, bit("strict")), ("r1", "b", False, bit("strict")), ("r1", "c", False, bit("broad")), ("r2", "a", False, bit("canonical")), ("r2", "b", False, bit("canonical", "c7")), ("r3", "a", False, bit("strict", "told", "c0")), ("r3", "b", False, bit("told", "timely", "c0", "now0"))]
+    rows = spark.createDataFrame(made, "receipt_id string, id string, claimed boolean, facts long").selectExpr("receipt_id", "id", "0L AS created", "'' AS payer", "'' AS payer_name", "false AS same_name", "claimed", "0L AS c_amount", "true AS date_ok", "facts")
+    found = cascade._decided(rows.repartition("receipt_id").dropDuplicates(["receipt_id", "id"]))
+    assert {(r.receipt_id, r.id, r.tier, r.tier_n) for r in found.filter("hit").collect()} == {("r1", "b", "strict", 1), ("r2", "b", "canonical", 1), ("r3", "b", "identifier", 1)}
+    plan = found._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[-1]
+    assert plan.count("Exchange") == 1 and plan.count("Window [") <= 3 and plan.count("Sort [") <= 2
