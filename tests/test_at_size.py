@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as E
 from tallymark.operators import cascade, replies
+from tallymark.plans import evidence
 from tallymark.plans import linkage as L
 
 
@@ -67,3 +68,8 @@ def test_candidate_rows_are_narrow_and_sorted_once(spark):
     assert {(r.receipt_id, r.id, r.tier, r.tier_n) for r in found.filter("hit").collect()} == {("r1", "b", "strict", 1), ("r2", "b", "canonical", 1), ("r3", "b", "identifier", 1)}
     plan = found._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[-1]
     assert plan.count("Exchange") == 1 and plan.count("Window [") <= 3 and plan.count("Sort [") <= 2
+
+
+def test_ambiguous_receipts_are_found_once(spark, tmp_path):
+    """They are a table, since scores and bursts read them several times."""
+    assert hasattr(evidence._open_receipts(spark, dense(spark, tmp_path, 300))[0], "scratch_path")
