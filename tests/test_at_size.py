@@ -73,3 +73,10 @@ def test_candidate_rows_are_narrow_and_sorted_once(spark):
 def test_ambiguous_receipts_are_found_once(spark, tmp_path):
     """They are a table, since scores and bursts read them several times."""
     assert hasattr(evidence._open_receipts(spark, dense(spark, tmp_path, 300))[0], "scratch_path")
+
+
+def test_candidates_of_two_sources_are_prepared_once(spark, tmp_path, monkeypatch):
+    runs, real = [], L._prepared
+    monkeypatch.setattr(L, "_prepared", lambda *a: runs.append(a) or real(*a))
+    same, n = agrees(spark, dense(spark, tmp_path, 300), "distinct_candidates")
+    assert same and n > 100 and len(runs) == 1
