@@ -80,3 +80,20 @@ def test_candidates_of_two_sources_are_prepared_once(spark, tmp_path, monkeypatc
     monkeypatch.setattr(L, "_prepared", lambda *a: runs.append(a) or real(*a))
     same, n = agrees(spark, dense(spark, tmp_path, 300), "distinct_candidates")
     assert same and n > 100 and len(runs) == 1
+
+
+def test_a_new_claim_asks_its_state_once():
+    """Each call of the state is a message, and most keys come once: one to read, one to write."""
+    from tallymark.streaming.claims import _Claims
+
+    class State:
+        def __init__(self):
+            self.calls = []
+
+        def __getattr__(self, name):
+            return lambda *a: self.calls.append(name)
+
+    job = _Claims(100)
+    job.handle, job.held = State(), State()
+    out = list(job.handleInputRows(("k",), iter([{"owner": "a", "action": "claim", "at": 5}, {"owner": "b", "action": "claim", "at": 6}]), None))
+    assert [r["outcome"] for r in out] == ["new", "duplicate"] and job.held.calls == ["get", "update"]
