@@ -1,6 +1,7 @@
 """Queries over dense events: many charges of one amount and day, as larger tables have them."""
 
 import duckdb
+import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as E
@@ -97,3 +98,20 @@ def test_a_new_claim_asks_its_state_once():
     job.handle, job.held = State(), State()
     out = list(job.handleInputRows(("k",), iter([{"owner": "a", "action": "claim", "at": 5}, {"owner": "b", "action": "claim", "at": 6}]), None))
     assert [r["outcome"] for r in out] == ["new", "duplicate"] and job.held.calls == ["get", "update"]
+
+
+@pytest.mark.parametrize("name", ["src_charge_search"])
+def test_pairs_by_amount_come_in_tiles(spark, tmp_path, name):
+    """All pairs of an amount, as their SQL lists them; written tile by tile they take a fraction of a byte each."""
+    folder, out = dense(spark, tmp_path, 3_000), str(tmp_path / "out")
+    E.queries()[name](spark, folder).write.parquet(out)
+    con = duckdb.connect()
+    con.execute("SET TimeZone = 'UTC'")
+    con.execute(f"CREATE VIEW events AS SELECT * FROM '{folder}/events.parquet'")
+    con.execute(f"CREATE TABLE want AS {E.oracle_sql()[name]}")
+    con.execute(f"CREATE TABLE got AS SELECT * FROM '{out}/*.parquet'")
+    count = lambda t: con.sql(f"SELECT count(*) FROM {t}").fetchall()[0][0]
+    n = count("got")
+    assert n > 300_000 and n == count("want")
+    assert not con.sql("SELECT * FROM got EXCEPT ALL SELECT * FROM want").fetchall()
+    assert sum(p.stat().st_size for p in (tmp_path / "out").glob("*.parquet")) < 0.5 * n
