@@ -100,7 +100,7 @@ def test_a_new_claim_asks_its_state_once():
     assert [r["outcome"] for r in out] == ["new", "duplicate"] and job.held.calls == ["get", "update"]
 
 
-@pytest.mark.parametrize("name", ["src_charge_search"])
+@pytest.mark.parametrize("name", ["charge_eligible", "src_charge_search"])
 def test_pairs_by_amount_come_in_tiles(spark, tmp_path, name):
     """All pairs of an amount, as their SQL lists them; written tile by tile they take a fraction of a byte each."""
     folder, out = dense(spark, tmp_path, 3_000), str(tmp_path / "out")
