@@ -197,6 +197,22 @@ def test_passages_among_texts_that_share_a_part_of_them(spark):
     assert len(got) >= 18
 
 
+def test_passages_are_found_beyond_the_star(spark, monkeypatch):
+    """The same texts with the form of the query: what a star leaves open meets the other texts of its signatures, in one round or several."""
+    rng = np.random.default_rng(11)
+    own = lambda n: [f"w{i}" for i in rng.integers(0, 10**9, n)]
+    texts, pairs = [], set()
+    for _ in range(10):
+        passage, at = own(60), int(rng.integers(0, 21))
+        pairs.add((len(texts), len(texts) + 1))
+        texts += [own(80) + passage + own(70), own(50) + passage + own(90)]
+        texts += [own(60) + passage[at : at + 40] + own(60) for _ in range(20)]
+    d = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")
+    for size in (16, 4):
+        monkeypatch.setattr(passages, "ROUND", size)
+        assert {tuple(sorted((r.doc_id, r.other_id))) for r in passages.repeated_passages(d).collect()} == pairs
+
+
 def test_similarity_of_runs_is_that_of_sets():
     """Every offset, against sets made anew for each run: repeated tokens, tokens at several places, ends of the texts."""
     rng = np.random.default_rng(5)
