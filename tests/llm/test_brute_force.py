@@ -441,3 +441,41 @@ def test_sql_of_mixing(spark, sf):
     duckdb.sql(f"CREATE OR REPLACE VIEW documents AS SELECT * FROM '{sf}/documents.parquet'")
     want = sorted(duckdb.sql(ORACLE_SQL["op8_source_mixing"]).fetchall())
     assert sorted((r.doc_id, r.source, r.copy, r.place, r.text_sha256) for r in run(spark, sf, "op8_source_mixing")) == want
+
+
+def test_tokens_and_windows_of_many_texts_at_once(monkeypatch):
+    """Texts in one piece give the tokens and windows of each text by itself: ends of texts, all separators, capitals, bytes beyond ASCII."""
+    import pyarrow as pa
+
+    rng = np.random.default_rng(8)
+    letters, of, back = list("abAB \t\n\x0b\x0cé \x1c"), {}, {}
+    for size in (40, 1 << 18):
+        monkeypatch.setattr(passages, "AT_ONCE", size)
+        for _ in range(40):
+            texts = ["".join(rng.choice(letters, rng.integers(0, 80))) for _ in range(rng.integers(1, 9))]
+            got = {}
+            for x, g, count in passages._texts(pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(texts)], ["x", "text"]), 8):
+                got |= dict(zip(x.tolist(), np.split(g, np.cumsum(count)[:-1]), strict=True))
+            for i, t in enumerate(texts):
+                w = WORD.findall(t.translate(LOWER))
+                want = [tuple(w[j : j + 5]) for j in range(len(w) - 4)] if len(w) >= 8 else []
+                assert len(want) == len(got.get(i, []))
+                assert all(of.setdefault(a, v) == v and back.setdefault(v, a) == a for a, v in zip(want, got.get(i, []), strict=True))
+    for _ in range(60):
+        span = int(rng.integers(2, 12))
+        hs = [rng.integers(0, 30, rng.integers(span, 60)).astype(np.uint64) for _ in range(rng.integers(1, 8))]
+        rows = passages.windows_of_texts(np.concatenate(hs), np.array([len(h) for h in hs]), span)
+        assert set(zip(*[v.tolist() for v in rows], strict=True)) == {(k, *w) for k, h in enumerate(hs) for w in passages.compact_windows(h, span)}
+
+
+def test_texts_around_a_common_line_are_not_held_against_each_other(spark, monkeypatch):
+    """40 words in each of 60 texts are no passage: no range of theirs is verified beyond the star, and a pair with 10 words more is found."""
+    rng = np.random.default_rng(12)
+    own = lambda n: [f"w{i}" for i in rng.integers(0, 10**9, n)]
+    line, more = own(40), own(12)
+    rows = [(i, " ".join(own(60) + line + (more if i in (58, 59) else []) + own(60))) for i in range(60)]
+    met, agreed = [], passages._agreed
+    monkeypatch.setattr(passages, "_agreed", lambda df: met.append(agreed(df)) or met[-1])
+    got = {tuple(sorted((r.doc_id, r.other_id))) for r in passages.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {(58, 59)}
+    assert len(met) == 1
